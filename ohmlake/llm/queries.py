@@ -3,6 +3,16 @@
 from __future__ import annotations
 
 from .bpe import op1_byte_bpe
+from .decontaminate import OP5_SQL, op5_decontaminate
+from .html_text import op9_html_text
+from .language import op2_language_id
+from .quality import op3_repetition_quality
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    "op1_byte_bpe": op1_byte_bpe,
+    "op2_language_id": op2_language_id,
+    "op3_repetition_quality": op3_repetition_quality,
+    "op5_decontaminate": op5_decontaminate,
+    "op9_html_text": op9_html_text,
+}
+ORACLE_SQL = {"op5_decontaminate": OP5_SQL}
