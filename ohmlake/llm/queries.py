@@ -6,13 +6,17 @@ from .bpe import op1_byte_bpe
 from .decontaminate import OP5_SQL, op5_decontaminate
 from .html_text import op9_html_text
 from .language import op2_language_id
+from .lattice import op10_lattice_scores
 from .quality import op3_repetition_quality
+from .token_counts import op4_token_counts
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_language_id": op2_language_id,
     "op3_repetition_quality": op3_repetition_quality,
+    "op4_token_counts": op4_token_counts,
     "op5_decontaminate": op5_decontaminate,
     "op9_html_text": op9_html_text,
+    "op10_lattice_scores": op10_lattice_scores,
 }
 ORACLE_SQL = {"op5_decontaminate": OP5_SQL}
