@@ -9,6 +9,7 @@ from .language import op2_language_id
 from .lattice import op10_lattice_scores
 from .quality import op3_repetition_quality
 from .token_counts import op4_token_counts
+from .warc import OP7_SQL, op7_warc_zip
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
@@ -16,7 +17,8 @@ QUERIES = {
     "op3_repetition_quality": op3_repetition_quality,
     "op4_token_counts": op4_token_counts,
     "op5_decontaminate": op5_decontaminate,
+    "op7_warc_zip": op7_warc_zip,
     "op9_html_text": op9_html_text,
     "op10_lattice_scores": op10_lattice_scores,
 }
-ORACLE_SQL = {"op5_decontaminate": OP5_SQL}
+ORACLE_SQL = {"op5_decontaminate": OP5_SQL, "op7_warc_zip": OP7_SQL}
