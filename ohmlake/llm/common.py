@@ -11,7 +11,6 @@ Rules that hold for every operator of this folder, unless its docstring says oth
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType, StructField, StructType, _parse_datatype_string
 
+from ohmlake.plans.storage import shared_folder, stored  # noqa: F401
+
 #: Text that one step of numpy work takes at once; a longer single text makes a step of its own.
 SLICE_BYTES = 2 << 20
 
@@ -29,28 +30,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one in the local temp folder only where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="ohmlake-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, partitionBy=partition_by)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def texts(column: pa.Array) -> pa.Array:
     """A string column with 64-bit offsets and no nulls."""
     return pc.fill_null(column.cast(pa.large_string()), "")

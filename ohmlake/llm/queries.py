@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op1_byte_bpe
 from .decontaminate import OP5_SQL, op5_decontaminate
 from .html_text import op9_html_text
+from .jaccard import OP8_SQL, op8_jaccard_components
 from .language import op2_language_id
 from .lattice import op10_lattice_scores
 from .quality import op3_repetition_quality
@@ -18,7 +19,8 @@ QUERIES = {
     "op4_token_counts": op4_token_counts,
     "op5_decontaminate": op5_decontaminate,
     "op7_warc_zip": op7_warc_zip,
+    "op8_jaccard_components": op8_jaccard_components,
     "op9_html_text": op9_html_text,
     "op10_lattice_scores": op10_lattice_scores,
 }
-ORACLE_SQL = {"op5_decontaminate": OP5_SQL, "op7_warc_zip": OP7_SQL}
+ORACLE_SQL = {"op5_decontaminate": OP5_SQL, "op7_warc_zip": OP7_SQL, "op8_jaccard_components": OP8_SQL}
