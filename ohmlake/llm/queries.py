@@ -8,6 +8,7 @@ from .html_text import op9_html_text
 from .jaccard import OP8_SQL, op8_jaccard_components
 from .language import op2_language_id
 from .lattice import op10_lattice_scores
+from .license_scan import op6_license_scan
 from .quality import op3_repetition_quality
 from .token_counts import op4_token_counts
 from .warc import OP7_SQL, op7_warc_zip
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_repetition_quality": op3_repetition_quality,
     "op4_token_counts": op4_token_counts,
     "op5_decontaminate": op5_decontaminate,
+    "op6_license_scan": op6_license_scan,
     "op7_warc_zip": op7_warc_zip,
     "op8_jaccard_components": op8_jaccard_components,
     "op9_html_text": op9_html_text,
