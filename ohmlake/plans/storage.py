@@ -27,3 +27,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables of ``stored`` early, once all that was made of them is stored itself."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            target = jvm.org.apache.hadoop.fs.Path(folder)
+            target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
