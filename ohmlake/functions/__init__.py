@@ -1,0 +1 @@
+"""Column functions and small table idioms that the operators share."""

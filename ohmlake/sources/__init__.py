@@ -1,0 +1 @@
+"""Readers and writers. Schemas are explicit; nothing is inferred."""
