@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType, StructField, StructType, _parse_datatype_string
 
-from ohmlake.plans.storage import shared_folder, stored  # noqa: F401
+from ohmlake.plans.storage import forget, shared_folder, stored  # noqa: F401
 
 #: Text that one step of numpy work takes at once; a longer single text makes a step of its own.
 SLICE_BYTES = 2 << 20

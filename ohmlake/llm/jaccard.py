@@ -10,10 +10,11 @@ incidence matrix of classes by shingles is multiplied by its transpose block by
 2. Each column links its classes to one of them, its pivot, not to one another: as many pairs as
    entries, whatever the size of a group of near copies. Pairs below the bounds go at once: sizes
    that cannot reach t, and more differing bits of two parity bitmaps than sets of these sizes can
-   have differing shingles (both bounds never drop a link).
+   have differing shingles (both bounds never drop a link). A bitmap has about half a bit a shingle.
 3. The overlap of the surviving pairs is counted over all columns, exactly.
-4. Columns whose classes are not in one component by then are multiplied in full, but only between
-   components, and the pairs that pass the bounds are counted likewise. So no link is lost.
+4. Columns of three and more whose other classes are not in one component by then are multiplied in
+   full, but only between components, and pairs that pass the bounds are counted likewise. So no
+   link is lost.
 
 Sets are made again from the texts where they are needed, only for classes in surviving pairs (a
 Bloom filter of fixed size picks them), rather than kept. A document without words links to
@@ -32,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ohmlake.plans.components import connected_components
 
-from .common import read, stored, with_columns
+from .common import forget, read, stored, with_columns
 from .shingles import Hashes, sets
 from .terms import head
 
@@ -41,7 +42,8 @@ HOT = 1 << 19
 OFTEN = 4
 #: Shingles after which a task counts its common ones.
 RUN = 1 << 21
-WORDS = 8
+#: Numbers of 64 bits in a bitmap: powers of two from 2 to this.
+WORDS = 512
 BLOOM_BITS = 26
 REMEMBERED = 300_000
 
@@ -59,12 +61,14 @@ def keys(hashes: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int] | None
     return out
 
 
-def bitmaps(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """For each set the parities of its shingles by 64 * WORDS residues, as WORDS numbers."""
-    n, size = len(offsets) - 1, 64 * WORDS
-    doc = np.repeat(np.arange(n), np.diff(offsets))
-    bits = np.bincount(doc * size + (hashes % np.uint64(size)).astype(np.int64), minlength=n * size) & 1
-    return np.packbits(bits.astype(np.uint8).reshape(n, size), axis=1, bitorder="little").view("<i8")
+def bitmaps(hashes: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """For each set the parities of its shingles by residues, about half as many as it has shingles."""
+    n = np.diff(offsets)
+    words = np.minimum(WORDS, 1 << np.ceil(np.log2(np.maximum(n / 128, 2))).astype(np.int64))
+    starts = np.concatenate([[0], np.cumsum(words)])
+    place = np.repeat(starts[:-1] * 64, n) + (hashes % np.repeat(words * 64, n).astype(np.uint64)).astype(np.int64)
+    bits = (np.bincount(place, minlength=int(starts[-1]) * 64) & 1).astype(np.uint8)
+    return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(np.packbits(bits, bitorder="little").view("<i8")))
 
 
 def signatures(df: DataFrame, id_: str, text: str, k: int) -> DataFrame:
@@ -85,7 +89,7 @@ def signatures(df: DataFrame, id_: str, text: str, k: int) -> DataFrame:
             for hashes, offsets in sets(batch.column(1), k, known):
                 n = len(offsets) - 1
                 own = keys(hashes, offsets)
-                bits = pa.FixedSizeListArray.from_arrays(pa.array(bitmaps(hashes, offsets).reshape(-1)), WORDS).cast(pa.list_(pa.int64()))
+                bits = bitmaps(hashes, offsets)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(at, n), pa.array(np.diff(offsets).astype(np.int64)), pa.array([x and x[0] for x in own], pa.int64()), pa.array([x and x[1] for x in own], pa.int64()), bits, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=names)
                 at += n
@@ -103,7 +107,10 @@ def signatures(df: DataFrame, id_: str, text: str, k: int) -> DataFrame:
 
 
 def columns(df: DataFrame, text: str, k: int, percent: int, common) -> DataFrame:
-    """(shingle, k0, k1): the size-derived columns of each class, once a task."""
+    """(shingle, k0): the size-derived columns of each class, once a task.
+
+    Half a key is enough here: two classes that share it only make pairs that a later step drops.
+    """
 
     def run(batches):
         values, times = common.value
@@ -115,7 +122,7 @@ def columns(df: DataFrame, text: str, k: int, percent: int, common) -> DataFrame
                     weight = np.where(values[at] == hashes, times[at], 0)
                 else:
                     weight = np.zeros(len(hashes), np.int64)
-                out, k0, k1, sizes = [], [], [], []
+                out, k0, sizes = [], [], []
                 for key, a, b in zip(keys(hashes, offsets), offsets[:-1].tolist(), offsets[1:].tolist()):
                     if key is None or key in seen:
                         continue
@@ -128,12 +135,11 @@ def columns(df: DataFrame, text: str, k: int, percent: int, common) -> DataFrame
                     # sorted by hash already, so a stable sort by weight is by (weight, hash)
                     out.append(hashes[a : a + most] if not own.any() else hashes[a:b][np.argsort(own, kind="stable")[:most]])
                     k0.append(key[0])
-                    k1.append(key[1])
                     sizes.append(most)
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.repeat(np.array(k0, np.int64), sizes)), pa.array(np.repeat(np.array(k1, np.int64), sizes))], names=["shingle", "k0", "k1"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.repeat(np.array(k0, np.int64), sizes))], names=["shingle", "k0"])
 
-    return df.select(text).mapInArrow(run, "shingle long, k0 long, k1 long")
+    return df.select(text).mapInArrow(run, "shingle long, k0 long")
 
 
 def chosen_sets(df: DataFrame, text: str, k: int, wanted: DataFrame) -> DataFrame:
@@ -170,12 +176,16 @@ def chosen_sets(df: DataFrame, text: str, k: int, wanted: DataFrame) -> DataFram
     return found.join(wanted, ["k0", "k1"], "left_semi").dropDuplicates(["k0", "k1"])
 
 
-def within(percent: int, na: str, nb: str, bits_a: str, bits_b: str) -> Column:
-    """Whether two sets of these sizes and bitmaps can link."""
-    size = F.least(na, nb) * 100 >= F.greatest(na, nb) * percent
-    differ = sum((F.bit_count(F.get(bits_a, F.lit(i)).bitwiseXOR(F.get(bits_b, F.lit(i)))) for i in range(WORDS)), F.lit(0))
-    # J >= t leaves at most (1 - t) / (1 + t) of na + nb shingles that are in one set only
-    return size & (differ * (100 + percent) <= (F.col(na) + F.col(nb)) * (100 - percent))
+def within(percent: int) -> Column:
+    """Whether two sets of sizes n and nb and bitmaps bits and bits_b can link."""
+    n, nb, a, b = F.col("n"), F.col("nb"), F.col("bits"), F.col("bits_b")
+    la, lb = F.size(a), F.size(b)
+    # the longer of two bitmaps is folded to the shorter's residues
+    word = lambda i: F.get(a, i).bitwiseXOR(F.get(b, i)).bitwiseXOR(F.when(la > lb, F.get(a, i + lb)).otherwise(0)).bitwiseXOR(F.when(lb > la, F.get(b, i + la)).otherwise(0))
+    differ = F.aggregate(F.sequence(F.lit(0), F.least(la, lb) - 1), F.lit(0), lambda s, i: s + F.bit_count(word(i)))
+    # J >= t leaves at most (1 - t) / (1 + t) of n + nb shingles that are in one set only
+    close = differ * (100 + percent) <= (n + nb) * (100 - percent)
+    return (F.least(n, nb) * 100 >= F.greatest(n, nb) * percent) & ((F.greatest(la, lb) > 2 * F.least(la, lb)) | close)
 
 
 def linked(df: DataFrame, text: str, k: int, percent: int, pairs: DataFrame) -> DataFrame:
@@ -186,7 +196,9 @@ def linked(df: DataFrame, text: str, k: int, percent: int, pairs: DataFrame) ->
     b = found.toDF("b0", "b1", "sb")
     both = pairs.join(a, ["a0", "a1"]).join(b, ["b0", "b1"])
     overlap = F.size(F.array_intersect("sa", "sb"))
-    return both.where(overlap * 100 >= (F.size("sa") + F.size("sb") - overlap) * percent).select("a0", "a1", "b0", "b1")
+    out = stored(both.where(overlap * 100 >= (F.size("sa") + F.size("sb") - overlap) * percent).select("a0", "a1", "b0", "b1"), "links")
+    forget(found, wanted)
+    return out
 
 
 def node(k0: str, k1: str) -> Column:
@@ -207,26 +219,30 @@ def classes_and_components(df: DataFrame, id_: str, text: str, k: int, percent:
     common = df.sparkSession.sparkContext.broadcast((values[order], np.array([r.n for r in top], np.int64)[order]))
 
     entries = stored(columns(df, text, k, percent, common), "columns")
-    thick = entries.groupBy("shingle").agg(F.min("k0").alias("p0"), F.max("k0").alias("q0")).where("p0 < q0").select("shingle", "p0")
-    members = entries.join(thick, "shingle").distinct()
-    members = stored(members.join(kinds.select("k0", "k1", "n", "bits"), ["k0", "k1"]), "members")
-    pivots = kinds.select(F.col("k0").alias("b0"), F.col("k1").alias("b1"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
-    spokes = members.select("k0", "k1", "n", "bits", "p0").dropDuplicates(["k0", "k1", "p0"])
-    pairs = spokes.join(pivots, (F.col("p0") == F.col("b0")) & ((F.col("k0") != F.col("b0")) | (F.col("k1") != F.col("b1"))) & within(percent, "n", "nb", "bits", "bits_b"))
-    pairs = stored(pairs.select(F.col("k0").alias("a0"), F.col("k1").alias("a1"), "b0", "b1").distinct(), "pairs")
-    edges = stored(linked(df, text, k, percent, pairs), "links").select(node("a0", "a1").alias("a"), node("b0", "b1").alias("b"))
+    thick = entries.groupBy("shingle").agg(F.min("k0").alias("p0"), F.max("k0").alias("q0"), F.count("*").alias("m")).where("p0 < q0").select("shingle", "p0", "m")
+    members = stored(entries.join(thick, "shingle").where("k0 <> p0").distinct(), "members")
+    forget(entries)
+    own = kinds.select("k0", "k1", "n", "bits")
+    other = own.toDF("b0", "b1", "nb", "bits_b")
+    spokes = members.select("k0", F.col("p0").alias("b0")).distinct()
+    pairs = spokes.join(own, "k0").join(other, "b0").where(within(percent))
+    pairs = stored(pairs.select(F.col("k0").alias("a0"), F.col("k1").alias("a1"), "b0", "b1"), "pairs")
+    edges = linked(df, text, k, percent, pairs).select(node("a0", "a1").alias("a"), node("b0", "b1").alias("b"))
     parts = connected_components(edges)
 
-    placed = members.withColumn("node", node("k0", "k1")).join(parts, "node", "left").select("shingle", "k0", "k1", "n", "bits", F.coalesce("component", "node").alias("c"))
-    mixed = placed.groupBy("shingle").agg(F.min(F.xxhash64("c")).alias("x"), F.max(F.xxhash64("c")).alias("y")).where("x < y").select("shingle")
-    open_ = stored(placed.join(mixed, "shingle", "left_semi"), "open")
-    other = open_.toDF("shingle", "b0", "b1", "nb", "bits_b", "c_b")
-    more = open_.join(other, (open_["shingle"] == other["shingle"]) & (F.col("c") < F.col("c_b")) & within(percent, "n", "nb", "bits", "bits_b"))
+    named = own.withColumn("node", node("k0", "k1")).join(parts, "node", "left").select("k0", "k1", "n", "bits", F.xxhash64(F.coalesce("component", "node")).alias("c"))
+    placed = members.where("m > 2").select("shingle", "k0").join(named.select("k0", "c"), "k0")
+    mixed = placed.groupBy("shingle").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("shingle")
+    open_ = stored(placed.join(mixed, "shingle", "left_semi").select("shingle", "k0").distinct().join(named, "k0"), "open")
+    forget(members)
+    other = open_.toDF("b0", "shingle", "b1", "nb", "bits_b", "c_b")
+    more = open_.join(other, (open_["shingle"] == other["shingle"]) & (F.col("c") < F.col("c_b")) & within(percent))
     more = more.select(F.col("k0").alias("a0"), F.col("k1").alias("a1"), "b0", "b1").distinct()
     tried = pairs.union(pairs.select("b0", "b1", "a0", "a1"))
     more = stored(more.join(tried, ["a0", "a1", "b0", "b1"], "left_anti"), "more-pairs")
+    forget(open_)
     if not more.isEmpty():
-        late = stored(linked(df, text, k, percent, more), "links").select(node("a0", "a1").alias("a"), node("b0", "b1").alias("b"))
+        late = linked(df, text, k, percent, more).select(node("a0", "a1").alias("a"), node("b0", "b1").alias("b"))
         parts = connected_components(edges.union(late))
     named = kinds.select("k0", "k1", "first", node("k0", "k1").alias("node")).join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     firsts = named.groupBy("component").agg(F.min("first").alias("component_id"))
@@ -277,7 +293,8 @@ def op8_jaccard_components(spark, sf_dir) -> DataFrame:
 
 OP8_SQL = r"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), x -> x <> '') AS w FROM documents),
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]+'), x -> x <> '') AS w FROM documents),
 s AS (
   SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS g
   FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
