@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 from ohmlake.functions.columns import basename, has_any, keep_first, top_n_per, url_path
 
@@ -152,8 +152,9 @@ def products(links: DataFrame, by: list[str], page: str = "page", most: int = MA
     pages = links.groupBy(*by, page).agg(F.count_if(ok).alias("n"), F.bool_or(text.rlike("Next|>") & (F.coalesce("href", F.lit("")) != "")).alias("next"))
     w = Window.partitionBy(*by).orderBy(page)
     # a page is reached if all pages before it stand one after another, have products and a next one
-    fine = pages.withColumn("_ok", (F.col("n") > 0) & F.col("next") & (F.col(page) == F.row_number().over(w)))
-    reached = fine.withColumn("_before", F.coalesce(F.bool_and("_ok").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))).where(F.col("_before") & (F.col(page) <= most) & (F.col(page) == F.row_number().over(w)))
+    fine = pages.withColumn("_i", F.row_number().over(w)).withColumn("_ok", (F.col("n") > 0) & F.col("next") & (F.col(page) == F.col("_i")))
+    before = F.coalesce(F.bool_and("_ok").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    reached = fine.withColumn("_before", before).where(F.col("_before") & (F.col(page) <= most) & (F.col(page) == F.col("_i")))
     part = F.when(like_part, text).otherwise(F.element_at(F.split(href, "/", -1), -1))
     own = links.where(ok).join(reached.select(*by, page), [*by, page], "left_semi").withColumn("part_number", part)
     return keep_first(own, [*by, "href"], [page, "pos"]).select(*by, page, "pos", "part_number", "href")
@@ -270,24 +271,39 @@ def filename_from_headers(url: Column, disposition: Column) -> Column:
     return F.when(name == "", "download").otherwise(name)
 
 
-def unique_names(files: DataFrame, by: list[str], order: list, name: str = "filename", rounds: int = 50) -> DataFrame:
-    """CRL-24: files with ``unique_name``: a name taken before gets -1, -2, ...; results collide with nothing.
+def unique_names(files: DataFrame, by: list[str], order: list[str], name: str = "filename") -> DataFrame:
+    """CRL-24: files with ``unique_name``: in order, a name that is taken gets -1, -2, ... until it is free.
 
-    Every round numbers rows that share a name; new names may meet others, so rounds go on until none do.
-    The rows of one name are numbered by a window within their folder (``by``).
+    Names meet only within a family: the same folder, extension and stem without trailing -numbers. Where no
+    name of a family has such a number, a row's number among equal names is its suffix, a plain window. Only
+    families with both kinds are numbered one row after the other.
     """
     stem = F.regexp_replace(F.col(name), r"(?<=.)\.[^.]*$", "")
-    ext = F.substring(F.col(name), F.length(stem) + 1, F.length(F.col(name)))
-    w = Window.partitionBy(*by, name).orderBy(*order)
-    out = files.withColumn("_k", F.row_number().over(w) - 1)
-    out = out.withColumn("unique_name", F.when(F.col("_k") == 0, F.col(name)).otherwise(F.concat(stem, F.lit("-"), F.col("_k").cast("string"), ext)))
-    for _ in range(rounds):
-        again = out.withColumn("_d", F.row_number().over(Window.partitionBy(*by, "unique_name").orderBy("_k", *order)) - 1)
-        if again.where("_d > 0").isEmpty():
-            return out.drop("_k")
-        out = again.withColumn("_k", F.when(F.col("_d") > 0, F.col("_k") + F.col("_d")).otherwise(F.col("_k"))).drop("_d")
-        out = out.withColumn("unique_name", F.when(F.col("_k") == 0, F.col(name)).otherwise(F.concat(stem, F.lit("-"), F.col("_k").cast("string"), ext)))
-    raise RuntimeError(f"names still collide after {rounds} rounds")
+    own = files.withColumn("_stem", stem).withColumn("_ext", F.substring(F.col(name), F.length("_stem") + 1, F.length(F.col(name)))).withColumn("_family", F.regexp_replace("_stem", r"(?<=.)(-[0-9]+)+$", ""))
+    keys = [*by, "_family", "_ext"]
+    mixed = own.where("_stem <> _family").select(*keys).distinct().withColumn("_mixed", F.lit(True))
+    own = own.join(mixed, keys, "left")
+    k = F.row_number().over(Window.partitionBy(*by, name).orderBy(*order)) - 1
+    plain = own.where("_mixed is null").withColumn("unique_name", F.when(k == 0, F.col(name)).otherwise(F.concat("_stem", F.lit("-"), k.cast("string"), "_ext")))
+    both = own.where("_mixed")
+
+    def number(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(order, kind="stable")
+        taken: set[str] = set()
+        next_: dict[str, int] = {}
+        out = []
+        for full, stem_, ext in zip(rows[name], rows["_stem"], rows["_ext"]):
+            own_name, i = full, next_.get(full, 0)
+            while own_name in taken:
+                i += 1
+                own_name = f"{stem_}-{i}{ext}"
+            next_[full] = i
+            taken.add(own_name)
+            out.append(own_name)
+        return rows.assign(unique_name=out)
+
+    numbered = both.groupBy(*keys).applyInPandas(number, StructType([*both.schema.fields, StructField("unique_name", StringType())]))
+    return plain.select(*files.columns, "unique_name").unionByName(numbered.select(*files.columns, "unique_name"))
 
 
 def content_type(value: Column) -> Column:

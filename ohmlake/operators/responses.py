@@ -220,12 +220,18 @@ def interfaces(text: Column) -> Column:
 
 def pins(text: Column) -> Column:
     """RSP-8: name, type, description and other names of the pins that the text mentions."""
-    out = []
-    for pattern, name, about, kind in PINS:
-        own = F.filter(F.transform(F.filter(lines(text), lambda x, n=name: F.lower(x).contains(n.lower()) & x.contains(":")), lambda x: strip(F.regexp_replace(x, r"^[^:]*:", ""))), lambda x: x != "")
-        other = F.filter(F.split(first_match(text, name + r"\s*\(([^)]+)\)"), r"(?U)[/,\s]+"), lambda x: x != "")
-        out.append(F.when(matches(text, pattern), F.struct(F.lit(name).alias("pin_name"), F.lit(kind).alias("pin_type"), F.coalesce(F.get(own, F.lit(0)), F.lit(about)).alias("description"), F.coalesce(other, _none()).alias("alternate_names"))))
-    return F.array_compact(F.array(*out))
+
+    def about(name: str) -> Column:
+        said = F.filter(lines(text), lambda x: F.lower(x).contains(name.lower()) & x.contains(":"))
+        return F.get(F.filter(F.transform(said, lambda x: strip(F.regexp_replace(x, r"^[^:]*:", ""))), lambda x: x != ""), F.lit(0))
+
+    def other(name: str) -> Column:
+        return F.filter(F.split(first_match(text, name + r"\s*\(([^)]+)\)"), r"(?U)[/,\s]+"), lambda x: x != "")
+
+    return F.array_compact(F.array(*[
+        F.when(matches(text, p), F.struct(F.lit(name).alias("pin_name"), F.lit(kind).alias("pin_type"), F.coalesce(about(name), F.lit(default)).alias("description"), F.coalesce(other(name), _none()).alias("alternate_names")))
+        for p, name, default, kind in PINS
+    ]))
 
 
 def sections(responses: DataFrame) -> DataFrame:

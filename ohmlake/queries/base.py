@@ -88,7 +88,7 @@ SELECT 'r' || CAST(p_partkey AS STRING) AS source_file, p_partkey AS k, CAST(p_s
   'Refresh time: ' || CAST(p_size AS STRING) || ' s' || chr(10) || 'Viewing angle: ' || CAST(p_partkey % 180 AS STRING) || ' degrees' || chr(10) ||
   'Working temperature: ' || CAST(p_partkey % 60 AS STRING) || ' C' || chr(10) || 'Storage humidity: ' || CAST(p_size AS STRING) || ' percent' || chr(10) ||
   CASE WHEN p_partkey % 2 = 0 THEN 'Uses SPI with CPHL=0 and CPOL=0, cable of 20cm' ELSE 'Uses I2C at 2.54mm pitch' END || chr(10) ||
-  '# Working With Raspberry Pi' || chr(10) || '| pin | platform |' || chr(10) || '|---|---|' || chr(10) || '| VCC | 3V' || CAST(p_size AS STRING) || ' |' || chr(10) ||
+  '# Working With Raspberry Pi' || chr(10) || '| pin | platform |' || chr(10) || '|---|---|' || chr(10) || '| Vcc | 3v' || CAST(p_size AS STRING) || ' |' || chr(10) ||
   'BUSY: line ' || CAST(p_partkey AS STRING) || chr(10) || '# Warnings' || chr(10) || 'Minimum refresh interval: ' || CAST(p_size + 100 AS STRING) || ' seconds' || chr(10) ||
   CASE WHEN p_partkey % 3 = 0 THEN 'Never leave the power on for ' || CAST(p_partkey AS STRING) || ' hours' ELSE 'The screen is fragile' END || chr(10) ||
   'Library: wiringpi and spidev at https://github.com/x/r' || CAST(p_partkey AS STRING) || chr(10) || 'Register 0x' || CAST(p_partkey % 90 + 10 AS STRING) || ' then 0x' || CAST(p_size AS STRING) || 'F' || chr(10) ||

@@ -70,7 +70,7 @@ def analysis_part(texts: DataFrame, part: str) -> DataFrame:
 
 
 def text_files(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
-    """SRC-7: (source_file, file_path, processing_date, text); a file that cannot be read is skipped."""
+    """SRC-7: (source_file, file_path, processing_date, text); a file that cannot be read is skipped, an empty one gives no row."""
     raw = spark.read.option("pathGlobFilter", glob).option("ignoreCorruptFiles", "true").text(path, wholetext=True)
     return raw.select(F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_path").alias("file_path"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("processing_date"), F.col("value").alias("text"))
 
