@@ -153,3 +153,27 @@ def quality(df: DataFrame, text: str = "text", limits: Limits = Limits(), drop_t
 def op3_repetition_quality(spark, sf_dir) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return quality(docs, drop_text=True).select("doc_id", *[n for n, _ in FIELDS[:7]])
+
+
+OP3_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t,
+    [x FOR x IN regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> ''] AS w FROM documents),
+g AS (SELECT k, n, i, array_to_string(w[i:i + n - 1], ' ') AS win FROM (SELECT k, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT unnest([4, 8, 16]) AS n) WHERE len(w) >= n)),
+r AS (SELECT k, n, i FROM (SELECT *, count(*) OVER (PARTITION BY k, n, win) AS c FROM g) WHERE c > 1),
+c AS (SELECT DISTINCT k, n, unnest(range(i, i + n)) AS i FROM r),
+l AS (SELECT k, unnest(range(1, len(w) + 1)) AS i, unnest([length(x) FOR x IN w]) AS chars FROM d),
+v AS (SELECT c.k, c.n, count(*) AS words, sum(chars) AS chars FROM c JOIN l ON l.k = c.k AND l.i = c.i GROUP BY c.k, c.n),
+s AS (SELECT k, unnest(range(len(string_split(t, chr(10))))) AS pos, unnest(string_split(t, chr(10))) AS line FROM d),
+u AS (
+  SELECT k, count(*) AS n, sum(length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g'))) AS chars
+  FROM (SELECT *, row_number() OVER (PARTITION BY k, line ORDER BY pos) AS nth FROM s) WHERE nth > 1 AND regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY k),
+m AS (
+  SELECT d.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(u.n, 0)::BIGINT AS n_dup_lines, coalesce(b.words, 0)::BIGINT AS n_repeat_words,
+    coalesce(u.chars, 0) AS dup_chars, coalesce(a.chars, 0) AS c4, coalesce(b.chars, 0) AS c8, coalesce(e.chars, 0) AS c16
+  FROM d LEFT JOIN u ON u.k = d.k LEFT JOIN v a ON a.k = d.k AND a.n = 4 LEFT JOIN v b ON b.k = d.k AND b.n = 8 LEFT JOIN v e ON e.k = d.k AND e.n = 16),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, greatest(word_chars, 1) AS most FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND dup_chars / most <= 0.4::DOUBLE AND n_symbols <= n_words AND c4 / most <= 0.5::DOUBLE AND c8 / most <= 0.35::DOUBLE AND c16 / most <= 0.3::DOUBLE AS kept FROM f
+"""

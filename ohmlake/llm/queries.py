@@ -9,7 +9,7 @@ from .jaccard import OP8_SQL, op8_jaccard_components
 from .language import op2_language_id
 from .lattice import op10_lattice_scores
 from .license_scan import op6_license_scan
-from .quality import op3_repetition_quality
+from .quality import OP3_SQL, op3_repetition_quality
 from .token_counts import op4_token_counts
 from .warc import OP7_SQL, op7_warc_zip
 
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_html_text": op9_html_text,
     "op10_lattice_scores": op10_lattice_scores,
 }
-ORACLE_SQL = {"op5_decontaminate": OP5_SQL, "op7_warc_zip": OP7_SQL, "op8_jaccard_components": OP8_SQL}
+ORACLE_SQL = {"op3_repetition_quality": OP3_SQL, "op5_decontaminate": OP5_SQL, "op7_warc_zip": OP7_SQL, "op8_jaccard_components": OP8_SQL}
