@@ -10,7 +10,9 @@ incidence matrix of classes by shingles is multiplied by its transpose block by
 2. Each column links its classes to one of them, its pivot, not to one another: as many pairs as
    entries, whatever the size of a group of near copies. Pairs below the bounds go at once: sizes
    that cannot reach t, and more differing bits of two parity bitmaps than sets of these sizes can
-   have differing shingles (both bounds never drop a link). A bitmap has about half a bit a shingle.
+   have differing shingles (both bounds never drop a link). A bitmap has two to four bits a shingle.
+   The pivot is the class with the largest share of common shingles: the middle of a group of near
+   copies, to which most of them link.
 3. The overlap of the surviving pairs is counted over all columns, exactly.
 4. Columns of three and more whose other classes are not in one component by then are multiplied in
    full, but only between components, and pairs that pass the bounds are counted likewise. So no
@@ -33,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ohmlake.plans.components import connected_components
 
-from .common import forget, read, stored, with_columns
+from .common import forget, read, small_batches, stored, with_columns
 from .shingles import Hashes, sets
 from .terms import head
 
@@ -43,7 +45,7 @@ OFTEN = 4
 #: Shingles after which a task counts its common ones.
 RUN = 1 << 21
 #: Numbers of 64 bits in a bitmap: powers of two from 2 to this.
-WORDS = 512
+WORDS = 1024
 BLOOM_BITS = 26
 REMEMBERED = 300_000
 
@@ -62,9 +64,9 @@ def keys(hashes: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int] | None
 
 
 def bitmaps(hashes: np.ndarray, offsets: np.ndarray) -> pa.Array:
-    """For each set the parities of its shingles by residues, about half as many as it has shingles."""
+    """For each set the parities of its shingles by residues, two to four times as many as it has shingles."""
     n = np.diff(offsets)
-    words = np.minimum(WORDS, 1 << np.ceil(np.log2(np.maximum(n / 128, 2))).astype(np.int64))
+    words = np.minimum(WORDS, 1 << np.ceil(np.log2(np.maximum(n / 32, 2))).astype(np.int64))
     starts = np.concatenate([[0], np.cumsum(words)])
     place = np.repeat(starts[:-1] * 64, n) + (hashes % np.repeat(words * 64, n).astype(np.uint64)).astype(np.int64)
     bits = (np.bincount(place, minlength=int(starts[-1]) * 64) & 1).astype(np.uint8)
@@ -107,9 +109,10 @@ def signatures(df: DataFrame, id_: str, text: str, k: int) -> DataFrame:
 
 
 def columns(df: DataFrame, text: str, k: int, percent: int, common) -> DataFrame:
-    """(shingle, k0): the size-derived columns of each class, once a task.
+    """(shingle, o): the size-derived columns of each class, and (o, k0, k1): its order; once a task.
 
-    Half a key is enough here: two classes that share it only make pairs that a later step drops.
+    o is the percent of its shingles that are common, before 56 bits of its key. Two classes that share it
+    only make pairs that a later step drops.
     """
 
     def run(batches):
@@ -122,7 +125,7 @@ def columns(df: DataFrame, text: str, k: int, percent: int, common) -> DataFrame
                     weight = np.where(values[at] == hashes, times[at], 0)
                 else:
                     weight = np.zeros(len(hashes), np.int64)
-                out, k0, sizes = [], [], []
+                out, order, k0, k1, sizes = [], [], [], [], []
                 for key, a, b in zip(keys(hashes, offsets), offsets[:-1].tolist(), offsets[1:].tolist()):
                     if key is None or key in seen:
                         continue
@@ -132,14 +135,22 @@ def columns(df: DataFrame, text: str, k: int, percent: int, common) -> DataFrame
                     n = b - a
                     most = n + (-percent * n // 100) + 1
                     own = weight[a:b]
+                    share = int(np.count_nonzero(own)) * 100 // n
                     # sorted by hash already, so a stable sort by weight is by (weight, hash)
-                    out.append(hashes[a : a + most] if not own.any() else hashes[a:b][np.argsort(own, kind="stable")[:most]])
+                    out.append(hashes[a:b][np.argsort(own, kind="stable")[:most]] if share else hashes[a : a + most])
+                    order.append(share << 56 | (key[0] & (1 << 64) - 1) >> 8)
                     k0.append(key[0])
+                    k1.append(key[1])
                     sizes.append(most)
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.repeat(np.array(k0, np.int64), sizes))], names=["shingle", "k0"])
+                if not out:
+                    continue
+                o = np.array(order, np.int64)
+                m, n = int(sum(sizes)), len(o)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.repeat(o, sizes)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(o), pa.array(k0, pa.int64()), pa.array(k1, pa.int64())], names=names)
 
-    return df.select(text).mapInArrow(run, "shingle long, k0 long")
+    names = ["shingle", "o", "k0", "k1"]
+    return df.select(text).mapInArrow(run, "shingle long, o long, k0 long, k1 long")
 
 
 def chosen_sets(df: DataFrame, text: str, k: int, wanted: DataFrame) -> DataFrame:
@@ -207,6 +218,7 @@ def node(k0: str, k1: str) -> Column:
 
 def classes_and_components(df: DataFrame, id_: str, text: str, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(rows: id, n, k0, k1) and (classes: k0, k1, component, component_id), stored tables."""
+    small_batches(df.sparkSession)
     made = stored(signatures(df, id_, text, k), "signatures")
     rows = made.where("n is not null").select("id", "n", "k0", "k1")
     kinds = made.where("k0 is not null").groupBy("k0", "k1").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("id").alias("first"))
@@ -218,24 +230,25 @@ def classes_and_components(df: DataFrame, id_: str, text: str, k: int, percent:
     order = np.argsort(values)
     common = df.sparkSession.sparkContext.broadcast((values[order], np.array([r.n for r in top], np.int64)[order]))
 
-    entries = stored(columns(df, text, k, percent, common), "columns")
-    thick = entries.groupBy("shingle").agg(F.min("k0").alias("p0"), F.max("k0").alias("q0"), F.count("*").alias("m")).where("p0 < q0").select("shingle", "p0", "m")
-    members = stored(entries.join(thick, "shingle").where("k0 <> p0").distinct(), "members")
-    forget(entries)
-    own = kinds.select("k0", "k1", "n", "bits")
-    other = own.toDF("b0", "b1", "nb", "bits_b")
-    spokes = members.select("k0", F.col("p0").alias("b0")).distinct()
-    pairs = spokes.join(own, "k0").join(other, "b0").where(within(percent))
+    made = stored(columns(df, text, k, percent, common), "columns")
+    entries = made.where("shingle is not null").select("shingle", "o")
+    thick = entries.groupBy("shingle").agg(F.max("o").alias("p"), F.min("o").alias("q"), F.count("*").alias("m")).where("p > q").select("shingle", "p", "m")
+    members = stored(entries.join(thick, "shingle").where("o <> p").distinct(), "members")
+    own = stored(kinds.select("k0", "k1", "n", "bits").join(made.where("shingle is null").select("k0", "k1", "o").distinct(), ["k0", "k1"]).select("o", "k0", "k1", "n", "bits"), "ordered")
+    forget(made)
+    other = own.toDF("p", "b0", "b1", "nb", "bits_b")
+    spokes = members.select("o", "p").distinct()
+    pairs = spokes.join(own, "o").join(other, "p").where(within(percent))
     pairs = stored(pairs.select(F.col("k0").alias("a0"), F.col("k1").alias("a1"), "b0", "b1"), "pairs")
     edges = linked(df, text, k, percent, pairs).select(node("a0", "a1").alias("a"), node("b0", "b1").alias("b"))
     parts = connected_components(edges)
 
-    named = own.withColumn("node", node("k0", "k1")).join(parts, "node", "left").select("k0", "k1", "n", "bits", F.xxhash64(F.coalesce("component", "node")).alias("c"))
-    placed = members.where("m > 2").select("shingle", "k0").join(named.select("k0", "c"), "k0")
+    named = own.withColumn("node", node("k0", "k1")).join(parts, "node", "left").select("o", "k0", "k1", "n", "bits", F.xxhash64(F.coalesce("component", "node")).alias("c"))
+    placed = members.where("m > 2").select("shingle", "o").join(named.select("o", "c"), "o")
     mixed = placed.groupBy("shingle").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("shingle")
-    open_ = stored(placed.join(mixed, "shingle", "left_semi").select("shingle", "k0").distinct().join(named, "k0"), "open")
-    forget(members)
-    other = open_.toDF("b0", "shingle", "b1", "nb", "bits_b", "c_b")
+    open_ = stored(placed.join(mixed, "shingle", "left_semi").select("shingle", "o").distinct().join(named, "o").select("shingle", "k0", "k1", "n", "bits", "c"), "open")
+    forget(members, own)
+    other = open_.toDF("shingle", "b0", "b1", "nb", "bits_b", "c_b")
     more = open_.join(other, (open_["shingle"] == other["shingle"]) & (F.col("c") < F.col("c_b")) & within(percent))
     more = more.select(F.col("k0").alias("a0"), F.col("k1").alias("a1"), "b0", "b1").distinct()
     tried = pairs.union(pairs.select("b0", "b1", "a0", "a1"))
@@ -293,8 +306,7 @@ def op8_jaccard_components(spark, sf_dir) -> DataFrame:
 
 OP8_SQL = r"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
-]+'), x -> x <> '') AS w FROM documents),
+  SELECT doc_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS w FROM documents),
 s AS (
   SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS g
   FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
