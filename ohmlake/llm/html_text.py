@@ -46,6 +46,8 @@ MARKS = frozenset(
     "newsletter subscribe subscription signup login nav navbar navigation navi menu submenu breadcrumb breadcrumbs sidebar sidenav footer masthead topbar toolbar "
     "related recommended share sharing social pagination pager widget disqus respond reply replies discussion skip".split()
 )
+#: Those of them that mark other texts, which may be articles by their elements.
+OTHERS = frozenset("related recommended disqus respond reply replies discussion".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 
 _TOKEN = re.compile(
@@ -58,22 +60,25 @@ _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden
 _SPLIT = re.compile(r"[\s_\-:]+")
 
 
-def set_apart(name: str, attrs: str, in_article: bool) -> bool:
-    """Whether an element is no part of the article."""
+def set_apart(name: str, attrs: str, in_article: bool) -> int:
+    """Whether an element is no part of the article: 2 for sure, 1 unless an article stands inside it, else 0."""
     if name in APART or name == "header" and not in_article:
-        return True
-    if name not in CONTAINERS or not attrs.strip():
-        return False
-    if _HIDDEN.search(attrs):
-        return True
+        return 2
+    if name not in CONTAINERS and name != "article" or not attrs.strip():
+        return 0
+    said = 2 if name != "article" and _HIDDEN.search(attrs) else 0
     for key, value in _ATTR.findall(attrs):
         found = _SPLIT.split(value.strip("\"'").lower())
+        if key.lower() != "role" and (not OTHERS.isdisjoint(found) or any(x.startswith("comment") for x in found)):
+            return 2
+        if name == "article":
+            continue
         if key.lower() == "role":
             if not ROLES.isdisjoint(found):
-                return True
-        elif not MARKS.isdisjoint(found) or any(x.startswith("comment") for x in found) or not in_article and "header" in found:
-            return True
-    return False
+                return 2
+        elif not MARKS.isdisjoint(found) or not in_article and "header" in found:
+            said = said or 1  # a word in the class of a wrapper may be about its layout
+    return said
 
 
 def lines_of(page: str) -> tuple[list[str], list[int], list[bool]]:
@@ -89,6 +94,7 @@ def lines_of(page: str) -> tuple[list[str], list[int], list[bool]]:
     article = 0  # open article and main elements
     skip, depth = "", 0  # element that is skipped, and how many of its name are open
     opened = False  # whether the skipped element is never closed
+    sure = 0  # what set_apart says of it
     in_link = False
 
     def flush() -> None:
@@ -119,7 +125,7 @@ def lines_of(page: str) -> tuple[list[str], list[int], list[bool]]:
             continue
         name, end = name.lower(), bool(m["end"])
         if skip:
-            if opened and not end and name in ("article", "main", "h1", "section", "p"):
+            if not end and (opened and name in ("article", "main", "h1", "section", "p") or sure == 1 and name in ("article", "main")):
                 skip = ""
             else:
                 if name == skip:
@@ -140,7 +146,7 @@ def lines_of(page: str) -> tuple[list[str], list[int], list[bool]]:
             elif name in ("td", "th"):
                 run.append(" ")
             continue
-        if set_apart(name, m["attrs"], article > 0):
+        if sure := set_apart(name, m["attrs"], article > 0):
             if name not in VOID and not m["attrs"].endswith("/"):
                 if name in BLOCKS:
                     flush()

@@ -16,6 +16,12 @@ def test_marked_article():
     assert main_text(PAGE).split("\n") == ["Head &amp; tail", "Onetwo three four five", "Six <b> éé", "item 1", "item 2", "a b", "."]
 
 
+def test_wrappers_and_comment_articles():
+    page = '<div class="page has sidebar"><div class="sidebar">side</div><main><h1>T</h1><p>body</p></main></div><section id="comments"><article class="comment">c</article></section><div class="related"><article>r</article></div>'
+    assert main_text(page) == "T\nbody"
+    assert main_text('<article>a</article><article class="comment-body">c</article>') == "a"
+
+
 def test_unmarked_page_by_distribution():
     long = "Some long sentence of a real paragraph that goes on and on. " * 3
     page = f"<body><div><a href=x>Home</a></div><div><a href=y>About us</a></div><div><p>{long}</p><p>Short.</p><p>{long}</p></div><div><a>One</a></div><div><a>Two</a></div><div><a>Three</a></div></body>"
