@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import read, texts, with_columns
 
 #: Distinct matches that a task remembers; then it forgets all and starts again.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 NEVER = 1 << 62
 SHIFT = 32
 LOW = (1 << SHIFT) - 1
@@ -107,13 +107,27 @@ def splitter(pattern: str) -> regex.Pattern:
     return regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
 
 
+def _encoder(path: str, pattern: str) -> Callable[[str], bytes]:
+    memory, find = Memory(load_ranks(path)), splitter(pattern).findall
+    one = memory.__getitem__
+    return lambda text: b"".join(map(one, find(text)))
+
+
+def _decoder(path: str) -> Callable[[bytes], bytes]:
+    ranks = load_ranks(path)
+    table = [b""] * (max(ranks.values(), default=-1) + 1)
+    for part, rank in ranks.items():
+        table[rank] = part
+    one = table.__getitem__
+    return lambda ids: b"".join(map(one, array("I", ids)))
+
+
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", drop_text: bool = False) -> DataFrame:
     """df with a binary column of ids."""
 
     def make() -> Callable:
-        memory, find = Memory(load_ranks(path)), splitter(pattern).findall
-        one = memory.__getitem__
-        return lambda column: [[b"".join(map(one, find(t))) for t in texts(column).to_pylist()]]
+        encoded = _encoder(path, pattern)
+        return lambda column: [[encoded(t) for t in texts(column).to_pylist()]]
 
     return with_columns(df, text, [(ids, "binary")], make, drop_text)
 
@@ -122,18 +136,25 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded", dro
     """df with the bytes that its ids stand for, as a binary column; null ids are no ids."""
 
     def make() -> Callable:
-        ranks = load_ranks(path)
-        table = [b""] * (max(ranks.values()) + 1)
-        for part, rank in ranks.items():
-            table[rank] = part
-        one = table.__getitem__
+        decoded = _decoder(path)
+        return lambda column: [[decoded(x or b"") for x in column.to_pylist()]]
+
+    return with_columns(df, ids, [(out, "binary")], make, drop_ids)
+
+
+def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", out: str = "decoded", drop_text: bool = False) -> DataFrame:
+    """df with its ids and with the bytes that these decode to: encode and decode in one pass and one worker."""
+
+    def make() -> Callable:
+        encoded, decoded = _encoder(path, pattern), _decoder(path)
 
         def work(column):
-            return [[b"".join(map(one, array("I", x))) if x else b"" for x in column.to_pylist()]]
+            found = [encoded(t) for t in texts(column).to_pylist()]
+            return [found, [decoded(x) for x in found]]
 
         return work
 
-    return with_columns(df, ids, [(out, "binary")], make, drop_ids)
+    return with_columns(df, text, [(ids, "binary"), (out, "binary")], make, drop_text)
 
 
 def op1_byte_bpe(spark, sf_dir) -> DataFrame:
@@ -142,7 +163,7 @@ def op1_byte_bpe(spark, sf_dir) -> DataFrame:
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = decode(encode(docs, path, public_tokenizers.PATTERN, drop_text=True), path)
+    coded = round_trip(docs, path, public_tokenizers.PATTERN, drop_text=True)
     return coded.select(
         "doc_id",
         (F.length("ids") / 4).cast("long").alias("n_tokens"),

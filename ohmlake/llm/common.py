@@ -23,7 +23,16 @@ from pyspark.sql.types import DataType, StructField, StructType, _parse_datatype
 from ohmlake.plans.storage import forget, shared_folder, stored  # noqa: F401
 
 #: Text that one step of numpy work takes at once; a longer single text makes a step of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: Rows that the JVM hands to Python at once, where the session has only Spark's default: texts are long rows.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower Arrow's batch size from Spark's default, so that a batch of texts and its results stay a few MB."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, BATCH_ROWS)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -57,6 +66,7 @@ def with_columns(df: DataFrame, text: str, fields: list[tuple[str, str]], make:
 
     make() runs once a task and returns a function from a text column to one array per field.
     """
+    small_batches(df.sparkSession)
     names = [n for n, _ in fields]
     added = [StructField(n, _parse_datatype_string(t)) for n, t in fields]
     kinds = [arrow_type(f.dataType) for f in added]
@@ -71,6 +81,8 @@ def with_columns(df: DataFrame, text: str, fields: list[tuple[str, str]], make:
             old = [c for i, c in enumerate(batch.columns) if not (drop_text and i == place)]
             new = [x if isinstance(x, pa.Array) else pa.array(x, kind) for x, kind in zip(out, kinds)]
             yield pa.RecordBatch.from_arrays(old + new, names=[f.name for f in kept] + names)
+        del work
+        pa.default_memory_pool().release_unused()  # the worker may idle for long
 
     return base.mapInArrow(run, StructType(kept + added))
 

@@ -23,7 +23,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import crc_mod, per_doc, read, slices, with_columns
+from .common import crc_mod, per_doc, read, slices, small_batches, with_columns
 
 BITS = 15
 BUCKETS = 1 << BITS
@@ -187,6 +187,7 @@ def fit(df: DataFrame, text: str, label: str, key: Column, plan: Plan = Plan())
     calibration logits, all of bounded size.
     """
     spark = df.sparkSession
+    small_batches(spark)
     train = df.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(text, label, F.xxhash64(key).alias("key"))
     n, seen = frequencies(train, text)
     if not n:

@@ -10,6 +10,9 @@ import xxhash
 
 from .common import slices
 
+#: Distinct words whose hashes a task remembers.
+REMEMBERED = 250_000
+
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -17,7 +20,7 @@ class Hashes(dict):
     """64-bit hashes of words; what is asked for the first time is hashed."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > REMEMBERED:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h

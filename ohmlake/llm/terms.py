@@ -14,7 +14,7 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import texts
+from .common import small_batches, texts
 
 #: Terms that are broadcast at most.
 HOT = 1 << 18
@@ -24,6 +24,7 @@ FLUSH = 400_000
 
 def count_terms(df: DataFrame, text: str, split: Callable[[str], list[str]], flag: Column | None = None) -> DataFrame:
     """(term, n, n_flag): how often each term stands in the texts, and in those where flag is true."""
+    small_batches(df.sparkSession)
     flag = F.lit(False) if flag is None else F.coalesce(flag, F.lit(False))
 
     def run(batches):
@@ -68,6 +69,7 @@ def term_sums(df: DataFrame, ids: list[str], text: str, split: Callable[[str], l
     values: (term, n, *columns), a stored table with every term. Columns other than ids are not kept,
     so none can clash. Rows that repeat in ids and text each get a row.
     """
+    small_batches(df.sparkSession)
     step = F.floor(F.log2("n") * 4)
     least = head(values, hot)
     known = {r[0]: tuple(r[1:]) for r in values.where(step >= least).select("term", *columns).collect()}

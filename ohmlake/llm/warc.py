@@ -32,7 +32,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import read as read_table, stored
+from .common import read as read_table, small_batches, stored
 
 #: Payload bytes from which equal ones are not stored twice.
 LEAST = 100
@@ -238,6 +238,7 @@ def response_of(records: DataFrame) -> DataFrame:
 
 def write(pages: DataFrame, id_: str, url: str, payload: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """(archive binary) packed from the rows of pages; the caller stores them. Other columns are left out."""
+    small_batches(pages.sparkSession)
     body = F.encode(F.coalesce(F.col(payload).cast("string"), F.lit("")), "utf-8")
     rows = pages.select(F.col(id_).alias("id"), F.col(url).cast("string").alias("url"), body.alias("payload"))
     rows = response_of(rows.withColumns({"digest": F.sha2("payload", 256), "size": F.length("payload").cast("long")}))

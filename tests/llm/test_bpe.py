@@ -32,6 +32,8 @@ def test_round_trip_and_odd_cases(spark):
     for r in got:
         assert of(bytes(r.ids)) == LIBRARY.encode_ordinary(r.text or "")
         assert bytes(r.decoded) == (r.text or "").encode()
+    both = bpe.round_trip(df, PATH, P.PATTERN).collect()
+    assert sorted(map(str, both)) == sorted(map(str, got))
     assert bpe.encode(df.limit(0), PATH, P.PATTERN).count() == 0
 
 
