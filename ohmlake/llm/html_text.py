@@ -5,8 +5,9 @@ What the markup itself calls something other than the article (nav, footer, form
 with a class, id or role such as "ad", "menu" or "comments", ...) gives no lines. Over the others,
 text lengths are summed in windows of WINDOW lines, less the text of links: text surges where that
 sum first passes a threshold and dives where it next falls to nothing. The stretch with the most
-text is kept whole. On a page that marks its article (article, main), the surge and dive points
-are that element's ends: lengths alone would cut off short paragraphs there.
+text is kept whole, on every page. What a page marks as its article (article, main) is kept to that
+element's ends besides: lengths alone would cut off short paragraphs there. A page without a surge
+gives its marked lines, or all lines if it marks none.
 
 A null, empty or text-less page has an empty text. Character references are decoded, white space
 within a block becomes one space, blocks are joined by a newline; nothing else is dropped or capped.
@@ -168,13 +169,11 @@ def lines_of(page: str) -> tuple[list[str], list[int], list[bool]]:
 
 
 def stretch(lengths: np.ndarray, window: int = WINDOW, surge: int = SURGE) -> tuple[int, int]:
-    """First line and line after the last of the stretch between surge and dive that has the most text."""
+    """First line and line after the last of the stretch between surge and dive that has the most text; none is 0, 0."""
     n = len(lengths)
-    if not n:
-        return 0, 0
     total = np.concatenate([[0], np.cumsum(lengths)])
     sums = total[np.minimum(np.arange(n) + window, n)] - total[:n]
-    best, a = (0, n, -1), None
+    best, a = (0, 0, -1), None
     for i in range(n + 1):
         if a is None and i < n and sums[i] >= surge and lengths[i] > 0:
             a = i
@@ -187,11 +186,11 @@ def stretch(lengths: np.ndarray, window: int = WINDOW, surge: int = SURGE) -> tu
 
 def main_text(page: str) -> str:
     lines, linked, marked = lines_of(page)
-    if any(marked):
-        return "\n".join(x for x, own in zip(lines, marked) if own)
     lengths = np.array([max(0, len(x) - k) for x, k in zip(lines, linked)], np.int64)
     a, b = stretch(lengths)
-    return "\n".join(lines[a:b])
+    if a == b and not any(marked):
+        return "\n".join(lines)
+    return "\n".join(x for i, (x, own) in enumerate(zip(lines, marked)) if own or a <= i < b)
 
 
 def extract(df: DataFrame, html: str = "html", drop_html: bool = False) -> DataFrame:

@@ -28,6 +28,13 @@ def test_unmarked_page_by_distribution():
     assert main_text(page) == "\n".join([long.strip(), "Short.", long.strip()])
 
 
+def test_main_text_beside_a_small_article():
+    long = "Some long sentence of a real paragraph that goes on and on. " * 3
+    page = f"<body><div><p>{long}</p><p>Short.</p><p>{long}</p></div><div><a>One</a></div><div><a>Two</a></div><div><a>Three</a></div><article><p>Teaser</p></article></body>"
+    assert main_text(page) == "\n".join([long.strip(), "Short.", long.strip(), "Teaser"])
+    assert main_text(f"<article><p>{long}</p><p>{long}</p></article><p><a>One</a><p><a>Two</a><p><a>Three</a><p>by x") == "\n".join([long.strip()] * 2)
+
+
 def test_odd_pages(spark):
     odd = ["", None, "plain words only", "<", "<p", "<article>a", "<article><p>x<script>never closed", "<nav>never closed<article><p>body</p></article>", "<article>" + "<p>w</p>" * 3000, "<a b='c>\"" * 2000, "<!-- open", "x" * 100_000, "<article><div class=ad>left open<p>text</article>tail"]
     df = spark.createDataFrame(list(enumerate(odd)) + [(5, "<article>a")], "page_id long, html string").selectExpr("*", "1 as n_chars", "2 as main_text")
