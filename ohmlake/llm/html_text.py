@@ -2,7 +2,9 @@
 
 Markup is stripped in one pass that turns a page into lines, one for each block-level element.
 What the markup itself calls something other than the article (nav, footer, form, script, elements
-with a class, id or role such as "ad", "menu" or "comments", ...) gives no lines. Over the others,
+with a class, id or role such as "ad", "menu" or "comments", ...) gives no lines. Inside an article only whole
+names such as "related-posts" do so, on containers; a container with a lesser hint, or with one in its id
+anywhere, stays unless most of its text is links. Headings and paragraphs are never judged by ids. Over the others,
 text lengths are summed in windows of WINDOW lines, less the text of links: text surges where that
 sum first passes a threshold and dives where it next falls to nothing. The stretch with the most
 text is kept whole, on every page. What a page marks as its article (article, main) is kept to that
@@ -40,6 +42,9 @@ BLOCKS = frozenset(
 )
 #: Elements that the rules about class, id and role hold for.
 CONTAINERS = BLOCKS - frozenset("html body article main h1".split()) | {"span"}
+#: Those of them that hold other elements, and those whose ids are made from headings or are their own.
+HOLDERS = frozenset("div section aside ul ol span".split())
+TEXTS = frozenset("h2 h3 h4 h5 h6 p pre blockquote li dt dd".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Words in a class or id that mark what is no part of an article.
 MARKS = frozenset(
@@ -49,6 +54,17 @@ MARKS = frozenset(
 )
 #: Those of them that mark other texts, which may be articles by their elements.
 OTHERS = frozenset("related recommended disqus respond reply replies discussion".split())
+#: Whole tokens of a class that leave no doubt, and those of them that no heading makes an id of.
+WHOLE = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense sponsored promo sidebar navbar breadcrumb breadcrumbs pagination pager comments commentlist respond newsletter".split()
+)
+WHOLE_IDS = frozenset(
+    "adsbygoogle related-posts related-articles related-stories related-content recommended-posts recommended-articles share-buttons share-bar share-links sharing-buttons "
+    "social-share social-buttons social-icons sharedaddy addtoany comment-list comments-area comments-section comment-section comment-respond comment-body disqus_thread "
+    "newsletter-signup newsletter-form signup-form subscribe-form cookie-notice cookie-banner cookie-consent ad-slot ad-container ad-wrapper".split()
+)
+#: Words that headings have as well as layouts: in an id they only raise a doubt.
+DOUBTFUL = OTHERS | frozenset("cookie cookies consent gdpr notice popup modal overlay sponsor sponsored promo promotion newsletter subscribe subscription signup login share sharing social pagination skip advertising advertisement ad ads menu navigation banner widget".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 
 _TOKEN = re.compile(
@@ -58,27 +74,44 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+_COMMENT = re.compile(r"(?:div-)?comments?(?:[-_](?:list|body|item|thread|content|area|section|wrapper|container|form|text|box|block|[0-9]+))?|commentlist")
 _SPLIT = re.compile(r"[\s_\-:]+")
 
 
 def set_apart(name: str, attrs: str, in_article: bool) -> int:
-    """Whether an element is no part of the article: 2 for sure, 1 unless an article stands inside it, else 0."""
+    """Whether an element is no part of the article: 2 for sure, 1 unless an article stands inside it, 3 if most of its text is links, else 0."""
     if name in APART or name == "header" and not in_article:
         return 2
     if name not in CONTAINERS and name != "article" or not attrs.strip():
         return 0
     said = 2 if name != "article" and _HIDDEN.search(attrs) else 0
     for key, value in _ATTR.findall(attrs):
-        found = _SPLIT.split(value.strip("\"'").lower())
-        if key.lower() != "role" and (not OTHERS.isdisjoint(found) or any(x.startswith("comment") for x in found)):
-            return 2
-        if name == "article":
+        key, value = key.lower(), value.strip("\"'").lower()
+        whole, found = value.split(), _SPLIT.split(value)
+        if key == "role":
+            if name != "article" and not ROLES.isdisjoint(found):
+                return 2
             continue
-        if key.lower() == "role":
-            if not ROLES.isdisjoint(found):
+        if name == "article":  # its class may have the article's own topics, its id the article's title
+            if any(_COMMENT.fullmatch(x) or key == "class" and (x in OTHERS or x in WHOLE_IDS) for x in whole):
                 return 2
-        elif not MARKS.isdisjoint(found) or not in_article and "header" in found:
-            said = said or 1  # a word in the class of a wrapper may be about its layout
+            continue
+        if name in TEXTS and (in_article or key == "id") or in_article and name not in HOLDERS:
+            continue
+        if (in_article or name in TEXTS or key == "id") and (not WHOLE_IDS.isdisjoint(whole) or key == "class" and not WHOLE.isdisjoint(whole)):
+            return 2
+        if name in TEXTS:
+            continue
+        other = not OTHERS.isdisjoint(found) or "comment" in found or "comments" in found
+        if key == "id" and "comments" in whole and (name == "div" or not in_article):
+            return 2
+        if in_article or key == "id" and (other or name == "section" or not DOUBTFUL.isdisjoint(found)):
+            if name != "span" and (other or not MARKS.isdisjoint(found)):
+                said = said or 3
+        elif other:
+            return 2
+        elif not MARKS.isdisjoint(found) or "header" in found:
+            said = 1 if said != 2 else 2  # a word in the class of a wrapper may be about its layout
     return said
 
 
@@ -97,6 +130,14 @@ def lines_of(page: str) -> tuple[list[str], list[int], list[bool]]:
     opened = False  # whether the skipped element is never closed
     sure = 0  # what set_apart says of it
     in_link = False
+    doubted: list[list] = []  # open elements in doubt: name, how many of it are open, its first line
+
+    def decide(to: int) -> None:
+        """Close the elements in doubt from ``to`` on; their lines go if most of the text is links."""
+        while len(doubted) > to:
+            first = doubted.pop()[2]
+            if 2 * sum(linked[first:]) > sum(map(len, lines[first:])):
+                del lines[first:], linked[first:], marked[first:]
 
     def flush() -> None:
         nonlocal links
@@ -144,10 +185,15 @@ def lines_of(page: str) -> tuple[list[str], list[int], list[bool]]:
                 flush()
                 if name in ("article", "main") and article:
                     article -= 1
+                    doubted.clear()  # those that are open still have no end
+                elif doubted and name == doubted[-1][0]:
+                    doubted[-1][1] -= 1
+                    if not doubted[-1][1]:
+                        decide(len(doubted) - 1)
             elif name in ("td", "th"):
                 run.append(" ")
             continue
-        if sure := set_apart(name, m["attrs"], article > 0):
+        if (sure := set_apart(name, m["attrs"], article > 0)) in (1, 2):
             if name not in VOID and not m["attrs"].endswith("/"):
                 if name in BLOCKS:
                     flush()
@@ -160,6 +206,11 @@ def lines_of(page: str) -> tuple[list[str], list[int], list[bool]]:
             flush()
             if name in ("article", "main"):
                 article += 1
+                doubted.clear()
+            elif sure == 3:
+                doubted.append([name, 1, len(lines)])
+            elif doubted and name == doubted[-1][0]:
+                doubted[-1][1] += 1
         elif name in ("br", "td", "th"):
             run.append(" ")
     if not skip:

@@ -35,6 +35,15 @@ def test_main_text_beside_a_small_article():
     assert main_text(f"<article><p>{long}</p><p>{long}</p></article><p><a>One</a><p><a>Two</a><p><a>Three</a><p>by x") == "\n".join([long.strip()] * 2)
 
 
+def test_ids_made_from_headings():
+    page = """<article><h2 id="related-work">A</h2><section id="discussion"><h3 id="how-to-share-files">B</h3><p id="cookies">C</p></section><div id="social-impact" class="section">D</div>
+    <section id="commentary">E</section><p class="notice">F</p><ul class="share-buttons"><li>no</ul><div class="related-posts">no</div><div class="social bar"><a>no</a> <a>nor</a></div><div class="promotion big">G<div>H</div></div>
+    <section id="comments">I</section></article>"""
+    assert main_text(page) == "\n".join("ABCDEFGHI")
+    assert main_text('<article class="post category-commentary tag-social" id="related-work">a</article><article id="comment-12">c</article>') == "a"
+    assert main_text('<div><h2 class="section-header" id="discussion">A</h2><div id="related-work"><p>B</p><div id="menu"><a>no</a></div></div></div><div id="sidebar">no</div>') == "A\nB"
+
+
 def test_odd_pages(spark):
     odd = ["", None, "plain words only", "<", "<p", "<article>a", "<article><p>x<script>never closed", "<nav>never closed<article><p>body</p></article>", "<article>" + "<p>w</p>" * 3000, "<a b='c>\"" * 2000, "<!-- open", "x" * 100_000, "<article><div class=ad>left open<p>text</article>tail"]
     df = spark.createDataFrame(list(enumerate(odd)) + [(5, "<article>a")], "page_id long, html string").selectExpr("*", "1 as n_chars", "2 as main_text")
