@@ -6,8 +6,9 @@ with a class, id or role such as "ad", "menu" or "comments", ...) gives no lines
 names such as "related-posts" do so, on containers; a container with a lesser hint, or with one in its id
 anywhere, stays unless most of its text is links. Headings and paragraphs are never judged by ids. Over the others,
 text lengths are summed in windows of WINDOW lines, less the text of links: text surges where that
-sum first passes a threshold and dives where it next falls to nothing. The stretch with the most
-text is kept whole, on every page. What a page marks as its article (article, main) is kept to that
+sum first passes a threshold and dives where it next falls to nothing. Every such stretch is kept
+whole, on every page; so are lines between two of them if all stand directly in one div or section,
+as a list of links in the middle of an article does. What a page marks as its article (article, main) is kept to that
 element's ends besides: lengths alone would cut off short paragraphs there. A page without a surge
 gives its marked lines, or all lines if it marks none.
 
@@ -42,7 +43,9 @@ BLOCKS = frozenset(
 )
 #: Elements that the rules about class, id and role hold for.
 CONTAINERS = BLOCKS - frozenset("html body article main h1".split()) | {"span"}
-#: Those of them that hold other elements, and those whose ids are made from headings or are their own.
+#: Elements whose own lines stand together.
+BOXES = frozenset("div section article main".split())
+#: Containers that hold other elements, and those whose ids are made from headings or are their own.
 HOLDERS = frozenset("div section aside ul ol span".split())
 TEXTS = frozenset("h2 h3 h4 h5 h6 p pre blockquote li dt dd".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -115,11 +118,14 @@ def set_apart(name: str, attrs: str, in_article: bool) -> int:
     return said
 
 
-def lines_of(page: str) -> tuple[list[str], list[int], list[bool]]:
-    """Lines of a page, characters of each inside links, and whether it is inside a marked article."""
+def lines_of(page: str) -> tuple[list[str], list[int], list[bool], list[int]]:
+    """Lines of a page, characters of each inside links, whether it is inside a marked article, and its innermost div or section."""
     lines: list[str] = []
     linked: list[int] = []
     marked: list[bool] = []
+    boxes: list[int] = []
+    open_: list[tuple[str, int]] = []  # open divs, sections and articles, numbered as they begin
+    n_open = 0
     run: list[str] = []
     low = page.lower()
     if len(low) != len(page):  # some capital letters grow
@@ -137,7 +143,7 @@ def lines_of(page: str) -> tuple[list[str], list[int], list[bool]]:
         while len(doubted) > to:
             first = doubted.pop()[2]
             if 2 * sum(linked[first:]) > sum(map(len, lines[first:])):
-                del lines[first:], linked[first:], marked[first:]
+                del lines[first:], linked[first:], marked[first:], boxes[first:]
 
     def flush() -> None:
         nonlocal links
@@ -147,6 +153,7 @@ def lines_of(page: str) -> tuple[list[str], list[int], list[bool]]:
                 lines.append(line)
                 linked.append(links)
                 marked.append(article > 0)
+                boxes.append(open_[-1][1] if open_ else 0)
             run.clear()
         links = 0
 
@@ -183,6 +190,11 @@ def lines_of(page: str) -> tuple[list[str], list[int], list[bool]]:
                 in_link = False
             elif name in BLOCKS:
                 flush()
+                if name in BOXES:
+                    for i in range(len(open_) - 1, -1, -1):
+                        if open_[i][0] == name:
+                            del open_[i:]
+                            break
                 if name in ("article", "main") and article:
                     article -= 1
                     doubted.clear()  # those that are open still have no end
@@ -204,6 +216,9 @@ def lines_of(page: str) -> tuple[list[str], list[int], list[bool]]:
             in_link = True
         elif name in BLOCKS:
             flush()
+            if name in BOXES:
+                n_open += 1
+                open_.append((name, n_open))
             if name in ("article", "main"):
                 article += 1
                 doubted.clear()
@@ -216,32 +231,36 @@ def lines_of(page: str) -> tuple[list[str], list[int], list[bool]]:
     if not skip:
         add(page[at:])
     flush()
-    return lines, linked, marked
+    return lines, linked, marked, boxes
 
 
-def stretch(lengths: np.ndarray, window: int = WINDOW, surge: int = SURGE) -> tuple[int, int]:
-    """First line and line after the last of the stretch between surge and dive that has the most text; none is 0, 0."""
+def stretches(lengths: np.ndarray, window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
+    """First line and line after the last of each stretch between surge and dive."""
     n = len(lengths)
     total = np.concatenate([[0], np.cumsum(lengths)])
-    sums = total[np.minimum(np.arange(n) + window, n)] - total[:n]
-    best, a = (0, 0, -1), None
+    sums = (total[np.minimum(np.arange(n) + window, n)] - total[:n]).tolist()
+    out, a = [], None
     for i in range(n + 1):
         if a is None and i < n and sums[i] >= surge and lengths[i] > 0:
             a = i
         elif a is not None and (i == n or sums[i] == 0):
-            if total[i] - total[a] > best[2]:
-                best = (a, i, int(total[i] - total[a]))
+            out.append((a, i))
             a = None
-    return best[:2]
+    return out
 
 
 def main_text(page: str) -> str:
-    lines, linked, marked = lines_of(page)
-    lengths = np.array([max(0, len(x) - k) for x, k in zip(lines, linked)], np.int64)
-    a, b = stretch(lengths)
-    if a == b and not any(marked):
+    lines, linked, marked, boxes = lines_of(page)
+    found = stretches(np.array([max(0, len(x) - k) for x, k in zip(lines, linked)], np.int64))
+    if not found and not any(marked):
         return "\n".join(lines)
-    return "\n".join(x for i, (x, own) in enumerate(zip(lines, marked)) if own or a <= i < b)
+    keep = np.array(marked, bool)
+    for a, b in found:
+        keep[a:b] = True
+    for (_, a), (b, _) in zip(found, found[1:]):
+        if len(set(boxes[a - 1 : b + 1])) == 1:  # all in one element, links between as well
+            keep[a:b] = True
+    return "\n".join(x for x, own in zip(lines, keep) if own)
 
 
 def extract(df: DataFrame, html: str = "html", drop_html: bool = False) -> DataFrame:

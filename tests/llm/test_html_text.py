@@ -44,6 +44,16 @@ def test_ids_made_from_headings():
     assert main_text('<div><h2 class="section-header" id="discussion">A</h2><div id="related-work"><p>B</p><div id="menu"><a>no</a></div></div></div><div id="sidebar">no</div>') == "A\nB"
 
 
+def test_links_in_the_middle_of_an_unmarked_article():
+    long = "Some long sentence of a real paragraph that goes on and on. " * 3
+    refs = "<ul><li><a>One</a><li><a>Two</a><li><a>Three</a><li><a>Four</a></ul>"
+    for menu in ("", f"<div>{refs}</div>"):
+        page = f"<body>{menu}<div><p>{long}</p>{refs}<p>{long}</p><p>End.</p></div>{menu}</body>"
+        assert main_text(page) == "\n".join([long.strip(), "One", "Two", "Three", "Four", long.strip(), "End."])
+    boxes = f"<div><p>{long}</p></div><div>{refs}</div><div><p>{long}</p></div>"
+    assert main_text(boxes) == "\n".join([long.strip()] * 2)
+
+
 def test_odd_pages(spark):
     odd = ["", None, "plain words only", "<", "<p", "<article>a", "<article><p>x<script>never closed", "<nav>never closed<article><p>body</p></article>", "<article>" + "<p>w</p>" * 3000, "<a b='c>\"" * 2000, "<!-- open", "x" * 100_000, "<article><div class=ad>left open<p>text</article>tail"]
     df = spark.createDataFrame(list(enumerate(odd)) + [(5, "<article>a")], "page_id long, html string").selectExpr("*", "1 as n_chars", "2 as main_text")
