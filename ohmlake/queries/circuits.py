@@ -207,6 +207,12 @@ def _(spark, d):
     return found.select("schematic_id", "n_components", "n_nets", F.array_join("functional_groups", ",").alias("functional_groups"), F.array_join("power_rails", ",").alias("power_rails"))
 
 
+def retrieved(spark, d) -> DataFrame:
+    c = C.component_records(properties(comps(spark, d)))
+    n = typed_nets(spark, d)
+    return C.retrieval_documents(C.analysis(titled(spark, d), comps(spark, d), n), c, C.functional_groups(c), n)
+
+
 @query("cir12_retrieval_documents", """
 SELECT schematic_id, 'functional_group' AS type, name AS key, 'Functional Group: ' || name || chr(10) || 'Function: ' || CASE name WHEN 'Power Management' THEN 'power_regulation' WHEN 'USB Interface' THEN 'usb_interface' WHEN 'I2C Interface' THEN 'i2c_interface' WHEN 'Protection Circuits' THEN 'esd_protection' WHEN 'Buffer/Driver Circuits' THEN 'signal_buffering' ELSE 'led_driving' END
   || chr(10) || 'Description: ' || CASE name WHEN 'Power Management' THEN 'Voltage regulation and power distribution' WHEN 'USB Interface' THEN 'USB communication interface' WHEN 'I2C Interface' THEN 'I2C/Qwiic communication interface' WHEN 'Protection Circuits' THEN 'ESD and overvoltage protection' WHEN 'Buffer/Driver Circuits' THEN 'Signal buffering and level conversion' ELSE 'LED current limiting and control' END
@@ -214,9 +220,12 @@ SELECT schematic_id, 'functional_group' AS type, name AS key, 'Functional Group:
 UNION ALL SELECT t.schematic_id, 'network', t.name, 'Network: ' || t.name || chr(10) || 'Type: ' || t.net_type || chr(10) || 'Connected Components: ' || string_agg(p.reference, ', ' ORDER BY p.pos, p.partkey, p.reference)
   FROM net_types t JOIN net_pins p ON t.schematic_id = p.schematic_id AND t.net_no = p.net_no GROUP BY t.schematic_id, t.name, t.net_type, t.net_no HAVING count(*) > 1""")
 def _(spark, d):
-    c = C.component_records(properties(comps(spark, d)))
-    n = typed_nets(spark, d)
-    return C.retrieval_documents(C.analysis(titled(spark, d), comps(spark, d), n), c, C.functional_groups(c), n).where("type in ('functional_group', 'network')")
+    return retrieved(spark, d).where("type in ('functional_group', 'network')")
+
+
+@query("cir12_all_documents")
+def _(spark, d):
+    return retrieved(spark, d)
 
 
 # ---------------------------------------------------------------- links

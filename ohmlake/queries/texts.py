@@ -148,7 +148,7 @@ def _(spark, d):
 
 @query("dtx4_parenthetical_pins", "SELECT source_file, 'SCL' AS pin_name, '(SCK) clock signal with high level ' || (k % 4 + 1) || '.' AS description, 'CLOCK' AS pin_type FROM sheets")
 def _(spark, d):
-    return D.parenthetical_pins(sheets(spark, d)).where("pin_name = 'SCL'").select("source_file", "pin_name", "description", "pin_type")
+    return D.parenthetical_pins(sheets(spark, d)).select("source_file", "pin_name", "description", "pin_type")
 
 
 @query("dtx5_pin_types", "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'POWER' WHEN 1 THEN 'GROUND' WHEN 2 THEN 'DATA' WHEN 3 THEN 'RESET' WHEN 4 THEN 'BIDIRECTIONAL' ELSE 'GENERAL' END AS kind FROM part")
@@ -182,7 +182,7 @@ def _(spark, d):
 
 @query("dtx8_unique_pins", "SELECT source_file, pin_name, min(src)::INTEGER AS src_rank FROM (SELECT source_file, unnest(['VCC', 'SHD']) AS pin_name, 0 AS src FROM sheets UNION ALL SELECT source_file, 'SCL', 1 FROM sheets UNION ALL SELECT source_file, CASE r WHEN 1 THEN 'TX' ELSE 'RX' END, 3 FROM sheets, (SELECT unnest([0, 1]) AS r) WHERE k % 4 <> 0 AND NOT (r = 1 AND k % 5 = 0)) GROUP BY ALL")
 def _(spark, d):
-    return D.all_pins(sheets(spark, d), cells(spark, d)).where("pin_name in ('VCC', 'SHD', 'SCL', 'TX', 'RX')").select("source_file", "pin_name", "src_rank")
+    return D.all_pins(sheets(spark, d), cells(spark, d)).select("source_file", "pin_name", "src_rank")
 
 
 REQ = """SELECT source_file, 'PULL_UP_RESISTOR' AS requirement_type, s || '.7kΩ' AS value FROM sheets UNION ALL SELECT source_file, 'DECOUPLING_CAPACITOR', (k % 90 + 10) || 'µF' FROM sheets"""
@@ -297,6 +297,11 @@ def _(spark, d):
     return A.connections(answers(spark, d)).where("rank = 0").select("source_file", "platform", "e_paper_pin", "platform_pin")
 
 
+@query("rsp10_all_connections", "SELECT source_file, 'raspberry_pi' AS platform, r AS rank, CASE r WHEN 0 THEN 'Vcc' ELSE 'BUSY' END AS e_paper_pin, CASE r WHEN 0 THEN '3v' || s WHEN 1 THEN 'line' ELSE 'line ' || k END AS platform_pin FROM answers_, (SELECT unnest([0, 1, 2])::INTEGER AS r)")
+def _(spark, d):
+    return A.connections(answers(spark, d)).select("source_file", "platform", "rank", "e_paper_pin", "platform_pin")
+
+
 @query("rsp11_precautions", "SELECT source_file, 'Minimum refresh interval: ' || (s + 100) || ' seconds' AS timing, CASE WHEN k % 3 = 0 THEN 'Never leave the power on for ' || k || ' hours' ELSE '' END AS warnings, CASE WHEN k % 3 = 0 THEN '' ELSE 'Screen is fragile - avoid impacts' END AS handling FROM answers_")
 def _(spark, d):
     p = A.precautions(T("text"))
@@ -400,6 +405,12 @@ def _(spark, d):
     return links(spark, d).where("href rlike '^/[A-Za-z]+$'").select("page_id", "pos", W.resolved("url", "href").alias("link"))
 
 
+@query("crl2_all_resolved")
+def _(spark, d):
+    """Every link of every page; SQL has no URL resolution to compare with."""
+    return links(spark, d).select("page_id", "pos", W.resolved("url", "href").alias("link"))
+
+
 @query("crl3_pdf_links", "SELECT event_id, contains(lower(url), '.pdf') AS contains, ends_with(url, '.pdf') AS ends FROM fetches")
 def _(spark, d):
     return derived(spark, d, "fetches").select("event_id", W.is_pdf_link(F.col("url")).alias("contains"), W.is_pdf_link(F.col("url"), variant="ends").alias("ends"))
