@@ -906,6 +906,13 @@ def _(spark, d):
     return J.dead_letters(own).select("key", "receives")
 
 
+@query("str8_all_dead_letters", "SELECT user_id::VARCHAR AS key, count_if(value <= 200)::BIGINT AS receives FROM events GROUP BY user_id HAVING count_if(value > 200) = 0 AND count_if(value <= 200) >= 3")
+def _(spark, d):
+    """Every event is a receive, and worked if its value is over 200: by types of events no key would be left."""
+    own = given(spark, d, "events").select(F.col("user_id").cast("string").alias("key"), F.col("ts").alias("event_ts"), (F.col("value") > 200).alias("ok"), F.lit("e").alias("error"))
+    return J.dead_letters(own).select("key", "receives")
+
+
 @query("str9_job_status", "SELECT c_custkey::VARCHAR AS processing_id, c_custkey IN (SELECT user_id FROM events) AS found FROM customer")
 def _(spark, d):
     asked = given(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("processing_id"))

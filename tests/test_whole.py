@@ -39,3 +39,12 @@ def test_requirements_are_all_in_three_queries(spark):
 
     parts = sum(QUERIES[q](spark, AT).count() for q in ("dtx9_pull_ups_and_capacitors", "dtx10_spi_requirements", "dtx11_i2c_requirements"))
     assert D.requirements(sheets(spark, AT)).count() == parts
+
+
+def test_dead_letters_read_every_receive(spark):
+    seen = {}
+    for r in spark.read.parquet(f"{AT}/events.parquet").collect():
+        seen.setdefault(str(r.user_id), []).append(r.value > 200)
+    want = {k: len(v) for k, v in seen.items() if not any(v) and len(v) >= 3}
+    got = {r.key: r.receives for r in QUERIES["str8_all_dead_letters"](spark, AT).collect()}
+    assert got == want and 0 < len(got) < len(seen)
