@@ -4,8 +4,9 @@ Features are character n-grams (letters in lower case; runs of anything else are
 into BUCKETS. A value is TF-IDF: the share of the n-gram among the n-grams of the text, times the
 inverse document frequency over ALL labelled training texts. Weights are learned by
 follow-the-regularised-leader with elastic-net penalties on a bounded sample (``Plan.sample``
-texts are expected; all, if there are no more), dealt over ``Plan.shards`` tasks whose weights are
-averaged. A part of the sample is kept from training and gives the temperature.
+texts are expected, and ``LEAST`` of each label besides; all, if there are no more), dealt over ``Plan.shards`` tasks whose weights are
+averaged. A part of the sample is kept from training and gives the temperature. More than MOST_LABELS
+labels are an error.
 
 A text is predicted whole: the logit of a language is the mean of idf x weight over its n-grams,
 which is a table lookup for each n-gram. A null text or one without a letter is ``und`` with score 0;
@@ -32,6 +33,11 @@ UNKNOWN = "und"
 #: Features are shares, so small; this brings them to about 1.
 SCALE = 100.0
 
+#: Texts of each label that the sample has at least (expected; all, if there are no more).
+LEAST = 50
+#: Labels that can be learned: a weight table is BUCKETS numbers for each.
+MOST_LABELS = 1000
+
 FIELDS = [("lang_pred", "string"), ("score", "double")]
 
 
@@ -195,22 +201,29 @@ def fit(df: DataFrame, text: str, label: str, key: Column, plan: Plan = Plan())
     idf = np.log((1.0 + n) / (1.0 + seen)) + 1.0
     shared = spark.sparkContext.broadcast(idf)
     share = plan.sample / n
-    sample = train if share >= 1 else train.where(F.pmod(F.shiftright("key", 20), F.lit(1 << 20)) < int(share * (1 << 20)))
-    labels = sorted(r[0] for r in train.select(label).distinct().limit(1000).collect())
+    sizes = {r[0]: r[1] for r in train.groupBy(label).count().limit(MOST_LABELS + 1).collect()}
+    if len(sizes) > MOST_LABELS:
+        raise ValueError(f"column {label} has more than {MOST_LABELS} values")
+    labels = sorted(sizes)
+    rate = lambda m: 1 << 20 if m <= LEAST else int(min(1.0, max(share, LEAST / m)) * (1 << 20))
+    rates = F.create_map(*[F.lit(v) for x, m in sizes.items() for v in (x, rate(m))])
+    sample = train if share >= 1 else train.where(F.pmod(F.shiftright("key", 20), F.lit(1 << 20)) < F.element_at(rates, F.col(label)))
     rows = features(sample, text, label, shared)
+    rare = [x for x, m in sizes.items() if m <= plan.calibrate]  # too few to be kept from training
     held = F.pmod("key", F.lit(plan.calibrate)) == 0
+    of = lambda c: held & ~F.col(c).isin(rare) if rare else held
 
     def learn(own: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"n": [len(own)], "w": [ftrl(own, labels, plan).astype(np.float32).tobytes()]})
 
-    found = rows.where(~held).groupBy(F.pmod(F.shiftright("key", 10), F.lit(plan.shards)).alias("shard")).applyInPandas(learn, "n long, w binary").collect()
+    found = rows.where(~of("label")).groupBy(F.pmod(F.shiftright("key", 10), F.lit(plan.shards)).alias("shard")).applyInPandas(learn, "n long, w binary").collect()
     if not found:
         return None
     found.sort(key=lambda r: (r.n, bytes(r.w)))
     total = sum(r.n for r in found)
     w = sum(np.frombuffer(r.w, np.float32).reshape(BUCKETS + 1, -1).astype(float) * (r.n / total) for r in found)
     model = Model(labels, (w[:-1] * idf[:, None] * SCALE).astype(np.float32), w[-1], 1.0)
-    check = logits(sample.where(held).select(text, label), text, model, drop_text=True).collect()
+    check = logits(sample.where(of(label)).select(text, label), text, model, drop_text=True).collect()
     check = [r for r in check if r.n_letters]
     place = {x: i for i, x in enumerate(labels)}
     t = temperature(np.array([r.logits for r in check]), np.array([place[r[label]] for r in check], np.int64))

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from ohmlake.llm import language as L
@@ -50,3 +51,17 @@ def test_odd_rows(spark):
     assert {r.lang_pred for r in L.predict(df, None).collect()} == {"und"}
     assert L.predict(df.limit(0), model).count() == 0
     assert L.train_on(df.withColumn("lang", F.lit(None).cast("string"))) is None
+
+
+def test_rare_labels_are_learned_from_a_small_sample(spark):
+    rows = [(i, w * 5, lang) for i in range(4000) for w, lang in (("the of and ", "en"), ("der die und ", "de"))]
+    rows += [(9000 + i, "zyx qvj wkz " * 5, "xx") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.fit(df, "text", "lang", F.col("doc_id"), L.Plan(sample=200))
+    assert [r.lang_pred for r in L.predict(df.where("lang = 'xx'").limit(3), model).collect()] == ["xx"] * 3
+
+
+def test_too_many_labels_are_an_error(spark):
+    df = spark.range(1100).selectExpr("id as doc_id", "'some text' as text", "concat('l', id) as lang")
+    with pytest.raises(ValueError, match="more than 1000"):
+        L.fit(df, "text", "lang", F.col("doc_id"))
