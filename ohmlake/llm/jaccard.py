@@ -137,7 +137,7 @@ def columns(df: DataFrame, text: str, k: int, percent: int, common) -> DataFrame
                     own = weight[a:b]
                     share = int(np.count_nonzero(own)) * 100 // n
                     # sorted by hash already, so a stable sort by weight is by (weight, hash)
-                    out.append(hashes[a:b][np.argsort(own, kind="stable")[:most]] if share else hashes[a : a + most])
+                    out.append(hashes[a:b][np.argsort(own, kind="stable")[:most]] if own.any() else hashes[a : a + most])
                     order.append(share << 56 | (key[0] & (1 << 64) - 1) >> 8)
                     k0.append(key[0])
                     k1.append(key[1])

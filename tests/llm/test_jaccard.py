@@ -90,3 +90,14 @@ def test_a_large_group_of_near_copies_makes_no_square(spark):
         docs.append((i, " ".join(w)))
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
     assert {r.component_id for r in J.components(df, "doc_id").collect()} == {0}
+
+
+def test_one_order_for_all_prefixes(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    text = " ".join(f"w{i}" for i in range(300))
+    hashes = np.sort(next(iter(J.sets(pa.array([text]), 1, J.Hashes())))[0])
+    common = spark.sparkContext.broadcast((hashes[:1], np.array([9])))  # one in 300, the first by hash
+    rows = J.columns(spark.createDataFrame([(text,)], "text string"), "text", 1, 90, common).where("shingle is not null").collect()
+    assert sorted(np.array([r.shingle for r in rows], np.int64).view(np.uint64)) == hashes[1:32].tolist()
