@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders of local runs without a setting, by application.
+_LOCAL: dict[str, str] = {}
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one in the local temp folder only where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        import tempfile
 
-        folder = tempfile.mkdtemp(prefix="ohmlake-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; where none is set, a local one if all of Spark is on this machine, else an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL.get(spark.sparkContext.applicationId)
+    if folder:
+        return folder
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    _LOCAL[spark.sparkContext.applicationId] = folder = tempfile.mkdtemp(prefix="ohmlake-")
     return folder
 
 
