@@ -24,15 +24,8 @@ from ohmlake.plans.storage import forget, shared_folder, stored  # noqa: F401
 
 #: Text that one step of numpy work takes at once; a longer single text makes a step of its own.
 SLICE_BYTES = 1 << 20
-#: Rows that the JVM hands to Python at once, where the session has only Spark's default: texts are long rows.
-BATCH_ROWS = 1000
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Lower Arrow's batch size from Spark's default, so that a batch of texts and its results stay a few MB."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, BATCH_ROWS)
+#: Text whose rows one step of a batch takes: what Python makes of it is handed on before the next step.
+STEP_BYTES = 4 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -61,26 +54,44 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[np.ndarr
         at = to
 
 
+def steps(batch: pa.RecordBatch, place: int, most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows whose texts or bytes have about ``most`` bytes; a longer single one makes a run of its own."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(place)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at, n = 0, batch.num_rows
+    while at < n:
+        done = int(sizes[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(sizes, done + most, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def with_columns(df: DataFrame, text: str, fields: list[tuple[str, str]], make: Callable[[], Callable[[pa.Array], list]], drop_text: bool = False) -> DataFrame:
-    """df with columns computed from its text column, batch by batch, in Arrow; no shuffle.
+    """df with columns computed from its text (or binary) column, step by step, in Arrow; no shuffle.
 
-    make() runs once a task and returns a function from a text column to one array per field.
+    make() runs once a task and returns a function from a text column to one array per field. A column that
+    is added replaces one of its name, the text column included.
     """
-    small_batches(df.sparkSession)
     names = [n for n, _ in fields]
     added = [StructField(n, _parse_datatype_string(t)) for n, t in fields]
     kinds = [arrow_type(f.dataType) for f in added]
+    taken = {n.lower() for n in names}
     base = df.drop(*[n for n in names if n.lower() != text.lower()])
-    kept = [f for f in base.schema.fields if not (drop_text and f.name.lower() == text.lower())]
     place = [f.name.lower() for f in base.schema.fields].index(text.lower())
+    if drop_text or text.lower() in taken:
+        keep = [i for i in range(len(base.columns)) if i != place]
+    else:
+        keep = list(range(len(base.columns)))
+    kept = [base.schema.fields[i] for i in keep]
 
     def run(batches):
         work = make()
         for batch in batches:
-            out = work(batch.column(place))
-            old = [c for i, c in enumerate(batch.columns) if not (drop_text and i == place)]
-            new = [x if isinstance(x, pa.Array) else pa.array(x, kind) for x, kind in zip(out, kinds)]
-            yield pa.RecordBatch.from_arrays(old + new, names=[f.name for f in kept] + names)
+            if not batch.num_rows:
+                continue
+            for step in steps(batch, place):
+                out = work(step.column(place))
+                new = [x if isinstance(x, pa.Array) else pa.array(x, kind) for x, kind in zip(out, kinds)]
+                yield pa.RecordBatch.from_arrays([step.column(i) for i in keep] + new, names=[f.name for f in kept] + names)
         del work
         pa.default_memory_pool().release_unused()  # the worker may idle for long
 

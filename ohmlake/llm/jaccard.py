@@ -1,42 +1,46 @@
 """N-gram Jaccard join by a blocked sparse product (operator 8).
 
 Documents that have the same set of word shingles are one class; only classes are joined. The
-incidence matrix of classes by shingles is multiplied by its transpose block by block:
+incidence matrix of classes by shingles is multiplied by its transpose, block by block:
 
 1. Size-derived columns. A class of n shingles that links to any other shares at least
    ceil(t * n) of them, so of any fixed order of shingles its first n - ceil(t * n) + 1 must meet
-   the other's. Only these columns are multiplied. The order puts shingles that are common within
-   tasks last (at most ``HOT`` of them, by count), so the columns that remain are thin.
-2. Each column links its classes to one of them, its pivot, not to one another: as many pairs as
-   entries, whatever the size of a group of near copies. Pairs below the bounds go at once: sizes
-   that cannot reach t, and more differing bits of two parity bitmaps than sets of these sizes can
-   have differing shingles (both bounds never drop a link). A bitmap has about half a bit a shingle.
-   The pivot is the class with the largest share of common shingles: the middle of a group of near
-   copies, to which most of them link.
-3. The overlap of the surviving pairs is counted over all columns, exactly.
-4. Columns of three and more whose other classes are not in one component by then are multiplied in
-   full, but only between components, and pairs that pass the bounds are counted likewise. So no
-   link is lost.
-
-Sets are made again from the texts where they are needed, only for classes in surviving pairs (a
-Bloom filter of fixed size picks them), rather than kept. A document without words links to
-nothing. Null ids are never a component's id unless no member has one; documents that share an id
-but not a set stay different documents.
+   the other's. Only these entries are multiplied, each with its place in that order. The order puts
+   shingles that are common within tasks last (at most ``HOT`` of them, by count).
+2. Each column (its pieces of about ``PIECE`` entries, and then those pieces' pivots) links its
+   classes to one of them, its pivot, not to one another: one pair an entry, whatever the size of a
+   group of near copies. The pivot is the class with the largest share of common shingles: the middle
+   of a group of near copies, to which most of them link.
+3. A pair goes at once if its overlap cannot reach the bound that the two sizes give: if the column
+   is the first that it shares, no more than the places behind are left. Every pair that links
+   passes this at its first column.
+4. The overlaps of the pairs that remain are accumulated by blocks of the product: a block is one class (the
+   pivot) against a piece of its partners, all as sorted arrays, and its counts are exact. Sets are made again
+   from the texts for classes in such pairs (a Bloom filter picks them), rather than kept.
+5. Columns whose classes are not in one component by then are multiplied in full, but only between
+   components and under the same bound, and their pairs go through step 4 as well. So no link is
+   lost, and no pairs are made within a group of near copies beyond those with pivots.
+
+Which shingles are common steers order and pivots only; results do not depend on it. Shingles are
+told apart by 64 bits of a hash, sets by 128 and, as nodes of the graph of links, by 57 of these.
+
+A document without words links to nothing. Null ids are never a component's id unless no member has
+one; documents that share an id but not a set stay different documents.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ohmlake.plans.components import connected_components
+from ohmlake.plans.joins import lookup
 
-from .common import forget, read, small_batches, stored, with_columns
-from .shingles import Hashes, sets
+from .common import forget, read, stored
+from .shingles import Powers, sets
 from .terms import head
 
 #: Shingles that are known as common at most, and how often a task's run of texts must have one.
@@ -44,10 +48,15 @@ HOT = 1 << 19
 OFTEN = 4
 #: Shingles after which a task counts its common ones.
 RUN = 1 << 21
-#: Numbers of 64 bits in a bitmap: powers of two from 2 to this.
-WORDS = 512
-BLOOM_BITS = 26
+#: Entries of a column, and partners of a pivot, that one piece has (about).
+PIECE = 1 << 16
+PARTNERS = 1 << 12
+#: Bits of the Bloom filter of wanted classes: 16 a class within these bounds (32 MB at most). With more
+#: classes than the largest is for, more sets are made and then dropped; results are the same.
+BLOOM = (16, 28)
 REMEMBERED = 300_000
+#: Bits of a class's number in the graph of links, and of its order below the share of common shingles.
+NODE_BITS = 57
 
 
 def keys(hashes: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int] | None]:
@@ -63,37 +72,36 @@ def keys(hashes: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int] | None
     return out
 
 
-def bitmaps(hashes: np.ndarray, offsets: np.ndarray) -> pa.Array:
-    """For each set the parities of its shingles by residues, about half as many as it has shingles."""
-    n = np.diff(offsets)
-    words = np.minimum(WORDS, 1 << np.ceil(np.log2(np.maximum(n / 128, 2))).astype(np.int64))
-    starts = np.concatenate([[0], np.cumsum(words)])
-    place = np.repeat(starts[:-1] * 64, n) + (hashes % np.repeat(words * 64, n).astype(np.uint64)).astype(np.int64)
-    bits = (np.bincount(place, minlength=int(starts[-1]) * 64) & 1).astype(np.uint8)
-    return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(np.packbits(bits, bitorder="little").view("<i8")))
+def node_of(k0: str) -> Column:
+    """A class's number from its key."""
+    return F.shiftrightunsigned(k0, 64 - NODE_BITS)
+
+
+def of_order(o: str) -> Column:
+    """A class's number from its order."""
+    return F.col(o).bitwiseAND((1 << NODE_BITS) - 1)
 
 
 def signatures(df: DataFrame, id_: str, text: str, k: int) -> DataFrame:
-    """A row for each text: id, n, k0, k1, bits; and rows (shingle, times) for what a task sees often."""
+    """A row for each text: id, t (a hash of the text), n, k0, k1; and rows (shingle, times) for what a task sees often."""
 
     def run(batches):
-        known, held, size = Hashes(), [], 0
+        powers, held, size = Powers(), [], 0
 
         def often():
             values, times = np.unique(np.concatenate(held), return_counts=True)
             some = times >= OFTEN
             m = int(some.sum())
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(m, batch.column(0).type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.list_(pa.int64())), pa.array(values[some].view(np.int64)), pa.array(times[some].astype(np.int64))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, kind), *[pa.nulls(m, pa.int64())] * 4, pa.array(values[some].view(np.int64)), pa.array(times[some].astype(np.int64))], names=names)
 
         for batch in batches:
+            kind = batch.column(0).type
             at = 0
-            for hashes, offsets in sets(batch.column(1), k, known):
+            for hashes, offsets in sets(batch.column(2), k, powers):
                 n = len(offsets) - 1
                 own = keys(hashes, offsets)
-                bits = bitmaps(hashes, offsets)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, n), pa.array(np.diff(offsets).astype(np.int64)), pa.array([x and x[0] for x in own], pa.int64()), pa.array([x and x[1] for x in own], pa.int64()), bits, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=names)
+                cells = [pa.array(np.diff(offsets).astype(np.int64)), pa.array([x and x[0] for x in own], pa.int64()), pa.array([x and x[1] for x in own], pa.int64())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), batch.column(1).slice(at, n), *cells, *[pa.nulls(n, pa.int64())] * 2], names=names)
                 at += n
                 held.append(hashes)
                 size += len(hashes)
@@ -103,29 +111,32 @@ def signatures(df: DataFrame, id_: str, text: str, k: int) -> DataFrame:
         if size:
             yield from often()
 
-    names = ["id", "n", "k0", "k1", "bits", "shingle", "times"]
-    kind = df.select(id_).schema[0].dataType.simpleString()
-    return df.select(F.col(id_).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, n long, k0 long, k1 long, bits array<long>, shingle long, times long")
+    names = ["id", "t", "n", "k0", "k1", "shingle", "times"]
+    id_kind = df.select(id_).schema[0].dataType.simpleString()
+    rows = df.select(F.col(id_).alias("id"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, f"id {id_kind}, t long, n long, k0 long, k1 long, shingle long, times long")
 
 
 def columns(df: DataFrame, text: str, k: int, percent: int, common) -> DataFrame:
-    """(shingle, o): the size-derived columns of each class, and (o, k0, k1): its order; once a task.
+    """(shingle, piece, o, pos, n): the size-derived entries of each class, once a task.
 
-    o is the percent of its shingles that are common, before 56 bits of its key. Two classes that share it
-    only make pairs that a later step drops.
+    pos is the entry's place in the class's order of shingles, from 1; o orders classes by the percent of their
+    shingles that are common, then by key; piece is 0, or from 1 where a very common shingle has several.
     """
 
+    most_entries = PIECE
+
     def run(batches):
         values, times = common.value
-        known, seen = Hashes(), set()
+        powers, seen = Powers(), set()
         for batch in batches:
-            for hashes, offsets in sets(batch.column(0), k, known):
+            for hashes, offsets in sets(batch.column(0), k, powers):
                 if len(values):
                     at = np.minimum(np.searchsorted(values, hashes), len(values) - 1)
                     weight = np.where(values[at] == hashes, times[at], 0)
                 else:
                     weight = np.zeros(len(hashes), np.int64)
-                out, order, k0, k1, sizes = [], [], [], [], []
+                out, heavy, orders, sizes, ns = [], [], [], [], []
                 for key, a, b in zip(keys(hashes, offsets), offsets[:-1].tolist(), offsets[1:].tolist()):
                     if key is None or key in seen:
                         continue
@@ -135,131 +146,190 @@ def columns(df: DataFrame, text: str, k: int, percent: int, common) -> DataFrame
                     n = b - a
                     most = n + (-percent * n // 100) + 1
                     own = weight[a:b]
-                    share = int(np.count_nonzero(own)) * 100 // n
+                    some = np.count_nonzero(own)
                     # sorted by hash already, so a stable sort by weight is by (weight, hash)
-                    out.append(hashes[a:b][np.argsort(own, kind="stable")[:most]] if own.any() else hashes[a : a + most])
-                    order.append(share << 56 | (key[0] & (1 << 64) - 1) >> 8)
-                    k0.append(key[0])
-                    k1.append(key[1])
+                    first = np.argsort(own, kind="stable")[:most] if some else np.arange(most)
+                    out.append(hashes[a:b][first])
+                    heavy.append(own[first])
+                    orders.append((some * 100 // n - 64) << NODE_BITS | (key[0] & (1 << 64) - 1) >> 64 - NODE_BITS)
                     sizes.append(most)
+                    ns.append(n)
                 if not out:
                     continue
-                o = np.array(order, np.int64)
-                m, n = int(sum(sizes)), len(o)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.repeat(o, sizes)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], names=names)
-                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(o), pa.array(k0, pa.int64()), pa.array(k1, pa.int64())], names=names)
+                sizes, o = np.array(sizes), np.array(orders, np.int64)
+                pos = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
+                pieces = np.concatenate(heavy) // most_entries + 1
+                piece = np.where(pieces > 1, np.repeat(o & 0x7FFFFFFF, sizes) % pieces + 1, 0)
+                cells = [np.concatenate(out).view(np.int64), piece.astype(np.int32), np.repeat(o, sizes), pos.astype(np.int32), np.repeat(np.array(ns), sizes).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cells], names=["shingle", "piece", "o", "pos", "n"])
+
+    return df.select(text).mapInArrow(run, ENTRY)
+
+
+ENTRY = "shingle long, piece int, o long, pos int, n int"
+MEMBER = ENTRY + ", p long, pos_p int, n_p int"
 
-    names = ["shingle", "o", "k0", "k1"]
-    return df.select(text).mapInArrow(run, "shingle long, o long, k0 long, k1 long")
+
+def members(entries: DataFrame) -> DataFrame:
+    """MEMBER: the entries of columns with two classes or more, and of all pieces of columns, each beside its column's
+    or piece's pivot, which is the class of the highest order. A pivot's own entry is beside itself."""
+
+    def run(batches):
+        last = None  # the pivot of the column that the last batch ended in, and whether it was given out
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [c.to_numpy() for c in batch.columns]
+            again = 0
+            if last is not None:
+                cols = [np.concatenate([x, c]) for x, c in zip(last[0], cols)]
+                again = last[1]
+            same = (cols[0][1:] == cols[0][:-1]) & (cols[1][1:] == cols[1][:-1])
+            starts = np.flatnonzero(np.concatenate([[True], ~same]))
+            sizes = np.diff(np.append(starts, len(cols[0])))
+            pivot = np.repeat(starts, sizes)
+            give = (np.repeat(sizes, sizes) > 1) | (cols[1] > 0)
+            if again:
+                give[0] = False
+            first = starts[-1]
+            last = [c[first : first + 1].copy() for c in cols], bool(sizes[-1] > 1 or cols[1][first] > 0 or again and first == 0)
+            if give.any():
+                yield pa.RecordBatch.from_arrays([pa.array(c[give]) for c in cols] + [pa.array(cols[i][pivot[give]]) for i in (2, 3, 4)], names=[x.split()[0] for x in MEMBER.split(", ")])
+
+    dealt = entries.repartition("shingle", "piece").sortWithinPartitions("shingle", "piece", F.desc("o"))
+    return dealt.mapInArrow(run, MEMBER)
+
+
+def reach(percent: int, pos: str = "pos", n: str = "n", pos_b: str = "pos_p", n_b: str = "n_p") -> Column:
+    """Whether two classes can link if this is the first column that they share."""
+    left = F.least(F.col(n) - F.col(pos), F.col(n_b) - F.col(pos_b)).cast("long") + 1
+    return left * (100 + percent) >= (F.col(n).cast("long") + F.col(n_b)) * percent
 
 
 def chosen_sets(df: DataFrame, text: str, k: int, wanted: DataFrame) -> DataFrame:
-    """(k0, k1, items): the sorted sets of the wanted classes (k0, k1) and of few others."""
-    mask = (1 << BLOOM_BITS) - 1
-    bit = F.explode(F.array(F.col("k0").bitwiseAND(mask), F.shiftright("k0", 32).bitwiseAND(mask), F.col("k1").bitwiseAND(mask)))
-    filled = wanted.select(bit.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("x")).collect()
-    table = np.zeros(1 << (BLOOM_BITS - 6), np.int64)
-    for r in filled:  # as many rows as the filter has words, at most
-        table[r.w] = r.x
+    """(node, items): the sorted sets of the wanted nodes and of few others; a set may come once a task."""
+    least, most = BLOOM
+    bits = min(most, max(least, (wanted.count() * 16).bit_length()))
+    mask = (1 << bits) - 1
+    bit = F.explode(F.array(F.col("node").bitwiseAND(mask), F.shiftright("node", NODE_BITS - bits).bitwiseAND(mask)))
+    filled = wanted.select(bit.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("x")).toArrow()
+    table = np.zeros(1 << (bits - 6), np.int64)
+    table[filled["w"].to_numpy()] = filled["x"].to_numpy()  # as many rows as the filter has words, at most
     shared = df.sparkSession.sparkContext.broadcast(table)
 
-    def has(bits: np.ndarray, p: np.ndarray) -> np.ndarray:
-        p = p & mask
-        return (bits[p >> 6] >> (p & 63)) & 1 == 1
-
     def run(batches):
-        bits, known, seen = shared.value, Hashes(), set()
+        table, powers, seen = shared.value, Powers(), set()
+        has = lambda p: (table[p >> 6] >> (p & 63)) & 1 == 1
         for batch in batches:
-            for hashes, offsets in sets(batch.column(0), k, known):
+            for hashes, offsets in sets(batch.column(0), k, powers):
                 own = keys(hashes, offsets)
-                some = [i for i, x in enumerate(own) if x is not None and x not in seen]
-                k0, k1 = np.array([own[i][0] for i in some], np.int64), np.array([own[i][1] for i in some], np.int64)
-                ok = np.flatnonzero(has(bits, k0) & has(bits, k0 >> 32) & has(bits, k1)) if some else []
+                some = np.array([i for i, x in enumerate(own) if x is not None and x not in seen], np.int64)
+                if not len(some):
+                    continue
+                node = (np.array([own[i][0] for i in some], np.int64).view(np.uint64) >> np.uint64(64 - NODE_BITS)).astype(np.int64)
+                ok = np.flatnonzero(has(node & mask) & has(node >> (NODE_BITS - bits) & mask))
                 if not len(ok):
                     continue
                 if len(seen) > REMEMBERED:
                     seen.clear()
                 seen.update(own[some[i]] for i in ok)
-                items = [hashes[offsets[some[i]] : offsets[some[i] + 1]].view(np.int64) for i in ok]
-                yield pa.RecordBatch.from_arrays([pa.array(k0[ok]), pa.array(k1[ok]), pa.array(items, pa.list_(pa.int64()))], names=["k0", "k1", "items"])
+                sizes = np.diff(offsets)[some[ok]]
+                at = np.repeat(offsets[some[ok]] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+                items = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)])), pa.array(hashes[at].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(node[ok]), items.cast(pa.list_(pa.int64()))], names=["node", "items"])
 
-    found = df.select(text).mapInArrow(run, "k0 long, k1 long, items array<long>")
-    return found.join(wanted, ["k0", "k1"], "left_semi").dropDuplicates(["k0", "k1"])
+    return df.select(text).mapInArrow(run, "node long, items array<long>")
 
 
-def within(percent: int) -> Column:
-    """Whether two sets of sizes n and nb and bitmaps bits and bits_b can link."""
-    n, nb, a, b = F.col("n"), F.col("nb"), F.col("bits"), F.col("bits_b")
-    la, lb = F.size(a), F.size(b)
-    # the longer of two bitmaps is folded to the shorter's residues
-    word = lambda i: F.get(a, i).bitwiseXOR(F.get(b, i)).bitwiseXOR(F.when(la > lb, F.get(a, i + lb)).otherwise(0)).bitwiseXOR(F.when(lb > la, F.get(b, i + la)).otherwise(0))
-    differ = F.aggregate(F.sequence(F.lit(0), F.least(la, lb) - 1), F.lit(0), lambda s, i: s + F.bit_count(word(i)))
-    # J >= t leaves at most (1 - t) / (1 + t) of n + nb shingles that are in one set only
-    close = differ * (100 + percent) <= (n + nb) * (100 - percent)
-    return (F.least(n, nb) * 100 >= F.greatest(n, nb) * percent) & ((F.greatest(la, lb) > 2 * F.least(la, lb)) | close)
+def overlaps(df: DataFrame, text: str, k: int, pairs: DataFrame) -> DataFrame:
+    """(a, b, overlap, size_a, size_b): the pairs (a, b) of nodes with the exact counts of their shingles.
 
+    Each block of the product is the row of one b times the columns of a piece of its partners.
+    """
+    wanted = stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "wanted")
+    blocks = pairs.groupBy("b").agg(F.count("*").alias("m")).withColumn("pieces", F.ceil(F.col("m") / PARTNERS))
+    blocks = stored(blocks, "blocks")
+    heads = blocks.select(F.col("b").alias("node"), F.col("b").alias("block"), F.explode(F.expr("sequence(0L, pieces - 1)")).alias("piece"), F.lit(0).alias("side"))
+    many = blocks.where("pieces > 1")  # fewer than one in PARTNERS pairs
+    dealt = pairs.join(many.select("b", "pieces"), "b", "left")
+    rest = dealt.select(F.col("a").alias("node"), F.col("b").alias("block"), F.pmod(F.xxhash64("a"), F.coalesce("pieces", F.lit(1))).alias("piece"), F.lit(1).alias("side"))
+    places = stored(heads.union(rest), "places")
 
-def linked(df: DataFrame, text: str, k: int, percent: int, pairs: DataFrame) -> DataFrame:
-    """Those of the pairs (a0, a1, b0, b1) of classes that link, by their exact overlap."""
-    wanted = stored(pairs.select(F.col("a0").alias("k0"), F.col("a1").alias("k1")).union(pairs.select("b0", "b1")).distinct(), "wanted")
-    found = stored(chosen_sets(df, text, k, wanted), "sets")
-    a = found.toDF("a0", "a1", "sa")
-    b = found.toDF("b0", "b1", "sb")
-    both = pairs.join(a, ["a0", "a1"]).join(b, ["b0", "b1"])
-    overlap = F.size(F.array_intersect("sa", "sb"))
-    out = stored(both.where(overlap * 100 >= (F.size("sa") + F.size("sb") - overlap) * percent).select("a0", "a1", "b0", "b1"), "links")
-    forget(found, wanted)
+    def run(batches):
+        at, base = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            block, piece, side, node = (batch.column(i).to_numpy() for i in range(4))
+            items = batch.column(4)
+            values, ends = items.flatten().to_numpy().view(np.uint64), items.offsets.to_numpy()
+            ends = ends - ends[0]
+            turns = np.flatnonzero((block[1:] != block[:-1]) | (piece[1:] != piece[:-1]) | (side[1:] != side[:-1])) + 1
+            out = [[], [], [], [], []]
+            for i, j in zip([0, *turns.tolist()], [*turns.tolist(), len(block)]):
+                if side[i] == 0:
+                    at, base = (block[i], piece[i]), values[ends[i] : ends[i + 1]].copy()
+                    continue
+                if at != (block[i], piece[i]):
+                    raise ValueError("a block without its own set")
+                own = values[ends[i] : ends[j]]
+                place = np.minimum(np.searchsorted(base, own), len(base) - 1)
+                count = np.add.reduceat((base[place] == own).astype(np.int64), ends[i:j] - ends[i])
+                for x, y in zip(out, (node[i:j], block[i:j], count, np.diff(ends[i : j + 1]), np.full(j - i, len(base)))):
+                    x.append(y)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in out], names=["a", "b", "overlap", "size_a", "size_b"])
+
+    made = places.hint("shuffle_hash").join(chosen_sets(df, text, k, wanted), "node").select("block", "piece", "side", "node", "items")
+    made = made.repartition("block", "piece").sortWithinPartitions("block", "piece", "side")
+    out = stored(made.mapInArrow(run, "a long, b long, overlap long, size_a long, size_b long").distinct(), "overlaps")
+    forget(wanted, blocks, places)
     return out
 
 
-def node(k0: str, k1: str) -> Column:
-    return F.concat(F.hex(k0), F.lit("-"), F.hex(k1))
+def linked(df: DataFrame, text: str, k: int, percent: int, pairs: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) of nodes that link."""
+    return overlaps(df, text, k, pairs).where(F.col("overlap") * 100 >= (F.col("size_a") + F.col("size_b") - F.col("overlap")) * percent).select("a", "b")
 
 
 def classes_and_components(df: DataFrame, id_: str, text: str, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(rows: id, n, k0, k1) and (classes: k0, k1, component, component_id), stored tables."""
-    small_batches(df.sparkSession)
+    """(rows: id, t, n, k0, k1) and (classes: k0, k1, rows, component, component_id), stored tables."""
+    spark = df.sparkSession
     made = stored(signatures(df, id_, text, k), "signatures")
-    rows = made.where("n is not null").select("id", "n", "k0", "k1")
-    kinds = made.where("k0 is not null").groupBy("k0", "k1").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("id").alias("first"))
-    kinds = stored(kinds, "classes")
+    rows = made.where("n is not null").select("id", "t", "n", "k0", "k1")
+    classes = stored(made.where("k0 is not null").groupBy("k0", "k1").agg(F.count("*").alias("rows"), F.min("id").alias("first")).withColumn("node", node_of("k0")), "classes")
     often = stored(made.where("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("n")), "often")
-    least = head(often, HOT)
-    top = often.where(F.floor(F.log2("n") * 4) >= least).collect()
-    values = np.array([r.shingle for r in top], np.int64).view(np.uint64)
+    top = often.where(F.floor(F.log2("n") * 4) >= head(often, HOT)).toArrow()  # HOT rows at most
+    values = top["shingle"].to_numpy().view(np.uint64)
     order = np.argsort(values)
-    common = df.sparkSession.sparkContext.broadcast((values[order], np.array([r.n for r in top], np.int64)[order]))
-
-    made = stored(columns(df, text, k, percent, common), "columns")
-    entries = made.where("shingle is not null").select("shingle", "o")
-    thick = entries.groupBy("shingle").agg(F.max("o").alias("p"), F.min("o").alias("q"), F.count("*").alias("m")).where("p > q").select("shingle", "p", "m")
-    members = stored(entries.join(thick, "shingle").where("o <> p").distinct(), "members")
-    own = stored(kinds.select("k0", "k1", "n", "bits").join(made.where("shingle is null").select("k0", "k1", "o").distinct(), ["k0", "k1"]).select("o", "k0", "k1", "n", "bits"), "ordered")
-    forget(made)
-    other = own.toDF("p", "b0", "b1", "nb", "bits_b")
-    spokes = members.select("o", "p").distinct()
-    pairs = spokes.join(own, "o").join(other, "p").where(within(percent))
-    pairs = stored(pairs.select(F.col("k0").alias("a0"), F.col("k1").alias("a1"), "b0", "b1"), "pairs")
-    edges = linked(df, text, k, percent, pairs).select(node("a0", "a1").alias("a"), node("b0", "b1").alias("b"))
+    common = spark.sparkContext.broadcast((values[order], top["n"].to_numpy()[order]))
+
+    thick = stored(members(columns(df, text, k, percent, common)), "members")
+    tops = stored(members(thick.where("piece > 0 and o = p").select("shingle", F.lit(0).alias("piece"), "o", "pos", "n")), "tops")
+    spokes = thick.union(tops).where(F.col("o") != F.col("p")).where(reach(percent))
+    pairs = stored(spokes.select(of_order("o").alias("a"), of_order("p").alias("b")).where("a <> b").distinct(), "pairs")
+    edges = linked(df, text, k, percent, pairs)
     parts = connected_components(edges)
 
-    named = own.withColumn("node", node("k0", "k1")).join(parts, "node", "left").select("o", "k0", "k1", "n", "bits", F.xxhash64(F.coalesce("component", "node")).alias("c"))
-    placed = members.where("m > 2").select("shingle", "o").join(named.select("o", "c"), "o")
-    mixed = placed.groupBy("shingle").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("shingle")
-    open_ = stored(placed.join(mixed, "shingle", "left_semi").select("shingle", "o").distinct().join(named, "o").select("shingle", "k0", "k1", "n", "bits", "c"), "open")
-    forget(members, own)
-    other = open_.toDF("shingle", "b0", "b1", "nb", "bits_b", "c_b")
-    more = open_.join(other, (open_["shingle"] == other["shingle"]) & (F.col("c") < F.col("c_b")) & within(percent))
-    more = more.select(F.col("k0").alias("a0"), F.col("k1").alias("a1"), "b0", "b1").distinct()
-    tried = pairs.union(pairs.select("b0", "b1", "a0", "a1"))
-    more = stored(more.join(tried, ["a0", "a1", "b0", "b1"], "left_anti"), "more-pairs")
+    placed = thick.select("shingle", of_order("o").alias("node"), "pos", "n").join(parts, "node", "left")
+    placed = placed.select("shingle", "node", "pos", "n", F.coalesce("component", "node").alias("c"))
+    placed = stored(placed, "placed")
+    mixed = placed.groupBy("shingle").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("m")).where("x < y and m > 2").select("shingle")
+    open_ = stored(placed.join(mixed.hint("merge"), "shingle", "left_semi"), "open")
+    forget(placed, thick, tops)
+    other = open_.toDF("shingle_b", "node_b", "pos_p", "n_p", "c_b")
+    more = open_.join(other.hint("merge"), (F.col("shingle") == F.col("shingle_b")) & (F.col("c") < F.col("c_b")) & reach(percent))
+    more = more.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
+    tried = pairs.union(pairs.select("b", "a"))
+    more = stored(more.join(tried, ["a", "b"], "left_anti"), "more-pairs")
     forget(open_)
     if not more.isEmpty():
-        late = linked(df, text, k, percent, more).select(node("a0", "a1").alias("a"), node("b0", "b1").alias("b"))
-        parts = connected_components(edges.union(late))
-    named = kinds.select("k0", "k1", "first", node("k0", "k1").alias("node")).join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    firsts = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    return rows, stored(named.join(firsts, "component").select("k0", "k1", "component", "component_id"), "components")
+        parts = connected_components(edges.union(linked(df, text, k, percent, more)))
+    grouped = stored(classes.join(parts, "node"), "grouped")
+    least = stored(grouped.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("rows")), "least")
+    found = lookup(grouped.select("k0", "k1", F.col("rows").alias("n_rows"), "component"), least, ["component"]).select("k0", "k1", "n_rows", "component", "component_id")
+    alone = classes.join(parts, "node", "left_anti").select("k0", "k1", F.col("rows").alias("n_rows"), F.col("node").alias("component"), F.col("first").alias("component_id"))
+    return rows, stored(found.union(alone).withColumnRenamed("n_rows", "rows"), "components")
 
 
 def components(df: DataFrame, id_: str, text: str = "text", k: int = 3, percent: int = 90) -> DataFrame:
@@ -268,35 +338,33 @@ def components(df: DataFrame, id_: str, text: str = "text", k: int = 3, percent:
     component_id: the least id that links lead to, the row's own included.
     """
     rows, classes = classes_and_components(df, id_, text, k, percent)
-    found = rows.join(classes, ["k0", "k1"], "left")
-    return found.select(F.col("id").alias(id_), F.col("n").alias("n_shingles"), F.when(F.col("k0").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    found = lookup(rows.where("k0 is not null").select("id", "n", "k0", "k1"), classes.select("k0", "k1", "rows", "component_id"), ["k0", "k1"])
+    found = found.select("id", "n", "component_id").union(rows.where("k0 is null").select("id", "n", "id"))
+    return found.toDF(id_, "n_shingles", "component_id")
 
 
 def one_of_each(df: DataFrame, id_: str, text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of df without near duplicates: of each component the row with the least id stays.
 
-    Rows without words stay. If several rows have the least id, one with the least set key stays; of
-    rows that repeat in id and set, one. Components in which no row has an id keep one row.
+    Rows without words stay. If several texts have the least id, the one with the least hash stays; of
+    rows that repeat in id and text, one. Components in which no row has an id keep one row.
     """
     rows, classes = classes_and_components(df, id_, text, k, percent)
-    best = rows.where("k0 is not null").join(classes, ["k0", "k1"]).groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("x"), F.coalesce(F.col("id"), F.lit(0)).alias("y"), "k0", "k1")).alias("s"))
-    best = best.select(F.col("s.y").alias("_y"), F.col("s.x").alias("_x"), F.col("s.k0").alias("_k0"), F.col("s.k1").alias("_k1"), F.lit(True).alias("_best"))
-    keyed = with_columns(df, text, [("_k0", "bigint"), ("_k1", "bigint")], lambda: _set_keys(k))
-    keyed = keyed.withColumns({"_x": F.col(id_).isNull(), "_y": F.coalesce(F.col(id_), F.lit(0))})
-    on = ["_y", "_x", "_k0", "_k1"]
-    found = keyed.join(best, on, "left").where("_k0 is null or _best")
-    again = F.row_number().over(Window.partitionBy(*on).orderBy(id_))
-    return found.withColumn("_again", again).where("_k0 is null or _again = 1").select(*df.columns)
-
-
-def _set_keys(k: int) -> Callable:
-    known = Hashes()
-
-    def work(column):
-        own = [x for hashes, offsets in sets(column, k, known) for x in keys(hashes, offsets)]
-        return [[x and x[0] for x in own], [x and x[1] for x in own]]
-
-    return work
+    worded = rows.where("k0 is not null")
+    row_key = [F.col("id").isNull().alias("x"), F.coalesce(F.col("id"), F.lit(0)).alias("y"), F.col("t")]
+    placed = stored(lookup(worded.select("id", "t", "k0", "k1"), classes.select("k0", "k1", "rows", "component"), ["k0", "k1"]).select("component", *row_key), "placed")
+    best = placed.groupBy("component").agg(F.min(F.struct("x", "y", "t")).alias("s")).select("s.*")
+    counted = placed.groupBy("x", "y", "t").agg(F.count("*").alias("rows"))
+    best = stored(counted.join(best, ["x", "y", "t"]), "best").select(F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("t").alias("_t"), F.col("rows").alias("_rows"))
+    forget(placed)
+    names = df.columns
+    docs = df.select(F.struct(*names).alias("_row"), F.col(id_).isNull().alias("_x"), F.coalesce(F.col(id_), F.lit(0)).alias("_y"), F.xxhash64(text).alias("_t"), (F.trim(F.translate(F.coalesce(F.col(text), F.lit("")), "\t\n\x0b\x0c\r", "     ")) == "").alias("_empty"))
+    on = ["_x", "_y", "_t"]
+    wordless = docs.where("_empty").select("_row.*")
+    found = docs.where("not _empty").join(best, on)
+    once = found.where("_rows = 1").select("_row.*")
+    again = found.where("_rows > 1").dropDuplicates(on).select("_row.*")
+    return wordless.unionByName(once).unionByName(again)
 
 
 def op8_jaccard_components(spark, sf_dir) -> DataFrame:

@@ -14,7 +14,7 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import small_batches, texts
+from .common import steps, texts
 
 #: Terms that are broadcast at most.
 HOT = 1 << 18
@@ -24,7 +24,6 @@ FLUSH = 400_000
 
 def count_terms(df: DataFrame, text: str, split: Callable[[str], list[str]], flag: Column | None = None) -> DataFrame:
     """(term, n, n_flag): how often each term stands in the texts, and in those where flag is true."""
-    small_batches(df.sparkSession)
     flag = F.lit(False) if flag is None else F.coalesce(flag, F.lit(False))
 
     def run(batches):
@@ -40,7 +39,7 @@ def count_terms(df: DataFrame, text: str, split: Callable[[str], list[str]], fla
             all_.clear()
             own.clear()
 
-        for batch in batches:
+        for batch in (step for whole in batches for step in steps(whole, 0)):
             for t, x in zip(texts(batch.column(0)).to_pylist(), batch.column(1).to_pylist()):
                 (own if x else all_).update(split(t))
                 if len(all_) + len(own) > FLUSH:
@@ -69,7 +68,6 @@ def term_sums(df: DataFrame, ids: list[str], text: str, split: Callable[[str], l
     values: (term, n, *columns), a stored table with every term. Columns other than ids are not kept,
     so none can clash. Rows that repeat in ids and text each get a row.
     """
-    small_batches(df.sparkSession)
     step = F.floor(F.log2("n") * 4)
     least = head(values, hot)
     known = {r[0]: tuple(r[1:]) for r in values.where(step >= least).select("term", *columns).collect()}
@@ -85,7 +83,7 @@ def term_sums(df: DataFrame, ids: list[str], text: str, split: Callable[[str], l
 
     def run(batches):
         get, zero = shared.value.get, [0.0 if k == "double" else 0 for k in kinds]
-        for batch in batches:
+        for batch in (step for whole in batches for step in steps(whole, n_ids)):
             n = batch.num_rows
             sums, extra, at, term, times = [[] for _ in kinds], [[] for _ in more_fields], [], [], []
             for i, t in enumerate(texts(batch.column(n_ids)).to_pylist()):

@@ -1,7 +1,11 @@
 import random
 import re
 
-from ohmlake.llm import jaccard as J
+import numpy as np
+import pyarrow as pa
+
+from ohmlake.llm import jaccard as J, shingles
+from tests.llm.plan_rows import join_rows, newest
 
 
 def brute(docs, k, percent):
@@ -80,24 +84,74 @@ def test_odd_rows_and_one_of_each(spark):
     assert J.components(df.limit(0), "doc_id").count() == 0 and J.one_of_each(df.limit(0), "doc_id").count() == 0
 
 
-def test_a_large_group_of_near_copies_makes_no_square(spark):
+def test_edited_copies_make_no_square(spark):
+    """Copies of one text with up to a third of it edited, of which many link to none: joins make no rows for each two of them."""
     rng = random.Random(1)
-    base = [f"w{i}" for i in range(120)]
-    docs = []
-    for i in range(1500):
-        w = list(base)
-        w[rng.randrange(120)] = f"x{i}"
-        docs.append((i, " ".join(w)))
-    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
-    assert {r.component_id for r in J.components(df, "doc_id").collect()} == {0}
+    base, made = [f"w{i}" for i in range(140)], {}
+    for m in (300, 1200):
+        docs = []
+        for i in range(m):
+            w = list(base)
+            for _ in range(rng.choice([0, 1, 1, 2, 3, 4, 6, 8])):
+                w[rng.randrange(140)] = f"x{rng.random()}"
+            docs.append((i, " ".join(w)))
+        df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+        since = newest(spark)
+        got = sorted(tuple(r) for r in J.components(df, "doc_id", k=5, percent=80).collect())
+        made[m] = max(join_rows(spark, since))
+        if m == 300:
+            assert got == sorted(brute(docs, 5, 80)[0])
+    assert made[1200] < 6 * made[300]
+
+
+def test_cut_columns_link_as_whole_ones(spark, monkeypatch):
+    """Pieces of very common columns, blocks with few partners: the same links."""
+    monkeypatch.setattr(J, "PIECE", 3)
+    monkeypatch.setattr(J, "PARTNERS", 2)
+    monkeypatch.setattr(J, "OFTEN", 2)
+    rng = random.Random(5)
+    for k, percent in ((3, 90), (1, 50)):
+        docs = make(rng, 120) + [(200_000 + i, f"a b c d e f g h i {i % 7}") for i in range(40)]
+        df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+        got = J.components(df, "doc_id", k=k, percent=percent).collect()
+        assert sorted(tuple(r) for r in got) == sorted(brute(docs, k, percent)[0])
 
 
-def test_one_order_for_all_prefixes(spark):
-    import numpy as np
-    import pyarrow as pa
+def test_overlaps_are_exact(spark):
+    rng = random.Random(9)
+    docs = make(rng, 60)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = J.signatures(df, "doc_id", "text", 2).where("k0 is not null").withColumn("node", J.node_of("k0")).collect()
+    sets = dict(zip([d for d, _ in docs], brute(docs, 2, 80)[2]))
+    own = {r.node: sets[r.id] for r in rows}
+    nodes = sorted(own)
+    pairs = [(a, b) for a in nodes[:20] for b in nodes[20:30]]
+    for r in J.overlaps(df, "text", 2, spark.createDataFrame(pairs, "a long, b long")).collect():
+        pairs.remove((r.a, r.b))
+        assert (r.overlap, r.size_a, r.size_b) == (len(own[r.a] & own[r.b]), len(own[r.a]), len(own[r.b]))
+    assert not pairs
+
 
+def test_one_order_for_all_prefixes(spark):
     text = " ".join(f"w{i}" for i in range(300))
-    hashes = np.sort(next(iter(J.sets(pa.array([text]), 1, J.Hashes())))[0])
+    hashes = np.sort(next(iter(shingles.sets(pa.array([text]), 1, shingles.Powers())))[0])
     common = spark.sparkContext.broadcast((hashes[:1], np.array([9])))  # one in 300, the first by hash
-    rows = J.columns(spark.createDataFrame([(text,)], "text string"), "text", 1, 90, common).where("shingle is not null").collect()
+    rows = J.columns(spark.createDataFrame([(text,)], "text string"), "text", 1, 90, common).collect()
     assert sorted(np.array([r.shingle for r in rows], np.int64).view(np.uint64)) == hashes[1:32].tolist()
+    assert sorted(r.pos for r in rows) == list(range(1, 32)) and {r.n for r in rows} == {300}
+
+
+def test_sets_against_python():
+    rng = random.Random(3)
+    pieces = ["a", "B", "ab", "\u00e9\u00c9", "\u4e2d", " ", "  ", "\n", "\t", "\x0b", "\x1f", "\u00a0", "x" * 40]
+    texts = [None, "", " ", "a", "a a", "b" * 3_000_000] + ["".join(rng.choice(pieces) for _ in range(rng.randrange(30))) for _ in range(300)]
+    for k in (1, 3, 5):
+        seen, found = {}, []
+        for hashes, offsets in shingles.sets(pa.array(texts), k, shingles.Powers()):
+            found += [hashes[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])]
+        want = brute(list(enumerate(texts)), k, 80)[2]
+        assert len(found) == len(want)
+        for have, own in zip(found, want):
+            assert len(have) == len(own) and have == sorted(have)
+            assert seen.setdefault(frozenset(own), have) == have
+        assert len({tuple(x) for x in seen.values()}) == len(seen)
