@@ -14,9 +14,11 @@ incidence matrix of classes by shingles is multiplied by its transpose, block by
 3. A pair goes at once if its overlap cannot reach the bound that the two sizes give: if the column
    is the first that it shares, no more than the places behind are left. Every pair that links
    passes this at its first column.
-4. The overlaps of the pairs that remain are accumulated by blocks of the product: a block is one class (the
-   pivot) against a piece of its partners, all as sorted arrays, and its counts are exact. Sets are made again
-   from the texts for classes in such pairs (a Bloom filter picks them), rather than kept.
+4. The overlaps of the pairs that remain are accumulated by blocks of the product, a block being one class (the
+   pivot) against a piece of its partners: first over the size-derived columns, after which a pair goes if the
+   places behind the last shared one cannot reach the bound; then over all columns, as sorted arrays,
+   which gives the exact count. For that, sets are made again from the texts for classes in such pairs (a Bloom
+   filter picks them), rather than kept.
 5. Columns whose classes are not in one component by then are multiplied in full, but only between
    components and under the same bound, and their pairs go through step 4 as well. So no link is
    lost, and no pairs are made within a group of near copies beyond those with pivots.
@@ -185,6 +187,9 @@ def members(entries: DataFrame) -> DataFrame:
                 cols = [np.concatenate([x, c]) for x, c in zip(last[0], cols)]
                 again = last[1]
             same = (cols[0][1:] == cols[0][:-1]) & (cols[1][1:] == cols[1][:-1])
+            once = np.concatenate([[True], ~(same & (cols[2][1:] == cols[2][:-1]))])  # classes that several tasks have seen
+            cols = [c[once] for c in cols]
+            same = (cols[0][1:] == cols[0][:-1]) & (cols[1][1:] == cols[1][:-1])
             starts = np.flatnonzero(np.concatenate([[True], ~same]))
             sizes = np.diff(np.append(starts, len(cols[0])))
             pivot = np.repeat(starts, sizes)
@@ -241,19 +246,38 @@ def chosen_sets(df: DataFrame, text: str, k: int, wanted: DataFrame) -> DataFram
     return df.select(text).mapInArrow(run, "node long, items array<long>")
 
 
+def blocks_of(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b, piece) for each pair and (b, piece) for each block: b's partners in pieces of about PARTNERS."""
+    count = pairs.groupBy("b").agg(F.count("*").alias("m")).withColumn("pieces", F.ceil(F.col("m") / PARTNERS))
+    count = stored(count, "blocks")
+    many = count.where("pieces > 1").select("b", "pieces")  # fewer than one in PARTNERS pairs
+    dealt = pairs.join(many, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("pieces", F.lit(1))).alias("piece"))
+    return dealt, count.select("b", F.explode(F.expr("sequence(0L, pieces - 1)")).alias("piece"))
+
+
+def bounded(entries: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes that can still link by the overlap that their size-derived columns accumulate.
+
+    entries: (node, shingle, pos, n), all columns that two nodes share. Behind the last column that a pair shares
+    no more than the places left can be common.
+    """
+    dealt, blocks = blocks_of(pairs)
+    a = dealt.join(entries.hint("merge"), F.col("a") == F.col("node")).select("a", "b", "piece", "shingle", "pos", "n")
+    b = blocks.join(entries.hint("merge"), F.col("b") == F.col("node")).select("b", "piece", "shingle", F.col("pos").alias("pos_b"), F.col("n").alias("n_b"))
+    both = a.join(b.hint("merge"), ["b", "piece", "shingle"]).groupBy("a", "b").agg(F.count("*").alias("common"), *[F.max(x).cast("long").alias(x) for x in ("pos", "pos_b", "n", "n_b")])
+    most = F.col("common") + F.least(F.col("n") - F.col("pos"), F.col("n_b") - F.col("pos_b"))
+    return both.where(most * (100 + percent) >= (F.col("n") + F.col("n_b")) * percent).select("a", "b")
+
+
 def overlaps(df: DataFrame, text: str, k: int, pairs: DataFrame) -> DataFrame:
     """(a, b, overlap, size_a, size_b): the pairs (a, b) of nodes with the exact counts of their shingles.
 
     Each block of the product is the row of one b times the columns of a piece of its partners.
     """
     wanted = stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "wanted")
-    blocks = pairs.groupBy("b").agg(F.count("*").alias("m")).withColumn("pieces", F.ceil(F.col("m") / PARTNERS))
-    blocks = stored(blocks, "blocks")
-    heads = blocks.select(F.col("b").alias("node"), F.col("b").alias("block"), F.explode(F.expr("sequence(0L, pieces - 1)")).alias("piece"), F.lit(0).alias("side"))
-    many = blocks.where("pieces > 1")  # fewer than one in PARTNERS pairs
-    dealt = pairs.join(many.select("b", "pieces"), "b", "left")
-    rest = dealt.select(F.col("a").alias("node"), F.col("b").alias("block"), F.pmod(F.xxhash64("a"), F.coalesce("pieces", F.lit(1))).alias("piece"), F.lit(1).alias("side"))
-    places = stored(heads.union(rest), "places")
+    dealt, blocks = blocks_of(pairs)
+    heads = blocks.select(F.col("b").alias("node"), F.col("b").alias("block"), "piece", F.lit(0).alias("side"))
+    places = stored(heads.union(dealt.select("a", "b", "piece", F.lit(1))), "places")
 
     def run(batches):
         at, base = None, None
@@ -283,7 +307,7 @@ def overlaps(df: DataFrame, text: str, k: int, pairs: DataFrame) -> DataFrame:
     made = places.hint("shuffle_hash").join(chosen_sets(df, text, k, wanted), "node").select("block", "piece", "side", "node", "items")
     made = made.repartition("block", "piece").sortWithinPartitions("block", "piece", "side")
     out = stored(made.mapInArrow(run, "a long, b long, overlap long, size_a long, size_b long").distinct(), "overlaps")
-    forget(wanted, blocks, places)
+    forget(wanted, places)
     return out
 
 
@@ -307,22 +331,25 @@ def classes_and_components(df: DataFrame, id_: str, text: str, k: int, percent:
     thick = stored(members(columns(df, text, k, percent, common)), "members")
     tops = stored(members(thick.where("piece > 0 and o = p").select("shingle", F.lit(0).alias("piece"), "o", "pos", "n")), "tops")
     spokes = thick.union(tops).where(F.col("o") != F.col("p")).where(reach(percent))
-    pairs = stored(spokes.select(of_order("o").alias("a"), of_order("p").alias("b")).where("a <> b").distinct(), "pairs")
+    first = stored(spokes.select(of_order("o").alias("a"), of_order("p").alias("b")).where("a <> b").distinct(), "pairs")
+    entries = thick.select(of_order("o").alias("node"), "shingle", "pos", "n")
+    pairs = stored(bounded(entries, first, percent), "pairs")
     edges = linked(df, text, k, percent, pairs)
     parts = connected_components(edges)
 
-    placed = thick.select("shingle", of_order("o").alias("node"), "pos", "n").join(parts, "node", "left")
+    placed = entries.join(parts, "node", "left")
     placed = placed.select("shingle", "node", "pos", "n", F.coalesce("component", "node").alias("c"))
     placed = stored(placed, "placed")
     mixed = placed.groupBy("shingle").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("m")).where("x < y and m > 2").select("shingle")
     open_ = stored(placed.join(mixed.hint("merge"), "shingle", "left_semi"), "open")
-    forget(placed, thick, tops)
+    forget(placed, tops)
     other = open_.toDF("shingle_b", "node_b", "pos_p", "n_p", "c_b")
     more = open_.join(other.hint("merge"), (F.col("shingle") == F.col("shingle_b")) & (F.col("c") < F.col("c_b")) & reach(percent))
     more = more.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
-    tried = pairs.union(pairs.select("b", "a"))
-    more = stored(more.join(tried, ["a", "b"], "left_anti"), "more-pairs")
-    forget(open_)
+    tried = first.union(first.select("b", "a"))
+    more = stored(more.join(tried, ["a", "b"], "left_anti"), "pairs")
+    more = stored(bounded(entries, more, percent), "pairs")
+    forget(open_, thick)
     if not more.isEmpty():
         parts = connected_components(edges.union(linked(df, text, k, percent, more)))
     grouped = stored(classes.join(parts, "node"), "grouped")
