@@ -5,11 +5,11 @@ incidence matrix of classes by shingles is multiplied by its transpose, block by
 
 1. Size-derived columns. A class of n shingles that links to any other shares at least
    ceil(t * n) of them, so of any fixed order of shingles its first n - ceil(t * n) + 1 must meet
-   the other's. Only these entries are multiplied, each with its place in that order. The order puts
-   shingles that are common within tasks last (at most ``HOT`` of them, by count).
+   the other's. Only these entries are multiplied, each with its place in that order. The order is by how
+   often shingles occur, counted in ``CELLS`` cells over all texts: rare ones first, so columns are thin.
 2. Each column (its pieces of about ``PIECE`` entries, and then those pieces' pivots) links its
    classes to one of them, its pivot, not to one another: one pair an entry, whatever the size of a
-   group of near copies. The pivot is the class with the largest share of common shingles: the middle
+   group of near copies. The pivot is the class with the most common shingles (the mean of their logarithms): the middle
    of a group of near copies, to which most of them link.
 3. A pair goes at once if its overlap cannot reach the bound that the two sizes give: if the column
    is the first that it shares, no more than the places behind are left. Every pair that links
@@ -23,8 +23,8 @@ incidence matrix of classes by shingles is multiplied by its transpose, block by
    components and under the same bound, and their pairs go through step 4 as well. So no link is
    lost, and no pairs are made within a group of near copies beyond those with pivots.
 
-Which shingles are common steers order and pivots only; results do not depend on it. Shingles are
-told apart by 64 bits of a hash, sets by 128 and, as nodes of the graph of links, by 57 of these.
+The counts steer order and pivots only; results do not depend on them. Shingles are told apart by 64
+bits of a hash, sets by 128 and, as nodes of the graph of links, by 63 of these.
 
 A document without words links to nothing. Null ids are never a component's id unless no member has
 one; documents that share an id but not a set stay different documents.
@@ -43,13 +43,11 @@ from ohmlake.plans.joins import lookup
 
 from .common import forget, read, stored
 from .shingles import Powers, sets
-from .terms import head
 
-#: Shingles that are known as common at most, and how often a task's run of texts must have one.
-HOT = 1 << 19
-OFTEN = 4
-#: Shingles after which a task counts its common ones.
-RUN = 1 << 21
+#: Cells in which the occurrences of shingles are counted, and the cells of one part of them. All counts together are
+#: 8 bytes a cell on the driver and 4 in a task, whatever the size of the corpus.
+CELLS = 1 << 22
+PART = 1 << 16
 #: Entries of a column, and partners of a pivot, that one piece has (about).
 PIECE = 1 << 16
 PARTNERS = 1 << 12
@@ -57,8 +55,8 @@ PARTNERS = 1 << 12
 #: classes than the largest is for, more sets are made and then dropped; results are the same.
 BLOOM = (16, 28)
 REMEMBERED = 300_000
-#: Bits of a class's number in the graph of links, and of its order below the share of common shingles.
-NODE_BITS = 57
+#: Bits of a class's number in the graph of links.
+NODE_BITS = 63
 
 
 def keys(hashes: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int] | None]:
@@ -79,66 +77,81 @@ def node_of(k0: str) -> Column:
     return F.shiftrightunsigned(k0, 64 - NODE_BITS)
 
 
-def of_order(o: str) -> Column:
-    """A class's number from its order."""
-    return F.col(o).bitwiseAND((1 << NODE_BITS) - 1)
+def cells(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64(CELLS - 1)).astype(np.int64)
 
 
 def signatures(df: DataFrame, id_: str, text: str, k: int) -> DataFrame:
-    """A row for each text: id, t (a hash of the text), n, k0, k1; and rows (shingle, times) for what a task sees often."""
+    """A row for each text: id, t (a hash of the text), n, k0, k1; and rows (part, counts): the task's counts of a part of the cells."""
 
     def run(batches):
-        powers, held, size = Powers(), [], 0
-
-        def often():
-            values, times = np.unique(np.concatenate(held), return_counts=True)
-            some = times >= OFTEN
-            m = int(some.sum())
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, kind), *[pa.nulls(m, pa.int64())] * 4, pa.array(values[some].view(np.int64)), pa.array(times[some].astype(np.int64))], names=names)
-
+        powers, count, kind = Powers(), np.zeros(CELLS, np.int64), None
         for batch in batches:
             kind = batch.column(0).type
             at = 0
             for hashes, offsets in sets(batch.column(2), k, powers):
                 n = len(offsets) - 1
                 own = keys(hashes, offsets)
-                cells = [pa.array(np.diff(offsets).astype(np.int64)), pa.array([x and x[0] for x in own], pa.int64()), pa.array([x and x[1] for x in own], pa.int64())]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), batch.column(1).slice(at, n), *cells, *[pa.nulls(n, pa.int64())] * 2], names=names)
+                sizes = [pa.array(np.diff(offsets).astype(np.int64)), pa.array([x and x[0] for x in own], pa.int64()), pa.array([x and x[1] for x in own], pa.int64())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), batch.column(1).slice(at, n), *sizes, pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names=names)
                 at += n
-                held.append(hashes)
-                size += len(hashes)
-                if size >= RUN:
-                    yield from often()
-                    held, size = [], 0
-        if size:
-            yield from often()
-
-    names = ["id", "t", "n", "k0", "k1", "shingle", "times"]
+                if len(hashes) > CELLS >> 4:
+                    count += np.bincount(cells(hashes), minlength=CELLS)
+                else:
+                    np.add.at(count, cells(hashes), 1)
+        if kind is None:
+            return
+        for part in range(CELLS // PART):
+            own = count[part * PART : (part + 1) * PART]
+            if own.any():
+                data = own.astype(np.uint8 if own.max() < 256 else np.int64).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), *[pa.nulls(1, pa.int64())] * 4, pa.array([part], pa.int64()), pa.array([data], pa.binary())], names=names)
+
+    names = ["id", "t", "n", "k0", "k1", "part", "counts"]
     id_kind = df.select(id_).schema[0].dataType.simpleString()
     rows = df.select(F.col(id_).alias("id"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"id {id_kind}, t long, n long, k0 long, k1 long, shingle long, times long")
+    return rows.mapInArrow(run, f"id {id_kind}, t long, n long, k0 long, k1 long, part long, counts binary")
 
 
-def columns(df: DataFrame, text: str, k: int, percent: int, common) -> DataFrame:
-    """(shingle, piece, o, pos, n): the size-derived entries of each class, once a task.
+def occurrences(counts: DataFrame) -> np.ndarray:
+    """All cells' counts from the tasks' (part, counts)."""
 
-    pos is the entry's place in the class's order of shingles, from 1; o orders classes by the percent of their
-    shingles that are common, then by key; piece is 0, or from 1 where a very common shingle has several.
-    """
+    def run(batches):
+        part, total = None, None
+        for batch in batches:
+            for at, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if at != part:
+                    if part is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["part", "counts"])
+                    part, total = at, np.zeros(PART, np.int64)
+                total += np.frombuffer(data, np.uint8 if len(data) == PART else np.int64)
+        if part is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["part", "counts"])
+
+    summed = counts.repartition("part").sortWithinPartitions("part").mapInArrow(run, "part long, counts binary").collect()
+    out = np.zeros(CELLS, np.int64)
+    for r in summed:  # CELLS / PART rows
+        out[r["part"] * PART : (r["part"] + 1) * PART] = np.frombuffer(r["counts"], np.int64)
+    return out
+
+
+def columns(df: DataFrame, text: str, k: int, percent: int, counts) -> DataFrame:
+    """ENTRY: the size-derived entries of each class, once a task; counts: of the cells, broadcast.
 
+    pos is the entry's place in the class's order of shingles, from 1; central is the mean logarithm of its shingles'
+    counts; piece is 0, or from 1 where the column is so large that it has several.
+    """
     most_entries = PIECE
 
     def run(batches):
-        values, times = common.value
+        table = counts.value
+        usual = 2 * int(table.mean())  # what a cell has by chance
         powers, seen = Powers(), set()
         for batch in batches:
             for hashes, offsets in sets(batch.column(0), k, powers):
-                if len(values):
-                    at = np.minimum(np.searchsorted(values, hashes), len(values) - 1)
-                    weight = np.where(values[at] == hashes, times[at], 0)
-                else:
-                    weight = np.zeros(len(hashes), np.int64)
-                out, heavy, orders, sizes, ns = [], [], [], [], []
+                weight = table[cells(hashes)]
+                logs = np.concatenate([[0.0], np.cumsum(np.log2(weight + 1.0))])
+                out, heavy, nodes, means, sizes, ns = [], [], [], [], [], []
                 for key, a, b in zip(keys(hashes, offsets), offsets[:-1].tolist(), offsets[1:].tolist()):
                     if key is None or key in seen:
                         continue
@@ -148,33 +161,33 @@ def columns(df: DataFrame, text: str, k: int, percent: int, common) -> DataFrame
                     n = b - a
                     most = n + (-percent * n // 100) + 1
                     own = weight[a:b]
-                    some = np.count_nonzero(own)
-                    # sorted by hash already, so a stable sort by weight is by (weight, hash)
-                    first = np.argsort(own, kind="stable")[:most] if some else np.arange(most)
+                    first = np.argsort(own, kind="stable")[:most]  # sorted by hash already, so this is by (count, hash)
                     out.append(hashes[a:b][first])
                     heavy.append(own[first])
-                    orders.append((some * 100 // n - 64) << NODE_BITS | (key[0] & (1 << 64) - 1) >> 64 - NODE_BITS)
+                    nodes.append((key[0] & (1 << 64) - 1) >> 64 - NODE_BITS)
+                    means.append((logs[b] - logs[a]) / n)
                     sizes.append(most)
                     ns.append(n)
                 if not out:
                     continue
-                sizes, o = np.array(sizes), np.array(orders, np.int64)
+                sizes, node = np.array(sizes), np.array(nodes, np.int64)
                 pos = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
-                pieces = np.concatenate(heavy) // most_entries + 1
-                piece = np.where(pieces > 1, np.repeat(o & 0x7FFFFFFF, sizes) % pieces + 1, 0)
-                cells = [np.concatenate(out).view(np.int64), piece.astype(np.int32), np.repeat(o, sizes), pos.astype(np.int32), np.repeat(np.array(ns), sizes).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cells], names=["shingle", "piece", "o", "pos", "n"])
+                pieces = np.maximum(np.concatenate(heavy).astype(np.int64) - usual, 0) // most_entries + 1
+                piece = np.where(pieces > 1, np.repeat(node >> 20, sizes) % pieces + 1, 0)
+                central = np.repeat((np.array(means) * 512).astype(np.int16), sizes)
+                made = [np.concatenate(out).view(np.int64), piece.astype(np.int32), central, np.repeat(node, sizes), pos.astype(np.int32), np.repeat(np.array(ns), sizes).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=[x.split()[0] for x in ENTRY.split(", ")])
 
     return df.select(text).mapInArrow(run, ENTRY)
 
 
-ENTRY = "shingle long, piece int, o long, pos int, n int"
+ENTRY = "shingle long, piece int, central short, node long, pos int, n int"
 MEMBER = ENTRY + ", p long, pos_p int, n_p int"
 
 
 def members(entries: DataFrame) -> DataFrame:
     """MEMBER: the entries of columns with two classes or more, and of all pieces of columns, each beside its column's
-    or piece's pivot, which is the class of the highest order. A pivot's own entry is beside itself."""
+    or piece's pivot, which is the most central class. A pivot's own entry is beside itself."""
 
     def run(batches):
         last = None  # the pivot of the column that the last batch ended in, and whether it was given out
@@ -182,12 +195,12 @@ def members(entries: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             cols = [c.to_numpy() for c in batch.columns]
-            again = 0
+            again = False
             if last is not None:
                 cols = [np.concatenate([x, c]) for x, c in zip(last[0], cols)]
                 again = last[1]
             same = (cols[0][1:] == cols[0][:-1]) & (cols[1][1:] == cols[1][:-1])
-            once = np.concatenate([[True], ~(same & (cols[2][1:] == cols[2][:-1]))])  # classes that several tasks have seen
+            once = np.concatenate([[True], ~(same & (cols[3][1:] == cols[3][:-1]))])  # several tasks may have seen a class
             cols = [c[once] for c in cols]
             same = (cols[0][1:] == cols[0][:-1]) & (cols[1][1:] == cols[1][:-1])
             starts = np.flatnonzero(np.concatenate([[True], ~same]))
@@ -199,9 +212,9 @@ def members(entries: DataFrame) -> DataFrame:
             first = starts[-1]
             last = [c[first : first + 1].copy() for c in cols], bool(sizes[-1] > 1 or cols[1][first] > 0 or again and first == 0)
             if give.any():
-                yield pa.RecordBatch.from_arrays([pa.array(c[give]) for c in cols] + [pa.array(cols[i][pivot[give]]) for i in (2, 3, 4)], names=[x.split()[0] for x in MEMBER.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(c[give]) for c in cols] + [pa.array(cols[i][pivot[give]]) for i in (3, 4, 5)], names=[x.split()[0] for x in MEMBER.split(", ")])
 
-    dealt = entries.repartition("shingle", "piece").sortWithinPartitions("shingle", "piece", F.desc("o"))
+    dealt = entries.repartition("shingle", "piece").sortWithinPartitions("shingle", "piece", F.desc("central"), "node")
     return dealt.mapInArrow(run, MEMBER)
 
 
@@ -322,17 +335,13 @@ def classes_and_components(df: DataFrame, id_: str, text: str, k: int, percent:
     made = stored(signatures(df, id_, text, k), "signatures")
     rows = made.where("n is not null").select("id", "t", "n", "k0", "k1")
     classes = stored(made.where("k0 is not null").groupBy("k0", "k1").agg(F.count("*").alias("rows"), F.min("id").alias("first")).withColumn("node", node_of("k0")), "classes")
-    often = stored(made.where("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("n")), "often")
-    top = often.where(F.floor(F.log2("n") * 4) >= head(often, HOT)).toArrow()  # HOT rows at most
-    values = top["shingle"].to_numpy().view(np.uint64)
-    order = np.argsort(values)
-    common = spark.sparkContext.broadcast((values[order], top["n"].to_numpy()[order]))
-
-    thick = stored(members(columns(df, text, k, percent, common)), "members")
-    tops = stored(members(thick.where("piece > 0 and o = p").select("shingle", F.lit(0).alias("piece"), "o", "pos", "n")), "tops")
-    spokes = thick.union(tops).where(F.col("o") != F.col("p")).where(reach(percent))
-    first = stored(spokes.select(of_order("o").alias("a"), of_order("p").alias("b")).where("a <> b").distinct(), "pairs")
-    entries = thick.select(of_order("o").alias("node"), "shingle", "pos", "n")
+    counts = spark.sparkContext.broadcast(occurrences(made.where("part is not null").select("part", "counts")).clip(max=(1 << 32) - 1).astype(np.uint32))
+
+    thick = stored(members(columns(df, text, k, percent, counts)), "members")
+    tops = stored(members(thick.where("piece > 0 and node = p").select("shingle", F.lit(0).alias("piece"), "central", "node", "pos", "n")), "tops")
+    spokes = thick.union(tops).where(F.col("node") != F.col("p")).where(reach(percent))
+    first = stored(spokes.select(F.col("node").alias("a"), F.col("p").alias("b")).distinct(), "pairs")
+    entries = thick.select("node", "shingle", "pos", "n")
     pairs = stored(bounded(entries, first, percent), "pairs")
     edges = linked(df, text, k, percent, pairs)
     parts = connected_components(edges)

@@ -108,7 +108,6 @@ def test_cut_columns_link_as_whole_ones(spark, monkeypatch):
     """Pieces of very common columns, blocks with few partners: the same links."""
     monkeypatch.setattr(J, "PIECE", 3)
     monkeypatch.setattr(J, "PARTNERS", 2)
-    monkeypatch.setattr(J, "OFTEN", 2)
     rng = random.Random(5)
     for k, percent in ((3, 90), (1, 50)):
         docs = make(rng, 120) + [(200_000 + i, f"a b c d e f g h i {i % 7}") for i in range(40)]
@@ -133,12 +132,16 @@ def test_overlaps_are_exact(spark):
 
 
 def test_one_order_for_all_prefixes(spark):
-    text = " ".join(f"w{i}" for i in range(300))
-    hashes = np.sort(next(iter(shingles.sets(pa.array([text]), 1, shingles.Powers())))[0])
-    common = spark.sparkContext.broadcast((hashes[:1], np.array([9])))  # one in 300, the first by hash
-    rows = J.columns(spark.createDataFrame([(text,)], "text string"), "text", 1, 90, common).collect()
-    assert sorted(np.array([r.shingle for r in rows], np.int64).view(np.uint64)) == hashes[1:32].tolist()
-    assert sorted(r.pos for r in rows) == list(range(1, 32)) and {r.n for r in rows} == {300}
+    texts = [" ".join(f"w{i}" for i in range(300)), " ".join(f"w{i}" for i in range(50))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, *texts[1:] * 8])], "doc_id long, text string").repartition(3)
+    counts = J.occurrences(J.signatures(df, "doc_id", "text", 1).where("part is not null").select("part", "counts"))
+    hashes = [h for h, _ in shingles.sets(pa.array(texts[:1]), 1, shingles.Powers())][0]
+    assert sorted(counts[J.cells(hashes)].tolist()) == [1] * 250 + [10] * 50 and counts.sum() == 300 + 9 * 50
+    rows = J.columns(df, "text", 1, 90, spark.sparkContext.broadcast(counts)).where("n = 300").collect()
+    rows.sort(key=lambda r: r.pos)
+    rare = hashes[counts[J.cells(hashes)] == 1]
+    assert np.array([r.shingle for r in rows], np.int64).view(np.uint64).tolist() == rare[:31].tolist()
+    assert [r.pos for r in rows] == list(range(1, 32))
 
 
 def test_sets_against_python():
