@@ -75,6 +75,7 @@ _TOKEN = re.compile(
     r"""|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']++|"[^"<]*"|'[^'<]*')*+|[^>]*)>""",
     re.S | re.I,
 )
+_CLOSING = re.compile(r"</([a-z][^\s/>]*)", re.I)
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 _COMMENT = re.compile(r"(?:div-)?comments?(?:[-_](?:list|body|item|thread|content|area|section|wrapper|container|form|text|box|block|[0-9]+))?|commentlist")
@@ -127,9 +128,8 @@ def lines_of(page: str) -> tuple[list[str], list[int], list[bool], list[int]]:
     open_: list[tuple[str, int]] = []  # open divs, sections and articles, numbered as they begin
     n_open = 0
     run: list[str] = []
-    low = page.lower()
-    if len(low) != len(page):  # some capital letters grow
-        low = page
+    in_boxes = dict.fromkeys(BOXES, 0)  # how many of each are in open_
+    closed = {m[1].lower(): m.start() for m in _CLOSING.finditer(page)}  # where each name is closed last
     links = at = 0
     article = 0  # open article and main elements
     skip, depth = "", 0  # element that is skipped, and how many of its name are open
@@ -190,10 +190,11 @@ def lines_of(page: str) -> tuple[list[str], list[int], list[bool], list[int]]:
                 in_link = False
             elif name in BLOCKS:
                 flush()
-                if name in BOXES:
-                    for i in range(len(open_) - 1, -1, -1):
-                        if open_[i][0] == name:
-                            del open_[i:]
+                if name in BOXES and in_boxes[name]:
+                    while True:
+                        box = open_.pop()[0]
+                        in_boxes[box] -= 1
+                        if box == name:
                             break
                 if name in ("article", "main") and article:
                     article -= 1
@@ -210,7 +211,7 @@ def lines_of(page: str) -> tuple[list[str], list[int], list[bool], list[int]]:
                 if name in BLOCKS:
                     flush()
                 skip, depth = name, 1
-                opened = low.find("</" + name, at) < 0
+                opened = closed.get(name, -1) < at
             continue
         if name == "a":
             in_link = True
@@ -219,6 +220,7 @@ def lines_of(page: str) -> tuple[list[str], list[int], list[bool], list[int]]:
             if name in BOXES:
                 n_open += 1
                 open_.append((name, n_open))
+                in_boxes[name] += 1
             if name in ("article", "main"):
                 article += 1
                 doubted.clear()

@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 from ohmlake.llm.html_text import extract, main_text, op9_html_text
 
@@ -74,3 +75,19 @@ def test_query_against_a_plain_reading_of_the_pages(spark):
         blocks = [html.unescape(re.sub(r"<[^>]*>", "", x.replace("<br>", " "))) for x in re.split(r"</?(?:p|h1|h2|h3|li|ul|ol|div|blockquote|pre)(?:\s[^>]*)?>", inner)]
         assert r.text == "\n".join(" ".join(b.split()) for b in blocks if b.split())
         assert r.n_chars == len(r.text)
+
+
+def test_odd_pages_take_time_in_proportion():
+    """Elements that never end or only end: twice the page takes about twice the time."""
+    for piece, tail in (("<nav><p>a", ""), ("<div class=ad><main>", ""), ("<div><p>a", "</section>"), ("<div class=share><a>x</a>", "</div>")):
+        times = []
+        for n in (4000, 16000):
+            page = piece * n + tail * n
+            times.append(min(timed(page) for _ in range(3)))
+        assert times[1] < 10 * times[0] + 0.05, piece
+
+
+def timed(page):
+    began = time.perf_counter()
+    main_text(page)
+    return time.perf_counter() - began
