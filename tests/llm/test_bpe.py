@@ -17,11 +17,25 @@ def of(ids: bytes) -> list[int]:
     return [int.from_bytes(ids[i : i + 4], "little") for i in range(0, len(ids), 4)]
 
 
-def test_merge_is_the_librarys():
+def test_merges_are_the_librarys():
     rng = random.Random(5)
-    for _ in range(400):
-        word = "".join(rng.choice("abcdeth éñ日#") for _ in range(rng.randint(1, 60))).encode()
-        assert bpe.merge(word, RANKS) == LIBRARY._encode_single_piece(word)
+    words = ["".join(rng.choice("abcdeth éñ日#") for _ in range(rng.choice([1, 2, 3, 4, 5, 8, 9, 16, 17, 40]))).encode()[: bpe.ROW] for _ in range(800)]
+    words += [b"ab" * 32, b"a" * 64, b"", b"x"]
+    made = bpe.merge_rows(words, bpe.vocabulary(PATH))
+    for word, ids in zip(words, made):
+        assert of(ids) == (LIBRARY._encode_single_piece(word) if word else [])
+    for word in [w for w in words if w] + ["".join(rng.choice("theandof é") for _ in range(3000)).encode()]:
+        assert of(bpe.merge_one(word, RANKS)) == LIBRARY._encode_single_piece(word)
+
+
+def test_memory_forgets_without_harm(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 3)
+    memory = bpe.Memory(bpe.vocabulary(PATH))
+    rng = random.Random(2)
+    for _ in range(60):
+        asked = {"".join(rng.choice("abé") for _ in range(rng.choice([1, 2, 5, 80]))) for _ in range(3)}
+        assert {x: of(y) for x, y in memory.learn(asked).items()} == {x: LIBRARY._encode_single_piece(x.encode()) for x in asked}
+        assert len(memory.young) <= 6
 
 
 def test_round_trip_and_odd_cases(spark):
