@@ -45,12 +45,13 @@ from .common import forget, read, stored
 from .shingles import Powers, sets
 
 #: Cells in which the occurrences of shingles are counted, and the cells of one part of them. All counts together are
-#: 8 bytes a cell on the driver and 4 in a task, whatever the size of the corpus.
+#: 4 bytes a cell, on the driver and in a task, whatever the size of the corpus; they stop at MOST.
 CELLS = 1 << 22
 PART = 1 << 16
+MOST = (1 << 32) - 1
 #: Entries of a column, and partners of a pivot, that one piece has (about).
 PIECE = 1 << 16
-PARTNERS = 1 << 12
+PARTNERS = 1 << 8
 #: Bits of the Bloom filter of wanted classes: 16 a class within these bounds (32 MB at most). With more
 #: classes than the largest is for, more sets are made and then dropped; results are the same.
 BLOOM = (16, 28)
@@ -122,16 +123,16 @@ def occurrences(counts: DataFrame) -> np.ndarray:
             for at, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if at != part:
                     if part is not None:
-                        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["part", "counts"])
+                        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([total.clip(max=MOST).astype(np.uint32).tobytes()], pa.binary())], names=["part", "counts"])
                     part, total = at, np.zeros(PART, np.int64)
                 total += np.frombuffer(data, np.uint8 if len(data) == PART else np.int64)
         if part is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["part", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([total.clip(max=MOST).astype(np.uint32).tobytes()], pa.binary())], names=["part", "counts"])
 
     summed = counts.repartition("part").sortWithinPartitions("part").mapInArrow(run, "part long, counts binary").collect()
-    out = np.zeros(CELLS, np.int64)
+    out = np.zeros(CELLS, np.uint32)
     for r in summed:  # CELLS / PART rows
-        out[r["part"] * PART : (r["part"] + 1) * PART] = np.frombuffer(r["counts"], np.int64)
+        out[r["part"] * PART : (r["part"] + 1) * PART] = np.frombuffer(r["counts"], np.uint32)
     return out
 
 
@@ -150,7 +151,7 @@ def columns(df: DataFrame, text: str, k: int, percent: int, counts) -> DataFrame
         for batch in batches:
             for hashes, offsets in sets(batch.column(0), k, powers):
                 weight = table[cells(hashes)]
-                logs = np.concatenate([[0.0], np.cumsum(np.log2(weight + 1.0))])
+                logs = np.concatenate([[0.0], np.cumsum(np.log2(weight.astype(float) + 1.0))])
                 out, heavy, nodes, means, sizes, ns = [], [], [], [], [], []
                 for key, a, b in zip(keys(hashes, offsets), offsets[:-1].tolist(), offsets[1:].tolist()):
                     if key is None or key in seen:
@@ -335,7 +336,7 @@ def classes_and_components(df: DataFrame, id_: str, text: str, k: int, percent:
     made = stored(signatures(df, id_, text, k), "signatures")
     rows = made.where("n is not null").select("id", "t", "n", "k0", "k1")
     classes = stored(made.where("k0 is not null").groupBy("k0", "k1").agg(F.count("*").alias("rows"), F.min("id").alias("first")).withColumn("node", node_of("k0")), "classes")
-    counts = spark.sparkContext.broadcast(occurrences(made.where("part is not null").select("part", "counts")).clip(max=(1 << 32) - 1).astype(np.uint32))
+    counts = spark.sparkContext.broadcast(occurrences(made.where("part is not null").select("part", "counts")))
 
     thick = stored(members(columns(df, text, k, percent, counts)), "members")
     tops = stored(members(thick.where("piece > 0 and node = p").select("shingle", F.lit(0).alias("piece"), "central", "node", "pos", "n")), "tops")
