@@ -21,18 +21,22 @@ LEAST_SURE = 0.5
 
 
 def _judged(docs: DataFrame) -> DataFrame:
-    """docs as one column beside a text, so that no column of theirs clashes with an operator's."""
-    return docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").alias("text"))
+    """docs as the text beside one column of all others, so that none of them clashes with an operator's."""
+    return docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("_row"), "text")
+
+
+def _back(judged: DataFrame, docs: DataFrame) -> DataFrame:
+    return judged.select(*[F.col("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language.train_on(docs)
-    found = language.predict(_judged(docs), model, drop_text=True)
-    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SURE)).select("_row.*")
+    found = language.predict(_judged(docs), model)
+    return _back(found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SURE)), docs)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.quality(_judged(docs), drop_text=True).where("kept").select("_row.*")
+    return _back(quality.quality(_judged(docs)).where("kept"), docs)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +44,8 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    hits = decontaminate.decontaminate(_judged(docs), read(spark, sf_dir, "benchmark"), drop_text=True)
-    return hits.where(F.size("hit_words") == 0).select("_row.*")
+    hits = decontaminate.decontaminate(_judged(docs), read(spark, sf_dir, "benchmark"))
+    return _back(hits.where(F.size("hit_words") == 0), docs)
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -60,14 +60,18 @@ def filters_near_component(nets: DataFrame, components: DataFrame, keys: DataFra
 
 
 def pull_up_voltages(nets: DataFrame, components: DataFrame, keys: DataFrame, by: list[str] = CIRCUIT) -> DataFrame:
-    """GQ-7: (by, reference, voltages) for each key: rails on all nets of the resistors on its nets."""
+    """GQ-7: (by, reference, voltages) for each key: rails on all nets of the resistors on its nets.
+
+    A net hands on the few rails that it has, so no join has more rows than parts have nets, times the rails.
+    """
     on = incidence(nets, by)
     resistors = on.join(components.select(*by, "reference"), [*by, "reference"], "left_semi").where(F.col("reference").startswith("R"))
-    near = nets_for_component(nets, keys, by).withColumnRenamed("reference", "key").join(resistors, [*by, "net"]).select(*by, "key", "reference").distinct()
     rails = rails_on_net(nets, components, None, by, PULL_UP_RAILS).select(*by, "net", "value").distinct()
-    found = near.join(resistors, [*by, "reference"]).join(rails, [*by, "net"]).groupBy(*by, "key").agg(F.array_sort(F.collect_set("value")).alias("voltages"))
-    asked = keys.select(*by, F.col("reference").alias("key")).distinct()
-    return asked.join(found, [*by, "key"], "left").select(*by, F.col("key").alias("reference"), F.coalesce("voltages", F.array().cast("array<string>")).alias("voltages"))
+    of_resistor = resistors.join(rails, [*by, "net"]).select(*by, "reference", "value").distinct()
+    of_net = resistors.join(of_resistor, [*by, "reference"]).select(*by, "net", "value").distinct()
+    found = nets_for_component(nets, keys, by).join(of_net, [*by, "net"]).groupBy(*by, "reference").agg(F.array_sort(F.collect_set("value")).alias("voltages"))
+    asked = keys.select(*by, "reference").distinct()
+    return asked.join(found, [*by, "reference"], "left").select(*by, "reference", F.coalesce("voltages", F.array().cast("array<string>")).alias("voltages"))
 
 
 def routed(questions: DataFrame, text: str = "question") -> DataFrame:

@@ -539,7 +539,7 @@ def _(spark, d):
     return W.not_completed(e, e.where("user_id % 2 = 0 and event_type = 'view'"), ["user_id", "event_type"]).select("event_id")
 
 
-@query("crl20_outcome_totals", "SELECT user_id, day, success, error, skipped, sum(success) OVER w AS success_so_far FROM (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, count_if(status = 'success')::BIGINT AS success, count_if(status = 'error')::BIGINT AS error, count_if(status = 'skipped')::BIGINT AS skipped FROM fetches GROUP BY ALL) WINDOW w AS (PARTITION BY user_id ORDER BY day)")
+@query("crl20_outcome_totals", "SELECT user_id, day, success, error, skipped, (sum(success) OVER w)::BIGINT AS success_so_far FROM (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, count_if(status = 'success')::BIGINT AS success, count_if(status = 'error')::BIGINT AS error, count_if(status = 'skipped')::BIGINT AS skipped FROM fetches GROUP BY ALL) WINDOW w AS (PARTITION BY user_id ORDER BY day)")
 def _(spark, d):
     own = derived(spark, d, "fetches").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
     return W.outcome_totals(own, ["user_id", "day"]).select("user_id", "day", "success", "error", "skipped", "success_so_far")
