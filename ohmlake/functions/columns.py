@@ -29,10 +29,12 @@ def ordered(columns: Column, value: str) -> Column:
 
 
 def natural_key(text: str | Column) -> Column:
-    """A sort key that takes runs of digits as numbers (R2 before R10)."""
+    """A sort key that takes runs of digits, however long, as numbers (R2 before R10)."""
     text = F.col(text) if isinstance(text, str) else text
     runs = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1))
-    return F.array_join(F.transform(runs, lambda x: F.when(x.rlike("^[0-9]"), F.lpad(x, 24, "0")).otherwise(x)), "")
+    digits = lambda x: F.ltrim(x, F.lit("0"))
+    number = lambda x: F.concat(F.lpad(F.length(digits(x)).cast("string"), 10, "0"), digits(x))
+    return F.array_join(F.transform(runs, lambda x: F.when(x.rlike("^[0-9]"), number(x)).otherwise(x)), "")
 
 
 def has_any(text: Column, words: list[str]) -> Column:

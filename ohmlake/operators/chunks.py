@@ -110,20 +110,33 @@ def semantic(texts: DataFrame, size: int = CHUNK_SIZE, overlap: int = OVERLAP) -
 
     A text without a header has no chunks. Ids repeat where sections of a type do, as they are names.
     """
-    marked = texts.withColumn("_s", F.array_sort(F.transform(_spans(SECTION_HEADERS, False)("text"), lambda x: F.struct(x["start"].alias("start"), x["family"].alias("family"), x["end"].alias("end"), x["title"].alias("title")))))
-    marked = marked.where(F.size("_s") > 0)
-    every = marked.select("*", F.posexplode("_s").alias("_i", "_h"))
-    to = F.coalesce(F.get("_s", F.col("_i") + 1)["start"], F.length("text"))
-    body = strip(F.substring(F.col("text"), F.col("_h")["end"] + 1, F.greatest(F.lit(0), to - F.col("_h")["end"])))
-    every = every.withColumns({"_body": body, "_type": section_type(F.col("_h")["title"]), "_title": F.col("_h")["title"]}).where(F.length("_body") > LEAST_CHUNK)
-    id_ = F.concat("source_file", F.lit("_"), "_type")
-    short = _chunk(every.where(F.length("_body") <= 2 * size), id=id_, chunk_type=F.col("_type"), section=F.col("_title"), text=F.col("_body"))
-    pieces = windows(every.where(F.length("_body") > 2 * size).withColumn("_tokens", tokens(F.col("_body"))), "_tokens", size, overlap)
+    if size <= overlap:
+        raise ValueError("the overlap must be smaller than the size")
+    spans = F.array_sort(F.transform(_spans(SECTION_HEADERS, False)("text"), lambda x: F.struct(x["start"].alias("start"), x["family"].alias("family"), x["end"].alias("end"), x["title"].alias("title"))))
+    marked = texts.withColumn("_s", spans).where(F.size("_s") > 0)
+    # a part is a stretch of the text: the body of each header up to the next one, and the introduction
+    to = lambda i: F.coalesce(F.get("_s", i + 1)["start"], F.length("text"))
+    part = lambda at, n, title, intro: F.struct(at.alias("at"), n.alias("n"), title.alias("title"), F.lit(intro).alias("intro"))
+    bodies = F.transform("_s", lambda h, i: part(h["end"] + 1, F.greatest(F.lit(0), to(i) - h["end"]), h["title"], False))
+    parts = F.concat(bodies, F.array(part(F.lit(1), F.get("_s", F.lit(0))["start"], F.lit("Introduction"), True)))
+    every = marked.withColumn("_p", F.explode(parts)).drop("_s")
+    every = every.withColumns({"_body": strip(F.substring(F.col("text"), F.col("_p")["at"], F.col("_p")["n"])), "_title": F.col("_p")["title"], "_intro": F.col("_p")["intro"]}).drop("_p", "text")
+    every = every.where(F.length("_body") > F.when(F.col("_intro"), LEAST_INTRO).otherwise(LEAST_CHUNK))
+    cut = ~F.col("_intro") & (F.length("_body") > 2 * size)
+    every = every.withColumn("_tokens", F.when(cut, tokens(F.col("_body"))))
+    offsets = F.when(F.col("_tokens").isNull(), F.array(F.lit(None).cast("int"))).when(F.size("_tokens") > 0, F.sequence(F.lit(0), F.size("_tokens") - 1, F.lit(size - overlap)))
+    every = every.withColumn("offset", F.explode(offsets))
     j = (F.col("offset") / (size - overlap)).cast("int")
-    long = _chunk(pieces, id=F.concat(id_, F.lit("_"), j.cast("string")), chunk_type=F.col("_type"), section=F.col("_title"), text=F.col("piece"), chunk_index=j)
-    intro = marked.withColumn("_intro", strip(F.substring(F.col("text"), F.lit(1), F.get("_s", F.lit(0))["start"]))).where(F.length("_intro") > LEAST_INTRO)
-    intro = _chunk(intro, id=F.concat("source_file", F.lit("_intro")), chunk_type=F.lit("description"), section=F.lit("Introduction"), text=F.col("_intro"))
-    return short.unionByName(long).unionByName(intro)
+    kind = F.when(F.col("_intro"), "description").otherwise(section_type(F.col("_title")))
+    name = F.when(F.col("_intro"), "intro").otherwise(kind)
+    return _chunk(
+        every,
+        id=F.concat("source_file", F.lit("_"), name, F.coalesce(F.concat(F.lit("_"), j.cast("string")), F.lit(""))),
+        chunk_type=kind,
+        section=F.col("_title"),
+        text=F.when(F.col("offset").isNull(), F.col("_body")).otherwise(F.array_join(F.slice("_tokens", F.col("offset") + 1, F.lit(size)), " ")),
+        chunk_index=F.coalesce(j, F.lit(0)),
+    )
 
 
 def sentence_boundary(texts: DataFrame, size: int = CHUNK_SIZE, overlap: int = OVERLAP) -> DataFrame:

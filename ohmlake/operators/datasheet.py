@@ -120,7 +120,7 @@ def table_pins(cells: DataFrame) -> DataFrame:
     wide = own.groupBy("source_file", "table_no", "row_no").pivot("role", ["pin", "name", "desc"]).agg(F.first("cell"))
     has = lambda c: F.count(c).over(Window.partitionBy("source_file", "table_no")) > 0
     wide = wide.withColumn("_ok", has("pin") & has("name")).where(F.col("_ok") & ~F.coalesce(F.trim("name"), F.lit("")).isin("", "nan", "None"))
-    pos = (F.col("table_no") * 1_000_000 + F.col("row_no")).cast("int")
+    pos = F.shiftleft(F.col("table_no").cast("long"), 31) + F.col("row_no")
     return _pins(wide.withColumn("pos", pos), 3, F.col("pin"), F.trim("name"), F.trim(F.coalesce("desc", F.lit(""))), F.lit(""), None)
 
 

@@ -38,13 +38,6 @@ def touching(wires: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     return chain.unionByName(pairs.select("schematic_id", F.least("first", "other").alias("a"), F.greatest("first", "other").alias("b"))).distinct()
 
 
-def all_touching(wires: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
-    """NET-1 with every touching pair, which net numbering needs."""
-    a = endpoints(wires).toDF("schematic_id", "a", "ax", "ay")
-    b = endpoints(wires).toDF("schematic_id", "b", "bx", "by")
-    return near(a, b, tolerance, BY, "ax", "ay", "bx", "by").where("a < b").select("schematic_id", "a", "b").distinct()
-
-
 def node(schematic: str = "schematic_id", ordinal: str = "ordinal") -> Column:
     return F.concat_ws(":", F.col(schematic).cast("string"), F.lpad(F.col(ordinal).cast("string"), 12, "0"))
 
@@ -63,7 +56,8 @@ def net_numbers(wires: DataFrame, groups: DataFrame, tolerance: float = TOLERANC
     A group's place is the ordinal of the last wire that merged groups, else of its first wire. That is found
     within each group by itself, in order of its wires.
     """
-    edges = all_touching(wires, tolerance).select("schematic_id", F.col("b").alias("ordinal"), "a")
+    # of the earlier wires at one point the last stands for all, as these are one group by then
+    edges = touching(wires, tolerance).select("schematic_id", F.col("b").alias("ordinal"), "a")
     before = edges.groupBy("schematic_id", "ordinal").agg(F.collect_list("a").alias("before"))
     rows = groups.join(before, ["schematic_id", "ordinal"], "left").withColumn("before", F.coalesce("before", F.array().cast("array<bigint>")))
 

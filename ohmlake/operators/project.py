@@ -21,20 +21,21 @@ def sheet_paths(files: DataFrame, sheets: DataFrame, instances: DataFrame) -> Da
     return own.select("project_id", F.concat("path", F.lit("/"), "sheet_uuid").alias("path"), F.col("sheetfile").alias("filename"), F.coalesce("sheetname", "sheetfile").alias("sheetname"), F.coalesce("page", F.lit("")).alias("page"), F.col("path").alias("instance_path"), "owner")
 
 
-def reachable(roots: DataFrame, links: DataFrame, by: list[str], rounds: int = 100) -> DataFrame:
+def reachable(roots: DataFrame, links: DataFrame, by: list[str]) -> DataFrame:
     """PRJ-2: (by, node) that links (by, node, to) reach from roots (by, node), the roots included.
 
-    Breadth first: each round joins only what the last one found, and drops what is known. Cycles end.
+    Breadth first: each round joins only what the last one found, drops what is known and writes what is new.
+    Tables of many rounds are put together now and then. Cycles end; chains may be of any depth.
     """
-    seen = stored(roots.select(*by, "node").distinct(), "seen")
-    new = seen
-    step = links.select(*by, "node", "to").distinct()
-    for _ in range(rounds):
+    step = stored(links.select(*by, "node", "to").distinct(), "links")
+    new = stored(roots.select(*by, "node").distinct(), "reached")
+    found = [new]
+    while True:
+        seen = reduce(DataFrame.unionByName, found)
         new = stored(new.join(step, [*by, "node"]).select(*by, F.col("to").alias("node")).distinct().join(seen, [*by, "node"], "left_anti"), "reached")
         if new.isEmpty():
             return seen
-        seen = stored(seen.union(new), "seen")
-    raise RuntimeError(f"still growing after {rounds} rounds")
+        found = [*found, new] if len(found) < 16 else [stored(seen, "reached"), new]
 
 
 def roots(files: DataFrame, paths: DataFrame) -> DataFrame:

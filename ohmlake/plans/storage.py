@@ -23,21 +23,34 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def _place(spark: SparkSession, path: str):
+    """A path and its file system, as Spark's JVM knows them."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, deleted when Spark ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    place, system = _place(spark, path)
+    system.mkdirs(place)
+    system.deleteOnExit(place)
+    return path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    place, system = _place(spark, path)
+    system.deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def forget(*tables: DataFrame) -> None:
     """Delete tables of ``stored`` early, once all that was made of them is stored itself."""
     for df in tables:
-        jvm = df.sparkSession.sparkContext._jvm
         for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            target = jvm.org.apache.hadoop.fs.Path(folder)
-            target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            place, system = _place(df.sparkSession, folder)
+            system.delete(place, True)

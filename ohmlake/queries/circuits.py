@@ -437,12 +437,17 @@ def _(spark, d):
     return nets(spark, d).withColumns({"net_type": F.lit(None).cast("string"), "connection_points": none}).select("schematic_id", F.col("name").alias("net"), V.net_text().alias("text"))
 
 
-@query("vec1_group_texts")
+GROUP_FACTS = ", ".join(f"('{n}', '{f}', '{d}')" for n, (f, d) in C.GROUPS.items())
+
+
+@query("vec1_group_texts", f"""
+SELECT schematic_id, name, 'Functional group ' || name || '. Function: ' || f || '. Description: ' || d || '. Components: ' || string_agg(reference, ', ' ORDER BY part, ordinal, reference) || '.' AS text
+FROM group_members JOIN (VALUES {GROUP_FACTS}) facts(name, f, d) USING (name) GROUP BY schematic_id, name, f, d""")
 def _(spark, d):
     return C.functional_groups(comps(spark, d)).select("schematic_id", "name", V.group_text().alias("text"))
 
 
-@query("vec2_embedded")
+@query("vec2_embedded", "SELECT DISTINCT schematic_id, name, 64::INTEGER AS dim, 1.0::DOUBLE AS norm FROM group_members")
 def _(spark, d):
     own = C.functional_groups(comps(spark, d)).select("schematic_id", "name", V.group_text().alias("text"))
     return V.embedded(own, "text", dim=64).select("schematic_id", "name", F.size("embedding").alias("dim"), F.round(V.norm(F.col("embedding")), 4).alias("norm"))

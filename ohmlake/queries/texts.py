@@ -117,7 +117,7 @@ def _(spark, d):
     return K.corpus_summary(K.sliding_window(texts(spark, d)))
 
 
-@query("vec10_embedded_chunks")
+@query("vec10_embedded_chunks", f"WITH {WINDOWS} SELECT 'd' || doc_id || '_slide_' || off AS id, 64::INTEGER AS dim, lang FROM c WHERE length(piece) > 50")
 def _(spark, d):
     from ohmlake.operators.vectors import embedded_chunks
 
@@ -900,9 +900,9 @@ def _(spark, d):
     return J.next_stage(results(spark, d))
 
 
-@query("str8_dead_letters", "SELECT user_id::VARCHAR AS key, count_if(event_type = 'error')::BIGINT AS receives FROM events WHERE event_type IN ('error', 'purchase') AND event_id % 7 = 0 GROUP BY user_id HAVING count_if(event_type = 'purchase') = 0 AND count_if(event_type = 'error') >= 3")
+@query("str8_dead_letters", "SELECT user_id::VARCHAR AS key, count_if(event_type = 'error')::BIGINT AS receives FROM events WHERE event_type IN ('error', 'purchase') GROUP BY user_id HAVING count_if(event_type = 'purchase') = 0 AND count_if(event_type = 'error') >= 3")
 def _(spark, d):
-    own = given(spark, d, "events").where("event_type in ('error', 'purchase') and event_id % 7 = 0").select(F.col("user_id").cast("string").alias("key"), F.col("ts").alias("event_ts"), (F.col("event_type") == "purchase").alias("ok"), F.lit("e").alias("error"))
+    own = given(spark, d, "events").where("event_type in ('error', 'purchase')").select(F.col("user_id").cast("string").alias("key"), F.col("ts").alias("event_ts"), (F.col("event_type") == "purchase").alias("ok"), F.lit("e").alias("error"))
     return J.dead_letters(own).select("key", "receives")
 
 

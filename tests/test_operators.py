@@ -5,8 +5,9 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ohmlake.functions.columns import natural_key, unit_suffix
 from ohmlake.operators import board as B, chunks as K, crawl as W, datasheet as D, graph as G, nets as N, project as P, responses as A, vectors as V
@@ -59,7 +60,7 @@ def test_net_groups_and_names_are_those_of_sequential_merging(spark):
     numbers = N.net_numbers(df, groups)
     got = {(r.schematic_id, r.ordinal): r.net_id for r in groups.join(numbers, ["schematic_id", "wire_group"]).collect()}
     assert got == {(s, o): i for s, ws in every.items() for o, i in sequential(ws).items()}
-    assert not NO_PRODUCT.search(plan(N.all_touching(df)))
+    assert not NO_PRODUCT.search(plan(numbers))
 
 
 def test_nets_take_labels_junctions_and_pins(spark):
@@ -288,9 +289,21 @@ def test_anchor_text_and_sanitizing(spark):
 def test_natural_order_and_suffixes(spark):
     df = spark.createDataFrame([("R10",), ("R2",), ("R2b",), ("",), (None,), ("10",), ("9",)], "n string")
     assert [r.n for r in df.orderBy(natural_key("n"), F.col("n").asc_nulls_first()).collect()] == [None, "", "9", "10", "R2", "R2b", "R10"]
+    long = ["R" + "9" * 30, "R1" + "0" * 30, "R2" + "0" * 30, "R007", "R8"]
+    rows = spark.createDataFrame([(x,) for x in long], "n string").orderBy(natural_key("n")).collect()
+    assert [r.n for r in rows] == ["R007", "R8", *long[:3]]
     assert [r[0] for r in spark.createDataFrame([(i,) for i in (0, 1, 26, 27, 52, 53)], "u int").select(unit_suffix(F.col("u"))).collect()] == ["", "A", "Z", "AA", "AZ", "BA"]
 
 
+def test_deep_sheets_and_many_tables(spark):
+    links = spark.createDataFrame([(1, i, i + 1) for i in range(20)] + [(1, 20, 3), (2, 0, 1)], "p long, node long, to long")
+    found = P.reachable(spark.createDataFrame([(1, 0), (3, 5)], "p long, node long"), links, ["p"])
+    assert sorted(map(tuple, found.collect())) == [(1, i) for i in range(21)] + [(3, 5)]
+    cells = [("f", t, r, c, h, x) for t, r in ((1, 0), (3000, 5), (2_000_000_000, 7)) for c, h, x in ((0, "Pin", "1"), (1, "Signal", f"S{t}"))]
+    pins = D.table_pins(spark.createDataFrame(cells, "source_file string, table_no int, row_no int, col_no int, header string, cell string"))
+    assert [r.pin_name for r in pins.orderBy("pos").collect()] == ["S1", "S3000", "S2000000000"]
+
+
 def test_template_variables(spark):
     t = spark.createDataFrame([(1, 1, "${A}-${B}-${A}${X"), (1, 2, None), (1, 3, "${A")], "p long, text_id long, text string")
     v = spark.createDataFrame([(1, 2, "A", "two"), (1, 1, "A", "one"), (1, 1, "B", "$1\\")], "p long, scope int, name string, value string")
@@ -308,6 +321,25 @@ def test_recall_of_the_index(spark):
     assert len(exact & near_) / len(exact) >= 0.9
 
 
+def test_nearest_against_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(40, 3)).round(1)
+    vectors = [v.tolist() for v in base] + [base[0].tolist()] * 30 + [[0.0, 0.0, 0.0]] * 12 + [[1.0, 2.0], None, [1.0, None, 2.0], (base[1] * 2).tolist()]
+    rows = list(enumerate(vectors)) + [(3, vectors[9]), (None, vectors[5])]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    asked = [(0, vectors[0]), (1, vectors[1]), (2, [0.0, 0.0, 0.0]), (3, [1.0, 2.0]), (4, None), (1, vectors[7])]
+    q = spark.createDataFrame(asked, "query_id long, query_vector array<double>")
+    for metric in ("cosine", "l2"):
+        pairs = e.crossJoin(q).where("size(embedding) = size(query_vector) and not exists(embedding, x -> x is null)")
+        w = Window.partitionBy("query_id").orderBy(F.col("distance").asc(), F.col("vec_id").asc())
+        want = pairs.select("query_id", "vec_id", V.distance(F.col("embedding"), F.col("query_vector"), metric).alias("distance")).withColumn("rank", F.row_number().over(w)).where("rank <= 7")
+        key = lambda df: sorted(map(str, df.select("query_id", "rank", "vec_id", "distance").collect()))
+        assert key(V.nearest(e, q, 7, metric=metric)) == key(want) == key(V.nearest(e, q, 7, metric=metric, most_queries=2))
+        assert not NO_PRODUCT.search(plan(V.nearest(e, q, 7, metric=metric)))
+    assert V.nearest(e.limit(0), q).count() == 0 and V.nearest(e, q.limit(0)).count() == 0
+    assert V.nearly_nearest(e.limit(0), q).count() == 0 and V.nearly_nearest(e, q.limit(0)).count() == 0
+
+
 def test_zero_vectors_and_ties(spark):
     e = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, [2.0, 0.0]), (4, [0.0, 1.0])], "vec_id long, embedding array<float>")
     q = spark.createDataFrame([(9, [1.0, 0.0])], "query_id long, query_vector array<float>")
