@@ -20,12 +20,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType, StructField, StructType, _parse_datatype_string
 
-from ohmlake.plans.storage import forget, shared_folder, stored  # noqa: F401
+from ohmlake.plans.storage import forget, fresh_folder, stored  # noqa: F401
 
 #: Text that one step of numpy work takes at once; a longer single text makes a step of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 #: Text whose rows one step of a batch takes: what Python makes of it is handed on before the next step.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

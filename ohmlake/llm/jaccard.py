@@ -86,7 +86,7 @@ def signatures(df: DataFrame, id_: str, text: str, k: int) -> DataFrame:
     """A row for each text: id, t (a hash of the text), n, k0, k1; and rows (part, counts): the task's counts of a part of the cells."""
 
     def run(batches):
-        powers, count, kind = Powers(), np.zeros(CELLS, np.int64), None
+        powers, count, kind = Powers(), np.zeros(CELLS, np.uint32), None  # a task has fewer shingles than that holds
         for batch in batches:
             kind = batch.column(0).type
             at = 0
@@ -97,15 +97,15 @@ def signatures(df: DataFrame, id_: str, text: str, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), batch.column(1).slice(at, n), *sizes, pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names=names)
                 at += n
                 if len(hashes) > CELLS >> 4:
-                    count += np.bincount(cells(hashes), minlength=CELLS)
+                    count += np.bincount(cells(hashes), minlength=CELLS).astype(np.uint32)
                 else:
-                    np.add.at(count, cells(hashes), 1)
+                    np.add.at(count, cells(hashes), np.uint32(1))
         if kind is None:
             return
         for part in range(CELLS // PART):
             own = count[part * PART : (part + 1) * PART]
             if own.any():
-                data = own.astype(np.uint8 if own.max() < 256 else np.int64).tobytes()
+                data = own.astype(np.uint8 if own.max() < 256 else np.uint32).tobytes()
                 yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), *[pa.nulls(1, pa.int64())] * 4, pa.array([part], pa.int64()), pa.array([data], pa.binary())], names=names)
 
     names = ["id", "t", "n", "k0", "k1", "part", "counts"]
@@ -125,7 +125,7 @@ def occurrences(counts: DataFrame) -> np.ndarray:
                     if part is not None:
                         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([total.clip(max=MOST).astype(np.uint32).tobytes()], pa.binary())], names=["part", "counts"])
                     part, total = at, np.zeros(PART, np.int64)
-                total += np.frombuffer(data, np.uint8 if len(data) == PART else np.int64)
+                total += np.frombuffer(data, np.uint8 if len(data) == PART else np.uint32)
         if part is not None:
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([total.clip(max=MOST).astype(np.uint32).tobytes()], pa.binary())], names=["part", "counts"])
 

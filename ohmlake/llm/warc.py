@@ -1,12 +1,12 @@
 """WARC records in ZIP-packaged archives (operator 7).
 
-``write`` packs one record a row into archives: ZIP files whose members, a WARC file and an index of
-its records, are stored without compression. ``read`` goes the way back without extraction: it finds
+``write_files`` packs one record a row into archive files: ZIP files whose members, a WARC file and an index of
+its records, are stored without compression. ``records_of`` goes the way back without extraction: it finds
 the end record of the central directory (and the ZIP64 one where a field is full), reads the
-directory, takes the members' places from their local headers, and reads each record as a byte range
-that the index names. An archive without an index is walked record by record. The source of bytes is
-a function of offset and size, so that archives in a file store need not be loaded: ``read_files``
-first lists the records of all archives and then deals their ranges over tasks.
+directory, takes the members' places from their local headers, deals the byte ranges that the indexes name
+over tasks, and reads each record by its range. An archive without an index is walked record by record. Files may
+be on any system that Arrow reaches and executors share. A task that runs again writes new files, and only
+those that its rows name are read. ``write`` and ``read`` do the same with archives in a binary column.
 
 Duplicates: of records with equal payloads of ``LEAST`` bytes or more, the one with the smallest id
 is the response, the others are revisits without payload that refer to it. Smaller payloads and
@@ -23,24 +23,31 @@ import gzip
 import hashlib
 import io
 import json
+import re
 import struct
+import uuid
 import zipfile
 import zlib
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import read as read_table, stored
+from .common import fresh_folder, read as read_table, stored
 
 #: Payload bytes from which equal ones are not stored twice.
 LEAST = 100
 #: Bytes of records after which a task closes an archive.
 ARCHIVE_BYTES = 4 << 20
+#: Bytes of records whose rows are handed on at once.
+BATCH_BYTES = 4 << 20
 
 WARC_MEMBER = "archive/data.warc"
 INDEX_MEMBER = "indexes/index.cdxj"
+NOBODY = "<urn:nobody>"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 Source = Callable[[int, int], bytes]
@@ -62,25 +69,24 @@ class Member(NamedTuple):
 def record(id_: str | None, url: str | None, payload: bytes, digest: str, refers_to: str | None) -> bytes:
     """One WARC record; a revisit (refers_to is not None) has the HTTP header of its payload only."""
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{_plain(id_)}>"]
+    named = lambda x: NOBODY if x is None else f"<urn:page:{_plain(x)}>"
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {named(id_)}"]
     if url is not None:
         lines.append(f"WARC-Target-URI: {_plain(url)}")
+    if any(x is not None and _plain(x) != x for x in (id_, url, refers_to)):
+        lines.append("X-Fields: percent-encoded")
     lines += ["WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: application/http; msgtype=response"]
     if refers_to is None:
         block += payload
     else:
-        lines += [f"WARC-Refers-To: <urn:page:{_plain(refers_to)}>", f"WARC-Profile: {PROFILE}"]
+        lines += [f"WARC-Refers-To: {named(refers_to)}", f"WARC-Profile: {PROFILE}"]
     lines.append(f"Content-Length: {len(block)}")
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def _plain(value: str | None) -> str:
-    """Without line ends, which would end a header."""
-    return "" if value is None else value.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
-
-
-def _raw(value: str) -> str:
-    return value.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
+def _plain(value: str) -> str:
+    """Without line ends, which would end a header, and without white space at its ends, which readers drop."""
+    return re.sub(r"[%\r\n]|^\s+|\s+$", lambda m: quote(m[0], safe=""), value)
 
 
 def head(data: bytes, at: int = 0) -> tuple[dict[str, str], int]:
@@ -112,8 +118,9 @@ def parsed(data: bytes) -> tuple:
         size, digest = int(http.get("content-length", 0)), fields.get("warc-payload-digest", "").partition(":")[2]
     else:
         digest = hashlib.sha256(payload).hexdigest()
-    name = lambda key: _raw(fields[key].removeprefix("<urn:page:").removesuffix(">")) or None if key in fields else None
-    return (name("warc-record-id"), _raw(fields["warc-target-uri"]) if "warc-target-uri" in fields else None, size, digest, kind, name("warc-refers-to")), payload
+    raw = unquote if "x-fields" in fields else str
+    name = lambda key: raw(fields[key].removeprefix("<urn:page:").removesuffix(">")) if fields.get(key, NOBODY) != NOBODY else None
+    return (name("warc-record-id"), raw(fields["warc-target-uri"]) if "warc-target-uri" in fields else None, size, digest, kind, name("warc-refers-to")), payload
 
 
 # ---------------------------------------------------------------- archives
@@ -238,27 +245,56 @@ def response_of(records: DataFrame) -> DataFrame:
 
 def write(pages: DataFrame, id_: str, url: str, payload: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """(archive binary) packed from the rows of pages; the caller stores them. Other columns are left out."""
+
+    def run(batches):
+        for data in _archives(batches, archive_bytes):
+            yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["archive"])
+
+    return _records(pages, id_, url, payload).mapInArrow(run, "archive binary")
+
+
+def write_files(pages: DataFrame, id_: str, url: str, payload: str, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """(path, length) of the archive files that the rows of pages are written to, in a folder that executors share; a stored table."""
+
+    def run(batches):
+        system, inner = _system(folder)
+        system.create_dir(inner, recursive=True)
+        for data in _archives(batches, archive_bytes):
+            name = f"{uuid.uuid4().hex}.zip"
+            with system.open_output_stream(f"{inner}/{name}") as f:
+                f.write(data)
+            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([len(data)], pa.int64())], names=["path", "length"])
+
+    return stored(_records(pages, id_, url, payload).mapInArrow(run, "path string, length long"), "archives")
+
+
+def _records(pages: DataFrame, id_: str, url: str, payload: str) -> DataFrame:
+    """(id, url, payload, size, digest, refers_to): what a record is made of; a revisit has no payload."""
     body = F.encode(F.coalesce(F.col(payload).cast("string"), F.lit("")), "utf-8")
     rows = pages.select(F.col(id_).alias("id"), F.col(url).cast("string").alias("url"), body.alias("payload"))
     rows = response_of(rows.withColumns({"digest": F.sha2("payload", 256), "size": F.length("payload").cast("long")}))
-    rows = rows.select(F.col("id").cast("string").alias("id"), "url", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"), "size", "digest", F.col("refers_to").cast("string").alias("refers_to"))
+    return rows.select(F.col("id").cast("string").alias("id"), "url", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"), "size", "digest", F.col("refers_to").cast("string").alias("refers_to"))
 
-    def run(batches):
-        held, size = [], 0
-        for batch in batches:
-            cols = [batch.column(i) for i in range(6)]
-            for i in range(batch.num_rows):
-                name, address, body, n, digest, refers = (c[i].as_py() for c in cols)
-                data = record(name, address, body if refers is None else _Sized(n), digest, refers)
-                held.append((name, data))
-                size += len(data)
-                if size >= archive_bytes:
-                    yield pa.RecordBatch.from_arrays([pa.array([pack(held)], pa.binary())], names=["archive"])
-                    held, size = [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array([pack(held)], pa.binary())], names=["archive"])
 
-    return rows.mapInArrow(run, "archive binary")
+def _archives(batches: Iterator[pa.RecordBatch], archive_bytes: int) -> Iterator[bytes]:
+    held, size = [], 0
+    for batch in batches:
+        cols = [batch.column(i) for i in range(6)]
+        for i in range(batch.num_rows):
+            name, address, body, n, digest, refers = (c[i].as_py() for c in cols)
+            data = record(name, address, body if refers is None else _Sized(n), digest, refers)
+            held.append((name, data))
+            size += len(data)
+            if size >= archive_bytes:
+                yield pack(held)
+                held, size = [], 0
+    if held:
+        yield pack(held)
+
+
+def _system(uri: str) -> tuple[fs.FileSystem, str]:
+    """Arrow's file system of a path or URI, and the path in it."""
+    return fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", uri))
 
 
 class _Sized:
@@ -296,13 +332,19 @@ def _batch(found: list[tuple], payload: bool) -> pa.RecordBatch:
 
 
 def read_files(spark: SparkSession, path: str, glob: str = "*.zip", payload: bool = False, tasks: int | None = None) -> DataFrame:
-    """The records of archive files anywhere that Arrow's file systems reach; files may be of any size."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).select("path", "length")
+    """The records of archive files under a path; files may be of any size."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+    return records_of(files.select("path", "length"), payload, tasks)
 
-    def opened(name: str):
-        from pyarrow import fs
 
-        system, inner = fs.FileSystem.from_uri(name)
+def records_of(files: DataFrame, payload: bool = False, tasks: int | None = None) -> DataFrame:
+    """The records of the archive files of a table (path, length): RECORD, and the payload if asked for (null for revisits).
+
+    First all directories and indexes are read, then the records by ranges that are dealt over tasks.
+    """
+
+    def opened(name: str):
+        system, inner = _system(name)
         return system.open_input_file(inner)
 
     def listed(batches):
@@ -313,24 +355,35 @@ def read_files(spark: SparkSession, path: str, glob: str = "*.zip", payload: boo
                 yield pa.RecordBatch.from_pydict({"path": pa.array([name] * len(found), pa.string()), "at": pa.array([a for a, _ in found], pa.int64()), "n": pa.array([n for _, n in found], pa.int64())})
 
     def fetched(batches):
+        file, last = None, None
         for batch in batches:
-            found, file, last = [], None, None
+            found, size = [], 0
             for name, at, n in zip(*(c.to_pylist() for c in batch.columns)):
                 if name != last:
+                    if file is not None:
+                        file.close()
                     file, last = opened(name), name
                 found.append(parsed(file.read_at(n, at)))
-            yield _batch(found, payload)
+                size += n
+                if size >= BATCH_BYTES:
+                    yield _batch(found, payload)
+                    found, size = [], 0
+            if found:
+                yield _batch(found, payload)
+        if file is not None:
+            file.close()
 
     places = files.mapInArrow(listed, "path string, at long, n long")
-    places = places.repartition(tasks, "path", F.floor(F.col("at") / (64 << 20))) if tasks else places.repartition("path", F.floor(F.col("at") / (64 << 20)))
+    piece = ["path", F.floor(F.col("at") / (64 << 20))]
+    places = places.repartition(tasks, *piece) if tasks else places.repartition(*piece)
     return places.sortWithinPartitions("path", "at").mapInArrow(fetched, RECORD + ", payload binary" * payload)
 
 
 def op7_warc_zip(spark, sf_dir) -> DataFrame:
     """Pages written to archives and read back."""
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    archives = stored(write(pages, "page_id", "url", "html"), "archives")
-    return read(archives).select(F.col("id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+    archives = write_files(pages, "page_id", "url", "html", fresh_folder(spark, "archives"))
+    return records_of(archives).select(F.col("id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
 OP7_SQL = """

@@ -81,11 +81,25 @@ def test_write_and_read_back(spark, tmp_path):
     assert {r.url for r in got} == {r[1] for r in rows}
     for i, r in enumerate(archives.collect()):
         (tmp_path / f"{i}.zip").write_bytes(bytes(r.archive))
+    files = W.write_files(df, "page_id", "url", "html", f"file://{tmp_path}/more", archive_bytes=700)
+    assert sorted(map(str, W.records_of(files, payload=True).collect())) == sorted(map(str, got))
+    assert sorted(map(str, W.read_files(spark, f"{tmp_path}/more").collect())) == sorted(map(str, W.read(archives).collect()))
+    again = W.read_files(spark, str(tmp_path), tasks=3).where("true").collect()
+    assert len(again) == 2 * len(rows)
+    for r in tmp_path.glob("more/*"):
+        r.unlink()
     again = W.read_files(spark, str(tmp_path)).collect()
     assert sorted(map(str, again)) == sorted(map(str, W.read(archives).collect()))
     assert W.read(W.write(df.limit(0), "page_id", "url", "html")).count() == 0
 
 
+def test_odd_ids_and_urls_come_back():
+    for id_, url, refers in (("", "", None), (None, None, ""), (" a\t", "\u3000 x%20\r\ny \x1f", "%25"), ("7", "http://x/%41", "\n")):
+        data = W.record(id_, url, b"abc", "d", refers)
+        assert (W.parsed(data)[0][0], W.parsed(data)[0][1], W.parsed(data)[0][5]) == (id_, url, refers)
+    assert W.parsed(b"WARC/1.0\r\nWARC-Record-ID: <urn:uuid:1>\r\nWARC-Target-URI: http://x/%41\r\nContent-Length: 0\r\n\r\n")[0][1] == "http://x/%41"
+
+
 def test_query(spark):
     at = "/root/testdata/sf0.001"
     rows = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{at}/pages.parquet").collect()]
