@@ -1,17 +1,18 @@
 """License scans by a positional index of rare tokens, in DataFrame functions only (operator 6).
 
-The index is made of license templates (fixed texts below). Over all texts the document frequency of
-every template word is counted; each template then keeps its ``RARE`` words of highest inverse
-document frequency with their positions. A text is scanned once: a place where such a word stands
-is looked up, each posting of the word gives the place where that template would begin, and there
-the template's other rare words are tested at their relative positions. Where enough of them
-stand and all words of the template's key phrase do, the text has the template's label. Plain phrases
-give labels too, wherever their words stand one after another.
+The index is made of sentences of well-known licenses (fixed texts below). Over all texts the document
+frequency of every word of theirs is counted; each sentence then keeps its ``INDEXED`` words of highest inverse
+document frequency with their positions. A file is scanned once for indexed words. Of those it has, its
+``RARE`` words of highest IDF are looked up for each sentence: each posting gives, with a place of the word
+in the file, the place where that sentence would begin, and there the postings of the file's other rare words are
+intersected by relative position. Where ``ENOUGH`` of them agree and the words of the sentence's mandatory
+key phrase stand, the file has the license's label. Plain phrases give labels too, wherever their words
+stand one after another.
 
 Everything but the count of template words happens within a row: nothing shuffles, no row is too
 common, and a null or empty text has no words. Words: A-Z in lower case, runs of letters, digits and
-non-ASCII characters. The score is 1 for a phrase, else the IDF-weighted share of rare words found in
-the best template, else 0.
+non-ASCII characters. The score is 1 for a phrase, else the IDF-weighted share of the file's rare words that agree
+in the best match, else 0.
 """
 
 from __future__ import annotations
@@ -30,34 +31,38 @@ PHRASES = [
     ("cc by nc", "cc-by-nc"),
 ]
 
-# Label, words of a license's well-known text, key phrase inside it.
+# Label, words of a sentence of a license's well-known text, key phrase inside it.
 TEMPLATES = [
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission is hereby granted free of charge"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", "permission is hereby granted free of charge"),
+    ("mit", "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software", "use copy modify merge publish distribute sublicense"),
     ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", "you may not use this file except in compliance"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution and use in source and binary forms"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "redistributions of source code must retain the above copyright notice"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", "redistributions in binary form must reproduce the above copyright notice"),
     ("gpl-2", "licensed under the gnu general public license version 2", "gnu general public license version 2"),
     ("gpl-3", "licensed under the gnu general public license version 3", "gnu general public license version 3"),
-    ("gpl", "under the terms of the gnu general public license as published by the free software foundation", "gnu general public license as published by the free software foundation"),
-    ("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation", "gnu lesser general public license"),
-    ("agpl", "under the terms of the gnu affero general public license as published by the free software foundation", "gnu affero general public license"),
+    ("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "gnu general public license as published by the free software foundation"),
+    ("gpl", "you should have received a copy of the gnu general public license along with this program if not see", "received a copy of the gnu general public license"),
+    ("lgpl", "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", "gnu lesser general public license"),
+    ("lgpl", "you should have received a copy of the gnu lesser general public license along with this library if not see", "received a copy of the gnu lesser general public license"),
+    ("agpl", "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation", "gnu affero general public license"),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license v 2 0"),
+    ("mpl-2", "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0", "copy of the mpl was not distributed with this file"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "distribute this software for any purpose with or without fee"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary", "anyone is free to copy modify publish use compile sell or distribute"),
     ("cc-by-nc", "licensed under a creative commons attribution noncommercial 4 0 international license", "creative commons attribution noncommercial"),
     ("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license", "creative commons attribution sharealike"),
     ("cc-by", "licensed under a creative commons attribution 4 0 international license", "creative commons attribution 4 0 international"),
 ]
 
-#: Words of a template in the index, and how many of them must stand in their places.
+#: Words of a template in the index, how many of those that a file has are looked up, and how many of these must agree.
+INDEXED = 10
 RARE = 5
 ENOUGH = 3
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Two numbers in one: template and start; a start may lie before the first word.
-_SHIFT, _ZERO = 1 << 40, 1 << 20
-
-
 def words_of(text: str) -> Column:
     """Words of a text column."""
     return F.array_remove(F.split(F.translate(F.coalesce(F.col(text), F.lit("")), _UPPER, _LOWER), _BREAK), "")
@@ -72,16 +77,27 @@ def idf_of(df: DataFrame, text: str, wanted: list[str]) -> dict[str, float]:
 
 
 def index_of(idf: dict[str, float]) -> list[list[tuple[str, int, float]]]:
-    """For each template its rare words: (word, position, idf)."""
+    """For each template its words in the index: (word, position, idf), the rarest first."""
     out = []
     for _, words, _ in TEMPLATES:
         at: dict[str, int] = {}
         for i, w in enumerate(words.split()):
             at.setdefault(w, i)
-        out.append([(w, at[w], idf[w]) for w in sorted(at, key=lambda w: (-idf[w], w))[:RARE]])
+        out.append([(w, at[w], idf[w]) for w in sorted(at, key=lambda w: (-idf[w], w))[:INDEXED]])
     return out
 
 
+def templates_of(index: list[list[tuple[str, int, float]]]) -> Column:
+    """The index as one constant: structs of label, key phrase, its place, and words."""
+    rows = []
+    for (label, words, key), own in zip(TEMPLATES, index):
+        whole, key = words.split(), key.split()
+        at = next(i for i in range(len(whole)) if whole[i : i + len(key)] == key)
+        posts = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(p).alias("p"), F.lit(x).alias("x")) for w, p, x in own])
+        rows.append(F.struct(F.lit(label).alias("label"), F.array(*map(F.lit, key)).alias("key"), F.lit(at).alias("at"), posts.alias("words")))
+    return F.array(*rows)
+
+
 def scan(df: DataFrame, text: str = "text", index: list | None = None, drop_text: bool = False) -> DataFrame:
     """df with n_words, places (start and label of each phrase), templates (start, label, score), labels and score.
 
@@ -89,15 +105,16 @@ def scan(df: DataFrame, text: str = "text", index: list | None = None, drop_text
     """
     if index is None:
         index = index_of(idf_of(df, text, sorted({w for _, words, _ in TEMPLATES for w in words.split()})))
-    rare = sorted({w for own in index for w, _, _ in own})
+    indexed = sorted({w for own in index for w, _, _ in own})
     anchors = [max(p.split(), key=lambda w: (len(w), w)) if label != "cc-by-nc" else "nc" for p, label in PHRASES]
-    looked = sorted({*rare, *anchors})
+    looked = sorted({*indexed, *anchors})
     word = lambda i: F.get("_words", i)
     both = lambda xs: reduce(lambda a, b: a & b, xs)
 
-    base = df.drop("_words", "_hits", "_starts", "n_words", "places", "templates", "labels", "score")
+    base = df.drop("_words", "_hits", "_own", "_rare", "n_words", "places", "templates", "labels", "score")
     out = base.withColumn("_words", words_of(text))
     out = out.withColumn("_hits", F.array_remove(F.transform("_words", lambda w, i: F.when(w.isin(looked), i).otherwise(-1)), -1))
+    out = out.withColumn("_own", F.array_distinct(F.transform("_hits", word)))
 
     def places(phrase: str, label: str, anchor: str) -> Column:
         own = phrase.split()
@@ -105,42 +122,33 @@ def scan(df: DataFrame, text: str = "text", index: list | None = None, drop_text
         found = F.filter("_hits", lambda i: both([word(i + (j - k)).eqNullSafe(w) for j, w in sorted(enumerate(own), key=lambda x: x[0] != k)]))
         return F.transform(found, lambda i: F.struct((i - k).alias("start"), F.lit(label).alias("label")))
 
-    def starts(i) -> Column:
-        """Where templates would begin that have the word at i."""
-        posts = {w: [t * _SHIFT + _ZERO - p for t, own in enumerate(index) for x, p, _ in own if x == w] for w in rare}
-        chain = F.array().cast("array<bigint>")
-        for w, bases in posts.items():
-            chain = F.when(word(i) == w, F.array(*[i.cast("bigint") + F.lit(b).cast("bigint") for b in bases])).otherwise(chain)
-        return chain
-
-    def judged(c) -> Column:
-        """The share of rare words of a candidate, null unless it is verified."""
-        at = (c % _SHIFT - _ZERO).cast("int")
-        out = F.lit(None).cast("double")
-        for t, (own, (_, words, key)) in enumerate(zip(index, TEMPLATES)):
-            whole, key = words.split(), key.split()
-            k = next(i for i in range(len(whole)) if whole[i : i + len(key)] == key)
-            there = [word(at + p).eqNullSafe(w) for w, p, _ in own]
-            total = sum(x for _, _, x in own)
-            share = reduce(lambda a, b: a + b, [F.when(h, x / total).otherwise(0.0) for h, (_, _, x) in zip(there, own)])
-            votes = reduce(lambda a, b: a + b, [h.cast("int") for h in there])
-            phrase = both([word(at + (k + j)).eqNullSafe(w) for j, w in enumerate(key)])
-            out = F.when(F.floor(c / _SHIFT) == t, F.when((votes >= min(ENOUGH, len(own))) & phrase, share)).otherwise(out)
-        return out
-
-    labels = F.array(*[F.lit(label) for label, _, _ in TEMPLATES])
-    out = out.withColumn("_starts", F.array_distinct(F.flatten(F.transform("_hits", starts))))
-    found = F.transform("_starts", lambda c: F.struct((c % _SHIFT - _ZERO).cast("int").alias("start"), F.get(labels, F.floor(c / _SHIFT).cast("int")).alias("label"), judged(c).alias("score")))
+    def rare(t) -> Column:
+        """The rarest words of a template that the file has."""
+        return F.slice(F.filter(t["words"], lambda x: F.array_contains("_own", x["w"])), 1, RARE)
+
+    def matches(t) -> Column:
+        """Places where the file's rare words agree on a template's start and its key phrase stands."""
+        chosen = t["rare"]
+        starts = F.array_distinct(F.flatten(F.transform(chosen, lambda x: F.transform(F.filter("_hits", lambda i: word(i) == x["w"]), lambda i: i - x["p"]))))
+        at = lambda start: start + t["at"]
+        stands = lambda start: (at(start) >= 0) & (F.slice("_words", F.greatest(at(start), F.lit(0)) + 1, F.size(t["key"])) == t["key"])
+        weight = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x["x"])
+        agree = lambda start: F.filter(chosen, lambda x: word(start + x["p"]) == x["w"])
+        verified = F.filter(starts, lambda start: stands(start) & (F.size(agree(start)) >= ENOUGH))
+        return F.transform(verified, lambda start: F.struct(start.alias("start"), t["label"].alias("label"), (weight(agree(start)) / weight(chosen)).alias("score")))
+
+    enough = F.filter(F.transform(templates_of(index), lambda t: t.withField("rare", rare(t))), lambda t: F.size(t["rare"]) >= ENOUGH)
+    out = out.withColumn("_rare", enough)
     out = out.withColumns({
         "n_words": F.size("_words").cast("long"),
         "places": F.array_sort(F.concat(*[places(p, label, a) for (p, label), a in zip(PHRASES, anchors)])),
-        "templates": F.array_sort(F.filter(found, lambda x: x["score"].isNotNull())),
+        "templates": F.array_sort(F.array_distinct(F.flatten(F.transform("_rare", matches)))),
     })
     out = out.withColumns({
         "labels": F.array_sort(F.array_distinct(F.concat(F.col("places.label"), F.col("templates.label")))),
         "score": F.when(F.size("places") > 0, 1.0).otherwise(F.least(F.lit(1.0), F.coalesce(F.array_max("templates.score"), F.lit(0.0)))),
     })
-    return out.drop("_words", "_hits", "_starts", *[text] * drop_text)
+    return out.drop("_words", "_hits", "_own", "_rare", *[text] * drop_text)
 
 
 def op6_license_scan(spark, sf_dir) -> DataFrame:

@@ -14,13 +14,16 @@ def brute(text, index):
     own = words(text)
     stands = lambda at, phrase: at >= 0 and own[at : at + len(phrase)] == phrase
     places = sorted((i, label) for p, label in L.PHRASES for i in range(len(own)) if stands(i, p.split()))
-    found = set()
-    for (label, text_, key), rare in zip(L.TEMPLATES, index):
+    found, there = set(), set(own)
+    for (label, text_, key), indexed in zip(L.TEMPLATES, index):
         whole, key = text_.split(), key.split()
         k = next(i for i in range(len(whole)) if whole[i : i + len(key)] == key)
+        rare = [x for x in indexed if x[0] in there][: L.RARE]
+        if len(rare) < L.ENOUGH:
+            continue
         for at in range(-len(whole), len(own)):
             hits = [0 <= at + p < len(own) and own[at + p] == w for w, p, _ in rare]
-            if sum(hits) >= min(L.ENOUGH, len(rare)) and stands(at + k, key):
+            if sum(hits) >= L.ENOUGH and stands(at + k, key):
                 found.add((at, label, round(sum(x for h, (_, _, x) in zip(hits, rare) if h) / sum(x for _, _, x in rare), 9)))
     labels = sorted({x for _, x in places} | {x[1] for x in found})
     score = 1.0 if places else max([0.0, *(x[2] for x in found)])
