@@ -6,8 +6,8 @@ matches are mapped back to word numbers and to code points of the original text.
 
 The automaton is broadcast, so its items are bounded: beyond ``BLOCK_BYTES`` of item text the items
 are dealt to several blocks by a hash of the item id. The blocks scan the texts one after the other,
-each with an automaton of its own and its hits written to the shared folder, so that a task never
-holds two; the runs of a text are then united in its row. Nothing shuffles either way.
+each with an automaton of its own, so that neither a task nor the driver holds two; only the hits are
+written, once for each text that has some, and are then united and joined to the rows by text hash and length.
 
 Normalised: A-Z in lower case, words are runs of letters, digits and non-ASCII characters. A null
 text or item has no words; a null item id stands as an empty string; repeated item ids count once.
@@ -15,9 +15,9 @@ text or item has no words; a null item id stands as an empty string; repeated it
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Callable
+from functools import reduce
 
 import ahocorasick
 import numpy as np
@@ -29,6 +29,7 @@ WINDOW = 10
 #: Item text that one automaton takes; about 60 times as many bytes of memory.
 BLOCK_BYTES = 4 << 20
 
+_BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 FIELDS = [("n_words", "bigint"), ("hit_words", "array<struct<start:int,end:int>>"), ("hit_chars", "array<struct<start:int,end:int>>"), ("items", "array<string>")]
@@ -87,35 +88,39 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t")).distinct()
     size = items.agg(F.sum(F.length(F.encode("t", "utf-8")))).first()[0] or 0
     blocks = max(1, math.ceil(size / block_bytes))
-    kinds = dict(FIELDS)
+    if blocks == 1:
+        shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in items.collect()])
+        return with_columns(docs, text, FIELDS, _scanner(shared, window), drop_text)
+    own_text = docs.select(F.col(text).alias("_text"))
+    key = lambda c: [F.xxhash64(c).alias("_h"), F.length(c).alias("_l")]
     parts = []
     for block in range(blocks):
-        own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == block)
-        shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in own.collect()])
-
-        def make(shared=shared) -> Callable:
-            machine = automaton(shared.value, window)
-
-            def work(column):
-                found = [scan(machine, t) for t in texts(column).to_pylist()]
-                runs = lambda rows: [[{"start": a, "end": b} for a, b in x] for x in rows]
-                n, hit, chars, names = zip(*found) if found else ((), (), (), ())
-                return [list(n), runs(hit), runs(chars), list(names)]
-
-            return work
-
-        parts.append((make, block))
-    if blocks == 1:
-        return with_columns(docs, text, FIELDS, parts[0][0], drop_text)
-    out = docs
-    for make, block in parts:
-        out = stored(with_columns(out, text, [(f"{n}_{block}", k) for n, k in FIELDS], make), "hits")
-    every = lambda name: F.flatten(F.array(*[F.col(f"{name}_{b}") for b in range(blocks)]))
-    out = out.withColumn("n_words", F.col("n_words_0"))
-    for name in ("hit_words", "hit_chars"):
-        out = out.withColumn(name, united(every(name)).cast(kinds[name]))
-    out = out.withColumn("items", F.array_sort(F.array_distinct(every("items"))))
-    return out.drop(*[f"{n}_{b}" for n, _ in FIELDS for b in range(blocks)], *([text] if drop_text else []))
+        shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == block).collect()])
+        hits = with_columns(own_text, "_text", FIELDS, _scanner(shared, window)).where(F.size("hit_words") > 0)
+        parts.append(stored(hits.select(*key("_text"), *[n for n, _ in FIELDS[1:]]).dropDuplicates(["_h", "_l"]), "hits"))
+        shared.unpersist()
+    every = lambda n: F.flatten(F.collect_list(n)).alias(n)  # noqa: E731  one list a block
+    found = reduce(DataFrame.unionByName, parts).groupBy("_h", "_l").agg(*[every(n) for n, _ in FIELDS[1:]])
+    found = found.select("_h", "_l", united(F.col("hit_words")).alias("hit_words"), united(F.col("hit_chars")).alias("hit_chars"), F.array_sort(F.array_distinct("items")).alias("items"))
+    added = [n for n, _ in FIELDS]
+    rows = docs.select(F.struct(*[c for c in docs.columns if c not in added and not (drop_text and c == text)]).alias("_row"), *key(F.col(text)), F.size(F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), _BREAK), "")).cast("long").alias("n_words"))
+    none = {n: F.coalesce(F.col(n), F.array().cast(k)).alias(n) for n, k in FIELDS[1:]}
+    return rows.join(found, ["_h", "_l"], "left").select("_row.*", "n_words", *none.values())
+
+
+def _scanner(shared, window: int) -> Callable:
+    def make() -> Callable:
+        machine = automaton(shared.value, window)
+
+        def work(column):
+            found = [scan(machine, t) for t in texts(column).to_pylist()]
+            runs = lambda rows: [[{"start": a, "end": b} for a, b in x] for x in rows]
+            n, hit, chars, names = zip(*found) if found else ((), (), (), ())
+            return [list(n), runs(hit), runs(chars), list(names)]
+
+        return work
+
+    return make
 
 
 def united(runs):
