@@ -11,7 +11,8 @@ from ohmlake.functions.columns import basename, has_any, keep_first, top_n_per,
 MAX_LINKS_PER_SITE = 20
 MAX_PAGES = 50
 MAX_FILE_BYTES = 50 * 1024 * 1024
-# Words of links to products, and seed categories of a wiki.
+# The file host of a wiki, words of links to products, and the pattern of part numbers.
+WIKI_FILES = "files.waveshare.com"
 PRODUCT_WORDS = ["components", "products", "parts", "ics", "semiconductors"]
 PART_NUMBER = r"^[A-Z0-9\-_]+\z"
 
@@ -94,7 +95,7 @@ def is_pdf_link(href: Column, text: Column | None = None, variant: str = "contai
     if variant == "ends":
         return href.endswith(".pdf")
     if variant == "wiki":
-        return href.endswith(".pdf") | (href.contains("File:") & href.contains(".pdf")) | (href.contains("files.waveshare.com") & href.contains(".pdf"))
+        return href.endswith(".pdf") | (href.contains("File:") & href.contains(".pdf")) | (href.contains(WIKI_FILES) & href.contains(".pdf"))
     if variant == "keywords":
         low = F.lower(F.coalesce(text, F.lit("")))
         return href.endswith(".pdf") | has_any(low, ["datasheet", "data sheet", "specification"])
@@ -195,7 +196,7 @@ def wiki_pdfs(links: DataFrame, file_links: DataFrame) -> DataFrame:
     links: (category, pos, href); file_links: (file_href, pos, href) of the File: pages.
     """
     direct = links.where(is_pdf_link(F.col("href"), variant="wiki")).select("category", F.lit(0).alias("hop"), "pos", F.col("href").alias("url"))
-    target = keep_first(file_links.where(F.col("href").endswith(".pdf") | F.col("href").contains("files.waveshare.com")), ["file_href"], ["pos"]).select("file_href", F.col("href").alias("url"))
+    target = keep_first(file_links.where(F.col("href").endswith(".pdf") | F.col("href").contains(WIKI_FILES)), ["file_href"], ["pos"]).select("file_href", F.col("href").alias("url"))
     hop = links.where(F.col("href").contains("/wiki/File:") & F.col("href").contains(".pdf")).join(target, links["href"] == target["file_href"]).select("category", F.lit(1).alias("hop"), "pos", "url")
     return keep_first(direct.unionByName(hop), ["category", "url"], ["hop", "pos"])
 

@@ -38,12 +38,11 @@ ENVIRONMENT = {
     "transportation_time": r"transportation.*time[:\s]*([^,\n]+)",
 }
 RESOLUTION = [r"(\d+)\s*[×x]\s*(\d+)\s*pixels?", r"resolution[:\s]*(\d+)\s*[×x]\s*(\d+)", r"(\d+)\s*[×x]\s*(\d+)\s*resolution"]
-LENGTH = r"(\d+\.?\d*)\s*mm"
 DIMENSIONS = {
-    "dot_pitch": r"dot\s*pitch[:\s]*" + LENGTH + r"\s*[×x]\s*" + LENGTH,
-    "display_dimensions": r"display\s*dimensions[:\s]*" + LENGTH + r"\s*[×x]\s*" + LENGTH,
-    "driver_board_dimensions": r"driver\s*board\s*dimensions[:\s]*" + LENGTH + r"\s*[×x]\s*" + LENGTH,
-    "outline_dimensions": r"outline\s*dimensions[:\s]*" + LENGTH + r"\s*[×x]\s*" + LENGTH + r"\s*[×x]\s*" + LENGTH,
+    "dot_pitch": r"dot\s*pitch[:\s]*(\d+\.?\d*)\s*mm\s*[×x]\s*(\d+\.?\d*)\s*mm",
+    "display_dimensions": r"display\s*dimensions[:\s]*(\d+\.?\d*)\s*mm\s*[×x]\s*(\d+\.?\d*)\s*mm",
+    "driver_board_dimensions": r"driver\s*board\s*dimensions[:\s]*(\d+\.?\d*)\s*mm\s*[×x]\s*(\d+\.?\d*)\s*mm",
+    "outline_dimensions": r"outline\s*dimensions[:\s]*(\d+\.?\d*)\s*mm\s*[×x]\s*(\d+\.?\d*)\s*mm\s*[×x]\s*(\d+\.?\d*)\s*mm",
 }
 
 # Pattern, name, description and type of pins.

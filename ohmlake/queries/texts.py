@@ -777,6 +777,15 @@ def _(spark, d):
     return S2.read_download_log(spark, path).select("filename", "url", "status")
 
 
+@query("src10_targets", "SELECT s_name AS name, 'https://s' || s_suppkey || '.example.com' AS website, n_name AS category FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def _(spark, d):
+    own = given(spark, d, "supplier").join(given(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    target = F.struct(F.col("s_name").alias("name"), F.concat(F.lit("https://s"), F.col("s_suppkey").cast("string"), F.lit(".example.com")).alias("website"), F.col("n_name").alias("category"))
+    lists = own.groupBy("n_nationkey").agg(F.to_json(F.collect_list(target)).alias("value"))
+    path = written(spark, lambda df, p: df.write.partitionBy("n_nationkey").text(p), lists)
+    return S2.read_targets(spark, path).select("name", "website", "category")
+
+
 @query("src12_jsonl_sink", "SELECT md5(text) AS text, source, 'U1' AS component FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT md5(text), source, NULL FROM documents WHERE doc_id % 2 = 1")
 def _(spark, d):
     path = written(spark, S2.write_jsonl, K.jsonl_records(plain_chunks(spark, d)))
