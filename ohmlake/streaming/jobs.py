@@ -79,10 +79,12 @@ def job_states(events: DataFrame, fields: list[str] = OPTIONAL) -> DataFrame:
     return events.groupBy("processing_id").agg(F.max_by("status", order).alias("status"), F.min("event_ts").alias("created_at"), F.max("event_ts").alias("updated_at"), *kept)
 
 
-def job_states_stream(events: DataFrame, fields: dict[str, str] | None = None) -> DataFrame:
+def job_states_stream(events: DataFrame, fields: dict[str, str] | None = None, idle_seconds: int | None = None) -> DataFrame:
     """STR-5 on a stream: a row for each job that changed, in update mode; equal to ``job_states`` when all is in.
 
-    State: for the status and each field its value with the order of the event that gave it.
+    State: for the status and each field its value with the order of the event that gave it. With ``idle_seconds`` a
+    job is forgotten when the watermark, late by as much, is that long past its last event; without, state
+    grows with the number of jobs.
     """
     fields = fields or {"component_count": "bigint", "net_count": "bigint", "error_message": "string"}
     names = list(fields)
@@ -92,10 +94,15 @@ def job_states_stream(events: DataFrame, fields: dict[str, str] | None = None) -
     def step(key, batches, state):
         import json
 
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.getCurrentWatermarkMs() if idle_seconds else 0
         held = json.loads(state.get[0]) if state.exists else {"created": None, "status": None, "fields": {}}
         for pdf in batches:
             for row in pdf.itertuples(index=False):
                 ts = pd.Timestamp(row.event_ts).value
+                last = max(last, row.event_ms)
                 order = [ts, STATUSES.index(row.status) + 1 if row.status in STATUSES else 0, row.status or ""]
                 held["created"] = ts if held["created"] is None else min(held["created"], ts)
                 if held["status"] is None or order > held["status"]:
@@ -108,9 +115,14 @@ def job_states_stream(events: DataFrame, fields: dict[str, str] | None = None) -
                     if n not in held["fields"] or order > held["fields"][n][1]:
                         held["fields"][n] = [value, order]
         state.update((json.dumps(held),))
+        if idle_seconds:
+            state.setTimeoutTimestamp(int(last) + 1000 * idle_seconds)
         yield pd.DataFrame({"processing_id": [key[0]], "status": [held["status"][2]], "created_at": [pd.Timestamp(held["created"])], "updated_at": [pd.Timestamp(held["status"][0])]} | {n: pd.Series([held["fields"].get(n, [None])[0]], dtype="Int64" if fields[n] in ("int", "bigint") else object) for n in names})
 
-    return events.select("processing_id", "event_ts", "status", *names).groupBy("processing_id").applyInPandasWithState(step, out, state_ddl, "update", "NoTimeout")
+    own = events.select("processing_id", "event_ts", F.unix_millis("event_ts").alias("event_ms"), "status", *names)
+    if idle_seconds:
+        own = own.withWatermark("event_ts", f"{idle_seconds} seconds")
+    return own.groupBy("processing_id").applyInPandasWithState(step, out, state_ddl, "update", "EventTimeTimeout" if idle_seconds else "NoTimeout")
 
 
 def stage_results(parsed: DataFrame) -> DataFrame:

@@ -36,6 +36,21 @@ def test_job_states(spark, tmp_path):
         assert (latest[k].status, latest[k].created_at, latest[k].component_count, latest[k].error_message) == (r.status, r.created_at, r.component_count, r.error_message)
 
 
+def test_idle_jobs_are_forgotten(spark, tmp_path):
+    t = lambda h: f"2024-01-01 {h:02d}:00:00"
+    days = [[("a", t(1), "uploaded"), ("b", t(1), "uploaded")], [("c", t(6), "uploaded")], [("c", t(9), "uploaded")], [("b", t(9), "stage1_complete"), ("c", t(10), "stage1_complete")]]
+    seen = []
+    for day in days:
+        df = spark.createDataFrame([(*x, None, None, None) for x in day], EVENTS.replace("timestamp", "string")).withColumn("event_ts", F.col("event_ts").cast("timestamp"))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        events = spark.readStream.schema(EVENTS).parquet(str(tmp_path / "in"))
+        q = J.job_states_stream(events, idle_seconds=3600).writeStream.outputMode("update").foreachBatch(lambda df, _: seen.extend(df.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    last = {r.processing_id: r for r in seen}
+    assert last["b"].created_at.hour == 9 and last["c"].created_at.hour == 6 and last["c"].status == "stage1_complete"
+    assert q.lastProgress is None or q.lastProgress.stateOperators[0].numRowsTotal == 2
+
+
 def test_repeats_within_the_watermark(spark, tmp_path):
     q = J.deduplicated(stream(spark, tmp_path, rows(spark), EVENTS)).select("processing_id").writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
