@@ -275,6 +275,7 @@ def train_on(docs: DataFrame) -> Model | None:
 
 
 def op2_language_id(spark, sf_dir) -> DataFrame:
+    """Per document: whether its label was held out (false for a null id, which is never trained on), language, probability."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out")
     return predict(docs.select("doc_id", held, "text"), train_on(docs), drop_text=True).select("doc_id", "held_out", "lang_pred", "score")
