@@ -10,6 +10,7 @@ from .language import op2_language_id
 from .lattice import op10_lattice_scores
 from .license_scan import op6_license_scan
 from .quality import OP3_SQL, op3_repetition_quality
+from .resampling import op13_importance_resampling
 from .token_counts import op4_token_counts
 from .warc import OP7_SQL, op7_warc_zip
 
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_jaccard_components": op8_jaccard_components,
     "op9_html_text": op9_html_text,
     "op10_lattice_scores": op10_lattice_scores,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 ORACLE_SQL = {"op3_repetition_quality": OP3_SQL, "op5_decontaminate": OP5_SQL, "op7_warc_zip": OP7_SQL, "op8_jaccard_components": OP8_SQL}
