@@ -13,6 +13,7 @@ from .quality import OP3_SQL, op3_repetition_quality
 from .resampling import op13_importance_resampling
 from .token_counts import op4_token_counts
 from .warc import OP7_SQL, op7_warc_zip
+from .whitening import op11_whitening
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_jaccard_components": op8_jaccard_components,
     "op9_html_text": op9_html_text,
     "op10_lattice_scores": op10_lattice_scores,
+    "op11_whitening": op11_whitening,
     "op13_importance_resampling": op13_importance_resampling,
 }
 ORACLE_SQL = {"op3_repetition_quality": OP3_SQL, "op5_decontaminate": OP5_SQL, "op7_warc_zip": OP7_SQL, "op8_jaccard_components": OP8_SQL}
