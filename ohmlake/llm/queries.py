@@ -12,6 +12,7 @@ from .license_scan import op6_license_scan
 from .quality import OP3_SQL, op3_repetition_quality
 from .resampling import op13_importance_resampling
 from .token_counts import op4_token_counts
+from .top_products import OP12_SQL, op12_top_products
 from .warc import OP7_SQL, op7_warc_zip
 from .whitening import op11_whitening
 
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_html_text": op9_html_text,
     "op10_lattice_scores": op10_lattice_scores,
     "op11_whitening": op11_whitening,
+    "op12_top_products": op12_top_products,
     "op13_importance_resampling": op13_importance_resampling,
 }
-ORACLE_SQL = {"op3_repetition_quality": OP3_SQL, "op5_decontaminate": OP5_SQL, "op7_warc_zip": OP7_SQL, "op8_jaccard_components": OP8_SQL}
+ORACLE_SQL = {"op3_repetition_quality": OP3_SQL, "op5_decontaminate": OP5_SQL, "op7_warc_zip": OP7_SQL, "op8_jaccard_components": OP8_SQL, "op12_top_products": OP12_SQL}
