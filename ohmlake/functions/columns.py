@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -69,6 +70,48 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running_sums(sizes: Column, block: int = 256) -> Column:
+    """Sums of an int array before each entry, and the sum of all at the end: as blocks, so that long arrays are not copied entry by entry."""
+    add = lambda done, x: F.concat(done, F.array(F.element_at(done, -1) + x))
+    sums = lambda start, own: F.aggregate(own, F.array(start), add)
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.size(sizes) - 1, F.lit(0)), F.lit(block)), lambda i: F.slice(sizes, i + 1, F.lit(block)))
+    total = lambda own: F.aggregate(own, F.lit(0), lambda a, x: a + x)
+    inner = lambda own: let(sums(F.lit(0), F.transform(own, total)), lambda starts: F.flatten(F.transform(own, lambda x, i: F.slice(sums(F.get(starts, i), x), 1, F.size(x)))))
+    return let(blocks, lambda own: F.concat(inner(own), F.array(total(F.flatten(own)))))
+
+
+def match_spans(text: Column, pattern: str, flags: str = PYI) -> Column:
+    """array<struct<start, end, match>> of all matches, as code points from 0; no match may be empty.
+
+    The text between matches and the matches themselves, laid end to end, are the text: their lengths add up to the places.
+    """
+    found = F.regexp_extract_all(text, F.lit(flags + pattern), F.lit(0))
+    between = F.split(text, flags + pattern, -1)
+    span = lambda m, at: F.struct(at.alias("start"), (at + F.length(m)).alias("end"), m.alias("match"))
+    # a piece before each match, so the i-th match starts after i + 1 pieces and i matches
+    sizes = lambda own, rest: F.transform(own, lambda m, i: F.length(F.get(rest, i)) + F.when(i > 0, F.length(F.get(own, i - 1))).otherwise(0))
+    places = lambda own: let(between, lambda rest: F.slice(running_sums(sizes(own, rest)), 2, F.size(own)))
+    some = lambda own: let(places(own), lambda at: F.transform(own, lambda m, i: span(m, F.get(at, i))))
+    return let(found, lambda own: F.when(F.size(own) > 0, some(own)).otherwise(F.array().cast("array<struct<start:int,end:int,match:string>>")))
+
+
+def blocks_of(text: Column, size: int = 4096) -> Column:
+    """A text in blocks of so many code points, for ``cut``."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+
+
+def cut(blocks: Column, start: Column, length: Column, size: int = 4096) -> Column:
+    """A stretch of a text, from code point ``start`` (0 is the first), by the blocks it touches rather than from the text's beginning."""
+    first = F.floor(start / size).cast("int")
+    number = F.greatest(F.floor((start + length - 1) / size).cast("int") - first + 1, F.lit(0))
+    return F.substring(F.array_join(F.slice(blocks, first + 1, number), ""), F.pmod(start, F.lit(size)) + 1, F.greatest(length, F.lit(0)))
+
+
 def lines(text: str | Column) -> Column:
     return F.split(F.col(text) if isinstance(text, str) else text, "\n", -1)
 

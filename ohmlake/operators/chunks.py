@@ -7,12 +7,9 @@ tokenizer that is not part of Spark.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ohmlake.functions.columns import has_any, strip
+from ohmlake.functions.columns import blocks_of, cut, has_any, let, match_spans, running_sums, strip
 
 # Sizes in tokens, and the least characters of a chunk and of an introduction.
 CHUNK_SIZE, OVERLAP = 512, 50
@@ -20,19 +17,20 @@ LEAST_CHUNK, LEAST_INTRO = 50, 100
 
 TOKEN = r"(?U)(\w+(?:[.,'\-/]\w+)*|[^\w\s])"
 
-# Section headers.
-SECTION_HEADERS = [
-    r"(specifications?|spec)\s*:?\s*\n",
-    r"(electrical\s+characteristics?)\s*:?\s*\n",
-    r"(mechanical\s+data)\s*:?\s*\n",
-    r"(pin\s+configuration)\s*:?\s*\n",
-    r"(functional\s+description)\s*:?\s*\n",
-    r"(operating\s+conditions?)\s*:?\s*\n",
-    r"(absolute\s+maximum\s+ratings?)\s*:?\s*\n",
-    r"(package\s+information)\s*:?\s*\n",
-    r"(application\s+information)\s*:?\s*\n",
-    r"(typical\s+applications?)\s*:?\s*\n",
+# Titles of section headers, and what follows a title.
+SECTION_TITLES = [
+    r"specifications?|spec",
+    r"electrical\s+characteristics?",
+    r"mechanical\s+data",
+    r"pin\s+configuration",
+    r"functional\s+description",
+    r"operating\s+conditions?",
+    r"absolute\s+maximum\s+ratings?",
+    r"package\s+information",
+    r"application\s+information",
+    r"typical\s+applications?",
 ]
+AFTER_TITLE = r"\s*:?\s*\n"
 
 # Words in a title for each section type, first rule first.
 SECTION_TYPES = [
@@ -92,91 +90,111 @@ def sliding_window(texts: DataFrame, size: int = CHUNK_SIZE, overlap: int = OVER
     return _chunk(own, id=F.concat("source_file", F.lit("_slide_"), F.col("offset").cast("string")), chunk_type=F.lit("sliding_window"), chunk_index=(F.col("offset") / (size - overlap)).cast("int"), text=F.col("piece"))
 
 
-def _spans(patterns: list[str], with_value: bool) -> Callable:
-    """A pandas UDF: (family, start, end, title, value) of all matches, in characters."""
+#: Python's white space, and what its case-blind letters match besides the two cases.
+_SPACE = r"[\s\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+_ODD_CASES = {"i": "\u0130\u0131", "k": "\u212A", "s": "\u017F"}
+
 
-    @F.pandas_udf("array<struct<family:int,start:int,end:int,title:string,value:string>>")
-    def find(texts: pd.Series) -> pd.Series:
-        import re
+def _searched(words: list[str], pattern: str) -> str:
+    """A case-blind pattern that begins with one of the words, as Python reads it; most places are passed by after two or three plain letters."""
+    cases = lambda n: "".join(sorted({c for w in words for c in (w[n], w[n].upper(), *_ODD_CASES.get(w[n], ""))}))
+    return "(?d)(?=" + "".join(f"[{cases(n)}]" for n in range(3)) + ")(?iu)" + pattern.replace(r"\s", _SPACE)
 
-        own = [re.compile(p, re.I | re.M) for p in patterns]
-        return pd.Series([[{"family": i, "start": m.start(), "end": m.end(), "title": m.group(1), "value": m.group(2) if with_value else None} for i, p in enumerate(own) for m in p.finditer(t or "")] for t in texts], dtype=object)
 
-    return find
+def sections(text: Column) -> Column:
+    """array<struct<start, head, title, piece>>: headers by place, each with its piece, the text up to the next header's start.
+
+    The first entry is what stands before the first header, with an empty head. As titles begin with different words, no two
+    headers start at one place, and none within another of its kind. Headers of different kinds may overlap, so a head may reach
+    over its piece into the next two, as titles have three words at most. The text is cut where a header starts, in one pass.
+    """
+    words = "|".join(SECTION_TITLES).split("|")
+    header = f"({'|'.join(SECTION_TITLES)}){AFTER_TITLE}"
+    ahead = _searched(words, f"(?={header})")
+    at_start = _searched(words, "^" + header)
+    entry = lambda start, head, title, piece: F.struct(start.alias("start"), head.alias("head"), title.alias("title"), piece.alias("piece"))
+    after = lambda p, i: F.concat(F.get(p, i), F.coalesce(F.get(p, i + 1), F.lit("")), F.coalesce(F.get(p, i + 2), F.lit("")))
+    head = lambda p, i: F.when(i == 0, F.lit("")).otherwise(let(F.regexp_extract(F.get(p, i), at_start, 0), lambda h: F.when((h == "") | (F.length(h) == F.length(F.get(p, i))), F.regexp_extract(after(p, i), at_start, 0)).otherwise(h)))
+    named = lambda p, at: F.transform(p, lambda x, i: let(head(p, i), lambda h: entry(F.get(at, i), h, F.regexp_extract(h, at_start, 1), x)))
+    every = lambda p: let(running_sums(F.transform(p, F.length)), lambda at: named(p, at))
+    # a header at the very beginning leaves no piece before it
+    whole = lambda p: F.when(F.get(p, F.lit(0)).rlike(at_start) | F.array_join(F.slice(p, 1, 3), "").rlike(at_start), F.concat(F.array(F.lit("")), p)).otherwise(p)
+    return let(let(F.split(text, ahead, -1), whole), every)
 
 
 def semantic(texts: DataFrame, size: int = CHUNK_SIZE, overlap: int = OVERLAP) -> DataFrame:
     """CHK-1: bodies of sections that headers start; long bodies in windows; a long enough introduction comes last.
 
-    A text without a header has no chunks. Ids repeat where sections of a type do, as they are names.
+    A text without a header has no chunks. Ids repeat where sections of a type do, as they are names. All of it is
+    column expressions; a body is cut into tokens only if it is split, and its windows are made before rows are.
     """
     if size <= overlap:
         raise ValueError("the overlap must be smaller than the size")
-    spans = F.array_sort(F.transform(_spans(SECTION_HEADERS, False)("text"), lambda x: F.struct(x["start"].alias("start"), x["family"].alias("family"), x["end"].alias("end"), x["title"].alias("title"))))
-    marked = texts.withColumn("_s", spans).where(F.size("_s") > 0)
-    # a part is a stretch of the text: the body of each header up to the next one, and the introduction
-    to = lambda i: F.coalesce(F.get("_s", i + 1)["start"], F.length("text"))
-    part = lambda at, n, title, intro: F.struct(at.alias("at"), n.alias("n"), title.alias("title"), F.lit(intro).alias("intro"))
-    bodies = F.transform("_s", lambda h, i: part(h["end"] + 1, F.greatest(F.lit(0), to(i) - h["end"]), h["title"], False))
-    parts = F.concat(bodies, F.array(part(F.lit(1), F.get("_s", F.lit(0))["start"], F.lit("Introduction"), True)))
-    every = marked.withColumn("_p", F.explode(parts)).drop("_s")
-    every = every.withColumns({"_body": strip(F.substring(F.col("text"), F.col("_p")["at"], F.col("_p")["n"])), "_title": F.col("_p")["title"], "_intro": F.col("_p")["intro"]}).drop("_p", "text")
-    every = every.where(F.length("_body") > F.when(F.col("_intro"), LEAST_INTRO).otherwise(LEAST_CHUNK))
-    cut = ~F.col("_intro") & (F.length("_body") > 2 * size)
-    every = every.withColumn("_tokens", F.when(cut, tokens(F.col("_body"))))
-    offsets = F.when(F.col("_tokens").isNull(), F.array(F.lit(None).cast("int"))).when(F.size("_tokens") > 0, F.sequence(F.lit(0), F.size("_tokens") - 1, F.lit(size - overlap)))
-    every = every.withColumn("offset", F.explode(offsets))
-    j = (F.col("offset") / (size - overlap)).cast("int")
-    kind = F.when(F.col("_intro"), "description").otherwise(section_type(F.col("_title")))
-    name = F.when(F.col("_intro"), "intro").otherwise(kind)
+    step = size - overlap
+    piece = lambda j, text: F.struct(j.cast("int").alias("j"), text.alias("text"))
+    split = lambda t: F.when(F.size(t) > 0, F.transform(F.sequence(F.lit(0), F.size(t) - 1, F.lit(step)), lambda o: piece(o / step, F.array_join(F.slice(t, o + 1, F.lit(size)), " "))))
+    whole = lambda b: F.array(piece(F.lit(None), b))
+    cut_up = lambda b, intro: F.when(intro | (F.length(b) <= 2 * size), whole(b)).otherwise(let(tokens(b), split))
+    kept = lambda b, intro: F.when(F.length(b) > F.when(intro, LEAST_INTRO).otherwise(LEAST_CHUNK), cut_up(b, intro))
+    body = lambda s: strip(F.substring(s["piece"], F.length(s["head"]) + 1, F.length(s["piece"])))
+    part = lambda s, i: F.struct((i == 0).alias("intro"), s["title"].alias("title"), let(body(s), lambda b: kept(b, i == 0)).alias("pieces"))
+    row = lambda p: F.transform(p["pieces"], lambda x: F.struct(p["intro"], F.when(p["intro"], "Introduction").otherwise(p["title"]).alias("title"), x["j"], x["text"]))
+    parts = let(sections(F.coalesce("text", F.lit(""))), lambda own: F.when(F.size(own) > 1, F.transform(own, part)))
+    rows = F.flatten(F.transform(F.filter(parts, lambda p: p["pieces"].isNotNull()), row))
+    every = texts.withColumn("_c", F.explode(rows))
+    intro, j = F.col("_c.intro"), F.col("_c.j")
+    kind = F.when(intro, "description").otherwise(section_type(F.col("_c.title")))
+    name = F.when(intro, "intro").otherwise(kind)
     return _chunk(
         every,
         id=F.concat("source_file", F.lit("_"), name, F.coalesce(F.concat(F.lit("_"), j.cast("string")), F.lit(""))),
         chunk_type=kind,
-        section=F.col("_title"),
-        text=F.when(F.col("offset").isNull(), F.col("_body")).otherwise(F.array_join(F.slice("_tokens", F.col("offset") + 1, F.lit(size)), " ")),
+        section=F.col("_c.title"),
+        text=F.col("_c.text"),
         chunk_index=F.coalesce(j, F.lit(0)),
     )
 
 
-def sentence_boundary(texts: DataFrame, size: int = CHUNK_SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """CHK-3: sentences packed up to ``size`` tokens; a chunk of several starts the next with its last two.
+def packed(counts: Column, size: int, overlap: int) -> Column:
+    """array<struct<start, end>> of runs of sentences with these token counts: up to ``size`` tokens, one sentence at least.
 
-    The packing is an ordered fold over a text's sentences, so one pandas UDF does it per text.
+    A run starts at the sentence that no longer fits, or two before it where the run before has several. A fold that
+    writes only when a run is full.
     """
+    run = lambda start, end: F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"))
+    state = lambda i, start, n, done: F.struct(i.cast("int").alias("i"), start.cast("int").alias("start"), n.cast("int").alias("n"), done.alias("done"))
+    before = lambda i, k: F.coalesce(F.get(counts, i - k), F.lit(0))
+
+    def add(s: Column, n: Column) -> Column:
+        i, back = s["i"], (s["i"] - s["start"] > 1) & F.lit(overlap > 0)
+        full = state(i + 1, F.when(back, i - 2).otherwise(i), F.when(back, before(i, 2) + before(i, 1)).otherwise(0) + n, F.concat(s["done"], F.array(run(s["start"], i))))
+        return F.when((s["n"] + n > size) & (i > s["start"]), full).otherwise(state(i + 1, s["start"], s["n"] + n, s["done"]))
 
-    @F.pandas_udf("array<string>")
-    def pack(sentences: pd.Series, counts: pd.Series) -> pd.Series:
-        out = []
-        for own, ns in zip(sentences, counts):
-            done, current, length = [], [], 0
-            for s, n in zip(own, ns):
-                if length + n > size and current:
-                    done.append(" ".join(x for x, _ in current))
-                    current = [*(current[-2:] if overlap > 0 and len(current) > 1 else []), (s, n)]
-                    length = sum(k for _, k in current)
-                else:
-                    current.append((s, n))
-                    length += n
-            out.append(done + [" ".join(x for x, _ in current)] if current else done)
-        return pd.Series(out, dtype=object)
+    none = state(F.lit(0), F.lit(0), F.lit(0), F.array().cast("array<struct<start:int,end:int>>"))
+    return F.aggregate(counts, none, add, lambda s: F.when(s["i"] > s["start"], F.concat(s["done"], F.array(run(s["start"], s["i"])))).otherwise(s["done"]))
 
+
+def sentence_boundary(texts: DataFrame, size: int = CHUNK_SIZE, overlap: int = OVERLAP) -> DataFrame:
+    """CHK-3: sentences packed up to ``size`` tokens; a chunk of several starts the next with its last two."""
     sentences = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: s != "")
-    own = texts.withColumn("_s", sentences).withColumn("_n", F.transform("_s", lambda s: F.size(tokens(s))))
-    own = own.select("*", F.posexplode(pack("_s", "_n")).alias("_i", "_piece"))
+    joined = lambda own, runs: F.transform(runs, lambda r: F.array_join(F.slice(own, r["start"] + 1, r["end"] - r["start"]), " "))
+    pieces = let(sentences, lambda own: let(F.transform(own, lambda s: F.size(tokens(s))), lambda n: joined(own, packed(n, size, overlap))))
+    own = texts.select("*", F.posexplode(pieces).alias("_i", "_piece"))
     return _chunk(own, id=F.concat("source_file", F.lit("_sent_"), F.col("_i").cast("string")), chunk_type=F.lit("sentence_boundary"), chunk_index=F.col("_i"), text=F.col("_piece"))
 
 
 def parameters(texts: DataFrame) -> DataFrame:
     """CHK-4: parameter mentions with the text around them, numbered by family, then place."""
-    own = texts.withColumn("_p", _spans(PARAMETERS, True)("text")).select("*", F.posexplode("_p").alias("_i", "_m"))
-    start, end = F.col("_m")["start"], F.col("_m")["end"]
-    a = F.greatest(F.lit(0), start - CONTEXT)
-    around = F.substring(F.col("text"), a + 1, F.least(F.length("text"), end + CONTEXT) - a)
+    text = F.coalesce("text", F.lit(""))
+    around = lambda blocks, m: let(F.greatest(F.lit(0), m["start"] - CONTEXT), lambda a: cut(blocks, a, m["end"] + CONTEXT - a))
+    named = lambda p, blocks: lambda m: F.struct(F.regexp_extract(m["match"], p, 1).alias("title"), F.regexp_extract(m["match"], p, 2).alias("value"), around(blocks, m).alias("text"))
+    families = [_searched(p[1 : p.index(")")].split("|"), p) for p in PARAMETERS]
+    found = lambda blocks: F.concat(*[F.transform(match_spans(text, p, ""), named(p, blocks)) for p in families])
+    own = texts.select("*", F.posexplode(let(blocks_of(text), found)).alias("_i", "_m"))
     kind = F.lower(F.col("_m")["title"])
     more = F.create_map(F.lit("parameter_type"), kind, F.lit("parameter_value"), F.col("_m")["value"])
     meta = F.map_concat(F.map_filter(F.coalesce("metadata", F.create_map().cast("map<string,string>")), lambda k, _: ~k.isin("parameter_type", "parameter_value")), more)
-    return _chunk(own, id=F.concat("source_file", F.lit("_param_"), F.col("_i").cast("string")), chunk_type=F.lit("parameter"), subsection=kind, text=around, metadata=meta, chunk_index=F.col("_i"))
+    return _chunk(own, id=F.concat("source_file", F.lit("_param_"), F.col("_i").cast("string")), chunk_type=F.lit("parameter"), subsection=kind, text=F.col("_m")["text"], metadata=meta, chunk_index=F.col("_i"))
 
 
 STRATEGIES = {"semantic": semantic, "sliding_window": sliding_window, "sentence_boundary": sentence_boundary, "parameter_extraction": parameters}
@@ -191,7 +209,7 @@ def chunked(texts: DataFrame, strategy: str = "semantic", **options) -> DataFram
 
 def with_uid(chunks: DataFrame) -> DataFrame:
     """Chunks with ``chunk_uid``, which tells apart those whose ids repeat."""
-    n = F.row_number().over(Window.partitionBy("id").orderBy("section", "chunk_index", "text"))
+    n = F.row_number().over(Window.partitionBy("id").orderBy("section", "chunk_index", F.md5("text")))
     return chunks.withColumn("chunk_uid", F.concat("id", F.lit("#"), n.cast("string")))
 
 

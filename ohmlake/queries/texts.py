@@ -59,20 +59,64 @@ def _(spark, d):
     return K.windows(own, "t").select("doc_id", "offset", F.length("piece").cast("long").alias("n"))
 
 
+# `sectioned` in SQL, the headers and parameters in it by place, and the chunks that follow
+MADE = """made AS (SELECT 'd' || doc_id AS source_file, 'About this part.' || chr(10) || text || chr(10) || 'Electrical Characteristics:' || chr(10) || text || chr(10) || 'Pin Configuration' || chr(10) || 'short' || chr(10) ||
+  'Typical Applications:' || chr(10) || 'Voltage: 3.3V, clock = 16 MHz' || chr(10) || text AS text FROM documents)"""
+
+
+def _found(pattern: str, family: int) -> str:
+    """Matches of one pattern with their places: the pieces between them and they themselves, laid end to end."""
+    p = "(?i)" + pattern.replace("'", "''")
+    return f"""SELECT source_file, text, {family} AS family, k, m[k] AS match, list_sum(list_transform(b[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0) AS start
+  FROM (SELECT *, unnest(range(1, len(m) + 1)) AS k FROM (SELECT source_file, text, regexp_extract_all(text, '{p}') AS m, string_split_regex(text, '{p}') AS b FROM made))"""
+
+
+_HEADS = " UNION ALL ".join(_found(f"(?:{t}){K.AFTER_TITLE}", i) for i, t in enumerate(K.SECTION_TITLES))
+_KIND = "CASE " + " ".join("WHEN " + " OR ".join(f"lower(title) LIKE '%{w}%'" for w in words) + f" THEN '{kind}'" for kind, words in K.SECTION_TYPES) + " ELSE 'general' END"
+_STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+SEMANTIC = f"""{MADE}, heads AS ({_HEADS}),
+bodies AS (
+  SELECT source_file, regexp_extract(match, '(?i)^({"|".join(K.SECTION_TITLES)})', 1) AS title, FALSE AS intro,
+    {_STRIP.format("substring(text, (start + length(match) + 1)::BIGINT, (coalesce(lead(start) OVER (PARTITION BY source_file ORDER BY start), length(text)) - start - length(match))::BIGINT)")} AS body FROM heads
+  UNION ALL SELECT source_file, 'Introduction', TRUE, {_STRIP.format("substring(any_value(text), 1, min(start)::BIGINT)")} FROM heads GROUP BY source_file),
+kept AS (SELECT *, CASE WHEN intro THEN 'description' ELSE {_KIND} END AS kind FROM bodies WHERE length(body) > CASE WHEN intro THEN 100 ELSE 50 END),
+cut AS (SELECT *, {TOKENS.replace("text", "body")} AS w FROM kept WHERE NOT intro AND length(body) > 1024),
+semantic AS (
+  SELECT source_file, title, kind, source_file || '_' || CASE WHEN intro THEN 'intro' ELSE kind END AS id, 0 AS chunk_index, body AS piece FROM kept WHERE intro OR length(body) <= 1024
+  UNION ALL SELECT source_file, title, kind, source_file || '_' || kind || '_' || (i // 462), (i // 462)::INTEGER, array_to_string(w[i + 1:i + 512], ' ') FROM (SELECT *, unnest(range(0, len(w), 462)) AS i FROM cut))"""
+_PARAMETERS = " UNION ALL ".join(_found(x, i) for i, x in enumerate(K.PARAMETERS))
+
+
+def sentences_sql(name: str, source: str) -> str:
+    """Runs of sentences, each from the one before it: the sentence at which the tokens no longer fit, found by sums from the start."""
+    # RE2 has no look-behind: a mark is put behind each full stop that white space follows
+    return f"""{name}_s AS (
+  SELECT source_file, row_number() OVER (PARTITION BY source_file ORDER BY i) AS i, s, len({TOKENS.replace("text", "s")}) AS n
+  FROM (SELECT source_file, unnest(x) AS s, unnest(range(len(x))) AS i FROM (
+    SELECT source_file, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda y: trim(y, ' ')), lambda y: y <> '') AS x FROM {source}))),
+{name}_l AS (SELECT source_file, list(s ORDER BY i) AS s, list(n ORDER BY i) AS n FROM {name}_s GROUP BY source_file),
+{name}_r AS (
+  SELECT source_file, s, n, 1::BIGINT AS a, NULL::BIGINT AS b, 0::BIGINT AS k FROM {name}_l
+  UNION ALL
+  SELECT source_file, s, n, CASE WHEN e - a > 1 THEN e - 2 ELSE e END, e, k + 1 FROM (
+    SELECT *, coalesce(list_min([j FOR j IN range(greatest(a + 1, coalesce(b, 0) + 1), len(n) + 1) IF list_sum(n[a:j]) > 512]), len(n) + 1) AS e FROM {name}_r WHERE coalesce(b, 0) <= len(n))),
+{name} AS (SELECT source_file, (k - 1)::INTEGER AS chunk_index, array_to_string(s[pa:b - 1], ' ') AS piece FROM (SELECT *, lag(a) OVER (PARTITION BY source_file ORDER BY k) AS pa FROM {name}_r) WHERE k > 0)"""
+
+
 @query("chk5_section_types", "SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'specifications' WHEN p_partkey % 4 = 1 THEN 'mechanical' WHEN p_partkey % 4 = 2 THEN 'application' ELSE 'general' END AS kind FROM part")
 def _(spark, d):
     title = F.expr("CASE p_partkey % 4 WHEN 0 THEN 'Electrical data of ' WHEN 1 THEN 'Package of ' WHEN 2 THEN 'EXAMPLE for ' ELSE 'About ' END || p_brand")
     return given(spark, d, "part").select("p_partkey", K.section_type(title).alias("kind"))
 
 
-@query("chk1_semantic_chunks")
+@query("chk1_semantic_chunks", f"WITH {SEMANTIC} SELECT id || '#' || row_number() OVER (PARTITION BY id ORDER BY title, chunk_index, md5(piece)) AS chunk_uid, kind AS chunk_type, title AS section, length(piece)::INTEGER AS n, md5(piece) AS digest FROM semantic")
 def _(spark, d):
-    return K.with_uid(K.semantic(sectioned(spark, d))).select("chunk_uid", "chunk_type", "section", F.length("text").alias("n"))
+    return K.with_uid(K.semantic(sectioned(spark, d))).select("chunk_uid", "chunk_type", "section", F.length("text").alias("n"), F.md5("text").alias("digest"))
 
 
-@query("chk3_sentence_chunks")
+@query("chk3_sentence_chunks", f"WITH RECURSIVE t AS (SELECT 'd' || doc_id AS source_file, text FROM documents), {sentences_sql('packed', 't')} SELECT source_file || '_sent_' || chunk_index AS id, chunk_index, length(piece)::INTEGER AS n, md5(piece) AS digest FROM packed")
 def _(spark, d):
-    return K.sentence_boundary(texts(spark, d)).select("id", "chunk_index", F.length("text").alias("n"))
+    return K.sentence_boundary(texts(spark, d)).select("id", "chunk_index", F.length("text").alias("n"), F.md5("text").alias("digest"))
 
 
 @query("chk4_parameters", "SELECT 'd' || doc_id AS source_file, 'voltage' AS parameter_type, '3.3V' AS parameter_value, 0 AS chunk_index FROM documents UNION ALL SELECT 'd' || doc_id, 'clock', '16 MHz', 1 FROM documents")
@@ -80,7 +124,17 @@ def _(spark, d):
     return K.parameters(sectioned(spark, d)).select("source_file", F.col("metadata")["parameter_type"].alias("parameter_type"), F.col("metadata")["parameter_value"].alias("parameter_value"), "chunk_index")
 
 
-@query("chk7_strategies")
+CHUNKS = f"""WITH RECURSIVE {SEMANTIC}, params AS ({_PARAMETERS}), {sentences_sql("packed", "made")},
+slid AS (SELECT source_file, i, array_to_string(w[i + 1:i + 512], ' ') AS piece FROM (SELECT *, unnest(range(0, len(w), 462)) AS i FROM (SELECT source_file, {TOKENS} AS w FROM made))),
+every AS (
+  SELECT 'semantic' AS strategy, kind AS chunk_type, source_file FROM semantic
+  UNION ALL SELECT 'sliding_window', 'sliding_window', source_file FROM slid WHERE length(piece) > 50
+  UNION ALL SELECT 'sentence_boundary', 'sentence_boundary', source_file FROM packed
+  UNION ALL SELECT 'parameter_extraction', 'parameter', source_file FROM params)
+SELECT strategy, chunk_type, count(*) AS n, count(DISTINCT source_file) AS files FROM every GROUP BY ALL"""
+
+
+@query("chk7_strategies", CHUNKS)
 def _(spark, d):
     found = [K.chunked(sectioned(spark, d), s).groupBy("chunk_type").agg(F.count("*").alias("n"), F.countDistinct("source_file").alias("files")).withColumn("strategy", F.lit(s)) for s in K.STRATEGIES]
     out = found[0]
