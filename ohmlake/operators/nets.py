@@ -6,11 +6,11 @@ ordinal, text, type, x, y, rotation); pins: (schematic_id, reference, number, x,
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ohmlake.functions.columns import ordered
 from ohmlake.plans.components import connected_components
+from ohmlake.plans.forest import spanning_forest
 from ohmlake.plans.grid import near
 
 TOLERANCE = 0.01
@@ -53,36 +53,13 @@ def wire_groups(wires: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
 def net_numbers(wires: DataFrame, groups: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """NET-3: (schematic_id, wire_group, net_id, name): groups in the order of a list to whose end merged groups move.
 
-    A group's place is the ordinal of the last wire that merged groups, else of its first wire. That is found
-    within each group by itself, in order of its wires.
+    Wires come in order; one that touches several groups merges them. A group's place is the ordinal of the last wire that merged
+    groups, else of its first wire. With a touching pair weighed by its later wire, a wire has as many edges in a minimum
+    spanning forest as there were groups that it touched: with two or more it merged them.
     """
-    # of the earlier wires at one point the last stands for all, as these are one group by then
-    edges = touching(wires, tolerance).select("schematic_id", F.col("b").alias("ordinal"), "a")
-    before = edges.groupBy("schematic_id", "ordinal").agg(F.collect_list("a").alias("before"))
-    rows = groups.join(before, ["schematic_id", "ordinal"], "left").withColumn("before", F.coalesce("before", F.array().cast("array<bigint>")))
-
-    def place(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("ordinal")
-        up: dict[int, int] = {}
-
-        def root(i: int) -> int:
-            while up[i] != i:
-                up[i] = up[up[i]]
-                i = up[i]
-            return i
-
-        at = None
-        for i, before_ in zip(own["ordinal"], own["before"]):
-            found = {root(int(j)) for j in before_}
-            up[i] = i
-            for r in found:
-                up[r] = i
-            if at is None or len(found) > 1:
-                at = i
-        return pd.DataFrame({"schematic_id": [own["schematic_id"].iloc[0]], "wire_group": [own["wire_group"].iloc[0]], "place": [int(at)]})
-
-    kind = groups.schema["schematic_id"].dataType.simpleString()
-    placed = rows.groupBy("schematic_id", "wire_group").applyInPandas(place, f"schematic_id {kind}, wire_group string, place long")
+    forest = spanning_forest(touching(wires, tolerance), BY)
+    merging = forest.groupBy("schematic_id", F.col("b").alias("ordinal")).agg(F.count("*").alias("n")).where("n > 1").select("schematic_id", "ordinal", F.col("ordinal").alias("merged"))
+    placed = groups.join(merging, ["schematic_id", "ordinal"], "left").groupBy("schematic_id", "wire_group").agg(F.coalesce(F.max("merged"), F.min("ordinal")).alias("place"))
     net_id = F.row_number().over(Window.partitionBy("schematic_id").orderBy("place")) - 1
     return placed.select("schematic_id", "wire_group", net_id.cast("long").alias("net_id"), F.concat(F.lit("Net_"), net_id.cast("string")).alias("name"))
 

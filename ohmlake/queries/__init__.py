@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import circuits, texts
+from . import circuits, streams, texts
 from .base import with_derived
 
-MODULES = [circuits, texts]
+MODULES = [circuits, texts, streams]
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: with_derived(sql) for m in MODULES for name, sql in m.SQL.items()}

@@ -303,7 +303,32 @@ def _(spark, d):
     return groups.select("schematic_id", F.col("ordinal").cast("long").alias("ordinal"), F.split_part("wire_group", F.lit(":"), F.lit(2)).cast("long").alias("first_wire"))
 
 
-@query("net3_net_numbers")
+@query("net1_touching_wires", """
+WITH t AS (
+  SELECT a.schematic_id, a.ordinal AS a, b.ordinal AS b FROM wires a JOIN wires b ON a.schematic_id = b.schematic_id AND a.ordinal < b.ordinal
+  WHERE least((a.x1 - b.x1) ** 2 + (a.y1 - b.y1) ** 2, (a.x1 - b.x2) ** 2 + (a.y1 - b.y2) ** 2, (a.x2 - b.x1) ** 2 + (a.y2 - b.y1) ** 2, (a.x2 - b.x2) ** 2 + (a.y2 - b.y2) ** 2) <= 0.01 ** 2)
+SELECT schematic_id, b::BIGINT AS wire FROM t GROUP BY ALL""")
+def _(spark, d):
+    """Wires that touch an earlier one: of wires at one point each is paired with the one before it only."""
+    return N.touching(derived(spark, d, "wires")).select("schematic_id", F.col("b").cast("long").alias("wire")).distinct()
+
+
+# wires one after the other, each with the earlier ones that it touches, and the list of groups after it
+SEQUENTIAL = """touch AS (
+  SELECT b.schematic_id, b.ordinal AS i, list(a.ordinal) AS t FROM wires a JOIN wires b ON a.schematic_id = b.schematic_id AND a.ordinal < b.ordinal
+  WHERE least((a.x1 - b.x1) ** 2 + (a.y1 - b.y1) ** 2, (a.x1 - b.x2) ** 2 + (a.y1 - b.y2) ** 2, (a.x2 - b.x1) ** 2 + (a.y2 - b.y1) ** 2, (a.x2 - b.x2) ** 2 + (a.y2 - b.y2) ** 2) <= 0.01 ** 2 GROUP BY ALL),
+w AS (SELECT v.schematic_id, v.ordinal AS i, coalesce(t, []) AS t FROM wires v LEFT JOIN touch ON touch.schematic_id = v.schematic_id AND touch.i = v.ordinal),
+r AS (
+  SELECT schematic_id, i, [[i]] AS g FROM w WHERE i = 0
+  UNION ALL
+  SELECT r.schematic_id, w.i, CASE len(list_filter(g, lambda x: len(list_intersect(x, t)) > 0))
+    WHEN 0 THEN list_append(g, [w.i]) WHEN 1 THEN list_transform(g, lambda x: CASE WHEN len(list_intersect(x, t)) > 0 THEN list_append(x, w.i) ELSE x END)
+    ELSE list_append(list_filter(g, lambda x: len(list_intersect(x, t)) = 0), list_append(flatten(list_filter(g, lambda x: len(list_intersect(x, t)) > 0)), w.i)) END
+  FROM r JOIN w ON w.schematic_id = r.schematic_id AND w.i = r.i + 1),
+net AS (SELECT schematic_id, unnest(g) AS wires, unnest(range(len(g))) AS net_id FROM (SELECT schematic_id, arg_max(g, i) AS g FROM r GROUP BY ALL))"""
+
+
+@query("net3_net_numbers", f"WITH RECURSIVE {SEQUENTIAL} SELECT schematic_id, schematic_id || ':' || lpad(list_min(wires)::VARCHAR, 12, '0') AS wire_group, net_id, 'Net_' || net_id AS name FROM net")
 def _(spark, d):
     w = derived(spark, d, "wires")
     return N.net_numbers(w, N.wire_groups(w))
@@ -331,7 +356,13 @@ for _i, _which in ((4, "labels"), (5, "junctions"), (6, "pins")):
     SQL[f"net{_i}_{_which}_on_nets"] = ON
 
 
-@query("net7_assembled_nets")
+@query("net7_assembled_nets", f"""WITH RECURSIVE {SEQUENTIAL},
+p AS (SELECT schematic_id, ordinal, x1 + CASE ordinal % 3 WHEN 0 THEN 0.0 WHEN 1 THEN 0.004 ELSE 0.5 END AS x, y1 AS y FROM wires),
+member AS (SELECT schematic_id, net_id, unnest(wires) AS ordinal FROM net),
+hit AS (SELECT m.schematic_id, m.net_id, count(DISTINCT p.ordinal) AS n FROM member m JOIN wires w ON w.schematic_id = m.schematic_id AND w.ordinal = m.ordinal JOIN p ON p.schematic_id = w.schematic_id
+  AND least((p.x - w.x1) ** 2 + (p.y - w.y1) ** 2, (p.x - w.x2) ** 2 + (p.y - w.y2) ** 2) <= 0.01 ** 2 GROUP BY ALL)
+SELECT net.schematic_id, net.net_id, 'Net_' || net.net_id AS name, len(wires)::INTEGER AS n_wires, hit.n::INTEGER AS n_pins, hit.n::INTEGER AS n_labels
+FROM net LEFT JOIN hit ON hit.schematic_id = net.schematic_id AND hit.net_id = net.net_id""")
 def _(spark, d):
     w, p = derived(spark, d, "wires"), points_at_wires(spark, d, "L")
     pins = p.select("schematic_id", F.concat(F.lit("R"), F.col("ordinal").cast("string")).alias("reference"), F.lit("").alias("number"), "x", "y")

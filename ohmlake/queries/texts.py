@@ -909,7 +909,7 @@ def _(spark, d):
     return B.footprint_facts(f, derived(spark, d, "net_pins").where("pos > 2"), ["schematic_id"]).select("schematic_id", "reference", "kind", "pads")
 
 
-# ---------------------------------------------------------------- streams, as batches; the tests run them as streams
+# ---------------------------------------------------------------- streams, as batches; as streams they are in streams.py
 
 
 def status_events(spark, d) -> DataFrame:

@@ -1,6 +1,6 @@
 """Streams with state: job states, redrive with dead letters, and repeats dropped by watermark (STR-1, STR-5, STR-8, STR-10).
 
-State is typed and lies in the RocksDB store; ``session`` gives a session with that store, as no operator changes
+State is typed and lies in the RocksDB store. A job has a value, a map and a timer (transformWithState); a message in a queue has a count; ``session`` gives a session with that store, as no operator changes
 a setting of the caller's. Every sink is written by (query, epoch), so a micro-batch that runs again replaces what it wrote.
 """
 
@@ -87,8 +87,10 @@ class JobStates(StatefulProcessor):
         self.given = handle.getMapState("given", "field string", "whole long, text string, ts timestamp, rank int, status string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        created, last, timer = (None, None, 0) if not self.life.exists() else self._life()
-        known: dict[str, tuple] = {}
+        life = self.life.get()
+        created, last, timer = (pd.Timestamp(life[0]), (pd.Timestamp(life[1]), life[2], life[3]), life[4]) if life else (None, None, 0)
+        held = {k[0]: (v[0], v[1], pd.Timestamp(v[2]), v[3], v[4]) for k, v in self.given.iterator()} if life else {}
+        known = dict(held)
         for pdf in rows:
             for row in pdf.to_dict("records"):
                 ts, status = pd.Timestamp(row["event_ts"]), row["status"]
@@ -107,21 +109,12 @@ class JobStates(StatefulProcessor):
                 self.handle.registerTimer(due)
                 timer = due
         self.life.update((created.to_pydatetime(), last[0].to_pydatetime(), last[1], last[2], timer))
-        out = {}
-        for name in self.fields:
-            held = self.given.getValue((name,)) if self.given.containsKey((name,)) else None
-            if name in known and (held is None or known[name][2:] > (pd.Timestamp(held[2]), held[3], held[4])):
-                whole, text, ts, rank, status = known[name]
-                held = (whole, text, ts.to_pydatetime(), rank, status)
-                self.given.updateValue((name,), held)
-            out[name] = None if held is None else held[1] if self.fields[name] == "string" else held[0]
-        typed = {n: pd.Series([v], dtype="Int64" if self.fields[n] != "string" else object) for n, v in out.items()}
+        for name, (whole, text, ts, rank, status) in known.items():
+            if known[name] is not held.get(name):
+                self.given.updateValue((name,), (whole, text, ts.to_pydatetime(), rank, status))
+        typed = {n: pd.Series([known[n][1 if k == "string" else 0] if n in known else None], dtype="Int64" if k != "string" else object) for n, k in self.fields.items()}
         yield pd.DataFrame({"processing_id": [key[0]], "status": [last[2]], "created_at": [created], "updated_at": [last[0]]} | typed)
 
-    def _life(self) -> tuple:
-        created, ts, rank, status, timer = self.life.get()
-        return pd.Timestamp(created), (pd.Timestamp(ts), rank, status), timer
-
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.life.clear()
         self.given.clear()
@@ -148,46 +141,38 @@ def job_states_held(events: DataFrame, fields: dict[str, str], idle_seconds: int
 # ---------------------------------------------------------------- STR-8
 
 
-class Receives(StatefulProcessor):
-    """STR-8: failures of one message so far; nothing is kept of a message that worked or was given up."""
+QUEUE = "key string, body string, receives int"
+OUTCOMES = "key string, body string, receives int, outcome string, error string"
 
-    def __init__(self, most: int, retention_ms: int):
-        self.most, self.retention_ms = most, retention_ms
 
-    def init(self, handle) -> None:
-        self.failed = handle.getValueState("failed", "n int", self.retention_ms)
+def outcomes(received: DataFrame, most: int = MAX_RECEIVES, retention_ms: int = RETENTION_MS) -> DataFrame:
+    """STR-8 on a stream of a ``session``: each receive (key, body, ok, error) with its number and outcome: done, again, or dead at the ``most``-th failure.
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        before = n = self.failed.get()[0] if self.failed.exists() else 0
-        for pdf in rows:
+    State is the number of failures since the message last worked or was given up; one that rests for the retention time is dropped.
+    Messages are many and short-lived, so their state comes with their rows rather than by a call each. A null ok has failed.
+    """
+
+    def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        n = state.get[0] if state.exists else 0
+        for pdf in batches:
             receives, outcome = [], []
             for ok in pdf["ok"]:
                 n += 1
                 receives.append(n)
-                outcome.append("done" if ok else "dead" if n >= self.most else "again")
+                outcome.append("done" if ok else "dead" if n >= most else "again")
                 n = n if outcome[-1] == "again" else 0
             yield pd.DataFrame({"key": pdf["key"], "body": pdf["body"], "receives": receives, "outcome": outcome, "error": pdf["error"].where(~pdf["ok"], None)})
         if n:
-            self.failed.update((n,))
-        elif before:
-            self.failed.clear()
-
-    def close(self) -> None:
-        pass
-
-
-QUEUE = "key string, body string, receives int"
-OUTCOMES = "key string, body string, receives int, outcome string, error string"
+            state.update((n,))
+            state.setTimeoutDuration(retention_ms)
+        elif state.exists:
+            state.remove()
 
-
-def outcomes(received: DataFrame, most: int = MAX_RECEIVES, retention_ms: int = RETENTION_MS) -> DataFrame:
-    """STR-8 on a stream of a ``session``: each receive (key, body, ok, error) with its number and outcome: done, again, or dead at the ``most``-th failure.
-
-    Failures are counted since the message last worked or was given up; a count that rests for the retention time is dropped.
-    A null ok has failed.
-    """
     own = received.select("key", "body", F.coalesce("ok", F.lit(False)).alias("ok"), F.col("error").cast("string").alias("error"))
-    return own.groupBy("key").transformWithStateInPandas(Receives(most, retention_ms), StructType.fromDDL(OUTCOMES), "Append", "ProcessingTime")
+    return own.groupBy("key").applyInPandasWithState(step, OUTCOMES, "n int", "append", "ProcessingTimeTimeout")
 
 
 def redriven(spark: SparkSession, queue: str, work: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, most: int = MAX_RECEIVES, per_batch: int = 1) -> int:
