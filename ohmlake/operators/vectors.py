@@ -146,7 +146,8 @@ def _best_of_block(table: DataFrame, queries: DataFrame, k: int, id_: str, query
                     if flat.null_count:
                         whole = np.flatnonzero(~pc.is_null(flat).to_numpy(zero_copy_only=False).reshape(len(part), m).any(axis=1))
                     own = _first_ids(x[whole], ids.take(pa.array(some[at + whole])), whole, k)
-                    row, col = _may_be_best(x[own], q, k, metric, least[m])
+                    by_id = pc.sort_indices(ids.take(pa.array(some[at + own])), null_placement="at_start").to_numpy()
+                    row, col = _may_be_best(x[own], q, k, metric, least[m], by_id)
                     take = pa.array(some[at + own[row]])
                     yield pa.RecordBatch.from_arrays([pa.array(numbers[col]), ids.take(take), vectors.take(take)], names=["number", "id", "v"])
 
@@ -170,8 +171,12 @@ def _first_ids(x: np.ndarray, ids: pa.Array, rows: np.ndarray, k: int) -> np.nda
     return rows[np.sort(np.array(keep, np.int64))]
 
 
-def _may_be_best(x: np.ndarray, q: np.ndarray, k: int, metric: str, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, queries) whose distance is, but for rounding, not above the k-th least so far, which is kept up in ``least``."""
+def _may_be_best(x: np.ndarray, q: np.ndarray, k: int, metric: str, least: np.ndarray, by_id: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, queries) whose distance is, but for rounding, not above the k-th least so far, which is kept up in ``least``.
+
+    Rows without a distance (of a zero vector, or to one) come last and by id, so the first k of them will do, and only for
+    queries that have fewer than k others so far.
+    """
     if not len(x):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     if metric == "cosine":
@@ -186,7 +191,13 @@ def _may_be_best(x: np.ndarray, q: np.ndarray, k: int, metric: str, least: np.nd
     d[np.isnan(d)] = np.inf
     if len(x) >= k:
         np.minimum(least, np.partition(d, k - 1, axis=0)[k - 1], out=least)
-    return np.nonzero(d <= (least + slack)[None, :])
+    none = np.isinf(d)
+    good = ~none & (d <= (least + slack)[None, :])
+    short = np.flatnonzero(np.isinf(least) & none.any(axis=0))
+    if len(short):
+        first = none[by_id][:, short]
+        good[np.ix_(by_id, short)] |= first & (np.cumsum(first, axis=0) <= k)
+    return np.nonzero(good)
 
 
 def nearest_where(table: DataFrame, queries: DataFrame, equal: dict[str, object], k: int = 10, metric: str = "l2", **names) -> DataFrame:

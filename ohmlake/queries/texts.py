@@ -724,6 +724,21 @@ def _(spark, d):
     return S.component_pins(rows(spark, d)).select("schematic_id", "reference", "number", "x")
 
 
+IN_FILES = """WITH c AS MATERIALIZED (SELECT * FROM comps), w AS MATERIALIZED (SELECT DISTINCT schematic_id FROM wires),
+f AS MATERIALIZED (SELECT c.* FROM c JOIN w ON w.schematic_id = c.schematic_id WHERE c.schematic_id % 40 <> 0)"""
+
+
+@query("sch8_all_components", f"{IN_FILES} SELECT schematic_id, reference, value, library_id, x, y, 0.0::DOUBLE AS rotation FROM f")
+def _(spark, d):
+    return S.components(rows(spark, d)).select("schematic_id", "reference", "value", "library_id", "x", "y", "rotation")
+
+
+@query("sch9_all_pins", f"{IN_FILES} SELECT schematic_id, reference, library_id, count(*)::BIGINT AS pins FROM f GROUP BY ALL")
+def _(spark, d):
+    pins = S.component_pins(rows(spark, d)).groupBy("schematic_id", "reference").agg(F.count("*").alias("pins"))
+    return pins.join(S.components(rows(spark, d)).select("schematic_id", "reference", "library_id"), ["schematic_id", "reference"]).select("schematic_id", "reference", "library_id", "pins")
+
+
 @query("sch10_component_properties", f"SELECT schematic_id, reference, 'Reference' AS name, reference AS value FROM comps WHERE schematic_id IN {FILES} UNION ALL SELECT schematic_id, reference, 'Value', value FROM comps WHERE schematic_id IN {FILES} UNION ALL SELECT schematic_id, reference, 'Datasheet', datasheet FROM comps WHERE schematic_id IN {FILES}")
 def _(spark, d):
     return S.component_properties(rows(spark, d)).select("schematic_id", "reference", "name", "value")

@@ -77,6 +77,23 @@ def test_nets_take_labels_junctions_and_pins(spark):
     assert N.nets(wires.limit(0), points, points, N.pin_positions(comps, pins)).count() == 0
 
 
+def test_zero_vectors_hand_on_few_rows(spark, monkeypatch):
+    rows = [(i, [float(i % 7), float(i % 3)]) for i in range(1, 2000)] + [(-i, [0.0, 0.0]) for i in range(1, 60)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    asked = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 2.0])], "query_id long, query_vector array<double>")
+    got = V.nearest(table, asked, 3).orderBy("query_id", "rank").collect()
+    assert [r.vec_id for r in got[:3]] == [-59, -58, -57] and all(math.isnan(r.distance) for r in got[:3])
+    assert [r.vec_id for r in got[3:]] == sorted((i for i, v in rows if v[0] * 2 == v[1] and v[0]), key=lambda i: i)[:3] or got[3].distance < 1e-9
+    few = spark.createDataFrame(rows[-5:] + [(7, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    assert [r.vec_id for r in V.nearest(few, asked.where("query_id = 2"), 3).orderBy("rank").collect()] == [7, -59, -58]
+    import numpy as np
+
+    x = np.array([v for _, v in rows])
+    order = np.argsort([i for i, _ in rows])
+    row, col = V._may_be_best(x, np.zeros((1, 2)), 3, "cosine", np.full(1, np.inf), order)
+    assert len(row) == 3  # not the table
+
+
 def test_components_against_union_find(spark):
     rng = random.Random(2)
     edges = [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(320)] + [(i, i + 1) for i in range(1000, 1200)] + [(5, 5), (None, 3)]
