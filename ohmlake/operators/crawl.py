@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import cache
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
-from ohmlake.functions.columns import basename, has_any, keep_first, top_n_per, url_path
+from ohmlake.functions.columns import basename, has_any, keep_first, let, top_n_per, url_path
 
 MAX_LINKS_PER_SITE = 20
 MAX_PAGES = 50
@@ -74,18 +77,76 @@ def hrefs(pages: DataFrame, html: str = "html", keep: list[str] | None = None) -
     return pages.select(*kept, F.posexplode(F.regexp_extract_all(html, F.lit(r'<a\s[^>]*href="([^"]*)"'), F.lit(1))).alias("pos", "href"))
 
 
-@F.pandas_udf(StringType())
-def resolved(base: pd.Series, href: pd.Series) -> pd.Series:
-    """CRL-2: a link against the page or site that it stands on; null where it cannot be resolved."""
-    from urllib.parse import urljoin
+# Schemes whose references are resolved against a base, those of them without a host, and schemes with parameters.
+RELATIVE = ["", "ftp", "http", "gopher", "nntp", "imap", "wais", "file", "https", "shttp", "mms", "prospero", "rtsp", "rtsps", "rtspu", "sftp", "svn", "svn+ssh", "ws", "wss"]
+WITH_PARAMS = ["", "ftp", "hdl", "prospero", "http", "https", "shttp", "rtsp", "rtsps", "rtspu", "sip", "sips", "mms", "sftp", "tel"]
+HOSTLESS = ["nntp", "imap", "wais", "prospero", "svn", "svn+ssh"]
+
+_URL = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?\z"
+
+
+@cache
+def _bad_host() -> str:
+    """A pattern of hosts that are no hosts: half a bracket, brackets around something else than an address, and letters that stand for a separator."""
+    odd = "".join(chr(c) for c in range(0x2000, 0x10000) if set(unicodedata.normalize("NFKC", chr(c))) & set("/?#@:") and not 0xD800 <= c < 0xE000)
+    return rf"[{odd}]|^(?!.*\[.*\]).*[\[\]]|^(?!(?:[^@]*@)?\[(?:[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*(?:%[^\[\]]*)?|v[0-9A-Fa-f]+\.[^\[\]]+)\](?::[^\[\]]*)?\z).*\["
+
 
-    def one(b, h):
-        try:
-            return urljoin(b or "", h or "")
-        except ValueError:
-            return None
+def _parsed(url: Column, scheme: Column) -> Column:
+    """Parts of a URL; its scheme is the given one if it has none."""
+    clean = F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
+    part = lambda i: F.regexp_extract(clean, _URL, i)
+    own = F.lower(part(1))
+    path = part(3)
+    scheme = F.when(own == "", scheme).otherwise(own)
+    cut = F.length(F.when(scheme.isin(*WITH_PARAMS), F.regexp_extract(path, r"(?s)^((?:[^/]*/)*[^;/]*)", 1)).otherwise(path))
+    return F.struct(
+        scheme.alias("scheme"), part(2).alias("host"), F.substring(path, F.lit(1), cut).alias("path"),
+        F.substring(path, cut + 2, F.length(path)).alias("params"), part(4).alias("query"), part(5).alias("fragment"),
+    )
 
-    return pd.Series([one(b, h) for b, h in zip(base, href)], dtype=object)
+
+def _joined_path(base: Column, path: Column) -> Column:
+    """A path against the base's: below its folder unless it begins with a slash, without empty parts there, and without . and .."""
+    below = F.split(base, "/", -1)
+    below = F.when(F.element_at(below, -1) == "", below).otherwise(F.slice(below, F.lit(1), F.size(below) - 1))
+    lean = lambda s: F.when(F.size(s) < 3, s).otherwise(F.concat(F.slice(s, 1, 1), F.filter(F.slice(s, F.lit(2), F.size(s) - 2), lambda x: x != ""), F.slice(s, -1, 1)))
+    segments = F.when(path.startswith("/"), F.split(path, "/", -1)).otherwise(let(F.concat(below, F.split(path, "/", -1)), lean))
+    step = lambda done, x: F.when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(x == ".", done).otherwise(F.concat(done, F.array(x)))
+    walked = lambda s: F.concat(F.aggregate(s, F.array().cast("array<string>"), step), F.when(F.element_at(s, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>")))
+    return let(let(segments, walked), lambda s: F.coalesce(F.nullif(F.array_join(s, "/"), F.lit("")), F.lit("/")))
+
+
+def resolved(base: str | Column, href: str | Column) -> Column:
+    """CRL-2: a link against the page or site that it stands on; null where it cannot be resolved. Column expressions only.
+
+    A null base or link is an empty one; an empty link is the base, and without a base a link stays as it is. So does one of another
+    scheme. A host that is none (half a bracket, letters that stand for a separator) gives null.
+    """
+    base, href = (F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")) for c in (base, href))
+
+    def put_together(scheme: Column, host: Column, path: Column, params: Column, query: Column, fragment: Column) -> Column:
+        after = F.concat(path, F.when(params != "", F.concat(F.lit(";"), params)).otherwise(""))
+        hosted = ~scheme.isin(*HOSTLESS, "")
+        slashes = F.when(host != "", F.concat(F.lit("//"), host, F.when((after != "") & ~after.startswith("/"), "/").otherwise(""), after)).when(after.startswith("//"), F.concat(F.lit("//"), after))
+        slashes = slashes.when(hosted & ((after == "") | after.startswith("/")), F.concat(F.lit("//"), after)).otherwise(after)
+        more = lambda sign, x: F.when(x != "", F.concat(F.lit(sign), x)).otherwise("")
+        return F.concat(F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(""), slashes, more("?", query), more("#", fragment))
+
+    def join(b: Column, u: Column) -> Column:
+        own_host = ~u["scheme"].isin(*HOSTLESS) & (u["host"] != "")
+        host = F.when(u["scheme"].isin(*HOSTLESS), u["host"]).otherwise(b["host"])
+        same_path = (u["path"] == "") & (u["params"] == "")
+        return (
+            F.when(b["host"].rlike(_bad_host()) | u["host"].rlike(_bad_host()), F.lit(None))
+            .when((u["scheme"] != b["scheme"]) | ~u["scheme"].isin(*RELATIVE), href)
+            .when(own_host, put_together(u["scheme"], u["host"], u["path"], u["params"], u["query"], u["fragment"]))
+            .when(same_path, put_together(u["scheme"], host, b["path"], b["params"], F.when(u["query"] == "", b["query"]).otherwise(u["query"]), u["fragment"]))
+            .otherwise(put_together(u["scheme"], host, _joined_path(b["path"], u["path"]), u["params"], u["query"], u["fragment"]))
+        )
+
+    found = let(_parsed(base, F.lit("")), lambda b: let(_parsed(href, b["scheme"]), lambda u: join(b, u)))
+    return F.when(base == "", href).when(href == "", base).otherwise(found)
 
 
 def is_pdf_link(href: Column, text: Column | None = None, variant: str = "contains") -> Column:

@@ -459,12 +459,20 @@ def _(spark, d):
     return links(spark, d).where("href rlike '^/[A-Za-z]+$'").select("page_id", "pos", W.resolved("url", "href").alias("link"))
 
 
-@query("crl2_all_resolved")
+@query("crl2_all_resolved", f"""WITH {A_SQL}, u AS (SELECT page_id, pos, href, regexp_extract(url, '^([a-z]+:)', 1) AS scheme, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS site, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM a)
+SELECT page_id, pos::INTEGER AS pos, CASE WHEN href = '' THEN site || path WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN starts_with(href, '//') THEN scheme || href WHEN starts_with(href, '/') THEN site || href
+  ELSE site || regexp_replace(CASE WHEN path = '' THEN '/' ELSE path END, '[^/]*$', '') || href END AS link FROM u""")
 def _(spark, d):
-    """Every link of every page; SQL has no URL resolution to compare with."""
+    """Every link of every page; the pages have no links with dot segments, empty queries or parameters, so that SQL needs none of it."""
     return links(spark, d).select("page_id", "pos", W.resolved("url", "href").alias("link"))
 
 
+@query("crl2_dot_segments", "SELECT event_id, 'https://h' || (event_id % 11) || '.example.com/f/' || CASE event_id % 5 WHEN 0 THEN 'x' WHEN 1 THEN '' WHEN 2 THEN 'y/z?k=1' WHEN 3 THEN '' ELSE (event_id % 900) || CASE WHEN event_id % 3 = 0 THEN '.pdf' ELSE '' END || '#top' END AS link FROM events")
+def _(spark, d):
+    link = F.expr("CASE event_id % 5 WHEN 0 THEN './x' WHEN 1 THEN '.' WHEN 2 THEN '../f/./y/z?k=1' WHEN 3 THEN '../../g/../f/' ELSE '#top' END")
+    return derived(spark, d, "fetches").select("event_id", W.resolved(F.col("url"), link).alias("link"))
+
+
 @query("crl3_pdf_links", "SELECT event_id, contains(lower(url), '.pdf') AS contains, ends_with(url, '.pdf') AS ends FROM fetches")
 def _(spark, d):
     return derived(spark, d, "fetches").select("event_id", W.is_pdf_link(F.col("url")).alias("contains"), W.is_pdf_link(F.col("url"), variant="ends").alias("ends"))
