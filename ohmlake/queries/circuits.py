@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ohmlake.functions.columns import ordered, unit_suffix, uuid_bytes, uuid_text
 from ohmlake.operators import board as B, circuit as C, graph as G, nets as N, project as P, registry as R, vectors as V
+from ohmlake.plans import buckets
 from ohmlake.plans.components import connected_components
 from ohmlake.plans.grid import near
+from ohmlake.plans.storage import fresh_folder
 
 from .base import derived, given
 
@@ -457,6 +459,18 @@ def _(spark, d):
     return V.upserted(old, new, ["c_custkey"])
 
 
+@query("vec7_bucket_upsert", "SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'NEW' ELSE c_mktsegment END AS c_mktsegment FROM customer UNION ALL SELECT c_custkey + 10000000, 'NEW' FROM customer WHERE c_custkey % 7 = 1")
+def _(spark, d):
+    """The same in a stored table; the upsert runs twice, as a job that was repeated does."""
+    folder = f"{fresh_folder(spark, 'upsert')}/table"
+    old = given(spark, d, "customer").select("c_custkey", "c_mktsegment")
+    new = old.where("c_custkey % 7 = 0").unionByName(old.where("c_custkey % 7 = 1").withColumn("c_custkey", F.col("c_custkey") + 10_000_000)).withColumn("c_mktsegment", F.lit("NEW"))
+    buckets.create(old, folder, ["c_custkey"], 8)
+    for _ in range(2):
+        buckets.upsert(new, folder)
+    return buckets.read(spark, folder)
+
+
 @query("vec1_texts", "SELECT schematic_id, reference, 'Component ' || reference || ': ' || value || '. ' || " + DESCRIBED + " || '. Rating: ' || rating || '. MPN: ' || CASE WHEN mpn <> '' THEN mpn ELSE mpn2 END || '. Footprint: ' || footprint || '. Library: ' || library_id || '. Datasheet: ' || datasheet || '. Position: x=' || x || ', y=' || y || '.' AS text FROM comps")
 def _(spark, d):
     return C.component_records(properties(comps(spark, d))).select("schematic_id", "reference", V.component_text().alias("text"))
