@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 from ohmlake.functions.columns import basename, has_any, keep_first, let, top_n_per, url_path
+from ohmlake.plans.storage import stored
 
 MAX_LINKS_PER_SITE = 20
 MAX_PAGES = 50
@@ -298,12 +299,19 @@ def not_completed(rows: DataFrame, done: DataFrame, keys: list[str]) -> DataFram
 def outcome_totals(log: DataFrame, by: list[str]) -> DataFrame:
     """CRL-20: success, error and skipped of each group, and running totals in the order of the groups' last column.
 
-    The running totals go over groups, which are few rows; rows of the log meet only in counts.
+    Rows of the log meet only in counts. With a single column the groups themselves may be many, so they are dealt by ranges of it: each range
+    has its own running totals, to which those of the ranges before it are added.
     """
-    n = lambda s: F.count_if(F.col("status") == s).alias(s)
-    own = log.groupBy(*by).agg(n("success"), n("error"), n("skipped"))
-    w = Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, 0)
-    return own.withColumns({f"{c}_so_far": F.sum(c).over(w) for c in ("success", "error", "skipped")})
+    names = ("success", "error", "skipped")
+    own = log.groupBy(*by).agg(*[F.count_if(F.col("status") == s).alias(s) for s in names])
+    so_far = lambda w: {f"{c}_so_far": F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, 0)) for c in names}
+    if len(by) > 1:
+        return own.withColumns(so_far(Window.partitionBy(*by[:-1]).orderBy(by[-1])))
+    ranged = stored(own.repartitionByRange(by[0]).withColumn("_range", F.spark_partition_id()), "totals")
+    sums = ranged.groupBy("_range").agg(*[F.sum(c).alias(c) for c in names])  # a row a range
+    before = sums.select("_range", *[F.coalesce(F.sum(c).over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"_{c}") for c in names])
+    within = ranged.withColumns(so_far(Window.partitionBy("_range").orderBy(by[0]))).join(F.broadcast(before), "_range")
+    return within.select(*by, *names, *[(F.col(f"{c}_so_far") + F.col(f"_{c}")).alias(f"{c}_so_far") for c in names])
 
 
 def sanitized(name: Column, most: int = 200) -> Column:

@@ -215,17 +215,30 @@ def retrieved(spark, d) -> DataFrame:
     return C.retrieval_documents(C.analysis(titled(spark, d), comps(spark, d), n), c, C.functional_groups(c), n)
 
 
-@query("cir12_retrieval_documents", """
+GROUP_AND_NET_DOCUMENTS = """
 SELECT schematic_id, 'functional_group' AS type, name AS key, 'Functional Group: ' || name || chr(10) || 'Function: ' || CASE name WHEN 'Power Management' THEN 'power_regulation' WHEN 'USB Interface' THEN 'usb_interface' WHEN 'I2C Interface' THEN 'i2c_interface' WHEN 'Protection Circuits' THEN 'esd_protection' WHEN 'Buffer/Driver Circuits' THEN 'signal_buffering' ELSE 'led_driving' END
   || chr(10) || 'Description: ' || CASE name WHEN 'Power Management' THEN 'Voltage regulation and power distribution' WHEN 'USB Interface' THEN 'USB communication interface' WHEN 'I2C Interface' THEN 'I2C/Qwiic communication interface' WHEN 'Protection Circuits' THEN 'ESD and overvoltage protection' WHEN 'Buffer/Driver Circuits' THEN 'Signal buffering and level conversion' ELSE 'LED current limiting and control' END
   || chr(10) || 'Components: ' || string_agg(reference, ', ' ORDER BY part, ordinal, reference) AS content FROM group_members GROUP BY schematic_id, name
 UNION ALL SELECT t.schematic_id, 'network', t.name, 'Network: ' || t.name || chr(10) || 'Type: ' || t.net_type || chr(10) || 'Connected Components: ' || string_agg(p.reference, ', ' ORDER BY p.pos, p.partkey, p.reference)
-  FROM net_types t JOIN net_pins p ON t.schematic_id = p.schematic_id AND t.net_no = p.net_no GROUP BY t.schematic_id, t.name, t.net_type, t.net_no HAVING count(*) > 1""")
+  FROM net_types t JOIN net_pins p ON t.schematic_id = p.schematic_id AND t.net_no = p.net_no GROUP BY t.schematic_id, t.name, t.net_type, t.net_no HAVING count(*) > 1"""
+
+
+@query("cir12_retrieval_documents", GROUP_AND_NET_DOCUMENTS)
 def _(spark, d):
     return retrieved(spark, d).where("type in ('functional_group', 'network')")
 
 
-@query("cir12_all_documents")
+@query("cir12_all_documents", f"""
+SELECT c_custkey AS schematic_id, 'circuit_overview' AS type, c_custkey::VARCHAR AS key, 'Circuit: ' || c_name || ' by us' || chr(10) || 'Components: ' || coalesce(nc, 0) || ' total components' || chr(10) || 'Networks: ' || coalesce(nn, 0) || ' connections'
+  || chr(10) || 'Functional Groups: ' || coalesce(g.names, '') || chr(10) || 'Power Rails: ' || coalesce(r.names, '') || chr(10) || 'Interfaces: ' || coalesce(i.names, '') AS content
+FROM customer LEFT JOIN (SELECT schematic_id, count(*) AS nc FROM comps GROUP BY ALL) a ON a.schematic_id = c_custkey
+LEFT JOIN (SELECT schematic_id, count(*) AS nn FROM net_types GROUP BY ALL) b ON b.schematic_id = c_custkey
+LEFT JOIN (SELECT schematic_id, string_agg(DISTINCT name, ', ' ORDER BY name) AS names FROM group_members GROUP BY ALL) g ON g.schematic_id = c_custkey
+LEFT JOIN (SELECT schematic_id, string_agg(name, ', ' ORDER BY net_no) AS names FROM net_types WHERE net_type IN ('power', 'ground') GROUP BY ALL) r ON r.schematic_id = c_custkey
+LEFT JOIN (SELECT schematic_id, string_agg(reference || ': ' || value, ', ' ORDER BY ordinal) AS names FROM comps WHERE lower(library_id) LIKE '%conn\\_%' ESCAPE '\\' GROUP BY ALL) i ON i.schematic_id = c_custkey
+UNION ALL SELECT schematic_id, 'component', reference, 'Component ' || reference || ': ' || value || chr(10) || 'Type: ' || {DESCRIBED} || chr(10) || 'Footprint: ' || footprint || chr(10) || 'Rating: ' || rating || chr(10)
+  || 'Part Number: ' || CASE WHEN mpn <> '' THEN mpn ELSE mpn2 END || chr(10) || 'Position: x=' || x || ', y=' || y FROM comps
+UNION ALL {GROUP_AND_NET_DOCUMENTS}""")
 def _(spark, d):
     return retrieved(spark, d)
 

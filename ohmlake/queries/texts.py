@@ -195,7 +195,7 @@ def _(spark, d):
     return D.numbered_pins(sheets(spark, d)).select("source_file", "pin_number", "pin_name", "description", "pin_type")
 
 
-@query("dtx3_described_pins")
+@query("dtx3_described_pins", "SELECT source_file, 'SCL' AS pin_name, '(SCK) ' || trim(replace(split_part(text, 'SCL (SCK):', 2), chr(10), ' ')) AS description, 'POWER' AS pin_type FROM sheets")
 def _(spark, d):
     return D.described_pins(sheets(spark, d)).select("source_file", "pin_name", "description", "pin_type")
 
@@ -607,6 +607,11 @@ def _(spark, d):
     return W.outcome_totals(own, ["user_id", "day"]).select("user_id", "day", "success", "error", "skipped", "success_so_far")
 
 
+@query("crl20_totals_by_url", "SELECT url, success, error, skipped, (sum(success) OVER w)::BIGINT AS success_so_far, (sum(error) OVER w)::BIGINT AS error_so_far, (sum(skipped) OVER w)::BIGINT AS skipped_so_far FROM (SELECT url, count_if(status = 'success')::BIGINT AS success, count_if(status = 'error')::BIGINT AS error, count_if(status = 'skipped')::BIGINT AS skipped FROM fetches GROUP BY ALL) WINDOW w AS (ORDER BY url)")
+def _(spark, d):
+    return W.outcome_totals(derived(spark, d, "fetches"), ["url"])
+
+
 @query("crl21_sanitized", "SELECT p_partkey, replace(p_name, ' ', '_') || '_' || p_brand || '_v.pdf' AS name FROM part")
 def _(spark, d):
     return given(spark, d, "part").select("p_partkey", W.sanitized(F.concat(F.lit("._"), "p_name", F.lit(" \t"), "p_brand", F.lit("?v.pdf_"))).alias("name"))

@@ -294,6 +294,23 @@ def test_unique_names(spark):
     assert [r.unique_name for r in got] == want
 
 
+def test_running_totals_over_ranges(spark):
+    rng = random.Random(12)
+    log = [(f"u{rng.randrange(300):03d}", rng.choice(["success", "error", "skipped", "odd"])) for _ in range(2000)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else these few rows are one range
+    try:
+        got = W.outcome_totals(spark.createDataFrame(log, "url string, status string"), ["url"]).orderBy("url").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    total = {"success": 0, "error": 0, "skipped": 0}
+    assert [r.url for r in got] == sorted({u for u, _ in log})
+    for r in got:
+        for k in total:
+            n = sum(1 for u, s in log if u == r.url and s == k)
+            total[k] += n
+            assert (r[k], r[f"{k}_so_far"]) == (n, total[k])
+
+
 def test_anchor_text_and_sanitizing(spark):
     page = '<a href="/x">A<b>bc</b></a><a>no</a><div data-testid="datasheet-button"><a href="/d.pdf">D</a></div><a href=/y>y'
     rows = W.anchors(spark.createDataFrame([(1, page), (2, None)], "id long, html string")).collect()
