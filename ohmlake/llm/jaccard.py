@@ -24,7 +24,7 @@ incidence matrix of classes by shingles is multiplied by its transpose, block by
    lost, and no pairs are made within a group of near copies beyond those with pivots.
 
 The counts steer order and pivots only; results do not depend on them. Shingles are told apart by 64
-bits of a hash, sets by 128 and, as nodes of the graph of links, by 63 of these.
+bits of a hash (by 48 in the sets of step 4), sets by 128 and, as nodes of the graph of links, by 63 of these.
 
 A document without words links to nothing. Null ids are never a component's id unless no member has
 one; documents that share an id but not a set stay different documents.
@@ -58,6 +58,9 @@ BLOOM = (16, 28)
 REMEMBERED = 300_000
 #: Bits of a class's number in the graph of links.
 NODE_BITS = 63
+#: Bytes of a shingle's hash in the sets that are sent to be compared. No link is lost by it, as counts can only rise: for two sets of
+#: m shingles each, by one with a chance of m * m / 2^48, which matters where they are one short of the bound.
+SET_BYTES = 6
 
 
 def keys(hashes: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int] | None]:
@@ -226,7 +229,7 @@ def reach(percent: int, pos: str = "pos", n: str = "n", pos_b: str = "pos_p", n_
 
 
 def chosen_sets(df: DataFrame, text: str, k: int, wanted: DataFrame) -> DataFrame:
-    """(node, items): the sorted sets of the wanted nodes and of few others; a set may come once a task."""
+    """(node, items): the sorted sets, packed, of the wanted nodes and of few others; a set may come once a task."""
     least, most = BLOOM
     bits = min(most, max(least, (wanted.count() * 16).bit_length()))
     mask = (1 << bits) - 1
@@ -254,10 +257,26 @@ def chosen_sets(df: DataFrame, text: str, k: int, wanted: DataFrame) -> DataFram
                 seen.update(own[some[i]] for i in ok)
                 sizes = np.diff(offsets)[some[ok]]
                 at = np.repeat(offsets[some[ok]] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-                items = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)])), pa.array(hashes[at].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(node[ok]), items.cast(pa.list_(pa.int64()))], names=["node", "items"])
+                yield pa.RecordBatch.from_arrays([pa.array(node[ok]), packed(hashes[at], sizes)], names=["node", "items"])
 
-    return df.select(text).mapInArrow(run, "node long, items array<long>")
+    return df.select(text).mapInArrow(run, "node long, items binary")
+
+
+def packed(hashes: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Sorted hashes of consecutive sets, each set as bytes: the highest SET_BYTES bytes of every hash, which keep the order."""
+    data = np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - SET_BYTES :])
+    ends = pa.py_buffer(np.concatenate([[0], np.cumsum(sizes) * SET_BYTES]).astype(np.int64))
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, ends, pa.py_buffer(data)]).cast(pa.binary())
+
+
+def unpacked(items: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, with nothing in the lower bytes; where each set ends, from 0)."""
+    _, ends, data = items.buffers()
+    ends = np.frombuffer(ends, np.int32)[items.offset : items.offset + len(items) + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None and ends[-1] > ends[0] else np.zeros(0, np.uint8)
+    wide = np.zeros((len(raw) // SET_BYTES, 8), np.uint8)
+    wide[:, 8 - SET_BYTES :] = raw.reshape(-1, SET_BYTES)
+    return wide.view("<u8").ravel(), (ends - ends[0]) // SET_BYTES
 
 
 def blocks_of(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -299,9 +318,7 @@ def overlaps(df: DataFrame, text: str, k: int, pairs: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             block, piece, side, node = (batch.column(i).to_numpy() for i in range(4))
-            items = batch.column(4)
-            values, ends = items.flatten().to_numpy().view(np.uint64), items.offsets.to_numpy()
-            ends = ends - ends[0]
+            values, ends = unpacked(batch.column(4))
             turns = np.flatnonzero((block[1:] != block[:-1]) | (piece[1:] != piece[:-1]) | (side[1:] != side[:-1])) + 1
             out = [[], [], [], [], []]
             for i, j in zip([0, *turns.tolist()], [*turns.tolist(), len(block)]):

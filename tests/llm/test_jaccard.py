@@ -158,3 +158,17 @@ def test_sets_against_python():
             assert len(have) == len(own) and have == sorted(have)
             assert seen.setdefault(frozenset(own), have) == have
         assert len({tuple(x) for x in seen.values()}) == len(seen)
+
+
+def test_sets_are_packed_in_order():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    sets_ = [np.sort(rng.integers(0, 2**64, n, np.uint64)) for n in (0, 1, 5, 0, 300, 2)]
+    flat, sizes = np.concatenate(sets_), np.array([len(x) for x in sets_])
+    made = J.packed(flat, sizes)
+    for a, b in ((0, 6), (2, 5), (0, 1), (3, 4)):
+        values, ends = J.unpacked(made.slice(a, b - a))
+        assert ends.tolist() == [0, *np.cumsum(sizes[a:b]).tolist()]
+        want = np.concatenate([np.zeros(0, np.uint64), *sets_[a:b]]) >> np.uint64(16) << np.uint64(16)
+        assert values.tolist() == want.tolist()
