@@ -252,25 +252,58 @@ def nearly_nearest(table: DataFrame, queries: DataFrame, k: int = 10, id_: str =
     with their lists in blocks of ``most_queries``, so rows are neither copied nor shuffled before their distances are
     known. Recall is measured against VEC-3 in the tests; vectors that form clusters need fewer probes.
     """
+    centers = _fitted(table, id_, vector, lists, sample, seed)
+    own = table.select(id_, vector, F.get(_lists_of(centers, 1)(vector), F.lit(0)).alias("list"))
+    return _in_lists(own, centers, queries, k, id_, query_id, vector, query_vector, probes, most_queries)
+
+
+def store_lists(table: DataFrame, folder: str, id_: str = "vec_id", vector: str = "embedding", lists: int = 64, sample: int = 4096, seed: int = 7) -> None:
+    """VEC-11: fit and assign once: folder/rows holds all rows, a directory a list, and folder/centers the lists' centers.
+
+    Rows are dealt over tasks before they are written, so that a list that holds most rows has several files.
+    """
+    centers = _fitted(table, id_, vector, lists, sample, seed)
+    own = table.withColumn("list", F.get(_lists_of(centers, 1)(vector), F.lit(0)))
+    own.write.partitionBy("list").parquet(f"{folder}/rows")
+    table.sparkSession.createDataFrame([(i, c.tolist()) for i, c in enumerate(centers)], "list int, center array<double>").write.parquet(f"{folder}/centers")
+
+
+def nearest_in_lists(table_schema: StructType, folder: str, queries: DataFrame, k: int = 10, id_: str = "vec_id", query_id: str = "query_id", vector: str = "embedding", query_vector: str = "query_vector", probes: int = 40, most_queries: int = 1000) -> DataFrame:
+    """VEC-11 over stored lists, whose rows have this schema: only directories of lists that some query of a block probes are read.
+
+    That is dynamic partition pruning on the broadcast queries. Nothing is fitted or assigned again.
+    """
+    spark = queries.sparkSession
+    kept = spark.read.parquet(f"{folder}/centers").orderBy("list").collect()  # as many rows as there are lists
+    centers = np.array([r["center"] for r in kept], float)
+    own = spark.read.schema(StructType([*table_schema.fields, StructField("list", IntegerType())])).parquet(f"{folder}/rows").select(id_, vector, "list")
+    return _in_lists(own, centers, queries, k, id_, query_id, vector, query_vector, probes, most_queries)
+
+
+def _fitted(table: DataFrame, id_: str, vector: str, lists: int, sample: int, seed: int) -> np.ndarray:
     rows = table.select(vector).where(F.col(vector).isNotNull()).orderBy(F.xxhash64(id_), id_).limit(sample).collect()
-    centers = _centers([r[0] for r in rows], lists, seed)
-    probes = min(probes, len(centers))
+    return _centers([r[0] for r in rows], lists, seed)
+
+
+def _lists_of(centers: np.ndarray, n: int) -> Callable:
+    """A pandas UDF: the n lists whose centers are nearest to a vector, nearest first."""
+
+    @F.pandas_udf("array<int>")
+    def found(v: pd.Series) -> pd.Series:
+        dim = centers.shape[1]
+        x = np.array([np.zeros(dim) if a is None or len(a) != dim else a for a in v], float).reshape(len(v), dim)
+        near = np.argsort(-(x @ centers.T), axis=1, kind="stable")[:, :n]
+        return pd.Series(list(near.astype("int32")), dtype=object)
 
-    def lists_of(n: int) -> Callable:
-        @F.pandas_udf("array<int>")
-        def found(v: pd.Series) -> pd.Series:
-            dim = centers.shape[1]
-            x = np.array([np.zeros(dim) if a is None or len(a) != dim else a for a in v], float).reshape(len(v), dim)
-            near = np.argsort(-(x @ centers.T), axis=1, kind="stable")[:, :n]
-            return pd.Series(list(near.astype("int32")), dtype=object)
+    return found
 
-        return found
 
-    own = table.select(id_, vector, F.get(lists_of(1)(vector), F.lit(0)).alias("list"))
+def _in_lists(own: DataFrame, centers: np.ndarray, queries: DataFrame, k: int, id_: str, query_id: str, vector: str, query_vector: str, probes: int, most_queries: int) -> DataFrame:
+    """The k nearest among rows (id, vector, list) of the lists that queries probe."""
     found = []
     for q in _blocks(queries.select(query_id, query_vector), query_id, most_queries):
-        asked = q.select(query_id, query_vector, F.explode(lists_of(probes)(query_vector)).alias("list"))
-        found.append(own.join(F.broadcast(asked), "list").select(query_id, id_, distance(F.col(vector), F.col(query_vector)).alias("distance")))
+        asked = q.select(query_id, query_vector, F.explode(_lists_of(centers, min(probes, len(centers)))(query_vector)).alias("list"))
+        found.append(own.join(F.broadcast(asked), "list").select(query_id, id_, distance(F.col(vector), F.col(query_vector)).alias("distance")).where("distance is not null"))
     rank = F.row_number().over(Window.partitionBy(query_id).orderBy("distance", id_))
     return reduce(DataFrame.unionByName, found).withColumn("rank", rank).where(F.col("rank") <= k)
 

@@ -529,6 +529,17 @@ def _(spark, d):
     return rounded(V.nearly_nearest(given(spark, d, "embeddings"), probes(spark, d), 5))
 
 
+@query("vec11_stored_lists", "SELECT count(*) AS queries, count(*) * 5 AS asked, TRUE AS found_enough FROM embeddings WHERE vec_id % 100 = 0")
+def _(spark, d):
+    """Recall of the search over stored lists against the exact one: nine of ten nearest rows or more are found."""
+    table, folder = given(spark, d, "embeddings"), fresh_folder(spark, "lists")
+    V.store_lists(table, folder)
+    some = V.nearest_in_lists(table.schema, folder, probes(spark, d), 5).select("query_id", "vec_id", F.lit(True).alias("found"))
+    every = V.nearest(table, probes(spark, d), 5).select("query_id", "vec_id").join(some, ["query_id", "vec_id"], "left")
+    n = every.agg(F.countDistinct("query_id").alias("queries"), F.count("*").alias("asked"), (F.count("found") >= 0.9 * F.count("*")).alias("found_enough"))
+    return n
+
+
 @query("vec12_checked", "SELECT vec_id, 'dimension' AS reason FROM embeddings WHERE vec_id % 10 = 1 UNION ALL SELECT vec_id, 'empty' FROM embeddings WHERE vec_id % 10 = 2")
 def _(spark, d):
     e = given(spark, d, "embeddings")

@@ -294,6 +294,21 @@ def test_unique_names(spark):
     assert [r.unique_name for r in got] == want
 
 
+def test_stored_lists(spark, tmp_path):
+    rng = random.Random(14)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(500)] + [(900, None), (901, [1.0])]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    q = e.where("vec_id < 5").toDF("query_id", "query_vector")
+    at = str(tmp_path / "lists")
+    V.store_lists(e, at, lists=16)
+    found = V.nearest_in_lists(e.schema, at, q, 4, probes=3)
+    key = lambda df: sorted((r.query_id, r.rank, r.vec_id) for r in df.collect())
+    assert key(found) == key(V.nearly_nearest(e, q, 4, lists=16, probes=3))
+    assert "dynamicpruning" in found._jdf.queryExecution().executedPlan().toString().lower()
+    every = V.nearest_in_lists(e.schema, at, q, 4, probes=16)
+    assert key(every) == key(V.nearest(e, q, 4))
+
+
 def test_running_totals_over_ranges(spark):
     rng = random.Random(12)
     log = [(f"u{rng.randrange(300):03d}", rng.choice(["success", "error", "skipped", "odd"])) for _ in range(2000)]
