@@ -6,11 +6,13 @@ with a class, id or role such as "ad", "menu" or "comments", ...) gives no lines
 names such as "related-posts" do so, on containers; a container with a lesser hint, or with one in its id
 anywhere, stays unless most of its text is links. Headings and paragraphs are never judged by ids. Over the others,
 text lengths are summed in windows of WINDOW lines, less the text of links: text surges where that
-sum first passes a threshold and dives where it next falls to nothing. Every such stretch is kept
-whole, on every page; so are lines between two of them if all stand directly in one div or section,
-as a list of links in the middle of an article does. What a page marks as its article (article, main) is kept to that
-element's ends besides: lengths alone would cut off short paragraphs there. A page without a surge
-gives its marked lines, or all lines if it marks none.
+sum first passes a threshold and dives where it next falls to nothing. These stretches choose what is kept,
+on every page. What a page marks as its article (article, main) only moves their ends: a stretch that touches such an
+element grows to the whole of it, since lengths alone would cut off short paragraphs there, and is cut at its ends
+if most of its text is inside. Lines between two stretches stay if all stand directly in one div or section,
+as a list of links in the middle of an article does. A marked element that no stretch touches, such as a teaser, goes where
+another one is touched; where none is, marked lines are kept beside the stretches, and a page without
+marks and without a surge gives all its lines.
 
 A null, empty or text-less page has an empty text. Character references are decoded, white space
 within a block becomes one space, blocks are joined by a newline; nothing else is dropped or capped.
@@ -119,11 +121,11 @@ def set_apart(name: str, attrs: str, in_article: bool) -> int:
     return said
 
 
-def lines_of(page: str) -> tuple[list[str], list[int], list[bool], list[int]]:
-    """Lines of a page, characters of each inside links, whether it is inside a marked article, and its innermost div or section."""
+def lines_of(page: str) -> tuple[list[str], list[int], list[int], list[int]]:
+    """Lines of a page, characters of each inside links, the number of the outermost marked article it is in (0: none), and its innermost div or section."""
     lines: list[str] = []
     linked: list[int] = []
-    marked: list[bool] = []
+    marked: list[int] = []
     boxes: list[int] = []
     open_: list[tuple[str, int]] = []  # open divs, sections and articles, numbered as they begin
     n_open = 0
@@ -131,7 +133,7 @@ def lines_of(page: str) -> tuple[list[str], list[int], list[bool], list[int]]:
     in_boxes = dict.fromkeys(BOXES, 0)  # how many of each are in open_
     closed = {m[1].lower(): m.start() for m in _CLOSING.finditer(page)}  # where each name is closed last
     links = at = 0
-    article = 0  # open article and main elements
+    article = n_articles = 0  # open article and main elements, and how many outermost ones began
     skip, depth = "", 0  # element that is skipped, and how many of its name are open
     opened = False  # whether the skipped element is never closed
     sure = 0  # what set_apart says of it
@@ -152,7 +154,7 @@ def lines_of(page: str) -> tuple[list[str], list[int], list[bool], list[int]]:
             if line:
                 lines.append(line)
                 linked.append(links)
-                marked.append(article > 0)
+                marked.append(n_articles if article else 0)
                 boxes.append(open_[-1][1] if open_ else 0)
             run.clear()
         links = 0
@@ -222,6 +224,7 @@ def lines_of(page: str) -> tuple[list[str], list[int], list[bool], list[int]]:
                 open_.append((name, n_open))
                 in_boxes[name] += 1
             if name in ("article", "main"):
+                n_articles += not article
                 article += 1
                 doubted.clear()
             elif sure == 3:
@@ -251,18 +254,26 @@ def stretches(lengths: np.ndarray, window: int = WINDOW, surge: int = SURGE) ->
     return out
 
 
-def main_text(page: str) -> str:
-    lines, linked, marked, boxes = lines_of(page)
-    found = stretches(np.array([max(0, len(x) - k) for x, k in zip(lines, linked)], np.int64))
-    if not found and not any(marked):
-        return "\n".join(lines)
-    keep = np.array(marked, bool)
+def chosen(lengths: np.ndarray, marked: np.ndarray, boxes: list[int]) -> np.ndarray:
+    """Which lines the stretches choose, with their ends moved to those of marked elements."""
+    keep = np.zeros(len(lengths), bool)
+    found, touched = stretches(lengths), set()
     for a, b in found:
-        keep[a:b] = True
+        inside = marked[a:b] > 0
+        touched.update(marked[a:b][inside].tolist())
+        if 2 * lengths[a:b][inside].sum() < lengths[a:b].sum():
+            keep[a:b] = True  # else the element's ends are its ends
     for (_, a), (b, _) in zip(found, found[1:]):
-        if len(set(boxes[a - 1 : b + 1])) == 1:  # all in one element, links between as well
+        if keep[a - 1] and keep[b] and len(set(boxes[a - 1 : b + 1])) == 1:  # all in one element, links between as well
             keep[a:b] = True
-    return "\n".join(x for x, own in zip(lines, keep) if own)
+    keep |= np.isin(marked, list(touched)) if touched else marked > 0
+    return keep if found or keep.any() else ~keep
+
+
+def main_text(page: str) -> str:
+    lines, linked, marked, boxes = lines_of(page)
+    lengths = np.array([max(0, len(x) - k) for x, k in zip(lines, linked)], np.int64)
+    return "\n".join(x for x, own in zip(lines, chosen(lengths, np.array(marked, np.int64), boxes)) if own)
 
 
 def extract(df: DataFrame, html: str = "html", drop_html: bool = False) -> DataFrame:

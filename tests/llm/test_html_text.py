@@ -1,8 +1,12 @@
 import html
+import random
 import re
 import time
 
-from ohmlake.llm.html_text import extract, main_text, op9_html_text
+import numpy as np
+
+from ohmlake.llm import html_text
+from ohmlake.llm.html_text import WINDOW, SURGE, extract, main_text, op9_html_text, stretches
 
 PAGE = """<!doctype html><HTML><head><title>T &amp; t</title><style>p{}</style><script>var a="</p><article>";</script></head><body>
 <header><h1>Site</h1></header><nav><ul><li><a href="/a">Menu</a></li></ul></nav><!-- ad > <p>no</p> -->
@@ -36,6 +40,39 @@ def test_main_text_beside_a_small_article():
     assert main_text(f"<article><p>{long}</p><p>{long}</p></article><p><a>One</a><p><a>Two</a><p><a>Three</a><p>by x") == "\n".join([long.strip()] * 2)
 
 
+def test_stretches_choose_and_marks_move_their_ends(monkeypatch):
+    long = "Some long sentence of a real paragraph that goes on and on. " * 3
+    teasers = "<article><p><a>Other story</a></p></article>" * 2
+    page = f"<body><p>by x<article><p>Lead.</p>{'<p><a>link</a></p>' * 4}<p>{long}</p><p>End.</p></article><p>Posted in y</p>{teasers}</body>"
+    assert main_text(page).split("\n") == ["Lead.", "link", "link", "link", "link", long.strip(), "End."]  # grown and cut to the element, teasers gone
+    page_2 = f"<article><p>Lead.</p></article><p>{long}</p><p>{long}</p>"
+    assert main_text(page_2).split("\n") == ["Lead.", long.strip(), long.strip()]  # most of it is outside: not cut
+    monkeypatch.setattr(html_text, "stretches", lambda lengths: [])
+    assert "Other story" in main_text(page) and long.strip() not in main_text(page_2)
+
+
+def test_stretches_by_brute_force():
+    rng = random.Random(9)
+    for _ in range(300):
+        lengths = [rng.choice([0, 0, 0, 5, 30, 90]) for _ in range(rng.randint(0, 30))]
+        state, own = False, []
+        for i, n in enumerate(lengths):
+            ahead = sum(lengths[i : i + WINDOW])
+            state = ahead > 0 if state else ahead >= SURGE and n > 0
+            own.append(state)
+        got = np.zeros(len(lengths), bool)
+        for a, b in stretches(np.array(lengths, np.int64)):
+            got[a:b] = True
+        assert got.tolist() == own
+
+
+def test_long_page_with_several_stretches():
+    """Megabytes: every paragraph of every stretch is kept, the links between them are not."""
+    body = "".join(f"<p>{'word ' * 40}{k}</p>" * 8 + f"<div>{'<p><a>menu entry</a></p>' * 6}</div>" for k in range(3000))
+    text = main_text(f"<body>{body}</body>")
+    assert len(text) > 4_000_000 and text.count("\n") == 8 * 3000 - 1 and "menu" not in text
+
+
 def test_ids_made_from_headings():
     page = """<article><h2 id="related-work">A</h2><section id="discussion"><h3 id="how-to-share-files">B</h3><p id="cookies">C</p></section><div id="social-impact" class="section">D</div>
     <section id="commentary">E</section><p class="notice">F</p><ul class="share-buttons"><li>no</ul><div class="related-posts">no</div><div class="social bar"><a>no</a> <a>nor</a></div><div class="promotion big">G<div>H</div></div>
