@@ -4,7 +4,8 @@
 its records, are stored without compression. ``records_of`` goes the way back without extraction: it finds
 the end record of the central directory (and the ZIP64 one where a field is full), reads the
 directory, takes the members' places from their local headers, deals the byte ranges that the indexes name
-over tasks, and reads each record by its range. An archive without an index is walked record by record. Files may
+over tasks, and reads each record by its range. An index line is ``surt timestamp {json}``, or the JSON alone. Members that no
+index names are walked record by record, gzip ones in pieces of ``PIECE_BYTES``. Files may
 be on any system that Arrow reaches and executors share. A task that runs again writes new files, and only
 those that its rows name are read. ``write`` and ``read`` do the same with archives in a binary column.
 
@@ -30,7 +31,7 @@ import zipfile
 import zlib
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
-from urllib.parse import quote, unquote
+from urllib.parse import quote, unquote, urlsplit
 
 import pyarrow as pa
 from pyarrow import fs
@@ -45,6 +46,9 @@ ARCHIVE_BYTES = 4 << 20
 #: Bytes of records whose rows are handed on at once.
 BATCH_BYTES = 4 << 20
 
+#: Bytes of a gzip member that are looked at at once, and those they may unpack to at a time.
+PIECE_BYTES = 1 << 16
+
 WARC_MEMBER = "archive/data.warc"
 INDEX_MEMBER = "indexes/index.cdxj"
 NOBODY = "<urn:nobody>"
@@ -134,12 +138,62 @@ def pack(records: list[tuple[str | None, bytes]], zip64: bool = False) -> bytes:
         with z.open(zipfile.ZipInfo(WARC_MEMBER), "w", force_zip64=zip64) as f:
             for id_, data in records:
                 f.write(data)
-                index.append(json.dumps({"id": id_, "offset": at, "length": len(data)}))
+                index.append(index_line(id_, data, at))
                 at += len(data)
-        z.writestr(zipfile.ZipInfo(INDEX_MEMBER), "\n".join(index))
+        z.writestr(zipfile.ZipInfo(INDEX_MEMBER), "\n".join(sorted(index)))
     return out.getvalue()
 
 
+def index_line(id_: str | None, data: bytes, at: int) -> str:
+    """A record's line of an index: its address with the host turned round, its time, and its place as JSON."""
+    fields, _ = head(data)
+    url = fields.get("warc-target-uri", "-")
+    entry = {"url": url, "id": id_, "offset": str(at), "length": str(len(data)), "filename": WARC_MEMBER.rpartition("/")[2]}
+    return f"{surt(url)} {re.sub('[^0-9]', '', fields.get('warc-date', '')) or '-'} {json.dumps(entry)}"
+
+
+def surt(url: str) -> str:
+    """com,example)/path?query of an address; what has no host stays, without white space and braces."""
+    try:
+        parts = urlsplit(url)
+        host, port = parts.hostname, parts.port
+    except ValueError:
+        host = None
+    if not host:
+        return quote(url, safe="/:?&=%") or "-"
+    place = ",".join(reversed(host.split("."))) + (f":{port}" if port else "") + ")" + (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
+    return quote(place.lower(), safe="/:?&=%,)")
+
+
+def indexed(text: str) -> Iterator[tuple[str | None, int, int]]:
+    """(file name if there is one, offset, length) of the lines of an index; headers (! ...) and blank lines are none."""
+    for line in text.split("\n"):
+        brace = line.find("{")
+        if brace >= 0 and not line.startswith("!"):
+            entry = json.loads(line[brace:])
+            yield entry.get("filename"), int(entry["offset"]), int(entry["length"])
+
+
+def zipped(source: Source, start: int, size: int) -> Iterator[tuple[int, int]]:
+    """(place, length) of the gzip streams that stand one after another; only a piece of them is held."""
+    first = at = 0
+    unzip = zlib.decompressobj(31)
+    while at < size:
+        piece = source(start + at, min(PIECE_BYTES, size - at))
+        if not piece:
+            raise ValueError("an archive that ends before its members")
+        at += len(piece)
+        while piece:
+            unzip.decompress(piece, PIECE_BYTES)
+            piece = unzip.unconsumed_tail
+            if unzip.eof:
+                piece = unzip.unused_data
+                yield start + first, at - len(piece) - first
+                first, unzip = at - len(piece), zlib.decompressobj(31)
+    if first < size:  # cut off: whoever reads it says so
+        yield start + first, size - first
+
+
 def directory(source: Source, size: int) -> list[Member]:
     """Members by the central directory, with the ZIP64 records where there are any."""
     tail_size = min(size, 65_557 + 20)
@@ -201,23 +255,22 @@ def ranges(source: Source, size: int) -> Iterator[tuple[int, int]]:
     for m in data:
         if m.method:
             raise ValueError(f"{m.name} is compressed; ranges need stored members")
-    if len(data) == 1 and index:
-        start = place(source, data[0])
-        for m in index:
-            for line in content(source, m).decode().splitlines():
-                entry = json.loads(line)
-                yield start + entry["offset"], entry["length"]
-        return
+    starts = {m.name: place(source, m) for m in data}
+    short = {name.rpartition("/")[2]: name for name in starts}
+    named = set()
+    for m in index:
+        for name, at, length in indexed(content(source, m).decode()):
+            name = data[0].name if len(data) == 1 else name if name in starts else short.get((name or "").rpartition("/")[2])
+            if name is None:
+                raise ValueError(f"{m.name} names none of several members")
+            named.add(name)
+            yield starts[name] + at, length
     for m in data:
-        start, at = place(source, m), 0
-        if m.name.endswith(".gz"):  # records one by one in a stream; only their ends must be found
-            rest = source(start, m.size)
-            while at < m.size:
-                unzip = zlib.decompressobj(31)
-                unzip.decompress(rest[at:])
-                length = m.size - at - len(unzip.unused_data)
-                yield start + at, length
-                at += length
+        start, at = starts[m.name], 0
+        if m.name in named:
+            continue
+        if m.name.endswith(".gz"):
+            yield from zipped(source, start, m.size)
             continue
         while at < m.size:
             top = source(start + at, min(8192, m.size - at))

@@ -1,8 +1,13 @@
 import gzip
 import hashlib
 import io
+import json
+import random
+import time
 import zipfile
 
+import pytest
+
 from ohmlake.llm import warc as W
 
 
@@ -56,6 +61,56 @@ def test_archive_without_index_and_gzip_members():
         assert [len(W.parsed(data[a : a + n])[1]) for a, n in W.ranges(source(data), len(data))] == [0, 20_000, 40_000]
 
 
+def archive(*members):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, body in members:
+            z.writestr(name, body)
+    return out.getvalue()
+
+
+def test_foreign_index_lines():
+    recs = [W.record(str(i), f"http://www.Example.com/{i} x?q={{", b"x" * i * 50, "d", None) for i in range(4)]
+    zipped = list(map(gzip.compress, recs))
+    lines, at = ['!meta {"format": "cdxj"}', ""], 0
+    for i, r in enumerate(zipped):
+        lines.append(f'com,example,www)/{i} 20200101000000 {{"url": "http://x/{{", "offset": "{at}", "length": "{len(r)}", "filename": "a.warc.gz"}}\r')
+        at += len(r)
+    data = archive(("archive/a.warc.gz", b"".join(zipped)), ("archive/b.warc", b"".join(recs[:2])), ("indexes/index.cdxj", "\n".join(lines)))
+    assert [len(W.parsed(data[a : a + n])[1]) for a, n in W.ranges(source(data), len(data))] == [0, 50, 100, 150, 0, 50]  # the second member is in no index
+    own = W.pack([(str(i), r) for i, r in enumerate(recs)])
+    member = [m for m in W.directory(source(own), len(own)) if m.name == W.INDEX_MEMBER][0]
+    for line in W.content(source(own), member).decode().split("\n"):
+        key, when, entry = line.split(" ", 2)
+        assert key.startswith("com,example,www)/") and when == "19700101000000" and json.loads(entry)["offset"].isdigit()
+    assert sorted(len(W.parsed(own[a : a + n])[1]) for a, n in W.ranges(source(own), len(own))) == [0, 50, 100, 150]
+    assert [W.surt(u) for u in ("-", "", "no host {", "http://[x", "http://a.b:8080")] == ["-", "-", "no%20host%20%7B", "http:/%5Bx".replace("http:/", "http://"), "b,a:8080)/"]
+
+
+def test_large_gzip_members_in_pieces():
+    """Many records, one that unpacks to far more than a piece, and a member that is cut off; only pieces are read, time in proportion."""
+    rng = random.Random(7)
+    recs = [W.record(str(i), "u", rng.randbytes(rng.randint(0, 6000)), "d", None) for i in range(400)] + [W.record("big", "u", b"0" * 5_000_000, "d", None)]
+    zipped = list(map(gzip.compress, recs))
+    data = archive(("a.warc.gz", b"".join(zipped)))
+    asked = []
+    got = list(W.ranges(lambda at, n: asked.append(n) or data[at : at + n], len(data)))
+    assert [data[a : a + n] for a, n in got] == zipped
+    assert max(asked) <= W.PIECE_BYTES + 100 and sum(asked) < len(data) + 3 * W.PIECE_BYTES
+    cut = archive(("a.warc.gz", b"".join(zipped)[:-20]))
+    *whole, (a, n) = W.ranges(source(cut), len(cut))
+    assert len(whole) == 400
+    with pytest.raises(EOFError):
+        W.parsed(cut[a : a + n])
+    times = []
+    for n in (2000, 8000):
+        many = archive(("a.warc.gz", gzip.compress(W.record("1", "u", rng.randbytes(1500), "d", None)) * n))
+        began = time.perf_counter()
+        assert sum(1 for _ in W.ranges(source(many), len(many))) == n
+        times.append(time.perf_counter() - began)
+    assert times[1] < 8 * times[0] + 0.1
+
+
 def expected(rows):
     first = {}
     for i, _, t in rows:
