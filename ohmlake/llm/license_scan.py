@@ -1,23 +1,28 @@
 """License scans by a positional index of rare tokens, in DataFrame functions only (operator 6).
 
-The index is made of sentences of well-known licenses (fixed texts below). Over all texts the document
-frequency of every word of theirs is counted; each sentence then keeps its ``INDEXED`` words of highest inverse
-document frequency with their positions. A file is scanned once for indexed words. Of those it has, its
-``RARE`` words of highest IDF are looked up for each sentence: each posting gives, with a place of the word
-in the file, the place where that sentence would begin, and there the postings of the file's other rare words are
-intersected by relative position. Where ``ENOUGH`` of them agree and the words of the sentence's mandatory
-key phrase stand, the file has the license's label. Plain phrases give labels too, wherever their words
-stand one after another.
+The templates are sentences of licenses: those below, or a list of (label, words, key phrase) that the caller gives.
+Over all texts the document frequency of every word of theirs is counted; each sentence then keeps its ``INDEXED`` words
+of highest inverse document frequency. The index leads from a word to its postings, (template, position, idf): a
+constant array of slots, a word's slot given by its CRC, so a lookup takes the same time however many templates there are.
+
+A file is scanned once for indexed words, and the postings of those that it has are looked up and put in order of
+templates; a template of which fewer than ``ENOUGH`` words are there is never looked at. Of the others the file's ``RARE`` words of
+highest IDF are taken. Where a license stands, ``ENOUGH`` of these agree on the place where it begins, so one of the
+first ``RARE - ENOUGH + 1`` does: their places, less their positions, are the starts that are tried. There the postings are
+intersected by relative position, and the words of the mandatory key phrase verified. Plain phrases give labels too,
+wherever their words stand one after another.
 
 Everything but the count of template words happens within a row: nothing shuffles, no row is too
 common, and a null or empty text has no words. Words: A-Z in lower case, runs of letters, digits and
 non-ASCII characters. The score is 1 for a phrase, else the IDF-weighted share of the file's rare words that agree
-in the best match, else 0.
+in the best match, else 0. Without templates only phrases give labels.
 """
 
 from __future__ import annotations
 
+import json
 import math
+import zlib
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -76,10 +81,10 @@ def idf_of(df: DataFrame, text: str, wanted: list[str]) -> dict[str, float]:
     return {w: math.log((1 + n.get("", 0)) / (1 + n.get(w, 0))) + 1.0 for w in wanted}
 
 
-def index_of(idf: dict[str, float]) -> list[list[tuple[str, int, float]]]:
+def index_of(idf: dict[str, float], templates: list[tuple[str, str, str]] = TEMPLATES) -> list[list[tuple[str, int, float]]]:
     """For each template its words in the index: (word, position, idf), the rarest first."""
     out = []
-    for _, words, _ in TEMPLATES:
+    for _, words, _ in templates:
         at: dict[str, int] = {}
         for i, w in enumerate(words.split()):
             at.setdefault(w, i)
@@ -87,31 +92,53 @@ def index_of(idf: dict[str, float]) -> list[list[tuple[str, int, float]]]:
     return out
 
 
-def templates_of(index: list[list[tuple[str, int, float]]]) -> Column:
-    """The index as one constant: structs of label, key phrase, its place, and words."""
+_POSTINGS = "array<array<struct<w:string,t:int,r:int,p:int,x:double>>>"
+_TEMPLATES = "array<struct<label:string,key:array<string>,at:int>>"
+
+
+def constant(rows: list, kind: str) -> Column:
+    """A constant of nested arrays and structs, read from JSON once a plan."""
+    return F.from_json(F.lit(json.dumps(rows)), kind)
+
+
+def slots_of(index: list[list[tuple[str, int, float]]]) -> tuple[Column, int]:
+    """The postings (word, template, rank in it, position, idf) of each slot, and the number of slots."""
+    n = 1 << max(4, (4 * len({w for own in index for w, _, _ in own})).bit_length())
+    slots: list[list[dict]] = [[] for _ in range(n)]
+    for t, own in enumerate(index):
+        for r, (w, p, x) in enumerate(own):
+            slots[zlib.crc32(w.encode()) % n].append({"w": w, "t": t, "r": r, "p": p, "x": x})
+    return constant(slots, _POSTINGS), n
+
+
+def templates_of(templates: list[tuple[str, str, str]]) -> Column:
+    """The templates as one constant: structs of label, key phrase and its place."""
     rows = []
-    for (label, words, key), own in zip(TEMPLATES, index):
+    for label, words, key in templates:
         whole, key = words.split(), key.split()
-        at = next(i for i in range(len(whole)) if whole[i : i + len(key)] == key)
-        posts = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(p).alias("p"), F.lit(x).alias("x")) for w, p, x in own])
-        rows.append(F.struct(F.lit(label).alias("label"), F.array(*map(F.lit, key)).alias("key"), F.lit(at).alias("at"), posts.alias("words")))
-    return F.array(*rows)
+        at = next((i for i in range(len(whole)) if whole[i : i + len(key)] == key), None)
+        if at is None or not key:
+            raise ValueError(f"no key phrase inside a template of {label}")
+        rows.append({"label": label, "key": key, "at": at})
+    return constant(rows, _TEMPLATES)
 
 
-def scan(df: DataFrame, text: str = "text", index: list | None = None, drop_text: bool = False) -> DataFrame:
+def scan(df: DataFrame, text: str = "text", index: list | None = None, drop_text: bool = False, templates: list[tuple[str, str, str]] = TEMPLATES) -> DataFrame:
     """df with n_words, places (start and label of each phrase), templates (start, label, score), labels and score.
 
-    Columns of these names are replaced. index: of ``index_of``; made from df's own texts if None.
+    Columns of these names are replaced. index: of ``index_of`` with the same templates; made from df's own texts if None.
     """
     if index is None:
-        index = index_of(idf_of(df, text, sorted({w for _, words, _ in TEMPLATES for w in words.split()})))
+        index = index_of(idf_of(df, text, sorted({w for _, words, _ in templates for w in words.split()})), templates)
     indexed = sorted({w for own in index for w, _, _ in own})
     anchors = [max(p.split(), key=lambda w: (len(w), w)) if label != "cc-by-nc" else "nc" for p, label in PHRASES]
     looked = sorted({*indexed, *anchors})
     word = lambda i: F.get("_words", i)
     both = lambda xs: reduce(lambda a, b: a & b, xs)
+    slots, n_slots = slots_of(index)
+    known = templates_of(templates)
 
-    base = df.drop("_words", "_hits", "_own", "_rare", "n_words", "places", "templates", "labels", "score")
+    base = df.drop("_words", "_hits", "_own", "_posts", "_rare", "_near", "n_words", "places", "templates", "labels", "score")
     out = base.withColumn("_words", words_of(text))
     out = out.withColumn("_hits", F.array_remove(F.transform("_words", lambda w, i: F.when(w.isin(looked), i).otherwise(-1)), -1))
     out = out.withColumn("_own", F.array_distinct(F.transform("_hits", word)))
@@ -122,23 +149,38 @@ def scan(df: DataFrame, text: str = "text", index: list | None = None, drop_text
         found = F.filter("_hits", lambda i: both([word(i + (j - k)).eqNullSafe(w) for j, w in sorted(enumerate(own), key=lambda x: x[0] != k)]))
         return F.transform(found, lambda i: F.struct((i - k).alias("start"), F.lit(label).alias("label")))
 
-    def rare(t) -> Column:
-        """The rarest words of a template that the file has."""
-        return F.slice(F.filter(t["words"], lambda x: F.array_contains("_own", x["w"])), 1, RARE)
+    def postings(w) -> Column:
+        """What the index has for a word."""
+        return F.filter(F.get(slots, F.pmod(F.crc32(F.encode(w, "utf-8")), F.lit(n_slots)).cast("int")), lambda x: x["w"] == w)
+
+    def first_of(i) -> Column:
+        """Whether a template's postings begin here, and there are enough."""
+        post = lambda j: F.get("_posts", j)
+        return (post(i)["t"] == post(i + (ENOUGH - 1))["t"]) & ((i == 0) | (F.get("_posts", F.greatest(i - 1, F.lit(0)))["t"] != post(i)["t"]))
 
-    def matches(t) -> Column:
+    def candidate(i) -> Column:
+        """A template and the rarest of its words that the file has."""
+        t = F.get("_posts", i)["t"]
+        own = F.filter(F.slice("_posts", i + 1, RARE), lambda x: x["t"] == t)
+        return F.struct(F.get(known, t).alias("known"), own.alias("rare"), F.slice(own, F.lit(1), F.size(own) - (ENOUGH - 1)).alias("first"))
+
+    def matches(c) -> Column:
         """Places where the file's rare words agree on a template's start and its key phrase stands."""
-        chosen = t["rare"]
-        starts = F.array_distinct(F.flatten(F.transform(chosen, lambda x: F.transform(F.filter("_hits", lambda i: word(i) == x["w"]), lambda i: i - x["p"]))))
+        t = c["known"]
+        starts = F.array_distinct(F.flatten(F.transform(c["first"], lambda x: F.transform(F.filter("_near", lambda i: word(i) == x["w"]), lambda i: i - x["p"]))))
         at = lambda start: start + t["at"]
         stands = lambda start: (at(start) >= 0) & (F.slice("_words", F.greatest(at(start), F.lit(0)) + 1, F.size(t["key"])) == t["key"])
         weight = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x["x"])
-        agree = lambda start: F.filter(chosen, lambda x: word(start + x["p"]) == x["w"])
+        agree = lambda start: F.filter(c["rare"], lambda x: word(start + x["p"]) == x["w"])
         verified = F.filter(starts, lambda start: stands(start) & (F.size(agree(start)) >= ENOUGH))
-        return F.transform(verified, lambda start: F.struct(start.alias("start"), t["label"].alias("label"), (weight(agree(start)) / weight(chosen)).alias("score")))
-
-    enough = F.filter(F.transform(templates_of(index), lambda t: t.withField("rare", rare(t))), lambda t: F.size(t["rare"]) >= ENOUGH)
-    out = out.withColumn("_rare", enough)
+        return F.transform(verified, lambda start: F.struct(start.alias("start"), t["label"].alias("label"), (weight(agree(start)) / weight(c["rare"])).alias("score")))
+
+    found = F.flatten(F.transform("_own", postings))
+    out = out.withColumn("_posts", F.array_sort(F.transform(found, lambda x: F.struct(x["t"].alias("t"), x["r"].alias("r"), x["p"].alias("p"), x["x"].alias("x"), x["w"].alias("w")))))
+    places_of_posts = F.filter(F.transform("_posts", lambda x, i: i), first_of)
+    out = out.withColumn("_rare", F.transform(places_of_posts, candidate))
+    near = F.array_distinct(F.flatten(F.transform("_rare", lambda c: c["first"]["w"])))
+    out = out.withColumn("_near", F.when(F.size("_rare") == 0, F.array().cast("array<int>")).otherwise(F.filter("_hits", lambda i: F.array_contains(near, word(i)))))
     out = out.withColumns({
         "n_words": F.size("_words").cast("long"),
         "places": F.array_sort(F.concat(*[places(p, label, a) for (p, label), a in zip(PHRASES, anchors)])),
@@ -148,7 +190,7 @@ def scan(df: DataFrame, text: str = "text", index: list | None = None, drop_text
         "labels": F.array_sort(F.array_distinct(F.concat(F.col("places.label"), F.col("templates.label")))),
         "score": F.when(F.size("places") > 0, 1.0).otherwise(F.least(F.lit(1.0), F.coalesce(F.array_max("templates.score"), F.lit(0.0)))),
     })
-    return out.drop("_words", "_hits", "_own", "_rare", *[text] * drop_text)
+    return out.drop("_words", "_hits", "_own", "_posts", "_rare", "_near", *[text] * drop_text)
 
 
 def op6_license_scan(spark, sf_dir) -> DataFrame:

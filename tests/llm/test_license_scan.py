@@ -1,6 +1,8 @@
 import random
 import re
 
+import pytest
+
 from ohmlake.llm import license_scan as L
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -10,12 +12,12 @@ def words(text):
     return WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
 
 
-def brute(text, index):
+def brute(text, index, templates=L.TEMPLATES):
     own = words(text)
     stands = lambda at, phrase: at >= 0 and own[at : at + len(phrase)] == phrase
     places = sorted((i, label) for p, label in L.PHRASES for i in range(len(own)) if stands(i, p.split()))
     found, there = set(), set(own)
-    for (label, text_, key), indexed in zip(L.TEMPLATES, index):
+    for (label, text_, key), indexed in zip(templates, index):
         whole, key = text_.split(), key.split()
         k = next(i for i in range(len(whole)) if whole[i : i + len(key)] == key)
         rare = [x for x in indexed if x[0] in there][: L.RARE]
@@ -63,6 +65,38 @@ def test_against_a_plain_scan(spark):
     assert L.scan(df.limit(0)).count() == 0
 
 
+def test_many_templates_of_the_caller(spark):
+    """500 templates, some of whose words share a slot or stand in many of them; only those with enough words in a file are looked at."""
+    rng = random.Random(66)
+    pool = [f"w{i}" for i in range(900)] + ["é", "日本", "software"]
+    templates = []
+    for k in range(500):
+        whole = rng.choices(pool, k=rng.randint(3, 25))
+        a = rng.randrange(len(whole) - 1)
+        templates.append((f"l{k % 200}", " ".join(whole), " ".join(whole[a : a + rng.randint(1, 4)])))
+    texts = [None, "", "software " * 500]
+    for _ in range(60):
+        own = []
+        for _ in range(rng.randint(0, 4)):
+            t = rng.choice(templates)[1].split()
+            own += [w if rng.random() < 0.95 else "x" for w in t] + rng.choices(pool, k=rng.randint(0, 30))
+        texts.append(" ".join(own))
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+    index = L.index_of(L.idf_of(df, "text", sorted({w for _, t, _ in templates for w in t.split()})), templates)
+    rows = L.scan(df, index=index, templates=templates).collect()
+    assert len(rows) == len(texts) and sum(len(r.templates) for r in rows) > 30
+    for r in rows:
+        n, places, found, labels, score = brute(texts[r.k], index, templates)
+        assert r.n_words == n and [(x.start, x.label, round(x.score, 9)) for x in r.templates] == found
+        assert list(r.labels) == labels and abs(r.score - score) < 1e-9
+    none = L.scan(df, templates=[]).collect()
+    assert all(len(r.templates) == 0 and r.score == 0 for r in none)
+    with pytest.raises(ValueError):
+        L.scan(df, templates=[("a", "one two three", "four")])
+    plan = L.scan(df, index=index, templates=templates)._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json" not in plan  # the index is a constant
+
+
 def test_query_has_no_python(spark):
     at = "/root/testdata/sf0.001"
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{at}/documents.parquet").collect()}
