@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from .log import LogSource
+
 POSITION = "struct<x:double,y:double>"
 PROPERTY = "struct<name:string,value:string>"
 SYMBOL = f"struct<id:string,properties:map<string,{PROPERTY}>>"
@@ -81,13 +83,17 @@ def pages_for(pages: DataFrame, urls: DataFrame) -> DataFrame:
 
 
 def read_download_log(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-9."""
-    return spark.read.option("header", "true").option("escape", '"').schema(DOWNLOAD_LOG).csv(path)
+    """SRC-9: all batches of a log; an empty field is null."""
+    return spark.read.option("header", "true").option("escape", '"').option("multiLine", "true").option("recursiveFileLookup", "true").schema(DOWNLOAD_LOG).csv(path)
 
 
-def append_download_log(rows: DataFrame, path: str) -> None:
-    """SRC-9: every file written starts with the header."""
-    rows.write.mode("append").option("header", "true").option("escape", '"').csv(path)
+def append_download_log(rows: DataFrame, path: str, batch: str | None = None) -> None:
+    """SRC-9: rows are appended exactly once; every file starts with the header. A batch of a name that the log has already is left out."""
+    spark = rows.sparkSession
+    spark.dataSource.register(LogSource)
+    names = [f.split()[0] for f in DOWNLOAD_LOG.split(", ")]
+    own = rows.select(*[F.col(n).cast("string").alias(n) for n in names])
+    own.write.format(LogSource.name()).mode("append").options(path=path, **{"batch": batch} if batch else {}).save()
 
 
 def read_targets(spark: SparkSession, path: str) -> DataFrame:
