@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 from ohmlake.functions.columns import basename, has_any, keep_first, let, top_n_per, url_path
 from ohmlake.plans.storage import stored
@@ -341,39 +342,79 @@ def filename_from_headers(url: Column, disposition: Column) -> Column:
     return F.when(name == "", "download").otherwise(name)
 
 
+def running(rows: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
+    """rows with running sums of values (in their place) within keys, its own row included. A key's rows are dealt by ranges of the order."""
+    ranged = stored(rows.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()), "ranged")
+    sums = ranged.groupBy("_range", *keys).agg(*[F.sum(v).alias(v) for v in values])  # a row a range and key
+    w = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("_range", *keys, *[F.coalesce(F.sum(v).over(w), F.lit(0)).alias(f"_before_{v}") for v in values])
+    w = Window.partitionBy("_range", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    own = ranged.withColumns({v: F.sum(v).over(w) for v in values}).join(before, ["_range", *keys])
+    return own.withColumns({v: F.col(v) + F.col(f"_before_{v}") for v in values}).drop("_range", *[f"_before_{v}" for v in values])
+
+
+def _slots_won(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For each name that was asked for with its number k, sorted by stem and k, whether it is free for its first row, and the count of the stem's spare rows at which it is passed over.
+
+    A stem's spare rows come to number k with their (k - passed)th; only those two numbers are held.
+    """
+    last, passed = None, 0
+    for rows in batches:
+        won, at = [], []
+        for folder, stem, ext, k, spare in zip(rows["_dir"], rows["_stem"], rows["_ext"], rows["_k"], rows["_spare"]):
+            if (folder, stem, ext) != last:
+                last, passed = (folder, stem, ext), 0
+            at.append(k - passed)
+            won.append(spare < k - passed)
+            passed += won[-1]
+        yield rows.drop(columns="_spare").assign(_won=won, _at=at)
+
+
 def unique_names(files: DataFrame, by: list[str], order: list[str], name: str = "filename") -> DataFrame:
     """CRL-24: files with ``unique_name``: in order, a name that is taken gets -1, -2, ... until it is free.
 
-    Names meet only within a family: the same folder, extension and stem without trailing -numbers. Where no
-    name of a family has such a number, a row's number among equal names is its suffix, a plain window. Only
-    families with both kinds are numbered one row after the other.
+    The first row of a name has it, unless a row of the name without its last -number took it before; the others are spare rows of the name,
+    and go to its numbers in order, passing over those that rows which asked for them had before. Who has a number is found from the shortest chains of
+    numbers to the longest, one join each: names meet only those one number shorter. Ranks are running counts by ranges, so equal names
+    are no group; a null name stays null, null folders are one folder.
     """
+    keys = ["_dir", "_stem", "_ext"]
+    n_order = [f"_o{i}" for i in range(len(order))]
     stem = F.regexp_replace(F.col(name), r"(?<=.)\.[^.]*$", "")
-    own = files.withColumn("_stem", stem).withColumn("_ext", F.substring(F.col(name), F.length("_stem") + 1, F.length(F.col(name)))).withColumn("_family", F.regexp_replace("_stem", r"(?<=.)(-[0-9]+)+$", ""))
-    keys = [*by, "_family", "_ext"]
-    mixed = own.where("_stem <> _family").select(*keys).distinct().withColumn("_mixed", F.lit(True))
-    own = own.join(mixed, keys, "left")
-    k = F.row_number().over(Window.partitionBy(*by, name).orderBy(*order)) - 1
-    plain = own.where("_mixed is null").withColumn("unique_name", F.when(k == 0, F.col(name)).otherwise(F.concat("_stem", F.lit("-"), k.cast("string"), "_ext")))
-    both = own.where("_mixed")
-
-    def number(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable")
-        taken: set[str] = set()
-        next_: dict[str, int] = {}
-        out = []
-        for full, stem_, ext in zip(rows[name], rows["_stem"], rows["_ext"]):
-            own_name, i = full, next_.get(full, 0)
-            while own_name in taken:
-                i += 1
-                own_name = f"{stem_}-{i}{ext}"
-            next_[full] = i
-            taken.add(own_name)
-            out.append(own_name)
-        return rows.assign(unique_name=out)
-
-    numbered = both.groupBy(*keys).applyInPandas(number, StructType([*both.schema.fields, StructField("unique_name", StringType())]))
-    return plain.select(*files.columns, "unique_name").unionByName(numbered.select(*files.columns, "unique_name"))
+    own = files.where(F.col(name).isNotNull()).select(F.struct(*files.columns).alias("_row"), F.to_json(F.struct(*by)).alias("_dir") if by else F.lit("").alias("_dir"), stem.alias("_stem"), F.col(name).alias("_name"), *[F.col(c).alias(o) for c, o in zip(order, n_order)])
+    numbered = r"(?s)^(.+)-([1-9][0-9]{0,17})$"  # what appending a number gives
+    own = own.withColumns({
+        "_ext": F.substring("_name", F.length("_stem") + 1, F.length("_name")),
+        "_k": F.nullif(F.regexp_extract("_stem", numbered, 2), F.lit("")).cast("long"),
+        "_depth": F.length(F.regexp_replace(F.regexp_extract("_stem", r"(?s)(?<=.)(?:-[1-9][0-9]{0,17})+$", 0), "[0-9]", "")),
+    })
+    rows = own.select(*keys, *n_order, F.lit(1).alias("_n"), "_row", F.lit(None).cast("long").alias("_k"), F.lit(None).cast("int").alias("_depth"))
+    asked = own.where("_k is not null").select("_dir", F.regexp_extract("_stem", numbered, 1).alias("_stem"), "_ext", *n_order, F.lit(0).alias("_n"), F.lit(None).cast(own.schema["_row"].dataType).alias("_row"), "_k", (F.col("_depth") - 1).alias("_depth"))
+    ranked = stored(running(rows.unionByName(asked), keys, n_order, ["_n"]), "ranked")
+    asked = stored(ranked.where("_k is not null").groupBy(*keys, "_k", "_depth").agg(F.min("_n").alias("_n")), "asked")  # rows of the stem before the first that asks
+    depths = asked.agg(F.max("_depth")).first()[0]
+    marks = None  # places at which a stem's spare rows pass over a number, and names whose first row came too late
+    late = None
+    for depth in range(0 if depths is None else depths + 1):
+        level = asked.where(F.col("_depth") == depth)
+        level = level.withColumn("_late", F.lit(False)) if late is None else level.join(late.withColumn("_late", F.lit(True)), keys, "left").fillna(False, "_late")
+        first = F.when(F.col("_late"), 0).otherwise(1)
+        level = level.select(*keys, "_k", F.greatest(F.col("_n") - first, F.lit(0)).alias("_spare"), first.alias("_first")).repartition(*keys).sortWithinPartitions(*keys, "_k")
+        schema = StructType([*level.drop("_spare").schema.fields, StructField("_won", BooleanType()), StructField("_at", LongType())])
+        level = stored(level.mapInPandas(_slots_won, schema), "numbers")
+        late = level.where("not _won").select("_dir", F.concat("_stem", F.lit("-"), F.col("_k").cast("string")).alias("_stem"), "_ext")
+        none = F.lit(None).cast(own.schema["_row"].dataType).alias("_row")
+        own_marks = level.where("_won").select(*keys, (F.col("_at") + F.col("_first")).alias("_place"), F.lit(1).alias("_passed"), F.lit(0).alias("_late"), none)
+        own_marks = own_marks.unionByName(late.select(*keys, F.lit(-1).cast("long").alias("_place"), F.lit(0).alias("_passed"), F.lit(1).alias("_late"), none))
+        marks = own_marks if marks is None else marks.unionByName(own_marks)
+    placed = ranked.where("_row is not null").select(*keys, F.col("_n").cast("long").alias("_place"), F.lit(0).alias("_passed"), F.lit(0).alias("_late"), "_row")
+    if marks is not None:
+        placed = placed.unionByName(marks).withColumn("_kind", F.col("_row").isNotNull())
+        placed = running(placed, keys, ["_place", "_kind"], ["_passed", "_late"]).where("_row is not null")
+    spare = F.col("_place") - 1 + F.col("_late")
+    full = F.when(spare == 0, F.concat("_stem", "_ext")).otherwise(F.concat("_stem", F.lit("-"), (spare + F.col("_passed")).cast("string"), "_ext"))
+    named = placed.select("_row.*", full.alias("unique_name"))
+    return named.unionByName(files.where(F.col(name).isNull()).withColumn("unique_name", F.lit(None).cast("string")))
 
 
 def content_type(value: Column) -> Column:

@@ -636,6 +636,22 @@ def _(spark, d):
     return named.groupBy("l_suppkey").agg(F.count("*").alias("n_rows"), F.countDistinct("unique_name").alias("n_names"))
 
 
+@query("crl24_numbered_names", """
+WITH r AS (SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, l_partkey % 9 AS f, l_partkey % 5 = 0 AS b FROM lineitem),
+o AS (
+  SELECT *, row_number() OVER (PARTITION BY l_suppkey, f, b ORDER BY l_orderkey, l_linenumber, l_partkey) - 1 AS n,
+    row_number() OVER (PARTITION BY l_suppkey, f ORDER BY l_orderkey, l_linenumber, l_partkey) AS t FROM r),
+w AS (SELECT l_suppkey, f, coalesce(min(t) FILTER (b), 1e18) < coalesce(min(t) FILTER (NOT b AND n = 1), 1e18) AS asked_first FROM o GROUP BY ALL)
+SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, 'f' || f || CASE WHEN b AND asked_first AND n = 0 THEN '-1' WHEN b AND asked_first THEN '-1-' || n WHEN b THEN '-1-' || (n + 1)
+  WHEN n = 0 THEN '' WHEN asked_first THEN '-' || (n + 1) ELSE '-' || n END || '.pdf' AS unique_name
+FROM o JOIN w USING (l_suppkey, f)""")
+def _(spark, d):
+    """Names f.pdf and f-1.pdf in one folder: whoever comes first to f-1.pdf has it."""
+    columns = ["l_suppkey", "l_orderkey", "l_linenumber", "l_partkey"]
+    own = given(spark, d, "lineitem").select(*columns, F.concat(F.lit("f"), (F.col("l_partkey") % 9).cast("string"), F.when(F.col("l_partkey") % 5 == 0, "-1").otherwise(""), F.lit(".pdf")).alias("filename"))
+    return W.unique_names(own, ["l_suppkey"], columns[1:]).select(*columns, "unique_name")
+
+
 @query("crl25_content_types", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'application/pdf' WHEN 1 THEN NULL ELSE 'text/' || event_type END AS kind FROM events")
 def _(spark, d):
     raw = F.when(F.col("event_id") % 3 == 0, "Application/PDF ; charset=utf-8").when(F.col("event_id") % 3 == 1, " ;x").otherwise(F.concat(F.lit(" text/"), F.upper("event_type")))

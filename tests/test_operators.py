@@ -294,6 +294,44 @@ def test_unique_names(spark):
     assert [r.unique_name for r in got] == want
 
 
+def numbered_one_by_one(names):
+    taken, out = set(), []
+    for n in names:
+        stem, dot, ext = n.rpartition(".")
+        stem, ext = (stem, dot + ext) if stem else (n, "")
+        own, k = n, 0
+        while own in taken:
+            k += 1
+            own = f"{stem}-{k}{ext}"
+        taken.add(own)
+        out.append(own)
+    return out
+
+
+def test_unique_names_in_chains(spark):
+    """Chains of numbers, odd numbers, null folders and names, and one family of most rows whose running counts are split over ranges."""
+    rng = random.Random(24)
+    rows, want, i = [], {}, 0
+    for folder in [None, *range(12)]:
+        pool = [f"a{''.join(f'-{rng.randint(0, 4)}' for _ in range(rng.randint(0, 4)))}.pdf" for _ in range(rng.randint(1, 25))]
+        pool += rng.sample(["a-01.pdf", "a-01-1.pdf", "-1", "-1-1", "a-1-1-1-1", "a-99999999999999999999.pdf", "a-2.pdf", "a-12.pdf", "a..", "a-1.b.pdf"], 4)
+        names = rng.choices(pool, k=600 if folder == 3 else 80)
+        for n, u in zip(names, numbered_one_by_one(names)):
+            rows.append((folder, i, n))
+            want[i] = u
+            i += 1
+    rows.append((3, i, None))
+    want[i] = None
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "d long, i long, filename string")
+    named = W.unique_names(df, ["d"], ["i"])
+    assert named.columns == ["d", "i", "filename", "unique_name"] and {r.i: r.unique_name for r in named.collect()} == want
+    plan = named._jdf.queryExecution().toString()
+    assert "FlatMapGroups" not in plan and W.unique_names(df.limit(0), ["d"], ["i"]).count() == 0
+    alone = W.unique_names(df.where("d = 3").drop("d"), [], ["i"]).collect()
+    assert all(r.unique_name == want[r.i] for r in alone)
+
+
 def test_stored_lists(spark, tmp_path):
     rng = random.Random(14)
     rows = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(500)] + [(900, None), (901, [1.0])]
