@@ -2,6 +2,8 @@
 
 wires: (schematic_id, ordinal, x1, y1, x2, y2); junctions: (schematic_id, ordinal, x, y); labels: (schematic_id,
 ordinal, text, type, x, y, rotation); pins: (schematic_id, reference, number, x, y), positions already absolute.
+
+Joins are by sort and merge: what these tables are made of compresses well, so by its files the planner takes it for small enough to broadcast.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ from ohmlake.plans.grid import near
 
 TOLERANCE = 0.01
 BY = ["schematic_id"]
+#: Fixed value: cells of so many tolerances, as wire ends lie on a drawing's grid, which is much wider.
+CELL = 4.0
 
 
 def endpoints(wires: DataFrame) -> DataFrame:
@@ -34,7 +38,7 @@ def touching(wires: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     chain = ends.withColumn("b", F.col("ordinal")).withColumn("a", F.lag("ordinal").over(at)).where("a is not null and a <> b").select("schematic_id", "a", "b")
     points = ends.groupBy("schematic_id", "x", "y").agg(F.min("ordinal").alias("first"))
     other = points.toDF("schematic_id", "ox", "oy", "other")
-    pairs = near(points, other, tolerance, BY, "x", "y", "ox", "oy").where("(x <> ox or y <> oy) and first <> other")
+    pairs = near(points, other, tolerance, BY, "x", "y", "ox", "oy", CELL).where("(x <> ox or y <> oy) and first <> other")
     return chain.unionByName(pairs.select("schematic_id", F.least("first", "other").alias("a"), F.greatest("first", "other").alias("b"))).distinct()
 
 
@@ -47,7 +51,7 @@ def wire_groups(wires: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     edges = touching(wires, tolerance).select(node("schematic_id", "a").alias("a"), node("schematic_id", "b").alias("b"))
     parts = connected_components(edges)
     own = wires.select("schematic_id", "ordinal", node().alias("node"))
-    return own.join(parts, "node", "left").select("schematic_id", "ordinal", F.coalesce("component", "node").alias("wire_group"))
+    return own.join(parts.hint("merge"), "node", "left").select("schematic_id", "ordinal", F.coalesce("component", "node").alias("wire_group"))
 
 
 def net_numbers(wires: DataFrame, groups: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
@@ -59,16 +63,16 @@ def net_numbers(wires: DataFrame, groups: DataFrame, tolerance: float = TOLERANC
     """
     forest = spanning_forest(touching(wires, tolerance), BY)
     merging = forest.groupBy("schematic_id", F.col("b").alias("ordinal")).agg(F.count("*").alias("n")).where("n > 1").select("schematic_id", "ordinal", F.col("ordinal").alias("merged"))
-    placed = groups.join(merging, ["schematic_id", "ordinal"], "left").groupBy("schematic_id", "wire_group").agg(F.coalesce(F.max("merged"), F.min("ordinal")).alias("place"))
+    placed = groups.join(merging.hint("merge"), ["schematic_id", "ordinal"], "left").groupBy("schematic_id", "wire_group").agg(F.coalesce(F.max("merged"), F.min("ordinal")).alias("place"))
     net_id = F.row_number().over(Window.partitionBy("schematic_id").orderBy("place")) - 1
     return placed.select("schematic_id", "wire_group", net_id.cast("long").alias("net_id"), F.concat(F.lit("Net_"), net_id.cast("string")).alias("name"))
 
 
 def on_nets(points: DataFrame, keys: list[str], wires: DataFrame, groups: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """NET-4, NET-5, NET-6: (schematic_id, wire_group, keys) for points (x, y) at a wire's end of the group."""
-    ends = endpoints(wires).join(groups, ["schematic_id", "ordinal"]).select("schematic_id", "wire_group", F.col("x").alias("wx"), F.col("y").alias("wy")).distinct()
+    ends = endpoints(wires).join(groups.hint("merge"), ["schematic_id", "ordinal"]).select("schematic_id", "wire_group", F.col("x").alias("wx"), F.col("y").alias("wy")).distinct()
     own = points.select("schematic_id", *keys, F.col("x").alias("px"), F.col("y").alias("py"))
-    return near(own, ends, tolerance, BY, "px", "py", "wx", "wy").select("schematic_id", "wire_group", *keys).distinct()
+    return near(own, ends, tolerance, BY, "px", "py", "wx", "wy", CELL).select("schematic_id", "wire_group", *keys).distinct()
 
 
 def pin_positions(components: DataFrame, pins: DataFrame, compat: bool = True) -> DataFrame:
@@ -88,15 +92,15 @@ def nets(wires: DataFrame, junctions: DataFrame, labels: DataFrame, pins: DataFr
     groups = wire_groups(wires, tolerance)
     numbers = net_numbers(wires, groups, tolerance)
     point = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
-    own_wires = wires.join(groups, ["schematic_id", "ordinal"]).groupBy("schematic_id", "wire_group").agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", point("x1", "y1").alias("start"), point("x2", "y2").alias("end")))), lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"))).alias("wires"))
+    own_wires = wires.join(groups.hint("merge"), ["schematic_id", "ordinal"]).groupBy("schematic_id", "wire_group").agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", point("x1", "y1").alias("start"), point("x2", "y2").alias("end")))), lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"))).alias("wires"))
     own_pins = on_nets(pins, ["reference", "number"], wires, groups, tolerance).groupBy("schematic_id", "wire_group").agg(F.array_sort(F.collect_list(F.struct(F.col("reference").alias("ref"), F.col("number").alias("pin")))).alias("pins"))
-    on_j = on_nets(junctions, ["ordinal"], wires, groups, tolerance).join(junctions, ["schematic_id", "ordinal"])
+    on_j = on_nets(junctions, ["ordinal"], wires, groups, tolerance).join(junctions.hint("merge"), ["schematic_id", "ordinal"])
     own_j = on_j.groupBy("schematic_id", "wire_group").agg(ordered(F.struct("ordinal", point("x", "y").alias("p")), "p").alias("junctions"))
-    on_l = on_nets(labels, ["ordinal"], wires, groups, tolerance).join(labels, ["schematic_id", "ordinal"])
+    on_l = on_nets(labels, ["ordinal"], wires, groups, tolerance).join(labels.hint("merge"), ["schematic_id", "ordinal"])
     own_l = on_l.groupBy("schematic_id", "wire_group").agg(ordered(F.struct("ordinal", F.struct("text", "type", "x", "y").alias("l")), "l").alias("labels"))
-    out = numbers.join(own_wires, ["schematic_id", "wire_group"])
+    out = numbers.join(own_wires.hint("merge"), ["schematic_id", "wire_group"])
     for part in (own_pins, own_j, own_l):
-        out = out.join(part, ["schematic_id", "wire_group"], "left")
+        out = out.join(part.hint("merge"), ["schematic_id", "wire_group"], "left")
     first = F.get(F.filter("labels", lambda x: F.coalesce(x["text"], F.lit("")) != ""), F.lit(0))["text"]
     name = F.col("name") if compat else F.coalesce(first, F.col("name"))
     return out.select("schematic_id", "net_id", name.alias("name"), "pins", "wires", "junctions", "labels")

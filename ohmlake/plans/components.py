@@ -2,7 +2,8 @@
 
 Every step is an aggregation of the least neighbour and a join back, so no node's neighbourhood is
 ever gathered, and the edges never leave the executors. A step's result is a table in the shared
-folder, which cuts the lineage.
+folder, which cuts the lineage. Joins are by sort and merge: files of equal and growing keys are far smaller than
+their rows, and the planner would broadcast them.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         before = now
         both = e.union(e.select("lo", "hi")).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        large = both.where("v > u").join(least.hint("merge"), "u").where("v <> m").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(low, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(low)
+        small = large.join(low.hint("merge"), "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(low)
         e = stored(small.distinct(), "edges")
     return e.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(e.select("lo", "lo").distinct())

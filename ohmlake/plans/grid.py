@@ -9,18 +9,24 @@ def cell(x: str | Column, size: float) -> Column:
     return F.floor((F.col(x) if isinstance(x, str) else x) / F.lit(size)).cast("bigint")
 
 
-def near(a: DataFrame, b: DataFrame, tolerance: float, by: list[str], ax: str, ay: str, bx: str, by_: str) -> DataFrame:
+def near(a: DataFrame, b: DataFrame, tolerance: float, by: list[str], ax: str, ay: str, bx: str, by_: str, width: float = 1.0) -> DataFrame:
     """Pairs of rows whose points are within a Euclidean tolerance (inclusive), within the same ``by``.
 
-    Points of b stand in one cell, those of a in the nine around theirs, so the join is an equi-join on
-    (by, cell); the exact distance is tested after it. Columns of a and b other than by must differ.
+    Points of b stand in one cell, those of a in all that the tolerance reaches, so the join is an equi-join on (by, cell); the
+    exact distance is tested after it. Columns of a and b other than by must differ. ``width``: tolerances to a cell's side. Cells of one
+    have the fewest candidates and nine rows of a for each point; where points are sparse, wider cells have fewer rows. Both sides
+    are shuffled: the planner takes points for as small as the files they come from, and would broadcast them.
     """
-    size = max(tolerance, 1e-9) * 1.0000001
-    near_cells = F.explode(F.flatten(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda i: F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda j: F.struct((cell(ax, size) + i).alias("cx"), (cell(ay, size) + j).alias("cy"))))))
-    left = a.withColumn("_c", near_cells).withColumns({"_cx": F.col("_c.cx"), "_cy": F.col("_c.cy")}).drop("_c")
-    right = b.withColumns({"_cx": cell(bx, size), "_cy": cell(by_, size)})
+    reach = max(tolerance, 1e-9) * 1.0000001
+    size = reach * width
+    at = lambda x: F.floor(x / F.lit(size) + F.lit(0.5)).cast("bigint")  # noqa: E731  round coordinates lie inside of cells
+    reached = lambda c: F.sequence(at(F.col(c) - F.lit(reach)), at(F.col(c) + F.lit(reach)))
+    finite = lambda c: F.abs(c) < F.lit(float("inf"))  # noqa: E731  nothing is near a place that is none
+    cells = F.explode(F.flatten(F.transform(reached(ax), lambda i: F.transform(reached(ay), lambda j: F.struct(i.alias("cx"), j.alias("cy"))))))
+    left = a.where(finite(ax) & finite(ay)).withColumn("_c", cells).withColumns({"_cx": F.col("_c.cx"), "_cy": F.col("_c.cy")}).drop("_c")
+    right = b.withColumns({"_cx": at(F.col(bx)), "_cy": at(F.col(by_))})
     d = F.sqrt(F.pow(F.col(ax) - F.col(bx), F.lit(2.0)) + F.pow(F.col(ay) - F.col(by_), F.lit(2.0)))
-    return left.join(right, [*by, "_cx", "_cy"]).where(d <= tolerance).drop("_cx", "_cy")
+    return left.join(right.hint("merge"), [*by, "_cx", "_cy"]).where(d <= tolerance).drop("_cx", "_cy")
 
 
 def containing(points: DataFrame, boxes: DataFrame, size: float, by: list[str], px: str, py: str, box: tuple[str, str, str, str], most_cells: int = 4096) -> DataFrame:
