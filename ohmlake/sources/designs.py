@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ohmlake.functions.columns import keep_first, ordered, top_n_per
@@ -18,6 +20,8 @@ from ohmlake.functions.columns import keep_first, ordered, top_n_per
 SCHEMATIC_ROOT, BOARD_ROOT = "kicad_sch", "kicad_pcb"
 EXTENSIONS = {".kicad_sch": "schematic", ".kicad_pcb": "board", ".kicad_pro": "project"}
 PARSER_VERSION = "1.0.0"
+#: Fixed value: characters of JSON that a task hands on at once.
+PIECE = 1 << 22
 
 _TOKEN = re.compile(r'[()]|"(?:\\.|[^"\\])*"|[^\s()"]+')
 
@@ -25,19 +29,18 @@ _TOKEN = re.compile(r'[()]|"(?:\\.|[^"\\])*"|[^\s()"]+')
 def _nested(text: str) -> list:
     """The nested list of a file; quoted strings keep their escapes."""
     out: list = []
-    stack = [out]
-    for m in _TOKEN.finditer(text):
-        t = m[0]
+    stack, own = [], out
+    for t in _TOKEN.findall(text):
         if t == "(":
-            stack[-1].append([])
-            stack.append(stack[-1][-1])
+            stack.append(own)
+            own.append(own := [])
         elif t == ")":
-            if len(stack) == 1:
+            if not stack:
                 raise ValueError("a closing bracket too many")
-            stack.pop()
+            own = stack.pop()
         else:
-            stack[-1].append(t[1:-1] if t[0] == '"' else t)
-    if len(stack) > 1 or not out or not isinstance(out[0], list):
+            own.append(t[1:-1] if t[0] == '"' else t)
+    if stack or not out or not isinstance(out[0], list):
         raise ValueError("brackets left open, or no list")
     return out[0]
 
@@ -181,23 +184,43 @@ def board_items(text: str) -> list[tuple[str, dict]]:
     return out
 
 
+_ROWS = pa.schema([("entity", pa.string()), ("ordinal", pa.int64()), ("payload", pa.string())])
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], reader: Callable[[str], list[tuple[str, dict]]]) -> Iterator[pa.RecordBatch]:
+    """Rows of the files of batches (schematic_id, content), in batches of about PIECE characters."""
+    for batch in batches:
+        ids, texts = batch.columns
+        at, rows, size = [], [], 0
+        for n, text in enumerate(texts):
+            try:
+                found = reader(text.as_py() or "")
+            except (ValueError, IndexError) as e:
+                found = [("reject", {"error": str(e)})]
+            for i, (entity, fields) in enumerate(found):
+                rows.append((entity, i, json.dumps(fields)))
+                at.append(n)
+                size += len(rows[-1][2])
+                if size >= PIECE:
+                    yield _batch(ids, at, rows)
+                    at, rows, size = [], [], 0
+        if rows:
+            yield _batch(ids, at, rows)
+
+
+def _batch(ids: pa.Array, at: list[int], rows: list[tuple]) -> pa.RecordBatch:
+    columns = [pa.array(list(c), f.type) for c, f in zip(zip(*rows), _ROWS)]
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(at)), *columns], ["schematic_id", *_ROWS.names])
+
+
 def items(files: DataFrame, kind: str = "schematic") -> DataFrame:
-    """SRC-1, SRC-2: (schematic_id, entity, ordinal, payload) of files (schematic_id, content string)."""
+    """SRC-1, SRC-2: (schematic_id, entity, ordinal, payload) of files (schematic_id, content string).
+
+    A task holds one file's items and hands on its rows in pieces of about PIECE characters, however many files come at once.
+    """
     reader = {"schematic": schematic_items, "board": board_items}[kind]
     id_kind = files.schema["schematic_id"].dataType.simpleString()
-
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for sid, text in zip(pdf["schematic_id"], pdf["content"]):
-                try:
-                    found = reader(text or "")
-                except (ValueError, IndexError) as e:
-                    found = [("reject", {"error": str(e)})]
-                rows += [(sid, entity, i, json.dumps(fields)) for i, (entity, fields) in enumerate(found)]
-            yield pd.DataFrame(rows, columns=["schematic_id", "entity", "ordinal", "payload"])
-
-    return files.select("schematic_id", "content").mapInPandas(run, f"schematic_id {id_kind}, entity string, ordinal long, payload string")
+    return files.select("schematic_id", "content").mapInArrow(lambda batches: _pieces(batches, reader), f"schematic_id {id_kind}, entity string, ordinal long, payload string")
 
 
 def design_files(spark: SparkSession, path: str) -> DataFrame:

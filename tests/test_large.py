@@ -1,13 +1,17 @@
 """Plans and tasks that must not grow with the tables: no broadcast of what grows, bounded pieces."""
 
+import json
 import math
 import random
 
+import pyarrow as pa
+
 from ohmlake.operators import nets as N
 from ohmlake.plans.components import connected_components
 from ohmlake.plans.forest import spanning_forest
 from ohmlake.plans.grid import near
 from ohmlake.queries import QUERIES
+from ohmlake.sources import designs as S
 
 AT = "/root/testdata/sf0.001"
 
@@ -47,3 +51,20 @@ def test_points_of_a_coarse_grid_take_about_a_cell_each(spark):
         joined = near(a, b, N.TOLERANCE, ["s"], "ax", "ay", "bx", "by", width)
         got = [(r.a, r.b) for r in joined.collect()]
         assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_texts_of_files_are_not_broadcast(spark):
+    assert "BroadcastHashJoin [schematic_id" not in plan(QUERIES["sch13_statistics"](spark, AT))
+
+
+def test_items_of_many_files_come_in_pieces(monkeypatch):
+    monkeypatch.setattr(S, "PIECE", 2000)
+    one = "(kicad_sch " + " ".join(f'(text "t{i}" (at {i} 2 0))' for i in range(40)) + ")"
+    texts = [one, "(other)", None, "(kicad_sch", one] * 20
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array(texts)], ["schematic_id", "content"])
+    pieces = list(S._pieces(iter([batch, batch]), S.schematic_items))
+    assert len(pieces) > 50 and max(sum(map(len, p["payload"].to_pylist())) for p in pieces) < 2200
+    rows = [tuple(r.values()) for p in pieces for r in p.to_pylist()]
+    want = [(n, "text", i, json.dumps(f)) for n, t in enumerate(texts) if t == one for i, (_, f) in enumerate(S.schematic_items(one))]
+    assert [r for r in rows if r[1] == "text"] == want * 2
+    assert sum(r[1] == "reject" for r in rows) == 120
