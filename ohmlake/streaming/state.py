@@ -143,36 +143,40 @@ def job_states_held(events: DataFrame, fields: dict[str, str], idle_seconds: int
 
 QUEUE = "key string, body string, receives int"
 OUTCOMES = "key string, body string, receives int, outcome string, error string"
+#: Buckets that a queue's keys lie in, unless given, and messages to a file that goes back into the queue.
+BUCKETS = 4096
+FILE_ROWS = 1_000_000
 
 
-def outcomes(received: DataFrame, most: int = MAX_RECEIVES, retention_ms: int = RETENTION_MS) -> DataFrame:
+def outcomes(received: DataFrame, most: int = MAX_RECEIVES, retention_ms: int = RETENTION_MS, buckets: int = BUCKETS) -> DataFrame:
     """STR-8 on a stream of a ``session``: each receive (key, body, ok, error) with its number and outcome: done, again, or dead at the ``most``-th failure.
 
-    State is the number of failures since the message last worked or was given up; one that rests for the retention time is dropped.
-    Messages are many and short-lived, so their state comes with their rows rather than by a call each. A null ok has failed.
+    State is the number of failures of each key since its message last worked or was given up, with the time of the last one; a key
+    that rests for the retention time is dropped. Messages are many and short-lived, so keys lie in buckets, of which a micro-batch
+    makes one call each; a bucket holds only keys that failed. A checkpoint keeps its number of buckets. A null ok has failed.
     """
 
-    def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        n = state.get[0] if state.exists else 0
-        for pdf in batches:
-            receives, outcome = [], []
-            for ok in pdf["ok"]:
-                n += 1
-                receives.append(n)
-                outcome.append("done" if ok else "dead" if n >= most else "again")
-                n = n if outcome[-1] == "again" else 0
-            yield pd.DataFrame({"key": pdf["key"], "body": pdf["body"], "receives": receives, "outcome": outcome, "error": pdf["error"].where(~pdf["ok"], None)})
-        if n:
-            state.update((n,))
-            state.setTimeoutDuration(retention_ms)
+    def step(_, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        now = state.getCurrentProcessingTimeMs()
+        held = {k: (n, at) for k, n, at in zip(*state.get) if now - at < retention_ms} if state.exists else {}
+        if not state.hasTimedOut:
+            for pdf in batches:
+                receives, outcome = [], []
+                for key, ok in zip(pdf["key"], pdf["ok"]):
+                    n = held.pop(key, (0, 0))[0] + 1
+                    receives.append(n)
+                    outcome.append("done" if ok else "dead" if n >= most else "again")
+                    if outcome[-1] == "again":
+                        held[key] = (n, now)
+                yield pd.DataFrame({"key": pdf["key"], "body": pdf["body"], "receives": receives, "outcome": outcome, "error": pdf["error"].where(~pdf["ok"], None)})
+        if held:
+            state.update((list(held), [n for n, _ in held.values()], [at for _, at in held.values()]))
+            state.setTimeoutDuration(max(1, min(at for _, at in held.values()) + retention_ms - now))
         elif state.exists:
             state.remove()
 
-    own = received.select("key", "body", F.coalesce("ok", F.lit(False)).alias("ok"), F.col("error").cast("string").alias("error"))
-    return own.groupBy("key").applyInPandasWithState(step, OUTCOMES, "n int", "append", "ProcessingTimeTimeout")
+    own = received.select(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket"), "key", "body", F.coalesce("ok", F.lit(False)).alias("ok"), F.col("error").cast("string").alias("error"))
+    return own.groupBy("bucket").applyInPandasWithState(step, OUTCOMES, "keys array<string>, failures array<int>, at array<long>", "append", "ProcessingTimeTimeout")
 
 
 def redriven(spark: SparkSession, queue: str, work: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, most: int = MAX_RECEIVES, per_batch: int = 1) -> int:
@@ -180,7 +184,7 @@ def redriven(spark: SparkSession, queue: str, work: Callable[[DataFrame], DataFr
 
     work adds ok and error to messages, of which receives are those before (null: none). One that fails goes back into the queue
     until its ``most``-th failure and then to the dead letters. sink/outcomes has every receive, sink/dead the messages given up.
-    What goes back is written below the queue by (query, epoch) for the next run, so that runs are as many as receives.
+    What goes back is written below the queue by (query, epoch) for the next run, FILE_ROWS messages to a file, so that runs are as many as receives.
     """
     own, runs = session(spark), 0
     while True:
@@ -189,11 +193,12 @@ def redriven(spark: SparkSession, queue: str, work: Callable[[DataFrame], DataFr
         def put(df: DataFrame, at: str) -> None:
             written(df, f"{sink}/outcomes", at)  # the one action on the stateful plan
             kept = df.sparkSession.read.schema(OUTCOMES).parquet(f"{sink}/outcomes/{at}")
-            found = {r[0] for r in kept.select("outcome").distinct().collect()}  # three at most
+            found = {r[0]: r[1] for r in kept.groupBy("outcome").count().collect()}  # three at most
             if "dead" in found:
                 written(kept.where("outcome = 'dead'").select("key", "body", "receives", "error"), f"{sink}/dead", at)
             if "again" in found:
-                written(kept.where("outcome = 'again'").select("key", "body", "receives"), f"{queue}/again", at)
+                parts = -(-found["again"] // FILE_ROWS)  # micro-batches go by files
+                written(kept.where("outcome = 'again'").select("key", "body", "receives").coalesce(parts), f"{queue}/again", at)
                 back.append(at)
 
         query = into(outcomes(work(files(own, queue, QUEUE, per_batch)), most), checkpoint, put)

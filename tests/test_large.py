@@ -68,3 +68,20 @@ def test_items_of_many_files_come_in_pieces(monkeypatch):
     want = [(n, "text", i, json.dumps(f)) for n, t in enumerate(texts) if t == one for i, (_, f) in enumerate(S.schematic_items(one))]
     assert [r for r in rows if r[1] == "text"] == want * 2
     assert sum(r[1] == "reject" for r in rows) == 120
+
+
+def test_redrive_calls_by_bucket_and_sends_back_few_files(spark, tmp_path):
+    from ohmlake.streaming import state as T
+
+    queue, sink, own = str(tmp_path / "q"), str(tmp_path / "out"), T.session(spark)
+    spark.range(400).selectExpr("concat('m', id) key", "'x' body", "cast(null as int) receives").repartition(4).write.parquet(queue)
+    work = lambda df: df.selectExpr("*", "receives = 1 ok", "'e' error")  # noqa: E731  null: fails at first
+    assert T.redriven(spark, queue, work, sink, str(tmp_path / "c"), per_batch=4) == 2
+    rows = T.read(spark, f"{sink}/outcomes", T.OUTCOMES).collect()
+    assert sorted((r.key, r.receives, r.outcome) for r in rows) == sorted((f"m{i}", n, o) for i in range(400) for n, o in ((1, "again"), (2, "done")))
+    assert len(list((tmp_path / "q" / "again").rglob("*.parquet"))) == 1
+    made = []
+    stream = T.outcomes(work(T.files(own, queue, T.QUEUE, 9)), buckets=4)
+    T.into(stream, str(tmp_path / "c2"), lambda df, at: made.append(df.count())).awaitTermination(200)
+    keys = spark.read.format("statestore").load(str(tmp_path / "c2")).count()
+    assert sum(made) == 800 and keys <= 4  # a state for a bucket, not for a key
