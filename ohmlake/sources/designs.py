@@ -345,6 +345,21 @@ DROPPED_KEYS = ["effects", "font", "justify", "graphics"]
 NO_DATASHEET = ["", "~"]
 
 
+def _in_pieces(texts: pa.Array, made: Callable[[str], str]) -> pa.Array:
+    """What is made of each text, null where it fails; Python holds about PIECE characters of it at a time."""
+    pieces, own, size = [], [], 0
+    for t in texts:
+        try:
+            own.append(made(t.as_py()))
+            size += len(own[-1])
+        except (TypeError, ValueError):
+            own.append(None)
+        if size >= PIECE:
+            pieces.append(pa.array(own, pa.string()))
+            own, size = [], 0
+    return pa.concat_arrays([*pieces, pa.array(own, pa.string())])
+
+
 def cleaned_json(documents: DataFrame, column: str = "json") -> DataFrame:
     """SCH-15: JSON texts without dropped keys and empty datasheets at any depth; null where the text is no JSON."""
 
@@ -354,14 +369,8 @@ def cleaned_json(documents: DataFrame, column: str = "json") -> DataFrame:
             return {k: clean(v) for k, v in x.items() if k not in DROPPED_KEYS and not empty(k, v)}
         return [clean(v) for v in x] if isinstance(x, list) else x
 
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            try:
-                out.append(json.dumps(clean(json.loads(t)), ensure_ascii=False))
-            except (TypeError, ValueError):
-                out.append(None)
-        return pd.Series(out, dtype=object)
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        return _in_pieces(texts, lambda t: json.dumps(clean(json.loads(t)), ensure_ascii=False))
 
     return documents.withColumn(column, run(column))

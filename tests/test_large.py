@@ -85,3 +85,18 @@ def test_redrive_calls_by_bucket_and_sends_back_few_files(spark, tmp_path):
     T.into(stream, str(tmp_path / "c2"), lambda df, at: made.append(df.count())).awaitTermination(200)
     keys = spark.read.format("statestore").load(str(tmp_path / "c2")).count()
     assert sum(made) == 800 and keys <= 4  # a state for a bucket, not for a key
+
+
+def test_cleaned_texts_are_made_in_pieces(monkeypatch):
+    monkeypatch.setattr(S, "PIECE", 100)
+    sizes, array = [], pa.array
+    texts = array(["x" * 30, None, "bad", ""] * 50)
+
+    def counted(values, kind):
+        sizes.append(sum(len(v or "") for v in values))
+        return array(values, kind)
+
+    monkeypatch.setattr(S.pa, "array", counted)
+    made = S._in_pieces(texts, lambda t: str(int(t)) if t == "bad" else t + "y")
+    assert made.to_pylist() == ["x" * 30 + "y", None, None, "y"] * 50
+    assert len(sizes) > 10 and max(sizes) < 140
