@@ -122,21 +122,33 @@ def _blocks(queries: DataFrame, query_id: str, most: int) -> list[DataFrame]:
     return [queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == i) for i in range(blocks)]
 
 
-def _best_of_block(table: DataFrame, queries: DataFrame, k: int, id_: str, query_id: str, vector: str, query_vector: str, metric: str) -> DataFrame:
+def _best_of_block(table: DataFrame, queries: DataFrame, k: int, id_: str, query_id: str, vector: str, query_vector: str, metric: str, centers: np.ndarray | None = None, probes: int = 0) -> DataFrame:
+    """The k best of table's rows for each of a block of queries. With centers, of the rows whose list is one of the ``probes``
+    nearest to the query; a row's list is its column ``list`` if it has one, else that of its nearest center."""
     spark = table.sparkSession
     numbered = [(i, *r) for i, r in enumerate(queries.collect()) if r[1] is not None and None not in r[1]]  # a block at most
     by_length: dict[int, list[tuple[int, list[float]]]] = {}
     for i, _, v in numbered:
         by_length.setdefault(len(v), []).append((i, v))
     matrices = {m: (np.array([i for i, _ in own], np.int32), np.array([v for _, v in own], float).reshape(len(own), m)) for m, own in by_length.items()}
-    shared = spark.sparkContext.broadcast(matrices)
+    asking: dict[int, dict[int, np.ndarray]] = {}  # the places of the queries that probe a list, by length
+    if centers is not None:
+        probed = {m: _near(q, centers, probes) for m, (_, q) in matrices.items()}
+        asking = {m: {int(i): np.flatnonzero((p == i).any(axis=1)) for i in np.unique(p)} for m, p in probed.items()}
+    shared = spark.sparkContext.broadcast((matrices, asking))
+    stored = centers is not None and "list" in table.columns
+    if stored:
+        some = sorted({i for own in asking.values() for i in own})
+        lists = spark.range(len(centers)).where(F.col("id").isin(some)).select(F.col("id").cast("int").alias("list"))
+        table = table.join(F.broadcast(lists), "list", "left_semi")
 
     def run(batches):
-        least = {m: np.full(len(numbers), np.inf) for m, (numbers, _) in shared.value.items()}
+        matrices, asking = shared.value
+        top = {m: np.full((k, len(numbers)), np.inf) for m, (numbers, _) in matrices.items()}
         for batch in batches:
             ids, vectors = batch.column(0), batch.column(1)
             sizes = pc.fill_null(pc.list_value_length(vectors), -1).to_numpy(zero_copy_only=False)
-            for m, (numbers, q) in shared.value.items():
+            for m, (numbers, q) in matrices.items():
                 some = np.flatnonzero(sizes == m)
                 for at in range(0, len(some), max(1, CELLS // max(len(q), 1))):
                     part = vectors.take(pa.array(some[at : at + max(1, CELLS // max(len(q), 1))]))
@@ -146,13 +158,21 @@ def _best_of_block(table: DataFrame, queries: DataFrame, k: int, id_: str, query
                     if flat.null_count:
                         whole = np.flatnonzero(~pc.is_null(flat).to_numpy(zero_copy_only=False).reshape(len(part), m).any(axis=1))
                     own = _first_ids(x[whole], ids.take(pa.array(some[at + whole])), whole, k)
-                    by_id = pc.sort_indices(ids.take(pa.array(some[at + own])), null_placement="at_start").to_numpy()
-                    row, col = _may_be_best(x[own], q, k, metric, least[m], by_id)
-                    take = pa.array(some[at + own[row]])
-                    yield pa.RecordBatch.from_arrays([pa.array(numbers[col]), ids.take(take), vectors.take(take)], names=["number", "id", "v"])
+                    if centers is None:
+                        parts = [(own, slice(None))]
+                    else:
+                        of = batch.column(2).to_numpy(zero_copy_only=False)[some[at + own]] if stored else _near(x[own], centers, 1)[:, 0]
+                        parts = [(own[of == i], asking[m][i]) for i in np.unique(of) if i in asking[m]]
+                    for mine, these in parts:
+                        by_id = pc.sort_indices(ids.take(pa.array(some[at + mine])), null_placement="at_start").to_numpy()
+                        best = top[m][:, these].copy()
+                        row, col = _may_be_best(x[mine], q[these], k, metric, best[-1].copy(), by_id, best)
+                        top[m][:, these] = best
+                        take = pa.array(some[at + mine[row]])
+                        yield pa.RecordBatch.from_arrays([pa.array(numbers[these][col]), ids.take(take), vectors.take(take)], names=["number", "id", "v"])
 
     kinds = [table.schema[c].dataType.simpleString() for c in (id_, vector)]
-    found = table.select(id_, vector).mapInArrow(run, f"number int, id {kinds[0]}, v {kinds[1]}")
+    found = table.select(id_, vector, *["list"] * stored).mapInArrow(run, f"number int, id {kinds[0]}, v {kinds[1]}")
     asked = spark.createDataFrame(numbered, StructType([StructField("number", IntegerType()), queries.schema[query_id], queries.schema[query_vector]]))
     pairs = found.join(F.broadcast(asked), "number").select(query_id, F.col("id").alias(id_), distance(F.col("v"), F.col(query_vector), metric).alias("distance"))
     rank = F.row_number().over(Window.partitionBy(query_id).orderBy(F.col("distance").asc(), F.col(id_).asc()))
@@ -171,30 +191,40 @@ def _first_ids(x: np.ndarray, ids: pa.Array, rows: np.ndarray, k: int) -> np.nda
     return rows[np.sort(np.array(keep, np.int64))]
 
 
-def _may_be_best(x: np.ndarray, q: np.ndarray, k: int, metric: str, least: np.ndarray, by_id: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, queries) whose distance is, but for rounding, not above the k-th least so far, which is kept up in ``least``.
+def _may_be_best(x: np.ndarray, q: np.ndarray, k: int, metric: str, least: np.ndarray, by_id: np.ndarray, top: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, queries) whose distance is, but for rounding, not above the k-th least so far, which is kept up in ``least``; ``top`` keeps the k least of each query, in k rows, where calls follow each other.
 
     Rows without a distance (of a zero vector, or to one) come last and by id, so the first k of them will do, and only for
     queries that have fewer than k others so far.
     """
     if not len(x):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if metric == "cosine":
-        n = np.sqrt((x * x).sum(axis=1))[:, None] * np.sqrt((q * q).sum(axis=1))[None, :]
-        with np.errstate(invalid="ignore", divide="ignore"):
-            d = np.where(n == 0, np.inf, 1.0 - (x @ q.T) / n)
-        slack = np.full(len(q), 1e-9)
-    else:
-        a, b = (x * x).sum(axis=1)[:, None], (q * q).sum(axis=1)[None, :]
-        d = np.maximum(a + b - 2.0 * (x @ q.T), 0.0)
-        slack = 1e-9 * (b[0] + a.max() + 1.0)
+    with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+        if metric == "cosine":
+            a, b = np.sqrt((x * x).sum(axis=1))[:, None], np.sqrt((q * q).sum(axis=1))[:, None]
+            if all(n.min() > 1e-100 and n.max() < 1e100 for n in (a, b)):
+                d = 1.0 - (x / a) @ (q / b).T
+            else:
+                n = a * b.T
+                d = np.where(n == 0, np.inf, 1.0 - (x @ q.T) / n)
+            slack = 1e-9
+        else:
+            a, b = (x * x).sum(axis=1)[:, None], (q * q).sum(axis=1)[None, :]
+            d = np.maximum(a + b - 2.0 * (x @ q.T), 0.0)
+            slack = 1e-9 * (b[0] + a.max() + 1.0)
     d[np.isnan(d)] = np.inf
-    if len(x) >= k:
-        np.minimum(least, np.partition(d, k - 1, axis=0)[k - 1], out=least)
-    none = np.isinf(d)
-    good = ~none & (d <= (least + slack)[None, :])
-    short = np.flatnonzero(np.isinf(least) & none.any(axis=0))
-    if len(short):
+    less = np.flatnonzero(d.min(axis=0) < least)
+    if len(less):
+        before = np.full((k, len(less)), np.inf) if top is None else top[:, less]
+        now = np.partition(np.concatenate([before, d[:, less]]), k - 1, axis=0)[:k]
+        least[less] = np.minimum(least[less], now[-1])
+        if top is not None:
+            top[:, less] = now
+    good = d <= (least + slack)[None, :]
+    if np.isinf(least).any():
+        none = np.isinf(d)
+        good &= ~none
+        short = np.flatnonzero(np.isinf(least) & none.any(axis=0))
         first = none[by_id][:, short]
         good[np.ix_(by_id, short)] |= first & (np.cumsum(first, axis=0) <= k)
     return np.nonzero(good)
@@ -249,12 +279,11 @@ def nearly_nearest(table: DataFrame, queries: DataFrame, k: int = 10, id_: str =
 
     Centers are fitted by a few rounds of spherical k-means on a bounded sample (``sample`` rows, those of the
     least hashes of ids); every row is in the list of its nearest center. Queries, a stated and bounded set, are broadcast
-    with their lists in blocks of ``most_queries``, so rows are neither copied nor shuffled before their distances are
-    known. Recall is measured against VEC-3 in the tests; vectors that form clusters need fewer probes.
+    with their lists in blocks of ``most_queries``; a task multiplies the rows of a list with the queries that probe it as
+    matrices, and hands on what VEC-3 does, so rows are neither copied nor shuffled before. Recall is measured against VEC-3 in the tests; vectors that form clusters need fewer probes.
     """
     centers = _fitted(table, id_, vector, lists, sample, seed)
-    own = table.select(id_, vector, F.get(_lists_of(centers, 1)(vector), F.lit(0)).alias("list"))
-    return _in_lists(own, centers, queries, k, id_, query_id, vector, query_vector, probes, most_queries)
+    return _in_lists(table.select(id_, vector), centers, queries, k, id_, query_id, vector, query_vector, probes, most_queries)
 
 
 def store_lists(table: DataFrame, folder: str, id_: str = "vec_id", vector: str = "embedding", lists: int = 64, sample: int = 4096, seed: int = 7) -> None:
@@ -286,26 +315,28 @@ def _fitted(table: DataFrame, id_: str, vector: str, lists: int, sample: int, se
 
 
 def _lists_of(centers: np.ndarray, n: int) -> Callable:
-    """A pandas UDF: the n lists whose centers are nearest to a vector, nearest first."""
+    """A pandas UDF: the n lists whose centers are nearest to a vector, nearest first; the first lists for other lengths."""
 
     @F.pandas_udf("array<int>")
     def found(v: pd.Series) -> pd.Series:
         dim = centers.shape[1]
         x = np.array([np.zeros(dim) if a is None or len(a) != dim else a for a in v], float).reshape(len(v), dim)
-        near = np.argsort(-(x @ centers.T), axis=1, kind="stable")[:, :n]
-        return pd.Series(list(near.astype("int32")), dtype=object)
+        return pd.Series(list(_near(x, centers, n)), dtype=object)
 
     return found
 
 
+def _near(x: np.ndarray, centers: np.ndarray, n: int) -> np.ndarray:
+    """The n lists of each row of x, as ``_lists_of`` gives them."""
+    if x.shape[1] != centers.shape[1]:
+        x = np.zeros((len(x), centers.shape[1]))
+    return np.argsort(-(x @ centers.T), axis=1, kind="stable")[:, :n].astype("int32")
+
+
 def _in_lists(own: DataFrame, centers: np.ndarray, queries: DataFrame, k: int, id_: str, query_id: str, vector: str, query_vector: str, probes: int, most_queries: int) -> DataFrame:
-    """The k nearest among rows (id, vector, list) of the lists that queries probe."""
-    found = []
-    for q in _blocks(queries.select(query_id, query_vector), query_id, most_queries):
-        asked = q.select(query_id, query_vector, F.explode(_lists_of(centers, min(probes, len(centers)))(query_vector)).alias("list"))
-        found.append(own.join(F.broadcast(asked), "list").select(query_id, id_, distance(F.col(vector), F.col(query_vector)).alias("distance")).where("distance is not null"))
-    rank = F.row_number().over(Window.partitionBy(query_id).orderBy("distance", id_))
-    return reduce(DataFrame.unionByName, found).withColumn("rank", rank).where(F.col("rank") <= k)
+    """The k nearest among rows (id, vector), with the list where it is stored, of the lists that queries probe."""
+    blocks = _blocks(queries.select(query_id, query_vector), query_id, most_queries)
+    return reduce(DataFrame.unionByName, [_best_of_block(own, q, k, id_, query_id, vector, query_vector, "cosine", centers, probes) for q in blocks])
 
 
 def _centers(vectors: list[list[float]], lists: int, seed: int, rounds: int = 8) -> np.ndarray:
