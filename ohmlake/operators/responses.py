@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ohmlake.functions.columns import PY, all_matches, first_match, has_any, lines, matches, ordered, strip
+from ohmlake.functions.columns import PY, all_matches, first_match, has_any, let, lines, matches, ordered, strip
 
 # Keys with the patterns that give them.
 ELECTRICAL = {
@@ -145,7 +145,7 @@ def _map(values: dict[str, Column]) -> Column:
 
 
 def _words(low: Column, words: list[str]) -> Column:
-    return _some(*[(low.contains(w), w) for w in words])
+    return let(low, lambda own: _some(*[(own.contains(w), w) for w in words]))
 
 
 def combined(responses: DataFrame, targeted: bool = False) -> DataFrame:
@@ -167,14 +167,14 @@ def combined(responses: DataFrame, targeted: bool = False) -> DataFrame:
 
 def identification(text: Column) -> Column:
     """RSP-2."""
-    low = F.lower(text)
-    named = F.filter(lines(text), lambda x: has_any(F.lower(x), ["component name", "part number", "component:"]) & x.contains(":"))
-    return F.struct(
+    named = F.filter(lines(text), lambda x: x.contains(":") & let(F.lower(x), lambda low: has_any(low, ["component name", "part number", "component:"])))
+    facts = lambda low: F.struct(
         F.coalesce(strip(F.regexp_replace(F.get(named, F.lit(0)), r"^[^:]*:", "")), F.lit("")).alias("component_name"),
         F.when(low.contains("uc8176"), "UC8176").otherwise("").alias("controller_ic"),
         F.when(low.contains("electrophoretic"), "Electrophoretic Display (EPD)").otherwise("").alias("technology"),
         F.when(low.contains("v2") | low.contains("version"), F.array(F.lit("V1"), F.lit("V2"))).otherwise(_none()).alias("version_variants"),
     )
+    return let(F.lower(text), facts)
 
 
 def _sized(text: Column, pattern: str, n: int) -> Column:
@@ -221,7 +221,7 @@ def pins(text: Column) -> Column:
     """RSP-8: name, type, description and other names of the pins that the text mentions."""
 
     def about(name: str) -> Column:
-        said = F.filter(lines(text), lambda x: F.lower(x).contains(name.lower()) & x.contains(":"))
+        said = F.filter(lines(text), lambda x: x.contains(":") & F.lower(x).contains(name.lower()))
         return F.get(F.filter(F.transform(said, lambda x: strip(F.regexp_replace(x, r"^[^:]*:", ""))), lambda x: x != ""), F.lit(0))
 
     def other(name: str) -> Column:
@@ -285,7 +285,7 @@ def precautions(text: Column) -> Column:
         F.when(daily & must, "Must refresh at least once every 24 hours").when(daily, "Requires refresh at least once every 24 hours"),
         F.when(text.contains("180") & text.contains("second"), "Minimum 180 seconds between refreshes"),
     ))
-    loud = F.transform(F.filter(lines(text), lambda x: has_any(F.lower(x), ["power", "voltage", "vcc", "supply"]) & has_any(F.lower(x), ["never", "do not", "avoid", "critical", "damage"]) & (F.length(strip(x)) > 15)), strip)
+    loud = F.transform(F.filter(lines(text), lambda x: let(F.lower(x), lambda low: has_any(low, ["power", "voltage", "vcc", "supply"]) & has_any(low, ["never", "do not", "avoid", "critical", "damage"])) & (F.length(strip(x)) > 15)), strip)
     own = {k: _some(*[(matches(text, p), t) for p, t in rules]) for k, rules in PRECAUTIONS.items()}
     own["power_management_warnings"] = F.slice(F.concat(own["power_management_warnings"], loud), 1, 10)
     return F.struct(timing.alias("timing_constraints"), *[v.alias(k) for k, v in own.items()])

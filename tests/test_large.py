@@ -5,6 +5,7 @@ import math
 import random
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from ohmlake.operators import nets as N
 from ohmlake.plans.components import connected_components
@@ -100,3 +101,12 @@ def test_cleaned_texts_are_made_in_pieces(monkeypatch):
     made = S._in_pieces(texts, lambda t: str(int(t)) if t == "bad" else t + "y")
     assert made.to_pylist() == ["x" * 30 + "y", None, None, "y"] * 50
     assert len(sizes) > 10 and max(sizes) < 140
+
+
+def test_texts_of_few_rows_are_dealt_over_all_tasks(spark):
+    """A file of parts is one split, but its texts are not one task's work."""
+    for name in ("rsp3_technical", "rsp8_pins", "rsp10_all_connections", "rsp11_precautions", "rsp12_development", "rsp18_power_facts", "rsp22_summaries", "dtx4_parenthetical_pins", "dtx14_specifications"):
+        assert "hashpartitioning(p_partkey" in plan(QUERIES[name](spark, AT)), name
+    for name in ("rsp3_technical", "dtx4_parenthetical_pins"):
+        rows = QUERIES[name](spark, AT).groupBy(F.spark_partition_id()).count().collect()
+        assert len(rows) >= 4, name
