@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ohmlake.plans.storage import fresh_folder
 from ohmlake.streaming import state as T
 
-from .base import given
+from .base import given, spread
 from .texts import document_json, status_events
 
 QUERIES: dict = {}
@@ -32,8 +32,10 @@ def arrivals(df: DataFrame, folder: str, part: str, parts: range) -> None:
 def _(spark, d):
     top = fresh_folder(spark, "links")
     docs = document_json(spark, d).select("schematic_id", "json")
-    docs.repartition(3, "schematic_id").write.parquet(f"{top}/in")
-    T.links_stream(T.files(spark, f"{top}/in", docs.schema), f"{top}/out", f"{top}/state").awaitTermination()
+    spread(docs, F.xxhash64("schematic_id")).write.parquet(f"{top}/in")
+    files = len(spark.read.schema(docs.schema).parquet(f"{top}/in").inputFiles())
+    per_batch = max(1, -(-files // 3))  # about three micro-batches, each of files for many tasks
+    T.links_stream(T.files(spark, f"{top}/in", docs.schema, per_batch), f"{top}/out", f"{top}/state").awaitTermination()
     return T.read(spark, f"{top}/out", "schematic_id long, datasheet_count long").select("schematic_id", "datasheet_count")
 
 

@@ -14,6 +14,8 @@ COMPONENT = f"struct<reference:string,value:string,footprint:string,position:{PO
 WIRE = f"struct<start:{POSITION},end:{POSITION}>"
 NET = f"struct<name:string,pins:array<array<string>>,wires:array<{WIRE}>,labels:array<struct<text:string,type:string>>>"
 DOCUMENT = f"metadata struct<title_block:map<string,string>,generator:string,paper:string>, library_symbols map<string,{SYMBOL}>, components map<string,{COMPONENT}>, nets map<string,{NET}>"
+#: The parts of a document that have links.
+LINKED = DOCUMENT[: DOCUMENT.index(", nets ")]
 ANALYSIS = "analysis struct<components:array<struct<reference:string,value:string,description:string,mpn:string>>,nets:array<struct<name:string,net_type:string,connected_components:array<string>>>,functional_groups:array<struct<name:string,function:string,description:string,components:array<string>>>>"
 
 DOWNLOAD_LOG = "timestamp string, filename string, url string, manufacturer string, category string, part_number string, status string, script_version string, error_message string"
@@ -35,9 +37,14 @@ def document_texts(spark: SparkSession, path: str, glob: str = "*.json") -> Data
     return spark.read.option("pathGlobFilter", glob).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("schematic_id"), F.col("value").alias("json"))
 
 
+def not_json(text: str) -> Column:
+    """What is wrong with a text that cannot be read; null with one that can."""
+    return F.when(F.try_parse_json(text).isNull(), "not JSON")
+
+
 def documents(texts: DataFrame) -> DataFrame:
     """SRC-5: JSON texts (schematic_id, json) as typed documents; ``error`` says why one could not be read."""
-    parsed = texts.withColumn("d", F.from_json("json", DOCUMENT)).withColumn("error", F.when(F.try_parse_json("json").isNull(), "not JSON"))
+    parsed = texts.withColumn("d", F.from_json("json", DOCUMENT)).withColumn("error", not_json("json"))
     return parsed.select("schematic_id", "error", "d.*")
 
 

@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ohmlake.operators.circuit import link_messages, unique_links
-from ohmlake.sources.files import document_components, document_symbols, documents
+from ohmlake.plans.storage import stored
+from ohmlake.sources.files import LINKED, document_components, document_symbols, not_json
 
 MAX_UPLOAD = 10 * 1024 * 1024
 MAX_RECEIVES = 3
@@ -27,9 +28,11 @@ MESSAGE = "processing_id string, stage string, s3_key string, original_filename
 def link_results(texts: DataFrame) -> DataFrame:
     """STR-1: a result row for each JSON text (schematic_id, json); one that fails gives a row that says so.
 
-    Links are grouped within a micro-batch, so on a stream this runs in foreachBatch (``each_batch``).
+    Links are grouped within a micro-batch, so on a stream this runs in foreachBatch (``each_batch``). Each text is parsed
+    once: its symbols, components and title come from the stored document.
     """
-    docs = documents(texts)
+    parsed = texts.select("schematic_id", F.from_json("json", LINKED).alias("d"), not_json("json").alias("error"))
+    docs = stored(parsed, "documents").select("schematic_id", "error", "d.*")
     good = docs.where("error is null")
     links = unique_links(document_symbols(good), document_components(good))
     return link_messages(docs.select("schematic_id", "error", F.col("metadata.title_block").alias("title_block")), links)

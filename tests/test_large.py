@@ -110,3 +110,28 @@ def test_texts_of_few_rows_are_dealt_over_all_tasks(spark):
     for name in ("rsp3_technical", "dtx4_parenthetical_pins"):
         rows = QUERIES[name](spark, AT).groupBy(F.spark_partition_id()).count().collect()
         assert len(rows) >= 4, name
+
+
+def test_link_results_parse_each_text_once(spark):
+    from ohmlake.streaming.jobs import link_results
+
+    made = '{"components":{"R1":{"reference":"R1","value":"1k","properties":{"Datasheet":{"value":"https://a.b/c.pdf"}}}}}'
+    texts = spark.createDataFrame([(1, made), (2, "{"), (3, None)], "schematic_id long, json string")
+    got = link_results(texts)
+    assert "_json" not in plan(got)  # the texts are parsed where the documents are stored, not in each branch
+    assert {(r.schematic_id, r.datasheet_count) for r in got.collect()} == {(1, 1), (2, 0), (3, 0)}
+
+
+def test_streamed_documents_lie_in_files_for_many_tasks(spark, monkeypatch):
+    from ohmlake.queries import streams
+
+    seen = []
+    files = streams.T.files
+    monkeypatch.setattr(streams.T, "files", lambda s, folder, schema, per_batch=1: seen.append((len(s.read.schema(schema).parquet(folder).inputFiles()), per_batch)) or files(s, folder, schema, per_batch))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        assert QUERIES["str1_streamed_results"](spark, AT).count() > 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen[0][0] > 3 and -(-seen[0][0] // seen[0][1]) <= 3
