@@ -10,7 +10,7 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 from pyspark.sql.types import StructType
 
@@ -72,10 +72,15 @@ def links_stream(texts: DataFrame, sink: str, checkpoint: str, **trigger):
 # ---------------------------------------------------------------- STR-5
 
 
+#: The time of events without one, before all others.
+_NEVER = -(1 << 62)
+
+
 class JobStates(StatefulProcessor):
     """STR-5: the state of one job: a value for its life, and a map from each field to its value and the event that gave it.
 
-    Events count in the order (time, place of the status in a job's life, status), however they arrive.
+    Events count in the order (time, place of the status in a job's life, status), however they arrive. Jobs are many and have few events
+    each, so events come and states go as rows, not as a table for each job; times are microseconds, whatever the time zone.
     """
 
     def __init__(self, fields: dict[str, str], idle_ms: int | None):
@@ -83,42 +88,42 @@ class JobStates(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.life = handle.getValueState("life", "created timestamp, ts timestamp, rank int, status string, timer long")
-        self.given = handle.getMapState("given", "field string", "whole long, text string, ts timestamp, rank int, status string")
+        self.life = handle.getValueState("life", "created long, at long, rank int, status string, timer long")
+        self.given = handle.getMapState("given", "field string", "whole long, text string, at long, rank int, status string")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         life = self.life.get()
-        created, last, timer = (pd.Timestamp(life[0]), (pd.Timestamp(life[1]), life[2], life[3]), life[4]) if life else (None, None, 0)
-        held = {k[0]: (v[0], v[1], pd.Timestamp(v[2]), v[3], v[4]) for k, v in self.given.iterator()} if life else {}
+        created, last, timer = (life[0], tuple(life[1:4]), life[4]) if life else (None, None, 0)
+        held = {k[0]: tuple(v) for k, v in self.given.iterator()} if life else {}
         known = dict(held)
-        for pdf in rows:
-            for row in pdf.to_dict("records"):
-                ts, status = pd.Timestamp(row["event_ts"]), row["status"]
-                order = (ts, STATUSES.index(status) + 1 if status in STATUSES else 0, status or "")
-                created = ts if created is None else min(created, ts)
-                last = order if last is None else max(last, order)
-                for name, kind in self.fields.items():
-                    value = row[name]
-                    if not pd.isna(value) and (name not in known or order > known[name][2:]):
-                        known[name] = (int(value), None, *order) if kind != "string" else (None, value, *order)
+        for row in rows:
+            us, status = row["event_us"], row["status"]
+            order = (_NEVER if us is None else us, STATUSES.index(status) + 1 if status in STATUSES else 0, status or "")
+            if us is not None:
+                created = us if created is None else min(created, us)
+            last = order if last is None else max(last, order)
+            for name, kind in self.fields.items():
+                value = row[name]
+                if value is not None and (name not in known or order > known[name][2:]):
+                    known[name] = (int(value), None, *order) if kind != "string" else (None, value, *order)
         if self.idle_ms:
-            due = int(last[0].value // 1_000_000) + self.idle_ms
+            due = last[0] // 1000 + self.idle_ms
             if due != timer:
                 if timer:
                     self.handle.deleteTimer(timer)
                 self.handle.registerTimer(due)
                 timer = due
-        self.life.update((created.to_pydatetime(), last[0].to_pydatetime(), last[1], last[2], timer))
-        for name, (whole, text, ts, rank, status) in known.items():
-            if known[name] is not held.get(name):
-                self.given.updateValue((name,), (whole, text, ts.to_pydatetime(), rank, status))
-        typed = {n: pd.Series([known[n][1 if k == "string" else 0] if n in known else None], dtype="Int64" if k != "string" else object) for n, k in self.fields.items()}
-        yield pd.DataFrame({"processing_id": [key[0]], "status": [last[2]], "created_at": [created], "updated_at": [last[0]]} | typed)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.life.update((created, *last, timer))
+        for name, value in known.items():
+            if value is not held.get(name):
+                self.given.updateValue((name,), value)
+        typed = {n: known[n][1 if k == "string" else 0] if n in known else None for n, k in self.fields.items()}
+        yield Row(processing_id=key[0], status=last[2], created_us=created, updated_us=None if last[0] == _NEVER else last[0], **typed)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.life.clear()
         self.given.clear()
-        yield pd.DataFrame()
+        return iter([])
 
     def close(self) -> None:
         pass
@@ -130,12 +135,14 @@ def job_states_held(events: DataFrame, fields: dict[str, str], idle_seconds: int
     fields: names and types, whole numbers (bigint) or string. With ``idle_seconds`` a timer forgets a job when the watermark, late by as
     much, has passed its last event by that time; else state grows with the jobs.
     """
-    own = events.select("processing_id", "event_ts", "status", *fields)
+    own = events.select("processing_id", "event_ts", F.unix_micros("event_ts").alias("event_us"), "status", *fields)
     if idle_seconds:
         own = own.withWatermark("event_ts", f"{idle_seconds} seconds")
-    out = "processing_id string, status string, created_at timestamp, updated_at timestamp, " + ", ".join(f"{n} {k}" for n, k in fields.items())
+    out = "processing_id string, status string, created_us long, updated_us long, " + ", ".join(f"{n} {k}" for n, k in fields.items())
     made = JobStates(dict(fields), 1000 * idle_seconds if idle_seconds else None)
-    return own.groupBy("processing_id").transformWithStateInPandas(made, StructType.fromDDL(out), "Update", "EventTime" if idle_seconds else "None")
+    states = own.groupBy("processing_id").transformWithState(made, StructType.fromDDL(out), "Update", "EventTime" if idle_seconds else "None")
+    at = lambda c: F.timestamp_micros(f"{c}_us").alias(f"{c}_at")
+    return states.select("processing_id", "status", at("created"), at("updated"), *fields)
 
 
 # ---------------------------------------------------------------- STR-8
