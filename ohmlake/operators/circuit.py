@@ -143,13 +143,13 @@ def protection_circuits(components: DataFrame) -> DataFrame:
     return named_parts(components, PROTECTION, "protection_circuits")
 
 
-def analysis(documents: DataFrame, components: DataFrame, nets: DataFrame) -> DataFrame:
-    """CIR-11: one wide row for each document with counts, groups, rails, connectors and protection parts."""
+def analysis(documents: DataFrame, components: DataFrame, nets: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """CIR-11: one wide row for each document with counts, groups, rails, connectors and protection parts. groups: those of ``functional_groups``, if they are made."""
     none = F.array().cast("array<string>")
-    groups = functional_groups(components).groupBy("schematic_id").agg(F.sort_array(F.collect_list("name")).alias("functional_groups"))
+    groups = (functional_groups(components) if groups is None else groups).groupBy("schematic_id").agg(F.sort_array(F.collect_list("name")).alias("functional_groups"))
     out = documents
     for table in (components.groupBy("schematic_id").agg(F.count("*").alias("n_components")), nets.groupBy("schematic_id").agg(F.count("*").alias("n_nets")), groups, power_rails(nets), interface_connectors(components), protection_circuits(components)):
-        out = out.join(table, "schematic_id", "left")
+        out = out.join(table.hint("merge"), "schematic_id", "left")
     return out.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("n_components", "n_nets")} | {c: F.coalesce(c, none) for c in ("functional_groups", "power_rails", "interface_connectors", "protection_circuits")})
 
 

@@ -9,7 +9,7 @@ from ohmlake.operators import board as B, circuit as C, graph as G, nets as N, p
 from ohmlake.plans import buckets
 from ohmlake.plans.components import connected_components
 from ohmlake.plans.grid import near
-from ohmlake.plans.storage import fresh_folder
+from ohmlake.plans.storage import fresh_folder, stored
 
 from .base import derived, given
 
@@ -210,9 +210,11 @@ def _(spark, d):
 
 
 def retrieved(spark, d) -> DataFrame:
-    c = C.component_records(properties(comps(spark, d)))
-    n = typed_nets(spark, d)
-    return C.retrieval_documents(C.analysis(titled(spark, d), comps(spark, d), n), c, C.functional_groups(c), n)
+    """Components, groups and nets are read for several kinds of documents, so each is made once and stored."""
+    c = stored(C.component_records(properties(comps(spark, d))).drop("properties"), "components")
+    n = stored(typed_nets(spark, d).drop("labels"), "nets")
+    g = stored(C.functional_groups(c), "groups")
+    return C.retrieval_documents(C.analysis(titled(spark, d), c, n, g), c, g, n)
 
 
 GROUP_AND_NET_DOCUMENTS = """
