@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ohmlake.plans.storage import stored
+
 CIRCUIT = ["schematic_id"]
 # Rails, and those that count as pull-up voltages.
 RAILS = ["+3V3", "+5V", "GND"]
@@ -22,7 +24,7 @@ def incidence(nets: DataFrame, by: list[str] = CIRCUIT) -> DataFrame:
 
 def nets_for_component(nets: DataFrame, keys: DataFrame, by: list[str] = CIRCUIT) -> DataFrame:
     """GQ-1, GQ-4: (by, reference, net) for each key (by, reference)."""
-    return incidence(nets, by).join(keys.select(*by, "reference").distinct(), [*by, "reference"]).select(*by, "reference", "net")
+    return incidence(nets, by).join(keys.select(*by, "reference").distinct().hint("merge"), [*by, "reference"]).select(*by, "reference", "net")
 
 
 def components_on_net(nets: DataFrame, components: DataFrame, keys: DataFrame | None = None, by: list[str] = CIRCUIT) -> DataFrame:
@@ -30,7 +32,7 @@ def components_on_net(nets: DataFrame, components: DataFrame, keys: DataFrame |
     on = incidence(nets, by)
     if keys is not None:
         on = on.join(keys.select(*by, "net").distinct(), [*by, "net"], "left_semi")
-    return on.join(components, [*by, "reference"])
+    return on.join(components.hint("merge"), [*by, "reference"])
 
 
 def groups_touching_net(nets: DataFrame, groups: DataFrame, keys: DataFrame | None = None, by: list[str] = CIRCUIT) -> DataFrame:
@@ -56,7 +58,7 @@ def filters_near_component(nets: DataFrame, components: DataFrame, keys: DataFra
         F.bool_or(F.col("value") == "GND").alias("has_gnd"),
     )
     hit = facts.where(F.col("has_c") & (F.col("has_r") | F.col("has_gnd"))).select(*by, "net")
-    return nets_for_component(nets, keys, by).join(hit, [*by, "net"])
+    return nets_for_component(nets, keys, by).join(hit.hint("merge"), [*by, "net"])
 
 
 def pull_up_voltages(nets: DataFrame, components: DataFrame, keys: DataFrame, by: list[str] = CIRCUIT) -> DataFrame:
@@ -65,13 +67,13 @@ def pull_up_voltages(nets: DataFrame, components: DataFrame, keys: DataFrame, by
     A net hands on the few rails that it has, so no join has more rows than parts have nets, times the rails.
     """
     on = incidence(nets, by)
-    resistors = on.join(components.select(*by, "reference"), [*by, "reference"], "left_semi").where(F.col("reference").startswith("R"))
+    resistors = on.where(F.col("reference").startswith("R")).join(components.select(*by, "reference").hint("merge"), [*by, "reference"], "left_semi")
     rails = rails_on_net(nets, components, None, by, PULL_UP_RAILS).select(*by, "net", "value").distinct()
-    of_resistor = resistors.join(rails, [*by, "net"]).select(*by, "reference", "value").distinct()
-    of_net = resistors.join(of_resistor, [*by, "reference"]).select(*by, "net", "value").distinct()
-    found = nets_for_component(nets, keys, by).join(of_net, [*by, "net"]).groupBy(*by, "reference").agg(F.array_sort(F.collect_set("value")).alias("voltages"))
+    of_resistor = resistors.join(rails.hint("merge"), [*by, "net"]).select(*by, "reference", "value").distinct()
+    of_net = resistors.join(of_resistor.hint("merge"), [*by, "reference"]).select(*by, "net", "value").distinct()
+    found = nets_for_component(nets, keys, by).join(of_net.hint("merge"), [*by, "net"]).groupBy(*by, "reference").agg(F.array_sort(F.collect_set("value")).alias("voltages"))
     asked = keys.select(*by, "reference").distinct()
-    return asked.join(found, [*by, "reference"], "left").select(*by, "reference", F.coalesce("voltages", F.array().cast("array<string>")).alias("voltages"))
+    return asked.join(found.hint("merge"), [*by, "reference"], "left").select(*by, "reference", F.coalesce("voltages", F.array().cast("array<string>")).alias("voltages"))
 
 
 def routed(questions: DataFrame, text: str = "question") -> DataFrame:
@@ -86,10 +88,15 @@ def routed(questions: DataFrame, text: str = "question") -> DataFrame:
 
 
 def answers(questions: DataFrame, nets: DataFrame, components: DataFrame, question_id: str = "question_id", text: str = "question", by: list[str] = CIRCUIT) -> DataFrame:
-    """GQ-8: (question id, by, reference, kind, answer) for questions that a heuristic answers; the rest is for vector search."""
-    asked = routed(questions, text).select(question_id, *by, "route", F.explode("refs").alias("reference"))
+    """GQ-8: (question id, by, reference, kind, answer) for questions that a heuristic answers; the rest is for vector search.
+
+    Nets, components and questions are read several times, so each is made once and stored.
+    """
+    nets = stored(nets.select(*by, "name", "connected_components"), "nets")
+    components = stored(components.select(*by, "reference", "value"), "components")
+    asked = stored(routed(questions, text).where("route <> 'semantic'").select(question_id, *by, "route", F.explode("refs").alias("reference")), "asked")
     keys = asked.select(*by, "reference").distinct()
     hits = filters_near_component(nets, components, keys, by).groupBy(*by, "reference").agg(F.array_join(F.array_sort(F.collect_set("net")), ",").alias("answer"))
     volts = pull_up_voltages(nets, components, keys, by).select(*by, "reference", F.array_join("voltages", ",").alias("answer"))
-    one = lambda kind, table: asked.where(F.col("route").isin(kind, "both")).join(table, [*by, "reference"], "left").select(question_id, *by, "reference", F.lit(kind).alias("kind"), F.coalesce("answer", F.lit("")).alias("answer"))
+    one = lambda kind, table: asked.where(F.col("route").isin(kind, "both")).join(table.hint("merge"), [*by, "reference"], "left").select(question_id, *by, "reference", F.lit(kind).alias("kind"), F.coalesce("answer", F.lit("")).alias("answer"))
     return one("filter", hits).unionByName(one("voltage", volts))
