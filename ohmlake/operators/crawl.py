@@ -16,6 +16,8 @@ from ohmlake.plans.storage import stored
 MAX_LINKS_PER_SITE = 20
 MAX_PAGES = 50
 MAX_FILE_BYTES = 50 * 1024 * 1024
+#: Rows of one key that a task may count on its own.
+LARGEST = 100_000
 # The file host of a wiki, words of links to products, and the pattern of part numbers.
 WIKI_FILES = "files.waveshare.com"
 PRODUCT_WORDS = ["components", "products", "parts", "ics", "semiconductors"]
@@ -343,7 +345,14 @@ def filename_from_headers(url: Column, disposition: Column) -> Column:
 
 
 def running(rows: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
-    """rows with running sums of values (in their place) within keys, its own row included. A key's rows are dealt by ranges of the order."""
+    """rows with running sums of values (in their place) within keys, its own row included.
+
+    If no key has more than LARGEST rows, they are sums over the keys' rows; else a key's rows are dealt by ranges of the order.
+    """
+    rows = stored(rows, "rows")
+    if (rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) <= LARGEST:
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return rows.withColumns({v: F.sum(v).over(w) for v in values})
     ranged = stored(rows.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()), "ranged")
     sums = ranged.groupBy("_range", *keys).agg(*[F.sum(v).alias(v) for v in values])  # a row a range and key
     w = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
