@@ -2,7 +2,8 @@
 
 Nodes that are near each other in order are often linked, as ids of one thing have one prefix. So the edges are dealt by ranges and
 each task makes blocks of them into stars, of which only the roots that share a node go into the steps. Where order says
-nothing, a block is a forest of its own and the steps have no more edges than there were.
+nothing, a block is a forest of its own and the steps have no more edges than there were. As soon as what is left fits one
+block, that block ends it; what does not fit goes on by steps.
 
 Every step is an aggregation of the least neighbour and a join back, so no node's neighbourhood is
 ever gathered, and the edges never leave the executors. A step's result is a table in the shared
@@ -69,11 +70,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     first = stars.where("before is null").select("node", "root")
     e = stored(stars.where("before <> root").select(F.col("root").alias("hi"), F.col("before").alias("lo")).distinct(), "edges")
     before = None
+    width = F.octet_length(F.col("hi").cast("string")) + F.octet_length(F.col("lo").cast("string")) + 32  # in Arrow no more
     while True:  # ends after a number of rounds that grows with the square of the nodes' logarithm at most
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")), F.sum(width)).first()
         if now[0] == 0 or now == before:
             break
         before = now
+        if now[2] <= BLOCK:
+            e = stored(e.coalesce(1).mapInArrow(_rooted, stars.select("node", "root").schema).where("node <> root").toDF("hi", "lo"), "edges")
+            break
         both = e.union(e.select("lo", "hi")).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least.hint("merge"), "u").where("v <> m").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()

@@ -3,6 +3,7 @@
 import random
 
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from ohmlake.plans import components as C, storage
@@ -50,3 +51,29 @@ def test_random_graphs_over_many_tasks(spark):
     edges = [(rng.randint(0, 3000), rng.randint(0, 3000)) for _ in range(2000)] + [(9000, i) for i in range(4000, 4200)] + [(i, i + 1) for i in range(6000, 6200)]
     got = {r.node: r.component for r in C.connected_components(spark.createDataFrame(edges, "a long, b long").repartition(7)).collect()}
     assert got == least([e for e in edges if e[0] != e[1]])
+
+
+@pytest.fixture
+def many_tasks(spark):
+    own = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_what_fits_a_block_takes_no_steps(spark, monkeypatch, many_tasks):
+    tables = []
+    monkeypatch.setattr(C, "stored", lambda df, name: tables.append(name) or storage.stored(df, name))
+    rng = random.Random(7)
+    nodes = rng.sample(range(10**9), 3000)  # chains of 30 nodes each, whose order says nothing
+    edges = [(a, b) for i, (a, b) in enumerate(zip(nodes[:-1], nodes[1:])) if i % 30 < 29]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(9)
+    for cast, block, most in (("long", 32 << 20, 3), ("string", 32 << 20, 3), ("long", 2000, 99)):
+        tables.clear()
+        monkeypatch.setattr(C, "BLOCK", block)
+        got = {int(r.node): r.component for r in C.connected_components(df.select(F.col("a").cast(cast).alias("a"), F.col("b").cast(cast).alias("b"))).collect()}
+        own = [(str(a), str(b)) if cast == "string" else (a, b) for a, b in edges]
+        assert got == {int(n): r for n, r in least(own).items()} and len(tables) <= most  # steps write a table each
