@@ -96,9 +96,15 @@ _ODD_CASES = {"i": "\u0130\u0131", "k": "\u212A", "s": "\u017F"}
 
 
 def _searched(words: list[str], pattern: str) -> str:
-    """A case-blind pattern that begins with one of the words, as Python reads it; most places are passed by after two or three plain letters."""
-    cases = lambda n: "".join(sorted({c for w in words for c in (w[n], w[n].upper(), *_ODD_CASES.get(w[n], ""))}))
-    return "(?d)(?=" + "".join(f"[{cases(n)}]" for n in range(3)) + ")(?iu)" + pattern.replace(r"\s", _SPACE)
+    """A case-blind pattern that begins with one of the words, as Python reads it.
+
+    Most places are passed by after two or three plain letters, most others after the first three letters of the words one by one. Odd
+    cases are one range in the plain letters: Java looks up letters below 256 in a table, and asks for each further one in turn.
+    """
+    cases = lambda n, own: sorted({c for w in own for c in (w[n], w[n].upper(), *_ODD_CASES.get(w[n], ""))})
+    plain = lambda own: "[" + "".join(c for c in own if c < "\x80") + ("\u0130-\u212A" if max(own) > "\x80" else "") + "]"
+    starts = "|".join(dict.fromkeys("".join("[" + "".join(cases(n, [w])) + "]" for n in range(3)) for w in words))
+    return "(?d)(?=" + "".join(plain(cases(n, words)) for n in range(3)) + f")(?={starts})(?iu)" + pattern.replace(r"\s", _SPACE)
 
 
 def sections(text: Column) -> Column:
@@ -111,14 +117,15 @@ def sections(text: Column) -> Column:
     words = "|".join(SECTION_TITLES).split("|")
     header = f"({'|'.join(SECTION_TITLES)}){AFTER_TITLE}"
     ahead = _searched(words, f"(?={header})")
-    at_start = _searched(words, "^" + header)
+    # empty where no header is at the start: a pattern that fails there would be tried at every other place as well
+    at_start = f"^(?:({_searched(words, header)})|)"
     entry = lambda start, head, title, piece: F.struct(start.alias("start"), head.alias("head"), title.alias("title"), piece.alias("piece"))
     after = lambda p, i: F.concat(F.get(p, i), F.coalesce(F.get(p, i + 1), F.lit("")), F.coalesce(F.get(p, i + 2), F.lit("")))
-    head = lambda p, i: F.when(i == 0, F.lit("")).otherwise(let(F.regexp_extract(F.get(p, i), at_start, 0), lambda h: F.when((h == "") | (F.length(h) == F.length(F.get(p, i))), F.regexp_extract(after(p, i), at_start, 0)).otherwise(h)))
-    named = lambda p, at: F.transform(p, lambda x, i: let(head(p, i), lambda h: entry(F.get(at, i), h, F.regexp_extract(h, at_start, 1), x)))
+    head = lambda p, i: F.when(i == 0, F.lit("")).otherwise(let(F.regexp_extract(F.get(p, i), at_start, 1), lambda h: F.when((h == "") | (F.length(h) == F.length(F.get(p, i))), F.regexp_extract(after(p, i), at_start, 1)).otherwise(h)))
+    named = lambda p, at: F.transform(p, lambda x, i: let(head(p, i), lambda h: entry(F.get(at, i), h, F.regexp_extract(h, at_start, 2), x)))
     every = lambda p: let(running_sums(F.transform(p, F.length)), lambda at: named(p, at))
     # a header at the very beginning leaves no piece before it
-    whole = lambda p: F.when(F.get(p, F.lit(0)).rlike(at_start) | F.array_join(F.slice(p, 1, 3), "").rlike(at_start), F.concat(F.array(F.lit("")), p)).otherwise(p)
+    whole = lambda p: F.when((F.regexp_extract(F.get(p, F.lit(0)), at_start, 1) != "") | (F.regexp_extract(F.array_join(F.slice(p, 1, 3), ""), at_start, 1) != ""), F.concat(F.array(F.lit("")), p)).otherwise(p)
     return let(let(F.split(text, ahead, -1), whole), every)
 
 

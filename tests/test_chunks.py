@@ -118,3 +118,25 @@ def test_no_python_in_the_plans(spark, own):
     for name in K.STRATEGIES:
         plan = K.chunked(texts(spark, ["a"]).select(F.expr("uuid()").alias("source_file"), "text", "metadata"), name)._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Pandas|Arrow", plan), name
+
+
+def test_documents_are_dealt_over_all_tasks(spark):
+    from ohmlake.queries.texts import sectioned, texts
+
+    for made in (texts, sectioned):  # the file is one row group, so it was one task's
+        assert made(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 4
+
+
+def test_starts_of_texts_are_looked_at_without_a_search(spark):
+    # RLIKE looks for a header that must be at the start at every other place, too, if there is none
+    plan = K.semantic(texts(spark, ["a"]))._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan.upper()
+
+
+def test_first_letters_with_odd_cases(spark):
+    rows = ["ſpec\nx", "ſupply: 3V", "sİze = 2mm, VCC-5v", "Kind pin configuration\n", "İCC: 2a"]
+    df = texts(spark, rows)
+    assert [[s.head for s in r.s[1:]] for r in df.select(K.sections(F.col("text")).alias("s")).collect()] == [["ſpec\n"], [], [], ["pin configuration\n"], []]
+    for p in K.PARAMETERS:
+        for r in df.select("text", match_spans(F.col("text"), K._searched(p[1 : p.index(")")].split("|"), p), "").alias("s")).collect():
+            assert [tuple(x) for x in r.s] == [(m.start(), m.end(), m.group()) for m in re.finditer(p, r.text, re.I)], p
