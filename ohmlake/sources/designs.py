@@ -10,18 +10,26 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from ohmlake.functions.columns import keep_first, ordered, top_n_per
+from ohmlake.sources.scan import COLUMNS, KINDS, Scan, plain
 
 SCHEMATIC_ROOT, BOARD_ROOT = "kicad_sch", "kicad_pcb"
 EXTENSIONS = {".kicad_sch": "schematic", ".kicad_pcb": "board", ".kicad_pro": "project"}
 PARSER_VERSION = "1.0.0"
 #: Fixed value: characters of JSON that a task hands on at once.
 PIECE = 1 << 22
+#: Fixed value: bytes of files that are scanned at once; whole files, so one at least.
+SCANNED = 1 << 21
 
 _TOKEN = re.compile(r'[()]|"(?:\\.|[^"\\])*"|[^\s()"]+')
 
@@ -116,29 +124,32 @@ def schematic_items(text: str) -> list[tuple[str, dict]]:
     data = _nested(text)
     if not data or data[0] != SCHEMATIC_ROOT:
         raise ValueError("not a schematic")
-    out: list[tuple[str, dict]] = []
-    for item in _lists(data):
-        kind = item[0]
-        if kind in ("version", "generator", "generator_version", "uuid", "paper"):
-            out.append(("meta", {"key": kind, "value": _text(item, 1)}))
-        elif kind == "title_block":
-            out += [("title", {"key": x[0], "value": _text(x, 1)}) for x in _lists(item) if len(x) >= 2]
-        elif kind == "lib_symbols":
-            out += [("library_symbol", _library_symbol(x)) for x in _lists(item, "symbol") if len(x) >= 2]
-        elif kind in ("wire", "bus"):
-            out.append((kind, _wire(item)))
-        elif kind in ("junction", "no_connect", "bus_entry"):
-            out.append((kind, _at(item)))
-        elif kind in ("label", "hierarchical_label", "global_label"):
-            out.append(("label" if kind != "global_label" else kind, {"text": _text(item, 1), "type": kind} | _at(item, 2)))
-        elif kind == "symbol" and len(item) >= 3:
-            out.append(("symbol", _symbol(item)))
-        elif kind == "text":
-            out.append(("text", {"text": _text(item, 1), "effects": _effects(item)} | _at(item, 2)))
-        elif kind == "sheet":
-            props = {p["name"]: p["value"] for p in (_property(x) for x in _lists(item, "property") if len(x) >= 3)}
-            out.append(("sheet", {"uuid": _last(item, "uuid", 1), "sheetfile": props.get("Sheetfile", props.get("Sheet file", "")), "sheetname": props.get("Sheetname", props.get("Sheet name", ""))}))
-    return out
+    return [row for item in _lists(data) for row in _schematic_rows(item)]
+
+
+def _schematic_rows(item: list) -> list[tuple[str, dict]]:
+    """The rows of one item of a schematic file."""
+    kind = item[0]
+    if kind in ("version", "generator", "generator_version", "uuid", "paper"):
+        return [("meta", {"key": kind, "value": _text(item, 1)})]
+    if kind == "title_block":
+        return [("title", {"key": x[0], "value": _text(x, 1)}) for x in _lists(item) if len(x) >= 2]
+    if kind == "lib_symbols":
+        return [("library_symbol", _library_symbol(x)) for x in _lists(item, "symbol") if len(x) >= 2]
+    if kind in ("wire", "bus"):
+        return [(kind, _wire(item))]
+    if kind in ("junction", "no_connect", "bus_entry"):
+        return [(kind, _at(item))]
+    if kind in ("label", "hierarchical_label", "global_label"):
+        return [("label" if kind != "global_label" else kind, {"text": _text(item, 1), "type": kind} | _at(item, 2))]
+    if kind == "symbol" and len(item) >= 3:
+        return [("symbol", _symbol(item))]
+    if kind == "text":
+        return [("text", {"text": _text(item, 1), "effects": _effects(item)} | _at(item, 2))]
+    if kind == "sheet":
+        props = {p["name"]: p["value"] for p in (_property(x) for x in _lists(item, "property") if len(x) >= 3)}
+        return [("sheet", {"uuid": _last(item, "uuid", 1), "sheetfile": props.get("Sheetfile", props.get("Sheet file", "")), "sheetname": props.get("Sheetname", props.get("Sheet name", ""))})]
+    return []
 
 
 def board_items(text: str) -> list[tuple[str, dict]]:
@@ -219,8 +230,126 @@ def items(files: DataFrame, kind: str = "schematic") -> DataFrame:
     A task holds one file's items and hands on its rows in pieces of about PIECE characters, however many files come at once.
     """
     reader = {"schematic": schematic_items, "board": board_items}[kind]
-    id_kind = files.schema["schematic_id"].dataType.simpleString()
-    return files.select("schematic_id", "content").mapInArrow(lambda batches: _pieces(batches, reader), f"schematic_id {id_kind}, entity string, ordinal long, payload string")
+    return files.select("schematic_id", "content").mapInArrow(lambda batches: _pieces(batches, reader), f"schematic_id {_id_kind(files)}, entity string, ordinal long, payload string")
+
+
+def _id_kind(files: DataFrame) -> str:
+    return files.schema["schematic_id"].dataType.simpleString()
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """(ids, texts) of about SCANNED bytes of whole files; a missing text is an empty one."""
+    for batch in batches:
+        ids, texts = batch.columns[0], pc.fill_null(batch.columns[1], "")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SCANNED, "right")))
+            yield ids.slice(at, to - at), texts.slice(at, to - at)
+            at = to
+
+
+def _read(text: str) -> list[tuple[str, dict]]:
+    """Items of a schematic file that is read token by token."""
+    try:
+        return schematic_items(text)
+    except (ValueError, IndexError) as e:
+        return [("reject", {"error": str(e)})]
+
+
+def _json_effects(text: str) -> str:
+    return _effects(["", _nested(text)])
+
+
+def _rows_of(batches: Iterator[pa.RecordBatch], entities: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows of some entities of the files of batches; other items of plain files are found, not read."""
+
+    def made(scan: Scan, own: np.ndarray) -> Iterator[tuple[int, str, int, dict]]:
+        for e in entities:
+            found = scan.rows(e) if e != "reject" else []
+            for file, ordinal, text in zip(own[scan.file[found]], scan.ordinal[found], scan.slices(found)) if len(found) else ():
+                yield from ((file, e, int(ordinal) + i, fields) for i, (_, fields) in enumerate(_schematic_rows(_nested(text))))
+
+    for ids, texts in _chunks(batches):
+        found, odd = plain(texts, _json_effects, made)
+        slow = ((n, e, i, fields) for n in odd for i, (e, fields) in enumerate(_read(texts[n].as_py())) if e in entities)
+        at, rows, size = [], [], 0
+        for n, e, i, fields in chain(found or (), slow):
+            at.append(n)
+            rows.append((e, i, json.dumps(fields)))
+            size += len(rows[-1][2])
+            if size >= PIECE:
+                yield _batch(ids, at, rows)
+                at, rows, size = [], [], 0
+        if rows:
+            yield _batch(ids, at, rows)
+
+
+def some_items(files: DataFrame, entities: list[str]) -> DataFrame:
+    """SRC-1 for some entities (``reject`` among them): their rows as ``items`` gives them, without making those of the others."""
+    return files.select("schematic_id", "content").mapInArrow(lambda batches: _rows_of(batches, entities), f"schematic_id {_id_kind(files)}, entity string, ordinal long, payload string")
+
+
+def _names_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = list(KINDS.values())
+
+    def made(scan: Scan, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        some = np.flatnonzero(scan.count)
+        count = scan.count[some]
+        step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        entity = pa.DictionaryArray.from_arrays(pa.array(np.repeat(scan.kinds[some], count), pa.int32()), kinds)
+        return np.repeat(own[scan.file[some]], count), np.repeat(scan.ordinal[some], count) + step, entity.cast(pa.string())
+
+    for ids, texts in _chunks(batches):
+        found, odd = plain(texts, _json_effects, made)
+        slow = [(n, i, e) for n in odd for i, (e, _) in enumerate(_read(texts[n].as_py()))]
+        for file, ordinal, entity in [found] * (found is not None) + [tuple(zip(*slow))] * bool(slow):
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(file)), pa.array(entity, pa.string()), pa.array(ordinal, pa.int64())], ["schematic_id", "entity", "ordinal"])
+
+
+def item_names(files: DataFrame) -> DataFrame:
+    """SRC-1 without fields: (schematic_id, entity, ordinal)."""
+    return files.select("schematic_id", "content").mapInArrow(_names_of, f"schematic_id {_id_kind(files)}, entity string, ordinal long")
+
+
+def _columns_of(batches: Iterator[pa.RecordBatch], name: str, kinds: dict[str, pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """Rows of one entity as columns."""
+    fields = list(kinds)
+
+    def made(scan: Scan, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict]:
+        found = scan.rows(name)
+        return own[scan.file[found]], scan.ordinal[found], COLUMNS[name](scan, found, fields)
+
+    for ids, texts in _chunks(batches):
+        found, odd = plain(texts, _json_effects, made)
+        slow = [(n, i, _with_values(f) if name == "symbol" else f) for n in odd for i, (e, f) in enumerate(_read(texts[n].as_py())) if e == name]
+        read = ([n for n, _, _ in slow], [i for _, i, _ in slow], {c: [f.get(c) for _, _, f in slow] for c in fields})
+        for file, ordinal, columns in [found] * (found is not None) + [read] * bool(slow):
+            made_of = [pa.array(columns[c], k) if isinstance(columns[c], (list, np.ndarray)) else columns[c].cast(k) for c, k in kinds.items()]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(file, pa.int64())), pa.array(ordinal, pa.int64()), *made_of], ["schematic_id", "ordinal", *fields])
+
+
+def _with_values(fields: dict) -> dict:
+    """Fields of a symbol with the last Reference, Value and Footprint among its properties."""
+    values = {p["name"]: p["value"] for p in fields["properties"]}
+    return fields | {c: values.get(c.title(), "") for c in NAMED}
+
+
+#: Columns of symbols that are properties of theirs.
+NAMED = ["reference", "value", "footprint"]
+
+
+def table(files: DataFrame, name: str, *fields: str) -> DataFrame:
+    """SCH-5, SCH-6, SCH-7, SCH-8: rows of one entity as a table, made straight from files (schematic_id, content string) without JSON.
+
+    (schematic_id, ordinal, fields), as ``entity`` gives them of ``items``; all fields if none are named. Symbols have reference, value and
+    footprint too. Plain files are scanned by many at once, the others are read token by token.
+    """
+    kinds = StructType.fromDDL(_FIELDS[name] + (", " + ", ".join(f"{c} string" for c in NAMED) if name == "symbol" else ""))
+    some = [kinds[c] for c in fields] or list(kinds)
+    arrow = {f.name: to_arrow_type(f.dataType) for f in some}
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in some)
+    return files.select("schematic_id", "content").mapInArrow(lambda batches: _columns_of(batches, name, arrow), f"schematic_id {_id_kind(files)}, ordinal long, {schema}")
 
 
 def design_files(spark: SparkSession, path: str) -> DataFrame:
@@ -296,24 +425,46 @@ def last_values(properties: Column) -> Column:
     return F.map_from_arrays(names, F.transform(names, lambda n: F.element_at(F.filter(properties, lambda p: p["name"] == n), -1)["value"]))
 
 
-def components(rows: DataFrame, compat: bool = True) -> DataFrame:
-    """SCH-8: symbols with a Reference; of one reference the last stays (compat), else of one reference and unit."""
+def named_symbols(rows: DataFrame) -> DataFrame:
+    """Symbols with the reference, value and footprint that their properties say, as ``table`` gives them."""
     own = entity(rows, "symbol").withColumn("values", last_values(F.col("properties")))
     one = lambda k: F.coalesce(F.try_element_at("values", F.lit(k)), F.lit(""))
-    own = own.withColumns({"reference": one("Reference"), "value": one("Value"), "footprint": one("Footprint")}).where("reference <> ''")
-    return keep_first(own, ["schematic_id", "reference", *([] if compat else ["unit"])], [F.desc("ordinal")])
+    return own.withColumns({c: one(c.title()) for c in NAMED})
+
+
+def last_of_references(symbols: DataFrame, compat: bool = True) -> DataFrame:
+    """SCH-8: symbols with a reference; of one reference the last stays (compat), else of one reference and unit."""
+    return keep_first(symbols.where("reference <> ''"), ["schematic_id", "reference", *([] if compat else ["unit"])], [F.desc("ordinal")])
+
+
+def components(rows: DataFrame, compat: bool = True) -> DataFrame:
+    """SCH-8: symbols with a Reference; of one reference the last stays (compat), else of one reference and unit."""
+    return last_of_references(named_symbols(rows), compat)
+
+
+def _parts_of(components: DataFrame, parts: str, key: str, also: tuple[str, ...]) -> DataFrame:
+    own = components.select("schematic_id", "reference", *also, F.posexplode(parts).alias("pos", "p")).select("schematic_id", "reference", *also, "pos", "p.*")
+    return keep_first(own, ["schematic_id", "reference", key], [F.desc("pos")])
+
+
+def pins_of(components: DataFrame, *also: str) -> DataFrame:
+    """SCH-9: (schematic_id, reference, number, ...) of the pin instances of components, the last of each number; with ``also`` columns of theirs."""
+    return _parts_of(components, "pins", "number", also)
 
 
 def component_pins(rows: DataFrame, compat: bool = True) -> DataFrame:
     """SCH-9: (schematic_id, reference, number, ...) of pin instances, the last of each number."""
-    own = components(rows, compat).select("schematic_id", "reference", F.posexplode("pins").alias("pos", "p")).select("schematic_id", "reference", "pos", "p.*")
-    return keep_first(own, ["schematic_id", "reference", "number"], [F.desc("pos")])
+    return pins_of(components(rows, compat))
+
+
+def properties_of(components: DataFrame) -> DataFrame:
+    """SCH-10: (schematic_id, reference, property fields) of components, the last of each name."""
+    return _parts_of(components, "properties", "name", ())
 
 
 def component_properties(rows: DataFrame, compat: bool = True) -> DataFrame:
     """SCH-10: (schematic_id, reference, property fields), the last of each name."""
-    own = components(rows, compat).select("schematic_id", "reference", F.posexplode("properties").alias("pos", "p")).select("schematic_id", "reference", "pos", "p.*")
-    return keep_first(own, ["schematic_id", "reference", "name"], [F.desc("pos")])
+    return properties_of(components(rows, compat))
 
 
 def annotations(rows: DataFrame) -> DataFrame:
