@@ -240,12 +240,12 @@ def _id_kind(files: DataFrame) -> str:
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
     """(ids, texts) of about SCANNED bytes of whole files; a missing text is an empty one."""
     for batch in batches:
-        ids, texts = batch.columns[0], pc.fill_null(batch.columns[1], "")
-        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        ids, texts = batch.columns
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
         at = 0
         while at < len(texts):
             to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SCANNED, "right")))
-            yield ids.slice(at, to - at), texts.slice(at, to - at)
+            yield ids.slice(at, to - at), pc.fill_null(texts.slice(at, to - at), "")
             at = to
 
 
